@@ -5,12 +5,14 @@ from __future__ import annotations
 from siftwell.llm.decontaminate import op3_decontaminate
 from siftwell.llm.packing import op9_packing
 from siftwell.llm.pfor import op6_token_files
+from siftwell.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
         "op6_token_files": op6_token_files,
+        "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
     }
 
