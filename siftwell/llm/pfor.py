@@ -34,6 +34,8 @@ BLOCK = 1024
 PERCENTILE = 0.9
 #: Ids in a file, about; a partition with more goes on in a further file.
 FILE_IDS = 8_000_000
+#: Manifest rows (a name and a number each) that are broadcast at most.
+BROADCAST_FILES = 100_000
 _HEAD = struct.Struct("<IBH")
 _TAIL = struct.Struct("<QQQQ4s")
 
@@ -223,7 +225,10 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame, with_i
     if not manifest.head(1):
         return spark.createDataFrame([], shape)
     content = spark.read.format("binaryFile").load(path).where(F.col("path").endswith(".pfr"))
-    files = content.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(manifest.select("file", "base"), "file")
+    bases = manifest.select("file", "base")
+    if manifest.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:  # else the files are shuffled to their bases
+        bases = F.broadcast(bases)
+    files = content.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(bases, "file")
 
     def work(batches):
         for batch in batches:
