@@ -6,11 +6,13 @@ from siftwell.llm.decontaminate import op3_decontaminate
 from siftwell.llm.packing import op9_packing
 from siftwell.llm.pfor import op6_token_files
 from siftwell.llm.simhash import op8_simhash
+from siftwell.llm.suffix_dedup import op4_suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op6_token_files": op6_token_files,
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
