@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftwell.llm.decontaminate import op3_decontaminate
+from siftwell.llm.language_id import op7_language_id
 from siftwell.llm.packing import op9_packing
 from siftwell.llm.pfor import op6_token_files
 from siftwell.llm.simhash import op8_simhash
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op3_decontaminate": op3_decontaminate,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op6_token_files": op6_token_files,
+        "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
     }
