@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftwell.llm.decontaminate import op3_decontaminate
+from siftwell.llm.html_text import op10_html_text
 from siftwell.llm.language_id import op7_language_id
 from siftwell.llm.packing import op9_packing
 from siftwell.llm.pfor import op6_token_files
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
+        "op10_html_text": op10_html_text,
     }
 
 
