@@ -37,6 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_dealt(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, for rows just dealt out by a key: joins on that key then leave them where they are.
+
+    Spark keeps a checkpoint's partitioning only where the plan was not adaptive.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a compressed columnar table in the shared folder, for rows that hold texts."""
     path = new_path(df.sparkSession, name)

@@ -28,17 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import _INVERSE, _POWERS, cut, mix, pick, raw_text, span_hashes, table
+from siftwell.llm._common import _INVERSE, _POWERS, cut, cut_dealt, mix, pick, raw_text, span_hashes, steps, table
 
 LEAST = 50
 #: Bytes of a gram whose hash can be an anchor.
 GRAM = 16
 #: Text bytes of a block (one document at least).
 BLOCK_BYTES = 4_000_000
+#: Text bytes of a block that are hashed at a time (one document at least).
+SLICE_BYTES = 1_000_000
 #: Windows of a segment; longer runs are several segments.
 SEGMENT = 64
 #: Suffixes sorted at a time, about; a sort ends between two anchors.
-SORTED = 1_000_000
+SORTED = 500_000
 _SUFFIX = np.uint64((1 << 47) - 1)
 _LAST_ID = np.iinfo(np.int64).max
 
@@ -161,18 +163,27 @@ def least_owners(segments: list[np.ndarray] | np.ndarray, sizes: np.ndarray, own
 
 
 class Block:
-    """A block's texts and its runs of windows with a common anchor."""
+    """A block's texts and its runs of windows with a common anchor, found slice by slice."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, least: int):
         self.data, self.offsets, self.ids, self.least = data, offsets, ids, least
+        found = [self._slice(a, b) for a, b in steps(offsets, SLICE_BYTES) if offsets[b] - offsets[a] >= least]
+        found = found or [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2]
+        self.first, self.count, self.row, self.key, self.content = (np.concatenate(x) for x in zip(*found))
+
+    def _slice(self, a: int, b: int):
+        least, begin = self.least, int(self.offsets[a])
+        data, offsets = self.data[begin : self.offsets[b]], self.offsets[a : b + 1] - begin
         n, gram = len(data), min(GRAM, least)
-        none = np.zeros(0, np.int64)
-        self.first, self.count, self.row, self.key = none, none, none, np.zeros(0, np.uint64)
-        if n < least:
-            return
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS.upto(n)[:n], out=sums[1:])
-        low = mix((sums[gram:] - sums[:-gram]) * _INVERSE.upto(n)[: n - gram + 1])
+        term = data.astype(np.uint64)
+        term += np.uint64(1)
+        term *= _POWERS.upto(n)[:n]
+        np.cumsum(term, out=sums[1:])
+        inverse = _INVERSE.upto(n)
+        low = sums[gram:] - sums[:-gram]
+        low *= inverse[: n - gram + 1]
+        low = mix(low)
         width, span = least - gram + 1, 1
         while 2 * span <= width:
             low = np.minimum(low[:-span], low[span:])
@@ -197,8 +208,9 @@ class Block:
             first, stop, row = (np.repeat(x, parts) for x in (first, stop, row))
             first = first + k * SEGMENT
             stop = np.minimum(stop, first + SEGMENT)
-        self.first, self.count, self.row = first, stop - first, row
-        self.key = mix(low[first] ^ np.uint64(0xA0761D6478BD642F))
+        key = mix(low[first] ^ np.uint64(0xA0761D6478BD642F))
+        content = mix((sums[stop + least - 1] - sums[first]) * inverse[first] ^ ((stop - first).astype(np.uint64) << np.uint64(56)))
+        return first + begin, stop - first, row + a, key, content
 
     def anchors(self, buckets: int):
         """Different anchors in order of bucket and suffix: bucket, suffix, whether two documents here have it; and where each run's is."""
@@ -272,13 +284,13 @@ def _blocks(docs: DataFrame, text_at: int) -> DataFrame:
             yield block()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(docs.mapInArrow(work, "block long, body binary").repartition(n, "block"))
+    return cut_dealt(docs.mapInArrow(work, "block long, body binary").repartition(n, "block"))
 
 
 def _told(blocks: DataFrame, told: DataFrame) -> DataFrame:
     """Blocks with what the buckets say to them; the blocks stay where they are."""
     gathered = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "body")).alias("told"))
-    return blocks.join(gathered, "block", "left")
+    return blocks.join(gathered.hint("shuffle_hash"), "block", "left")
 
 
 def _said(row) -> dict[int, bytes]:
@@ -297,8 +309,7 @@ def _hits(bucket: np.ndarray, said: dict[int, bytes], buckets: int) -> np.ndarra
 
 def _segments(block: Block, hit_runs: np.ndarray, bucket_of_run: np.ndarray):
     """Different segments in order of bucket: runs that stand for them, their smallest document, and where each hit run's is."""
-    first, count = block.first[hit_runs], block.count[hit_runs]
-    content = span_hashes(block.data, first, first + count + block.least - 1)
+    content = block.content[hit_runs]
     order = np.lexsort((content, block.key[hit_runs], bucket_of_run))
     new = np.r_[True, (content[order][1:] != content[order][:-1]) | (block.key[hit_runs[order]][1:] != block.key[hit_runs[order]][:-1])] if len(order) else np.zeros(0, bool)
     at = np.flatnonzero(new)
@@ -513,7 +524,7 @@ def _run(docs: DataFrame, id_at: int, text_at: int, least: int, finish, schema)
     segments = hits.mapInArrow(_send_segments(*own), _ROW).repartitionById(buckets, "bucket")
     judged = cut(segments.mapInArrow(_judge_segments(least), _ROW))
     final = judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "body")).alias("judged"))
-    return hits.join(final, "block", "left").mapInArrow(_cut_blocks(*own, finish), schema)
+    return hits.join(final.hint("shuffle_hash"), "block", "left").mapInArrow(_cut_blocks(*own, finish), schema)
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
