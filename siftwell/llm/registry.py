@@ -7,14 +7,18 @@ from siftwell.llm.html_text import op10_html_text
 from siftwell.llm.language_id import op7_language_id
 from siftwell.llm.packing import op9_packing
 from siftwell.llm.pfor import op6_token_files
+from siftwell.llm.sharding import op5_sharding
 from siftwell.llm.simhash import op8_simhash
 from siftwell.llm.suffix_dedup import op4_suffix_dedup
+from siftwell.llm.warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": op1_warc,
         "op3_decontaminate": op3_decontaminate,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_sharding": op5_sharding,
         "op6_token_files": op6_token_files,
         "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
@@ -24,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}
