@@ -5,6 +5,7 @@ from __future__ import annotations
 from siftwell.llm.decontaminate import op3_decontaminate
 from siftwell.llm.html_text import op10_html_text
 from siftwell.llm.language_id import op7_language_id
+from siftwell.llm.near_vectors import op2_near_vectors
 from siftwell.llm.packing import op9_packing
 from siftwell.llm.pfor import op6_token_files
 from siftwell.llm.sharding import op5_sharding
@@ -16,6 +17,7 @@ from siftwell.llm.warc import OP1_SQL, op1_warc
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
+        "op2_near_vectors": op2_near_vectors,
         "op3_decontaminate": op3_decontaminate,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_sharding": op5_sharding,
