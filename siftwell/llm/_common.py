@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +19,9 @@ from pyspark.sql import functions as F
 STEP_BYTES = 2_000_000
 
 
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and os.path.exists("/proc/self/maps") else None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where it is unset (tests), one of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
@@ -67,6 +73,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers are kept from stage to stage, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def raw_text(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,19 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import _INVERSE, _POWERS, cut, cut_dealt, mix, pick, raw_text, span_hashes, steps, table
+from siftwell.llm._common import _INVERSE, _POWERS, cut, cut_dealt, give_back, mix, pick, raw_text, span_hashes, steps, table
 
 LEAST = 50
 #: Bytes of a gram whose hash can be an anchor.
 GRAM = 16
 #: Text bytes of a block (one document at least).
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 #: Text bytes of a block that are hashed at a time (one document at least).
 SLICE_BYTES = 1_000_000
 #: Windows of a segment; longer runs are several segments.
 SEGMENT = 64
 #: Suffixes sorted at a time, about; a sort ends between two anchors.
-SORTED = 500_000
+SORTED = 300_000
 _SUFFIX = np.uint64((1 << 47) - 1)
 _LAST_ID = np.iinfo(np.int64).max
 
@@ -132,8 +132,8 @@ def common_prefixes(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndar
     """Bytes, up to ``depth``, that each suffix shares with the one before it in the given order (the first: 0)."""
     out = np.zeros(len(starts), np.int64)
     rows = np.lib.stride_tricks.as_strided(text, (len(text) - depth + 1, depth), (1, 1))
-    for k in range(1, len(starts), 200_000):
-        to = min(len(starts), k + 200_000)
+    for k in range(1, len(starts), 100_000):
+        to = min(len(starts), k + 100_000)
         part = rows[starts[k - 1 : to]]
         differ = part[1:] != part[:-1]
         out[k:to] = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
@@ -282,6 +282,8 @@ def _blocks(docs: DataFrame, text_at: int) -> DataFrame:
                 first = last
         if held:
             yield block()
+        del held
+        give_back()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut_dealt(docs.mapInArrow(work, "block long, body binary").repartition(n, "block"))
@@ -356,6 +358,8 @@ def _send_anchors(id_at: int, text_at: int, least: int, buckets: int):
                 full = np.flatnonzero(np.diff(edge)).tolist()
                 if full:
                     yield _rows(full, [number] * len(full), [_six(value[edge[k] : edge[k + 1]]) for k in full])
+                del block
+                give_back()
 
     return work
 
@@ -397,6 +401,8 @@ def _send_segments(id_at: int, text_at: int, least: int, buckets: int):
                     head = np.array([edge[k + 1] - edge[k]], "<u8").tobytes()
                     bodies.append(_squeeze(b"".join([head, block.key[runs[part]].astype("<u8").tobytes(), owner[part].astype("<i8").tobytes(), size[part].astype("<u2").tobytes(), text.tobytes()])))
                 yield _rows(full, [number] * len(full), bodies)
+                del block, bodies
+                give_back()
 
     return work
 
@@ -418,6 +424,8 @@ def _judge_segments(least: int):
             told = [(b, gone[x:y]) for b, x, y in zip(blocks, edge, edge[1:]) if gone[x:y].any()]
             if told:
                 yield _rows([bucket] * len(told), [b for b, _ in told], [_squeeze(x.astype("<u8").tobytes()) for _, x in told])
+            del counts, keys, owners, sizes, texts, key, owner, size, text, gone, told
+            give_back()
 
     return work
 
@@ -444,12 +452,10 @@ def _gone(key, owner, size, text, least) -> np.ndarray:
         low[edge[a] : edge[b]] = least_owners(_gather(text, at[part], size[part]), size[part], owner[part], least)
         a = b
     # windows of equal segments are the same; only the owner differs
-    lows = np.full((len(rep), SEGMENT), _LAST_ID, np.int64)
-    k = np.arange(len(low)) - np.repeat(edge[:-1], windows)
-    lows[np.repeat(np.arange(len(rep)), windows), k] = low
     bits = np.zeros(len(key), np.uint64)
-    for j in range(SEGMENT):
-        bits |= (lows[of, j] < owner).astype(np.uint64) << np.uint64(j)
+    for j in range(int(windows.max())):
+        here = np.flatnonzero(windows[of] > j)
+        bits[here] |= (low[edge[of[here]] + j] < owner[here]).astype(np.uint64) << np.uint64(j)
     return bits
 
 
@@ -479,6 +485,8 @@ def _cut_blocks(id_at: int, text_at: int, least: int, buckets: int, finish):
                     goes[starts] += 1
                     np.subtract.at(goes, starts + least, 1)
                 yield from finish(rows, block, np.cumsum(goes[:-1]) > 0)
+                del rows, block, goes
+                give_back()
 
     return work
 
