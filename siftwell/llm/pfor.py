@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import cut, new_path, pick, table, text_steps
+from siftwell.llm._common import cut, give_back, new_path, pick, table, text_steps
 from siftwell.llm._files import write_file
 from siftwell.llm._tokens import encoder
 
@@ -33,7 +33,7 @@ MAGIC = b"PFR1"
 BLOCK = 1024
 PERCENTILE = 0.9
 #: Ids in a file, about; a partition with more goes on in a further file.
-FILE_IDS = 8_000_000
+FILE_IDS = 4_000_000
 #: Manifest rows (a name and a number each) that are broadcast at most.
 BROADCAST_FILES = 100_000
 _HEAD = struct.Struct("<IBH")
@@ -208,8 +208,11 @@ def write_token_files(
                 if writer.n >= file_ids:
                     yield closed()
                     part, writer = part + 1, PforWriter()
+                    give_back()
         if writer.docs:
             yield closed()
+        del writer
+        give_back()
 
     written = cut(ranged.mapInArrow(work, "file string, part long, n_docs long, n_ids long"))
     base, files = 0, []
@@ -241,6 +244,8 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame, with_i
                         rows = []
                 if rows:
                     yield _batch(rows, with_ids)
+                del rows
+                give_back()
 
     return files.select("base", "content").mapInArrow(work, shape)
 
