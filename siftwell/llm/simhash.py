@@ -213,3 +213,16 @@ def near_duplicates(
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, budget: int = 4,
+) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each group of :func:`near_duplicates`.
+
+    Rows that repeat an id are one document and stay or go together; rows
+    without an id cannot be told apart and go.  All columns stay as they are.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, seed, budget)
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
+    return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
