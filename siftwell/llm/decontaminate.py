@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import LOWER, byte_class, mix, pick, span_hashes, table, text_steps, word_spans
+from siftwell.llm._common import LOWER, byte_class, give_back, mix, pick, span_hashes, table, text_steps, word_spans
 
 #: Word bytes after lower-casing: digits, a to z and every byte of a character beyond ASCII.
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -127,6 +127,7 @@ def _scan(docs: DataFrame, windows) -> DataFrame:
                     ],
                     ["id", "n_words", "n_hit", "items", "spans"],
                 )
+            give_back()
 
     return docs.mapInArrow(work, _FOUND)
 
@@ -234,6 +235,7 @@ def _filter(shared, action: str, at: int):
                     columns = part.columns
                     columns[at] = pa.array(texts, part.schema.field(at).type)
                     yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+            give_back()
 
     return work
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import byte_class, pick, raw_text, span_hashes, steps, table, word_spans
+from siftwell.llm._common import byte_class, give_back, pick, raw_text, span_hashes, steps, table, word_spans
 from siftwell.llm._tokens import WordTable
 
 #: Labelled rows of each language that are learned from, about; they are chosen by a hash of the id.
@@ -103,15 +103,17 @@ class Lattice:
         f, scale = np.zeros((n, width, p.shape[1])), np.zeros((n, width, p.shape[1]))
         f[:, 0] = 1
         padded = np.vstack([p, np.zeros(p.shape[1])])  # piece -1
+        scaled = width > 33  # shorter words cannot underflow
         for i in range(1, width):
-            total = 0
+            total = np.zeros((n, p.shape[1]))
             for size in range(1, min(longest, i) + 1):
                 which = numbers[:, i, size - 1]
                 if (which >= 0).any():
-                    total = total + f[:, i - size] * padded[which] * np.exp(scale[:, i - size] - scale[:, i - 1]) if i > 32 else total + f[:, i - size] * padded[which]
+                    step = f[:, i - size] * padded[which]
+                    total = total + (step * np.exp(scale[:, i - size] - scale[:, i - 1]) if scaled else step)
             f[:, i] = total
             scale[:, i] = scale[:, i - 1]
-            if width > 33:
+            if scaled:
                 big = np.where(f[:, i] > 0, f[:, i], 1)
                 scale[:, i] = scale[:, i - 1] + np.log(big)
                 f[:, i] = f[:, i] / big
@@ -286,6 +288,7 @@ def _predict(model, text_at: int, keep):
             _, offsets = raw_text(batch.column(text_at))
             for a, b in steps(offsets):
                 yield keep(batch.slice(a, b - a), *own.predict(batch.column(text_at), a, b))
+            give_back()
 
     return work
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import cut, pick, table, text_steps
+from siftwell.llm._common import cut, give_back, pick, table, text_steps
 from siftwell.llm._tokens import encoder
 
 WINDOW = 4096
@@ -82,6 +82,7 @@ def pack(
                         if with_ids:
                             texts.append(ids[s:e])
                 yield _pieces(out, texts, with_ids)
+            give_back()
         if bins.free:  # which windows are left, as rows without a piece
             left = [(None, 0, window - room, 0, 0, place, 0, True) for room, place in bins.free]
             yield _pieces(left, [np.zeros(0, np.uint32)] * len(left), with_ids)

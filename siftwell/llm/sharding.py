@@ -105,57 +105,58 @@ def plan_transfers(blocks: dict[tuple[int, int], int], shards: int) -> Plan:
     return Plan(parts, sum(b - a for old, _, a, b, new in parts if old != new))
 
 
-_PARTS = T.StructType([T.StructField(n, T.LongType()) for n in ("old", "block", "first", "last", "new", "base")])
+_PARTS = T.StructType([T.StructField(n, T.LongType()) for n in ("_old", "_block", "_first", "_last", "_new", "_base")])
 
 
 def _placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows with their new shard and their place in it.
+    """Rows with their part of the plan and their number ``_n`` in their block.
 
     Rows of a block are in order of size, the largest first; a row goes to the
     part in which its middle byte lies.  A block is bounded, so is its window.
     """
-    order = Window.partitionBy("old", "block").orderBy(F.desc("size"), "id")
-    middle = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.expr("size div 2") - 1
-    rows = rows.withColumn("middle", middle).withColumn("n", F.row_number().over(order))
-    own = parts.select(F.col("old").alias("o"), F.col("block").alias("b"), "first", "last", "new", "base")
-    return rows.join(F.broadcast(own), (F.col("old") == F.col("o")) & (F.col("block") == F.col("b")) & (F.col("middle") >= F.col("first")) & (F.col("middle") < F.col("last")))
+    order = Window.partitionBy("_old", "_block").orderBy(F.desc("_size"), "_id")
+    middle = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.expr("_size div 2") - 1
+    rows = rows.withColumn("_middle", middle).withColumn("_n", F.row_number().over(order))
+    own = parts.withColumnsRenamed({"_old": "_of_old", "_block": "_of_block"})
+    here = (F.col("_old") == F.col("_of_old")) & (F.col("_block") == F.col("_of_block"))
+    return rows.join(F.broadcast(own), here & (F.col("_middle") >= F.col("_first")) & (F.col("_middle") < F.col("_last")))
 
 
 def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", old_col: str = "old_shard") -> tuple[DataFrame, Plan]:
     """``docs`` with ``size``, ``shard`` and ``slot``, and the plan by which blocks move.
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 1.  The new
-    shards' sizes differ by some row's size at most.  Slots count each shard's rows from
-    0 without gaps.  What the driver and the broadcast hold is at most about
-    BLOCKS block sizes; rows never leave the executors.  A null id is a key
-    like any other, a null old shard counts as -1; repeated rows are placed
-    each; an empty table gives an empty result; clashing columns are replaced.
+    shards' sizes differ by the sizes of a few rows at most.  Slots count each
+    shard's rows from 0 without gaps.  What the driver and the broadcast hold is
+    at most about BLOCKS block sizes; rows never leave the executors.  A null id
+    is a key like any other, a null old shard counts as -1; repeated rows are
+    placed each; an empty table gives an empty result; columns of the result's
+    names are replaced, others stay.
     """
     spark = docs.sparkSession
     size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long")
-    meta = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(old_col).cast("long"), F.lit(-1)).alias("old"), size.alias("size")))
-    sizes = {r.old: r.n for r in meta.groupBy("old").agg(F.sum("size").alias("n")).collect()}  # a row for each old shard
+    keys = {"_id": F.col(id_col), "_old": F.coalesce(F.col(old_col).cast("long"), F.lit(-1)), "_size": size}
+    meta = cut(docs.select(*(c.alias(name) for name, c in keys.items())))
+    sizes = {r._old: r.n for r in meta.groupBy("_old").agg(F.sum("_size").alias("n")).collect()}  # a row for each old shard
     block = max(BLOCK_BYTES, -(-sum(sizes.values()) // BLOCKS))
     counts = F.create_map(*(F.lit(x).cast("long") for old, n in sizes.items() for x in (old, -(-n // block)))) if sizes else None
 
     def blocked(rows: DataFrame) -> DataFrame:
-        number = F.pmod(F.xxhash64("id", F.lit(11)), counts[F.col("old")]) if sizes else F.lit(0).cast("long")
-        return rows.withColumn("block", number)
+        return rows.withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(11)), counts[F.col("_old")]) if sizes else F.lit(0).cast("long"))
 
-    found = blocked(meta).groupBy("old", "block").agg(F.sum("size").alias("n")).collect()
-    plan = plan_transfers({(r.old, r.block): r.n for r in found}, shards)
+    found = blocked(meta).groupBy("_old", "_block").agg(F.sum("_size").alias("n")).collect()
+    plan = plan_transfers({(r._old, r._block): r.n for r in found}, shards)
     raw = spark.createDataFrame([(*p, 0) for p in plan.parts], _PARTS)
-    used = _placed(blocked(meta), raw).groupBy("old", "block", "first", "new").agg(F.count("*").alias("rows"), F.min("n").alias("n")).collect()
-    base: dict[int, int] = {}
+    used = _placed(blocked(meta), raw).groupBy("_old", "_block", "_first", "_new").agg(F.count("*").alias("rows"), F.min("_n").alias("n")).collect()
+    filled: dict[int, int] = {}
     bases = {}
-    for r in sorted(used, key=lambda r: (r.new, r.old, r.block, r.first)):
-        bases[r.old, r.block, r.first] = base.get(r.new, 0) - r.n
-        base[r.new] = base.get(r.new, 0) + r.rows
+    for r in sorted(used, key=lambda r: (r._new, r._old, r._block, r._first)):
+        bases[r._old, r._block, r._first] = filled.get(r._new, 0) - r.n
+        filled[r._new] = filled.get(r._new, 0) + r.rows
     parts = spark.createDataFrame([(*p, bases.get(p[:3], 0)) for p in plan.parts], _PARTS)
-    named = docs.withColumns({"id": F.col(id_col), "old": F.coalesce(F.col(old_col).cast("long"), F.lit(-1)), "size": size}) if "id" != id_col else docs.withColumns({"old": F.coalesce(F.col(old_col).cast("long"), F.lit(-1)), "size": size})
-    placed = _placed(blocked(named), parts)
-    extra = [c for c in ("id", "old", "block", "middle", "n", "o", "b", "first", "last", "new", "base") if c != id_col]
-    return placed.withColumns({"shard": F.col("new").cast("int"), "slot": F.col("base") + F.col("n")}).drop(*extra), plan
+    placed = _placed(blocked(docs.withColumns(keys)), parts)
+    result = {"size": F.col("_size"), "shard": F.col("_new").cast("int"), "slot": F.col("_base") + F.col("_n")}
+    return placed.select(*(f"`{c}`" for c in docs.columns if c not in result), *(c.alias(name) for name, c in result.items())), plan
 
 
 def reshard(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text", old_col: str = "old_shard") -> tuple[DataFrame, Plan]:

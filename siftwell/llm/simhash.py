@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import LOWER, byte_class, cut, pick, table, text_steps, word_spans
+from siftwell.llm._common import LOWER, byte_class, cut, give_back, pick, table, text_steps, word_spans
 from siftwell.llm._components import components, forest_batch
 
 SPACES = byte_class((0x09, 0x0D), (0x20, 0x20))
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for a, b, data, offsets in text_steps(batch.column(1)):
                 fp = step_fingerprints(data, offsets, words, seed)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(fp.view(np.int64))], ["id", "fp"])
+            give_back()
 
     return rows.mapInArrow(work, "id long, fp long")
 
