@@ -1 +1 @@
-
+"""Retrieval plans, evaluation runs and their records."""
