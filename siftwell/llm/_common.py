@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at a time; a longer text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and os.path.exists("/proc/self/maps") else None

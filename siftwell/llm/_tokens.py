@@ -17,7 +17,7 @@ import numpy as np
 from siftwell.llm._common import LOWER, span_hashes
 
 #: Entries of the word cache in each Python worker; a full cache starts again from nothing.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 _SEPARATOR = "\x01"
 
 _SPACE, _LETTER, _DIGIT, _APOSTROPHE, _OTHER, _BEYOND = range(6)

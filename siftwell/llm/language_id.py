@@ -29,7 +29,7 @@ ROUNDS = 3
 #: Bytes of the longest piece that is used; a word begins with a blank, as pieces do.
 PIECE_BYTES = 16
 #: Words whose likelihoods a Python worker keeps; a full cache starts again from nothing.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 UNKNOWN = "und"
 
 _LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -79,7 +79,7 @@ class Lattice:
         padded = np.where(sizes[order] <= 32, sizes[order], -(-sizes[order] // 32) * 32)
         edge = np.r_[np.flatnonzero(np.r_[True, padded[1:] != padded[:-1]]), len(order)] if len(order) else np.zeros(1, int)
         for a, b in zip(edge, edge[1:]):
-            most = max(1, 400_000 // int(padded[a]))
+            most = max(1, 200_000 // int(padded[a]))
             for k in range(a, b, most):
                 yield order[k : min(b, k + most)], int(padded[a])
 
