@@ -467,8 +467,8 @@ def strip_per_query(spark, d):
 
 
 @register("union_of_hops", """
-WITH f AS (SELECT user_id AS query_id, event_type AS chunk_id, min({'h': event_id % 3, 'r': event_id}) AS at FROM events GROUP BY ALL)
-SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY at.h, at.r, chunk_id) AS INTEGER) AS rank FROM f
+WITH f AS (SELECT user_id AS query_id, event_type AS chunk_id, min({'h': event_id % 3, 'r': event_id}) AS m FROM events GROUP BY ALL)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY m.h, m.r, chunk_id) AS INTEGER) AS rank FROM f
 """)
 def union_of_hops(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("query_id"), (F.col("event_id") % 3).alias("hop"), F.col("event_id").alias("rank"), F.col("event_type").alias("chunk_id"))
@@ -657,7 +657,9 @@ def spend_cap_prefix(spark, d):
 
 
 def _epoch(spark, d):
-    return table(spark, d, "events").select("event_id", "user_id", F.unix_micros("ts").alias("us")).select("event_id", "user_id", F.floor(F.col("us") / 1_000_000).alias("s"))
+    """Whole seconds, whatever the session's time zone."""
+    seconds = F.unix_date(F.to_date("ts")).cast("long") * 86_400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    return table(spark, d, "events").select("event_id", "user_id", seconds.alias("s"))
 
 
 EPOCH_SQL = "e AS (SELECT event_id, user_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM events)"
@@ -682,7 +684,7 @@ def rate_limit_day(spark, d):
 
 @register("budget_day", f"WITH {EPOCH_SQL} SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d') AS day, count(*) AS n, round(count(*) * 0.02, 6) AS usd, round(count(*) * 0.02, 6) >= 2.0 AS spent FROM e GROUP BY day")
 def budget_day(spark, d):
-    day = F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd")
+    day = ledger.utc_day(F.col("s"))
     usd = F.round(F.count("*") * 0.02, 6)
     return _epoch(spark, d).groupBy(day.alias("day")).agg(F.count("*").alias("n"), usd.alias("usd"), (usd >= ledger.BUDGET).alias("spent"))
 

@@ -125,8 +125,10 @@ def pagerank(adj: DataFrame, all_nodes: DataFrame, seeds: DataFrame, damping: fl
     """Personalised PageRank of every query at once: query_id, node_id, mass.
 
     x' = d * (A x / column sums + dangling mass * p) + (1 - d) * p, with p the
-    query's seeds at sum 1 (uniform over all nodes if they have no mass).  Rows
-    hold only nodes with mass; lineage is cut every few rounds.
+    query's seeds at sum 1 (uniform over all nodes if they have no mass).  The
+    adjacency is symmetric, so only nodes without any edge dangle, and their
+    mass comes from the seeds alone: it is a number for each query and round.
+    Rows hold only nodes with mass; lineage is cut every few rounds.
     """
     total = seeds.groupBy("query_id").agg(F.sum("mass").alias("all"))
     p = seeds.join(total, "query_id").where("all > 0 and mass > 0").groupBy("query_id", "node_id").agg(F.sum(F.col("mass") / F.col("all")).alias("p"))
@@ -135,16 +137,17 @@ def pagerank(adj: DataFrame, all_nodes: DataFrame, seeds: DataFrame, damping: fl
     uniform = empty.join(all_nodes.select("node_id"), how="cross") if empty.head(1) else None  # only for queries without any seed
     if uniform is not None:
         p = p.unionByName(uniform.select("query_id", "node_id", F.lit(1.0 / max(1, n)).alias("p")))
-    p = settle(p)
     out = adj.groupBy("src").agg(F.sum("weight").alias("out"))
     step = settle(adj.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    x = p.withColumnRenamed("p", "mass")
-    linked = out.select(F.col("src").alias("linked"))
+    lone = p.join(out.select("src"), F.col("node_id") == F.col("src"), "left_anti").groupBy("query_id").agg(F.sum("p").alias("lone"))
+    p = settle(p.join(lone, "query_id", "left").select("query_id", "node_id", "p", F.coalesce("lone", F.lit(0.0)).alias("lone")))
+    x = p.select("query_id", "node_id", F.col("p").alias("mass"))
+    lost = F.col("lone")
     for k in range(rounds):
-        spread = x.join(step, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"))
-        dangling = x.join(linked, F.col("node_id") == F.col("linked"), "left_anti").groupBy("query_id").agg(F.sum("mass").alias("lost"))
-        back = p.join(dangling, "query_id", "left").select("query_id", "node_id", ((1 - damping) * F.col("p") + damping * F.coalesce("lost", F.lit(0.0)) * F.col("p")).alias("mass"))
-        x = spread.unionByName(back).groupBy("query_id", "node_id").agg(F.sum("mass").alias("mass"))
+        back = (1 - damping) + damping * lost
+        lost = back * F.col("lone")
+        spread = x.join(step, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id"), (damping * F.col("mass") * F.col("share")).alias("mass"))
+        x = spread.unionByName(p.select("query_id", "node_id", (F.col("p") * back).alias("mass"))).groupBy("query_id", "node_id").agg(F.sum("mass").alias("mass"))
         if (k + 1) % cut_every == 0:
             x = settle(x)
     return x

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 PER_MINUTE, PER_DAY, BUDGET = 5, 20, 2.0
 
 
+def utc_day(epoch: Column) -> Column:
+    """The UTC day of epoch seconds as text, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(epoch / 86_400).cast("int")).cast("string")
+
+
 def minute_counts(events: DataFrame, key: str, epoch: str, seconds: float = 60) -> DataFrame:
     """``recent``: earlier events of the key in the last ``seconds``, the lower bound excluded."""
     order = Window.partitionBy(key).orderBy(epoch)
@@ -19,8 +24,7 @@ def minute_counts(events: DataFrame, key: str, epoch: str, seconds: float = 60)
 
 def day_counts(events: DataFrame, key: str, epoch: str) -> DataFrame:
     """``today``: earlier events of the key on the same UTC day; ``day`` is that day."""
-    day = F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
-    rows = events.withColumn("day", day)
+    rows = events.withColumn("day", utc_day(F.col(epoch)))
     before = Window.partitionBy(key, "day").orderBy(epoch).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     now = F.count("*").over(Window.partitionBy(key, epoch))
     return rows.withColumn("today", F.count("*").over(before) - now)

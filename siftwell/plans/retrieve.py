@@ -31,10 +31,10 @@ class Indexes:
 
 def embed_chunks(chunks: DataFrame) -> DataFrame:
     """chunk_id with its ``isolated`` and its ``contextual`` vector (0.8 parts chunk, the rest its document)."""
-    document = chunks.groupBy("doc_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x.text)).alias("whole"))
-    rows = chunks.join(document, "doc_id")
-    own = hash_embedding(F.col("text"))
-    return rows.select("chunk_id", own.alias("isolated"), blend(own, hash_embedding(F.col("whole")), 0.8).alias("contextual"))
+    joined = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x.text))
+    document = chunks.groupBy("doc_id").agg(joined.alias("whole")).select("doc_id", hash_embedding(F.col("whole")).alias("of_document"))
+    rows = chunks.select("chunk_id", "doc_id", hash_embedding(F.col("text")).alias("isolated")).join(document, "doc_id")
+    return rows.select("chunk_id", "isolated", blend(F.col("isolated"), F.col("of_document"), 0.8).alias("contextual"))
 
 
 def check(config: PipelineConfig, indexes: Indexes) -> None:
