@@ -418,7 +418,9 @@ def _judge_segments(least: int):
                 owners.append(np.frombuffer(raw, "<i8", n, 8 + 8 * n))
                 sizes.append(np.frombuffer(raw, "<u2", n, 8 + 16 * n).astype(np.int64))
                 texts.append(np.frombuffer(raw, np.uint8, offset=8 + 18 * n))
-            key, owner, size, text = (np.concatenate(x) for x in (keys, owners, sizes, texts))
+            key, owner, size = (np.concatenate(x) for x in (keys, owners, sizes))
+            text = np.concatenate(texts)
+            texts.clear()
             gone = _gone(key, owner, size, text, least)
             edge = np.cumsum([0, *counts])
             told = [(b, gone[x:y]) for b, x, y in zip(blocks, edge, edge[1:]) if gone[x:y].any()]
@@ -432,8 +434,9 @@ def _judge_segments(least: int):
 
 def _gone(key, owner, size, text, least) -> np.ndarray:
     """A bit for each window of each segment: whether a smaller document has the same string."""
-    at = np.cumsum(size) - size
-    content = span_hashes(text, at, at + size)
+    ends = np.r_[0, np.cumsum(size)]
+    at = ends[:-1]
+    content = np.concatenate([span_hashes(text[ends[a] : ends[b]], at[a:b] - ends[a], ends[a + 1 : b + 1] - ends[a]) for a, b in steps(ends, SLICE_BYTES)])
     order = np.lexsort((owner, content, key))
     new = np.r_[True, (content[order][1:] != content[order][:-1]) | (key[order][1:] != key[order][:-1])]
     first = np.flatnonzero(new)
