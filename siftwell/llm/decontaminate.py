@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -248,4 +247,16 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     )
 
 
-NO_ITEMS = hashlib.sha256(b"").hexdigest()
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k + 1 : k + n], ' ') AS key FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(len(w) - least(10, len(w)) + 1)) AS k FROM i WHERE len(w) > 0)),
+z AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') AS key FROM (SELECT doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS k FROM d, z)),
+h AS (SELECT doc_id, item_id, n, k FROM dw JOIN iw USING (n, key)),
+p AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

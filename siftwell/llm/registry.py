@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwell.llm.decontaminate import op3_decontaminate
+from siftwell.llm.decontaminate import OP3_SQL, op3_decontaminate
 from siftwell.llm.html_text import op10_html_text
 from siftwell.llm.language_id import op7_language_id
 from siftwell.llm.near_vectors import op2_near_vectors
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL}
