@@ -95,11 +95,11 @@ def client_address(spark, d):
 WITH h AS (SELECT doc_id, sha256(text) AS s FROM documents),
 v AS (SELECT doc_id, i, ((instr('0123456789abcdef', s[2*i+1:2*i+1]) - 1) * 16 + instr('0123456789abcdef', s[2*i+2:2*i+2]) - 1) / 255.0::DOUBLE - 0.5 AS x FROM h, range(32) t(i)),
 n AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM v GROUP BY doc_id)
-SELECT doc_id, round(sum(x / size), 6) AS total, round(max(x / size), 6) AS most FROM v JOIN n USING (doc_id) GROUP BY doc_id
+SELECT doc_id, round(sum(x / size), 6) + 0.0::DOUBLE AS total, round(max(x / size), 6) AS most FROM v JOIN n USING (doc_id) GROUP BY doc_id
 """)
 def hash_embed(spark, d):
     v = table(spark, d, "documents").select("doc_id", V.hash_embedding(F.col("text")).alias("v"))
-    return v.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("v"), 6).alias("most"))
+    return v.select("doc_id", (F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("total"), F.round(F.array_max("v"), 6).alias("most"))
 
 
 # ---- chunks
@@ -682,7 +682,7 @@ def rate_limit_day(spark, d):
     return ledger.day_counts(_epoch(spark, d), "user_id", "s").select("event_id", "day", "today")
 
 
-@register("budget_day", f"WITH {EPOCH_SQL} SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d') AS day, count(*) AS n, round(count(*) * 0.02, 6) AS usd, round(count(*) * 0.02, 6) >= 2.0 AS spent FROM e GROUP BY day")
+@register("budget_day", f"WITH {EPOCH_SQL} SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d') AS day, count(*) AS n, round(CAST(count(*) AS DOUBLE) * 0.02::DOUBLE, 6) AS usd, round(CAST(count(*) AS DOUBLE) * 0.02::DOUBLE, 6) >= 2.0 AS spent FROM e GROUP BY day")
 def budget_day(spark, d):
     day = ledger.utc_day(F.col("s"))
     usd = F.round(F.count("*") * 0.02, 6)

@@ -32,15 +32,12 @@ def admitted(events: DataFrame, per_minute: int = 5, key: str = "user_id") -> Da
     """Check-then-record rate limiting with state: an event is admitted if fewer than ``per_minute`` admitted ones lie in the last 60 seconds.
 
     Events of a key that arrive together are taken in order of time; a key's
-    state holds at most ``per_minute`` times and goes after an idle day.
+    state is at most ``per_minute`` times.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def work(k, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         times = list(state.get[0]) if state.exists else []
         parts = list(batches)
         rows = pd.concat(parts).sort_values(["ts", "event_id"]) if parts else pd.DataFrame()
@@ -53,7 +50,6 @@ def admitted(events: DataFrame, per_minute: int = 5, key: str = "user_id") -> Da
                 times.append(at)
             out.append((int(event), int(k[0]), yes))
         state.update((times[-per_minute:],))
-        state.setTimeoutDuration(24 * 3600 * 1000)
         yield pd.DataFrame(out, columns=["event_id", key, "admitted"])
 
-    return events.select(key, "event_id", "ts").groupBy(key).applyInPandasWithState(work, f"event_id long, {key} long, admitted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(key, "event_id", "ts").groupBy(key).applyInPandasWithState(work, f"event_id long, {key} long, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
