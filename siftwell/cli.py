@@ -1,0 +1,105 @@
+"""Command line: ingest a corpus, run an evaluation, promote its record."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import os
+import sys
+
+from siftwell.plans import costs
+from siftwell.plans.config import PRESETS, preset
+
+#: Exit codes: done, missing input or declined, bad usage, over the spend cap.
+OK, MISSING, USAGE, OVER_CAP = 0, 1, 2, 3
+LADDER = [name for name in PRESETS if not name.startswith("graph")]
+
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="siftwell")
+    sub = top.add_subparsers(dest="command", required=True)
+    one = sub.add_parser("ingest")
+    one.add_argument("--corpus", required=True)
+    one.add_argument("--data-dir", default="data")
+    two = sub.add_parser("eval")
+    two.add_argument("--corpus", required=True)
+    two.add_argument("--slice", choices=["smoke", "full"], default="smoke")
+    two.add_argument("--presets", default=",".join(LADDER))
+    two.add_argument("--spend-cap-usd", type=float)
+    two.add_argument("--run-id", default="run")
+    two.add_argument("--data-dir", default="data")
+    two.add_argument("--yes", action="store_true")
+    three = sub.add_parser("promote")
+    three.add_argument("run")
+    three.add_argument("--to", required=True)
+    return top
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.appName("siftwell").getOrCreate()
+
+
+def _ingest(args) -> int:
+    from siftwell.plans.runner import ingest
+
+    raw = f"{args.data_dir}/{args.corpus}/raw"
+    if not os.path.exists(f"{raw}/docs.jsonl"):
+        print(f"{raw}/docs.jsonl is missing", file=sys.stderr)
+        return MISSING
+    print(json.dumps(ingest(_session(), raw, f"{args.data_dir}/{args.corpus}/index", args.corpus), indent=1))
+    return OK
+
+
+def _eval(args) -> int:
+    from siftwell.operators.prep import gold_rows
+    from siftwell.plans.runner import SpendCap, load, run
+    from siftwell.sources import files
+
+    names = args.presets.split(",")
+    unknown = [n for n in names if n not in PRESETS]
+    if unknown:
+        print(f"unknown presets: {', '.join(unknown)}", file=sys.stderr)
+        return USAGE
+    spark, home = _session(), f"{args.data_dir}/{args.corpus}"
+    chosen = files.query_slice(spark, f"{home}/raw", args.slice)
+    asked, golds = gold_rows(files.slice_queries(files.queries(spark, f"{home}/raw/queries.jsonl"), chosen))
+    usd = costs.estimate([preset(n) for n in names], asked.count())
+    print(f"estimated: {usd:.4f} dollars")
+    if not args.yes and input("go on? [y/N] ").strip().lower() != "y":
+        return MISSING
+    try:
+        doc = run(spark, asked, golds, load(spark, f"{home}/index"), names, args.run_id, f"{home}/results", args.corpus, args.spend_cap_usd)
+    except SpendCap as error:
+        print(error, file=sys.stderr)
+        return OVER_CAP
+    with open(f"{home}/{args.run_id}.json", "w") as out:
+        json.dump(doc, out, indent=1, sort_keys=True)
+    return OK
+
+
+def _promote(args) -> int:
+    from siftwell.plans.records import open_envelope
+
+    if not os.path.exists(args.run):
+        print(f"{args.run} is missing", file=sys.stderr)
+        return USAGE
+    with open(args.run) as source:
+        doc = open_envelope(source.read())
+    for receipt in doc["receipts"]:
+        for row in receipt.get("per_query", []):
+            for name in set(row) - {"query_id", "retrieved_chunk_ids", "latency_ms", "usd", "flags"}:
+                del row[name]
+    with open(args.to, "w") as out:
+        json.dump(doc, out, indent=1, sort_keys=True)
+    return OK
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
+    return {"ingest": _ingest, "eval": _eval, "promote": _promote}[args.command](args)
+
+
+if __name__ == "__main__":
+    sys.exit(main())

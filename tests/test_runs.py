@@ -1,0 +1,77 @@
+"""Ingestion, runs, resuming and the command line on a small corpus."""
+
+import json
+
+import pytest
+
+from siftwell import cli
+from siftwell.operators.prep import gold_rows
+from siftwell.plans import providers
+from siftwell.plans.runner import SpendCap, ingest, load, run, run_preset
+from siftwell.plans.config import preset
+from siftwell.sources import files
+
+
+@pytest.fixture(scope="module")
+def corpus(tmp_path_factory):
+    home = tmp_path_factory.mktemp("data") / "mini"
+    raw = home / "raw"
+    raw.mkdir(parents=True)
+    docs = [("d1", "Paris is the capital of France. It lies on the Seine."), ("d2", "Berlin is the capital of Germany."), ("d3", "The Spree flows through Berlin. It is short.")]
+    (raw / "docs.jsonl").write_text("\n".join(json.dumps({"doc_id": d, "passage_id": d, "title": d, "text": t}) for d, t in docs))
+    asked = [
+        {"query_id": "q1", "question": "capital of France", "answer": "Paris is the capital of France.", "answer_aliases": ["Paris"], "gold": {"type": "passage", "passage_ids": ["d1"]}},
+        {"query_id": "q2", "question": "which river flows through Berlin", "answer_texts": ["The Spree"], "gold": {"type": "span", "doc_id": "d3", "start_token": 0, "end_token": 5}},
+    ]
+    (raw / "queries.jsonl").write_text("\n".join(map(json.dumps, asked)))
+    (raw / "slice-smoke.json").write_text('["q1", "q2"]')
+    return home
+
+
+def test_ingest_and_run(spark, corpus, tmp_path):
+    doc = ingest(spark, str(corpus / "raw"), str(tmp_path / "index"), "mini")
+    assert (doc["n_docs"], doc["n_chunks"], doc["n_queries"]) == (3, 3, 2) and set(doc["index_hashes"]) == {"dense_contextual", "dense_isolated", "sparse"}
+    asked, golds = gold_rows(files.queries(spark, str(corpus / "raw/queries.jsonl")))
+    indexes = load(spark, str(tmp_path / "index"))
+    found = run(spark, asked, golds, indexes, ["bm25-only", "rerank", "router-on", "graph"], "r1", str(tmp_path / "results"))
+    by = {r["preset"]: r for r in found["receipts"]}
+    assert set(by) == {"bm25-only", "rerank"} and {s["preset"] for s in found["skipped"]} == {"router-on", "graph"}
+    assert by["bm25-only"]["recall_at_5"] == 1.0 and by["bm25-only"]["em"] == 0.5 and by["bm25-only"]["n_total"] == 2
+    again = run(spark, asked, golds, indexes, ["bm25-only", "rerank"], "r1", str(tmp_path / "results"))
+    assert {r["n_total"] for r in again["receipts"]} == {2}
+    with pytest.raises(SpendCap):
+        run_preset(asked, golds, indexes, preset("bm25-only"), "r2", spend_cap=0.01)
+    assert run_preset(asked, golds, indexes, preset("bm25-only"), "r2", spend_cap=0.0144).count() == 1
+
+
+def test_command_line(corpus, tmp_path):
+    assert cli.main(["ingest", "--corpus", "none", "--data-dir", str(tmp_path)]) == cli.MISSING
+    assert cli.main(["eval", "--corpus", "mini", "--presets", "nothing"]) == cli.USAGE
+    assert cli.main(["promote", str(tmp_path / "none.json"), "--to", str(tmp_path / "x.json")]) == cli.USAGE
+    (tmp_path / "r.json").write_text(json.dumps({"schema_version": 1, "receipts": [{"per_query": [{"query_id": "q", "answer": "a", "route": "s1", "usd": 1}]}]}))
+    assert cli.main(["promote", str(tmp_path / "r.json"), "--to", str(tmp_path / "x.json")]) == cli.OK
+    assert json.loads((tmp_path / "x.json").read_text())["receipts"][0]["per_query"] == [{"query_id": "q", "usd": 1}]
+
+
+def test_providers(spark):
+    waits, left = [], [3]
+
+    def call():
+        left[0] -= 1
+        if left[0]:
+            raise providers.ProviderError("busy", 429, 7.0 if left[0] == 1 else None)
+        return "done"
+
+    assert providers.with_retry(call, sleep=waits.append) == "done" and waits == [1.0, 7.0]
+    with pytest.raises(providers.Exhausted):
+        providers.with_retry(lambda: (_ for _ in ()).throw(providers.ProviderError("x", 503)), attempts=2, sleep=lambda s: None)
+    assert list(providers.batches([[50], [60], [30]], most_tokens=100)) == [(0, 1), (1, 3)]
+    with pytest.raises(ValueError):
+        list(providers.batches([[101]], most_tokens=100))
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "query_id string, text string")
+
+    def fails(texts):
+        raise providers.ProviderError("no", 400)
+
+    assert {x.error for x in providers.apply_provider(rows, fails, "text").collect()} == {"ProviderError: no"}
+    assert {x.value for x in providers.apply_provider(rows, lambda ts: [t.upper() for t in ts], "text").collect()} == {"X", "Y"}
