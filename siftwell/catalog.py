@@ -776,3 +776,85 @@ def agent_loop(spark, d):
 
     states, _ = agent.Loop(decompose, retrieve_hop, judge).run(asked)
     return states.select("query_id", "next", "hops_used", "tokens_used", "exhausted", F.array_join("unresolved", "|").alias("unresolved"))
+
+
+@register("seeded_selection", """
+SELECT doc_id, CAST(row_number() OVER (ORDER BY k, doc_id) - 1 AS INTEGER) AS ord FROM (SELECT doc_id, md5('13:' || CAST(doc_id AS VARCHAR)) AS k FROM documents ORDER BY k, doc_id LIMIT 50)
+""")
+def seeded_selection(spark, d):
+    """A sampling operator: fifty documents."""
+    return prep.seeded_selection(table(spark, d, "documents").select("doc_id"), "doc_id", 50)
+
+
+@register("gold_span_stats", f"""
+WITH {SPAN_CTE} SELECT count(*) AS spans, CAST(min(e - s) AS INTEGER) AS least, CAST(quantile_disc(e - s, 0.5) AS INTEGER) AS median, CAST(max(e - s) AS INTEGER) AS most FROM g
+""")
+def gold_span_stats(spark, d):
+    docs = table(spark, d, "documents").withColumn("n", F.size(X.tokens(F.col("text")))).where("n > 0")
+    golds = docs.select(F.lit("span").alias("gold_type"), F.expr("cast(n div 3 as int)").alias("gold_start"), F.expr("cast(n div 3 + 1 + n div 4 as int)").alias("gold_end"))
+    return prep.span_statistics(golds)
+
+
+@register("annotated_pages")
+def annotated_pages(spark, d):
+    """Pages of blank-separated tokens, tags as markup, three made-up annotators: two agree on most."""
+    token = F.transform(F.split("html", " "), lambda t: F.struct(t.alias("token"), t.startswith("<").alias("is_html")))
+    k = F.col("page_id").cast("int")
+    one = lambda s, i: F.struct((k % 5 + s).alias("start_token"), (k % 5 + s + 8).alias("end_token"), F.lit(i).alias("candidate_index"), F.array(F.lit("a")).alias("short_answers"))
+    examples = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("example_id"), F.col("url").alias("title"), F.lit("q").alias("question"), token.alias("tokens"), F.array(one(1, 0), one(1, 0), one(3, F.lit(0))).alias("annotations"))
+    return prep.annotated_pages(examples)[0].select("query_id", "doc_id", "gold_start", "gold_end")
+
+
+@register("hop_context", """
+WITH f AS (SELECT conv_id AS query_id, role AS chunk_id, min({'h': turn % 2, 'r': turn, 'q': 'part ' || CAST(turn % 2 AS VARCHAR)}) AS m FROM conversations GROUP BY ALL),
+n AS (SELECT query_id, chunk_id, m.q AS q, row_number() OVER (PARTITION BY query_id ORDER BY m.h, m.r, chunk_id) AS n FROM f)
+SELECT query_id, string_agg('[' || CAST(n AS VARCHAR) || '] (' || q || ') text of ' || chunk_id, chr(10) || chr(10) ORDER BY n) AS context FROM n GROUP BY query_id
+""")
+def hop_context(spark, d):
+    turns = table(spark, d, "conversations")
+    rows = turns.select(F.col("conv_id").alias("query_id"), (F.col("turn") % 2).alias("hop"), F.col("turn").alias("rank"), F.col("role").alias("chunk_id"), F.concat(F.lit("part "), (F.col("turn") % 2).cast("string")).alias("subquery"))
+    texts = turns.select(F.col("role").alias("chunk_id")).distinct().withColumn("text", F.concat(F.lit("text of "), F.col("chunk_id")))
+    return evaluate.hop_context(rows, texts)
+
+
+@register("judged_means", f"""
+WITH {RESULTS_SQL} SELECT run_id, preset, round(avg(em) FILTER (WHERE status = 'ok'), 9) AS faithfulness, round(avg(f1) FILTER (WHERE status = 'ok'), 9) AS relevancy, true AS judge_spend_untracked FROM r GROUP BY run_id, preset
+""")
+def judged_means(spark, d):
+    judged = _results(spark, d).select("run_id", "preset", "status", F.col("em").alias("faithfulness"), F.col("f1").alias("relevancy"))
+    found = evaluate.judged_means(judged)
+    return found.withColumns({"faithfulness": F.round("faithfulness", 9), "relevancy": F.round("relevancy", 9)})
+
+
+def _streamed(spark, frame, mode: str) -> DataFrame:
+    """What a stream over all present files says at its end, kept in the checkpoint folder."""
+    import uuid
+
+    graph.settle(spark.range(1))  # an own folder only where none is set
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    place = f"{place}/siftwell/stream-{uuid.uuid4().hex}"
+
+    def keep(batch, number):
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/rows")
+
+    frame.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/rows")
+
+
+def _event_stream(spark, d):
+    rows = table(spark, d, "events")
+    return spark.readStream.schema(rows.schema).parquet(f"{d}/events*.parquet")
+
+
+@register("stream_last_status", """
+WITH l AS (SELECT user_id, max({'t': ts, 'i': event_id, 's': event_type}) AS m FROM events GROUP BY user_id) SELECT user_id, m.s AS status FROM l
+""")
+def stream_last_status(spark, d):
+    from siftwell.streaming import logs
+
+    return _streamed(spark, logs.last_status(_event_stream(spark, d)), "complete").select("user_id", "status")
+
+
+@register("stream_append_log", "SELECT event_id, event_type FROM events")
+def stream_append_log(spark, d):
+    return _streamed(spark, _event_stream(spark, d), "append").select("event_id", "event_type")

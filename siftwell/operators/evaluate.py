@@ -94,3 +94,22 @@ def resolve_citations(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Citation n of an answer is its n-th retrieved chunk; numbers out of range fall away."""
     cited = answers.select("query_id", F.posexplode("citations").alias("ord", "rank"))
     return cited.join(retrieved.select("query_id", "rank", "chunk_id"), ["query_id", "rank"])
+
+
+def hop_context(hop_rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Numbered context over all hops: each chunk once, at its first place, tagged with that hop's sub-query.
+
+    ``hop_rows``: query_id, hop, rank, chunk_id, subquery.
+    """
+    first = hop_rows.groupBy("query_id", "chunk_id").agg(F.min(F.struct("hop", "rank", "subquery")).alias("at"))
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("at.hop", "at.rank", "chunk_id"))
+    lines = first.withColumn("n", number).join(texts.select("chunk_id", "text"), "chunk_id")
+    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] ("), F.col("at.subquery"), F.lit(") "), F.col("text"))
+    return lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x.line), "\n\n").alias("context"))
+
+
+def judged_means(judged: DataFrame) -> DataFrame:
+    """Means of the judge's scores over ok rows; null without any.  The judge's own spend is not tracked, which is told."""
+    ok = F.col("status") == "ok"
+    mean = lambda c: F.avg(F.when(ok, F.col(c))).alias(c)
+    return judged.groupBy("run_id", "preset").agg(mean("faithfulness"), mean("relevancy"), F.lit(True).alias("judge_spend_untracked"))

@@ -78,3 +78,50 @@ def first_documents(rows: DataFrame, id_col: str = "doc_id", ord_col: str = "ord
     """One row for each id, that which came first."""
     others = [c for c in rows.columns if c != id_col]
     return rows.groupBy(id_col).agg(F.min_by(F.struct(*others), ord_col).alias("r")).select(id_col, "r.*")
+
+
+def annotated_pages(examples: DataFrame, longest: int = LONGEST_GOLD) -> tuple[DataFrame, DataFrame]:
+    """Long-answer examples as (records, reasons of those left out with their numbers).
+
+    ``examples``: example_id, title, question, tokens array<struct<token, is_html>>,
+    annotations array<struct<start_token, end_token, candidate_index, short_answers array<string>>>.
+    Kept are examples on whose long answer at least two annotators agree, whose
+    span has visible tokens, at most ``longest`` of them.
+    """
+    votes = examples.select("example_id", F.explode("annotations").alias("a")).where("a.candidate_index <> -1").select("example_id", "a.start_token", "a.end_token")
+    best = majority_spans(votes).select(F.col("example_id").alias("doc_id"), F.col("start_token").alias("first"), F.col("end_token").alias("last"))
+    tokens = examples.select(F.col("example_id").alias("doc_id"), F.posexplode("tokens").alias("pos", "t")).select("doc_id", "pos", "t.token", "t.is_html")
+    seen = remap_spans(best, visible_spans(tokens))
+    words = F.flatten(F.transform(F.filter("tokens", lambda t: ~t.is_html), lambda t: F.filter(F.split(t.token, r"\s+"), lambda w: w != "")))
+    answers = F.array_sort(F.array_distinct(F.flatten(F.transform("annotations", lambda a: a.short_answers))))
+    joined = examples.join(best.withColumnRenamed("doc_id", "example_id"), "example_id", "left").join(seen.select(F.col("doc_id").alias("example_id"), F.col("start_token").alias("gold_start"), F.col("end_token").alias("gold_end")), "example_id", "left")
+    reason = F.when(F.col("first").isNull(), "no majority").when(F.col("gold_start").isNull(), "nothing visible").when(F.col("gold_end") - F.col("gold_start") > longest, "too long")
+    marked = joined.withColumn("reason", reason).withColumn("text", F.array_join(words, " "))
+    kept = marked.where("reason is null").select(
+        F.col("example_id").alias("query_id"), "question", answers.alias("gold_answers"), content_id("nq-", F.col("text")).alias("doc_id"), "title", "text",
+        F.col("gold_start").cast("int").alias("gold_start"), F.col("gold_end").cast("int").alias("gold_end"),
+    )
+    return kept, marked.where("reason is not null").groupBy("reason").count()
+
+
+def span_statistics(golds: DataFrame) -> DataFrame:
+    """Smallest, median (of the lower middle) and largest length of span golds."""
+    length = F.col("gold_end") - F.col("gold_start")
+    rows = golds.where("gold_type = 'span'").select(length.alias("n"))
+    return rows.agg(F.count("*").alias("spans"), F.min("n").alias("least"), F.expr("cast(percentile_disc(0.5) within group (order by n) as int)").alias("median"), F.max("n").alias("most"))
+
+
+def seeded_order(id_col: str, seed: int) -> Column:
+    """A repeatable shuffle: order by this, then by the id."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
+
+
+def seeded_selection(rows: DataFrame, id_col: str, n: int, seed: int = 13) -> DataFrame:
+    """The first ``n`` rows of the seeded order with their place ``ord``; a smoke slice is the head of it."""
+    chosen = rows.withColumn("__key", seeded_order(id_col, seed)).orderBy("__key", id_col).limit(n)
+    return chosen.withColumn("ord", F.row_number().over(Window.orderBy("__key", id_col)) - 1).drop("__key")  # n rows
+
+
+def distractors(documents: DataFrame, golds: DataFrame, n: int, seed: int = 13) -> DataFrame:
+    """``n`` documents of each query's corpus that are not gold, in the seeded order."""
+    return seeded_selection(documents.join(golds.select("doc_id").distinct(), "doc_id", "left_anti"), "doc_id", n, seed)
