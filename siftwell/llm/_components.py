@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from siftwell.llm._common import cut
 
+#: Parts of the links of a node in the join of a star step: a node may have a third of all links.
+SALTS = 16
+
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of some links, ascending, and the smallest node that each is connected with."""
@@ -48,8 +51,11 @@ def _forest(batches):
 
 
 def _star(links: DataFrame, by: str) -> DataFrame:
+    """Links with the smallest end of their node's links; a node's links are dealt out in SALTS parts."""
     low = links.groupBy(by).agg(F.min("other").alias("low"))
-    return links.join(low.withColumnRenamed(by, "of"), F.col(by) == F.col("of"))
+    low = low.select(F.col(by).alias("of"), "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)).cast("int"))
+    return salted.join(low, (F.col(by) == F.col("of")) & (F.col("salt") == F.col("part")))
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
