@@ -1,7 +1,8 @@
 """Embedding near-duplicates by sorted projection passes.
 
 In every pass vectors are ordered by the signs of 64 random projections, joined
-to one number; each is compared with the next few in that order.  Vectors that
+to one number; each is compared with the next few in that order,
+and with more while they go on being close.  Vectors that
 are close share long prefixes in most passes, so they come to stand near each
 other in some.  Pairs are verified by their cosine and united over all passes.
 """
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from siftwell.llm._common import cut, pick, table
 from siftwell.llm._components import components
 
-#: Neighbours after each vector that it is compared with.
+#: Neighbours after each vector that it is compared with, and how far a window grows while it keeps finding links.
 WINDOW = 48
+WIDEST = 4096
+#: Rows at each border of a partition that are compared with those of the next.
+BORDER = 256
 #: Chance to meet that a pair just at the threshold is to have, over all passes.
 RECALL = 0.999
 _TILE = 256
@@ -103,25 +107,30 @@ class _Rows:
 
 
 def _compare(rows: _Rows, window: int, least: float, first: int, last: int):
-    """Verified pairs of rows at most ``window`` apart, the first of them before ``first`` and the second from ``last`` on (-1: any)."""
+    """Verified pairs of rows some ``window`` apart, further while links go on, the first of them before ``first`` and the second from ``last`` on (-1: any)."""
     found = []
     edge = np.flatnonzero(np.r_[True, rows.group[1:] != rows.group[:-1], True])
     for g, h in zip(edge, edge[1:]):
         x = np.frombuffer(b"".join(rows.raw[g:h]), "<f8").reshape(h - g, -1)
         x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         for a in range(0, h - g, _TILE):
-            b, c = min(h - g, a + _TILE), min(h - g, a + _TILE + window)
-            i, j = np.nonzero(x[a:b] @ x[a:c].T >= least - 1e-9)
-            near = (j > i) & (j - i <= window)
-            i, j = i[near] + a + g, j[near] + a + g
-            if first >= 0:
-                across = (i < first) & (j >= last)
-                i, j = i[across], j[across]
-            if len(i):
-                u, v = (np.frombuffer(b"".join(rows.raw[k] for k in z.tolist()), "<f8").reshape(len(z), -1) for z in (i, j))
-                cosine = (u * v).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (v * v).sum(axis=1))
-                sure = (cosine >= least) & (rows.rep[i] != rows.rep[j])
-                found.append((i[sure], j[sure]))
+            b = min(h - g, a + _TILE)
+            low, high = a, min(h - g, b + window)
+            while low < high:
+                i, j = np.nonzero(x[a:b] @ x[low:high].T >= least - 1e-9)
+                i, j = i + a, j + low
+                near = j > i
+                grows = bool((j - i > window // 2).any())  # links up to its end: the window grows
+                i, j = i[near] + g, j[near] + g
+                if first >= 0:
+                    across = (i < first) & (j >= last)
+                    i, j = i[across], j[across]
+                if len(i):
+                    u, v = (np.frombuffer(b"".join(rows.raw[k] for k in z.tolist()), "<f8").reshape(len(z), -1) for z in (i, j))
+                    cosine = (u * v).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (v * v).sum(axis=1))
+                    sure = (cosine >= least) & (rows.rep[i] != rows.rep[j])
+                    found.append((i[sure], j[sure]))
+                low, high = high, min(h - g, high + _TILE, a + WIDEST) if grows else high
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
@@ -159,19 +168,19 @@ def _within(window: int, least: float):
             new = _Rows(group, rep.to_numpy(), n.to_numpy(), vec.to_pylist())
             rows = new if held is None else held + new
             if not started:
-                yield _border(rows.part(0, window), number, 1)
+                yield _border(rows.part(0, BORDER), number, 1)
                 started = True
             seen = 0 if held is None else len(held.rep)
-            for a in range(0, len(rows.rep), 4096):  # each pair once: its second row is new
-                part = rows.part(max(0, a - window), a + 4096)
-                shift = max(0, a - window)
+            for a in range(seen, len(rows.rep), WIDEST):  # each pair once: its second row is new
+                shift = max(0, a - WIDEST)
+                part = rows.part(shift, a + WIDEST)
                 i, j = _compare(part, window, least, -1, -1)
-                fresh = j + shift >= max(a, seen)
+                fresh = j + shift >= a
                 if fresh.any():
                     yield _pairs(part, i[fresh], j[fresh])
-            held = rows.part(max(0, len(rows.rep) - window), len(rows.rep))
+            held = rows.part(max(0, len(rows.rep) - WIDEST), len(rows.rep))
         if held is not None:
-            yield _border(held, number + 1, 0)
+            yield _border(held.part(max(0, len(held.rep) - BORDER), len(held.rep)), number + 1, 0)
 
     return work
 
