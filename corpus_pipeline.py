@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm._common import stash, table
 from siftwell.llm.decontaminate import decontaminate
 from siftwell.llm.language_id import fit, keep_identified
+from siftwell.llm.near_copies import drop_near_copies
 from siftwell.llm.packing import pack
-from siftwell.llm.simhash import drop_near_duplicates
 from siftwell.llm.suffix_dedup import drop_repeats
 
 
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that with the smallest id."""
+    return drop_near_copies(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -459,6 +459,43 @@ def test_simhash(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_pipeline_drops_near_copies_by_similarity(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+
+    from siftwell.llm import near_copies
+
+    r = random.Random(21)
+    texts = [t for t in texts_with_copies(20)] + ["one two  three", "One two three"]
+    for _ in range(40):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.randint(12, 400))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 40))):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    for _ in range(60):  # a chain: neighbours are alike, the ends are not
+        base[r.randrange(300)] = f"y{r.randrange(10**6)}"
+        texts.append(" ".join(base))
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\t-\r ]+", lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
+    links = {i: {j for j in range(len(texts)) if alike(sets[i], sets[j])} for i in range(len(texts))}
+    want = {i for i, c in reach(links).items() if i == c}
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert {x.doc_id for x in stage(spark, documents(spark, texts), sf_dir).collect()} == want
+    monkeypatch.setattr(near_copies, "PART", 4)
+    monkeypatch.setattr(near_copies, "STAR_BANDS", 1)
+    monkeypatch.setattr(near_copies, "STEP_PAIRS", 10)
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)
+    assert {x.doc_id for x in stage(spark, documents(spark, texts, clash=True), sf_dir).collect()} == want
+    assert stage(spark, documents(spark, []), sf_dir).count() == 0
+
+
 def test_trie_join_equals_all_pairs():
     r = np.random.default_rng(3)
     center = np.uint64(0x0123456789ABCDEF)
