@@ -53,19 +53,8 @@ class WindowSet:
             maybe[hashes >> np.uint64(64 - _FILTER_BITS)] = True
             self.sizes[size] = (maybe, hashes, {w: sorted(k) for w, k in windows.items()})
 
-    def scan(self, data: np.ndarray, offsets: np.ndarray):
-        """Per row: words, hit words, item numbers and byte spans of the runs of hit words."""
-        rows = len(offsets) - 1
-        data = LOWER[data]
-        starts, ends, of = word_spans(data, offsets, WORD)
-        n_words = np.bincount(of, minlength=rows)
-        items: list[set[int]] = [set() for _ in range(rows)]
-        spans: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
-        n_hit = np.zeros(rows, np.int64)
-        if not len(starts) or not self.sizes:
-            return n_words, n_hit, items, spans
-        hashes = span_hashes(data, starts, ends)
-        edges = np.zeros(len(starts) + 1, np.int32)
+    def mark(self, data: np.ndarray, starts, ends, of, hashes, edges: np.ndarray, items: list[set[str]]) -> None:
+        """Adds the verified windows to ``edges`` (+1 at a window's first word, -1 after its last) and their items' names to the rows' ``items``."""
         for size, (maybe, known, windows) in self.sizes.items():
             if len(starts) < size:
                 continue
@@ -76,19 +65,36 @@ class WindowSet:
             for i in at.tolist():
                 key = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + size))
                 if (which := windows.get(key)) is not None:
-                    items[of[i]].update(which)
+                    items[of[i]].update(self.names[k] for k in which)
                     edges[i] += 1
                     edges[i + size] -= 1
-        hit = np.cumsum(edges[:-1]) > 0
-        n_hit = np.bincount(of[hit], minlength=rows)
-        at = np.flatnonzero(hit)
-        if len(at):
-            first = np.r_[True, (np.diff(at) > 1) | (np.diff(of[at]) > 0)]
-            last = np.r_[first[1:], True]
-            for a, b in zip(at[first].tolist(), at[last].tolist()):
-                row = int(of[a])
-                spans[row].append((int(starts[a] - offsets[row]), int(ends[b] - offsets[row])))
+
+
+def scan(blocks: list[WindowSet], data: np.ndarray, offsets: np.ndarray):
+    """Per row, over all blocks: words, hit words, item names and byte spans of the runs of hit words."""
+    rows = len(offsets) - 1
+    data = LOWER[data]
+    starts, ends, of = word_spans(data, offsets, WORD)
+    n_words = np.bincount(of, minlength=rows)
+    items: list[set[str]] = [set() for _ in range(rows)]
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
+    n_hit = np.zeros(rows, np.int64)
+    if not len(starts) or not any(block.sizes for block in blocks):
         return n_words, n_hit, items, spans
+    hashes = span_hashes(data, starts, ends)
+    edges = np.zeros(len(starts) + 1, np.int32)
+    for block in blocks:
+        block.mark(data, starts, ends, of, hashes, edges, items)
+    hit = np.cumsum(edges[:-1]) > 0
+    n_hit = np.bincount(of[hit], minlength=rows)
+    at = np.flatnonzero(hit)
+    if len(at):
+        first = np.r_[True, (np.diff(at) > 1) | (np.diff(of[at]) > 0)]
+        last = np.r_[first[1:], True]
+        for a, b in zip(at[first].tolist(), at[last].tolist()):
+            row = int(of[a])
+            spans[row].append((int(starts[a] - offsets[row]), int(ends[b] - offsets[row])))
+    return n_words, n_hit, items, spans
 
 
 def window_sets(benchmark: DataFrame, item_col: str, text_col: str, n: int, max_windows: int) -> Iterator[WindowSet]:
@@ -110,18 +116,18 @@ def window_sets(benchmark: DataFrame, item_col: str, text_col: str, n: int, max_
 _FOUND = "id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
-def _scan(docs: DataFrame, windows) -> DataFrame:
+def _scan(docs: DataFrame, windows: list) -> DataFrame:
     def work(batches):
-        known = windows.value
+        blocks = [w.value for w in windows]
         for batch in batches:
             for a, b, data, offsets in text_steps(batch.column(1)):
-                n_words, n_hit, items, spans = known.scan(data, offsets)
+                n_words, n_hit, items, spans = scan(blocks, data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
                         pa.array(n_words, pa.int64()),
                         pa.array(n_hit, pa.int64()),
-                        pa.array([[known.names[k] for k in sorted(x)] for x in items], pa.list_(pa.string())),
+                        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                         pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     ],
                     ["id", "n_words", "n_hit", "items", "spans"],
@@ -141,57 +147,17 @@ def find_leaks(
     those with a verified window in the document) and ``spans`` (byte ranges of
     the maximal runs of hit words).
 
-    The windows are broadcast in blocks of at most ``max_windows``; a larger
-    benchmark is scanned block after block and the blocks' findings are merged,
-    so what is broadcast never grows with the input.  Null and empty texts have
-    no words; items without words match nothing; an empty table gives an empty
-    result; repeated rows give repeated results; extra columns are ignored.
+    The windows are broadcast in blocks of at most ``max_windows``; a row is
+    scanned with all blocks in one pass, so that the number of blocks changes no
+    result.  A worker holds all blocks.  Null and empty texts have no words;
+    items without words match nothing; an empty table gives an empty result;
+    rows that repeat an id, or have none, are each scanned by themselves; extra
+    columns are ignored.
     """
     spark = docs.sparkSession
     rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    found = [_scan(rows, spark.sparkContext.broadcast(w)) for w in window_sets(benchmark, item_col, item_text_col, n, max_windows)]
-    if not found:
-        found = [_scan(rows, spark.sparkContext.broadcast(WindowSet([], n)))]
-    if len(found) == 1:
-        merged = found[0].withColumn("items", F.array_sort("items"))
-    else:
-        merged = _merge_blocks(rows, found)
-    return merged.withColumnRenamed("id", id_col)
-
-
-def _merge_blocks(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """Findings of several blocks, one row per document; hits are counted again over all spans."""
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more.where("n_hit > 0"))
-    grouped = every.groupBy("id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-    )
-
-    def count(batches):
-        for batch in batches:
-            texts = batch.column("text")
-            n_hit, merged = [], []
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                data = LOWER[np.frombuffer((texts[k].as_py() or "").encode(), np.uint8)]
-                starts, ends, _ = word_spans(data, np.array([0, len(data)]), WORD)
-                hit = np.zeros(len(starts), bool)
-                for s in spans:
-                    hit[np.searchsorted(starts, s["start"]) : np.searchsorted(ends, s["end"], "right")] = True
-                at = np.flatnonzero(hit)
-                first = np.r_[True, np.diff(at) > 1] if len(at) else np.zeros(0, bool)
-                last = np.r_[first[1:], True] if len(at) else first
-                n_hit.append(len(at))
-                merged.append([{"start": int(starts[a]), "end": int(ends[b])} for a, b in zip(at[first], at[last])])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), batch.column("items"),
-                 pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["id", "n_words", "n_hit", "items", "spans"],
-            )
-
-    return grouped.join(rows, "id").select("id", "n_words", "items", "spans", "text").mapInArrow(count, _FOUND)
+    blocks = [spark.sparkContext.broadcast(w) for w in window_sets(benchmark, item_col, item_text_col, n, max_windows)]
+    return _scan(rows, blocks).withColumn("items", F.array_sort("items")).withColumnRenamed("id", id_col)
 
 
 def decontaminate(
@@ -218,7 +184,7 @@ def _filter(shared, action: str, at: int):
         for batch in batches:
             for a, b, data, offsets in text_steps(batch.column(at)):
                 part = batch.slice(a, b - a)
-                _, n_hit, _, spans = shared.value.scan(data, offsets)
+                _, n_hit, _, spans = scan([shared.value], data, offsets)
                 if action == "documents":
                     yield part.filter(pa.array(n_hit == 0))
                 elif not n_hit.any():

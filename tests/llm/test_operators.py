@@ -180,6 +180,22 @@ def test_leaks(spark, max_windows):
     assert all(upper(passages[3]) not in (t or "") for t in after.values())
 
 
+@pytest.mark.parametrize("max_windows", [4_000_000, 5])
+def test_leaks_with_null_and_repeated_ids(spark, max_windows):
+    r = random.Random(12)
+    passages = [" ".join(r.choice(VOCABULARY) for _ in range(14)) for _ in range(4)]
+    items = [*enumerate(passages), (3, passages[0])]
+    texts = [passages[0], "xx " + passages[1], passages[2] + " yy " + passages[3], "none here", passages[0] + " " + passages[1], None]
+    rows = list(zip([None, 7, 7, 7, None, 8], texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(docs, bench, max_windows=max_windows).collect()
+    order = lambda rows: sorted(rows, key=str)
+    assert order((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in found) == order((i, *brute_leaks(t, items)) for i, t in rows)
+    covered = {passages[0] + " " + passages[1]: [(0, len((passages[0] + " " + passages[1]).encode()))]}
+    assert [(s.start, s.end) for x in found if x.doc_id is None and x.n_words == 28 for s in x.spans] == covered[texts[4]]
+
+
 def test_leaks_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [x.n_hit for x in decontaminate.find_leaks(documents(spark, ["a b c"]), none).collect()] == [0]
