@@ -6,7 +6,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,6 +23,7 @@ FILE_BYTES = 16_000_000
 #: A record that claims or unpacks to more is quarantined.
 RECORD_BYTES = 1 << 30
 _GZIP = b"\x1f\x8b\x08"
+_CUT_SHORT = "truncated member"
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,7 +76,7 @@ def _member(content: memoryview, at: int) -> tuple[bytes, int]:
     unpack, out, size, k = zlib.decompressobj(31), [], 0, at
     while not unpack.eof:
         if k >= len(content):
-            raise ValueError("truncated member")
+            raise ValueError(_CUT_SHORT)
         piece = content[k : k + 65536]
         k += len(piece)
         out.append(unpack.decompress(piece))
@@ -85,6 +86,53 @@ def _member(content: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), k - len(unpack.unused_data)
 
 
+def _prefix(content: memoryview, at: int) -> bytes:
+    """What a broken member unpacks to before it breaks, at most RECORD_BYTES."""
+    unpack, out, size, k, step = zlib.decompressobj(31), [], 0, at, 65536
+    while k < len(content) and not unpack.eof and size <= RECORD_BYTES:
+        before = unpack.copy() if step > 1 else None
+        try:
+            out.append(unpack.decompress(content[k : k + step]))
+        except zlib.error:
+            if before is None:
+                break
+            unpack, step = before, 1  # byte by byte up to the damage
+            continue
+        size += len(out[-1])
+        k += step
+    return b"".join(out)
+
+
+def _inside(raw: bytes, at: int, stop: int, broken: str | None) -> list[Record | Gap]:
+    """Records in a member's bytes and the gaps between them; empty if none passes.
+
+    Of a ``broken`` member only records with a digest that agrees are kept, but
+    of one that is merely cut short all that are whole.
+    """
+    found, k, bad, reason = [], 0, None, ""
+    while k < len(raw):
+        try:
+            headers, block, after = _parse(raw, k)
+            if broken not in (None, _CUT_SHORT) and not headers.get("warc-block-digest", "").lower().startswith("sha256:"):
+                raise ValueError("no digest in a broken member")
+        except ValueError as error:
+            if bad is None:
+                bad, reason = k, str(error)
+            k = raw.find(b"WARC/1.", k + 1)
+            k = len(raw) if k < 0 else k
+            continue
+        if bad is not None:
+            found.append(Gap(at, stop, f"{reason}: unpacked bytes {bad} to {k}"))
+            bad = None
+        found.append(Record(at, stop, headers, block))
+        k = after
+    if not any(isinstance(x, Record) for x in found):
+        return []
+    if bad is not None:
+        found.append(Gap(at, stop, f"{reason}: unpacked bytes {bad} to {len(raw)}"))
+    return found
+
+
 def _parse(raw, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers and block of the record at a position of plain bytes, and the position after it, checks included."""
     version = _VERSION.match(raw, at)
@@ -116,32 +164,44 @@ def salvage(content: bytes) -> Iterator[Record | Gap]:
     """All records that pass their checks, in order, and the byte ranges between them.
 
     After a failed check the reader looks for the next place at which a whole
-    record stands: a gzip member that unpacks, or a version line.
+    record stands: a gzip member that unpacks, or a version line.  Within the
+    bytes that a member unpacks to it looks for version lines too, and gaps there
+    name their range of unpacked bytes.  Of a member that breaks the records
+    before the damage are kept; their range, and that of its gap, end where the
+    next whole record begins.
     """
-    view, at, bad, reason = memoryview(content), 0, None, ""
+    view, at, bad, reason, saved = memoryview(content), 0, None, "", []
     while at < len(content):
+        raw = None
         try:
             if content[at : at + 3] == _GZIP:
                 raw, stop = _member(view, at)
-                found, k = [], 0
-                while k < len(raw):
-                    headers, block, k = _parse(raw, k)
-                    found.append(Record(at, stop, headers, block))
+                found = _inside(raw, at, stop, None)
+                if raw and not found:
+                    _parse(raw, 0)
+                    raise ValueError("no record in the member")
             else:
                 headers, block, stop = _parse(content, at)
                 found = [Record(at, stop, headers, block)]
         except (ValueError, zlib.error) as error:
-            if bad is None:
+            if raw is None and content[at : at + 3] == _GZIP and (kept := _inside(_prefix(view, at), at, len(content), str(error))):
+                if bad is not None:
+                    yield from (replace(x, stop=at) for x in saved)
+                    yield Gap(bad, at, reason)
+                bad, reason, saved = at, str(error), [x for x in kept if isinstance(x, Record)]
+            elif bad is None:
                 bad, reason = at, str(error)
             places = [p for p in (content.find(_GZIP, at + 1), content.find(b"WARC/1.", at + 1)) if p >= 0]
             at = min(places, default=len(content))
             continue
         if bad is not None:
+            yield from (replace(x, stop=at) for x in saved)
             yield Gap(bad, at, reason)
-            bad = None
+            bad, saved = None, []
         yield from found
         at = stop
     if bad is not None:
+        yield from saved
         yield Gap(bad, len(content), reason)
 
 

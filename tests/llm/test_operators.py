@@ -97,6 +97,27 @@ def test_warc_salvage():
     assert list(warc.salvage(b"")) == [] and [type(x) for x in warc.salvage(b"junk")] == [warc.Gap]
 
 
+def test_warc_salvage_within_a_member():
+    noise = random.Random(4)
+    bodies = [bytes(noise.randrange(97, 123) for _ in range(20_000)) for _ in range(8)]
+    plain = [zlib.decompress(warc.record(k, f"http://h/{k}", body), 31) for k, body in enumerate(bodies)]
+    pack = lambda raw: (c := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(raw) + c.flush()
+    numbers = lambda found: [int(x.headers["warc-record-id"].rsplit(":", 1)[1][:-1]) for x in found if isinstance(x, warc.Record)]
+    at = sum(map(len, plain[:3]))
+    raw = b"".join(plain)
+    found = list(warc.salvage(pack(raw[:at] + b"#" + raw[at + 1 :])))  # one bad record in a good member
+    assert numbers(found) == [0, 1, 2, 4, 5, 6, 7]
+    assert [x.reason for x in found if isinstance(x, warc.Gap)] == [f"no version line: unpacked bytes {at} to {at + len(plain[3])}"]
+    whole, tail = pack(raw), warc.record(9, "http://h/9", b"tail")
+    assert numbers(warc.salvage(whole)) == list(range(8)) and not any(isinstance(x, warc.Gap) for x in warc.salvage(whole))
+    short = list(warc.salvage(whole[: len(whole) * 6 // 10]))
+    assert numbers(short) == [0, 1, 2, 3] and isinstance(short[-1], warc.Gap)
+    crc = bytearray(whole + tail)
+    crc[len(whole) - 6] ^= 0xFF
+    found = list(warc.salvage(bytes(crc)))
+    assert numbers(found) == [*range(8), 9] and [(x.start, x.stop) for x in found if isinstance(x, warc.Gap)] == [(0, len(whole))]
+
+
 def test_warc_empty(spark):
     assert warc.write_archives(pages(spark, []), new_path(spark, "warc")).count() == 0
 
