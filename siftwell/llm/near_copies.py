@@ -1,37 +1,42 @@
-"""Near copies by their words: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of BANDS hashes of ROWS minima each; every candidate is
-verified on the whole sets.  Two sets of similarity s share none with
-probability (1 - s**ROWS)**BANDS, which is 6e-7 at 0.8.
+The same trie join as in ``simhash``, over wider fingerprints and with a wider
+error budget: two sets of similarity 0.8 differ in about 15 of 100 bits of their
+fingerprints.  Fingerprints that agree in a chosen set of bits meet in a trie;
+what the join links is only a candidate group, and a group's documents are
+verified by their whole sets before they are united.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import LOWER, byte_class, cut, give_back, mix, pick, span_hashes, stash, text_steps, word_spans
-from siftwell.llm._components import components
+from siftwell.llm._common import LOWER, byte_class, cut, give_back, mix, pick, span_hashes, text_steps, word_spans
+from siftwell.llm._components import components, forest_batch, local_roots
+from siftwell.llm.simhash import cross_near, trie_join
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 3
-#: Bands whose groups are first linked through one member each; what that leaves apart is compared pair by pair in all bands.
-STAR_BANDS = 4
-#: A larger group is dealt out as pairs of parts; a set that is in more pairs goes out once for each so many of them.
-PART = 1024
+#: Bits of a fingerprint, in words of 64.
+FP_WORDS = 2
+#: Chance that a pair just at the threshold never agrees in a chosen set of bits.
+MISS = 0.005
+#: Fingerprints that evenly spread ones leave in a trie.
+GROUP = 512
+#: Standard deviations above the expected number of differing bits that the budget allows.
+SLACK = 3.5
+#: Fingerprints of a part of a large trie; sets and set bytes of a part of a large candidate group.
+PART, SETS, SET_BYTES = 2048, 2048, 16_000_000
+#: A trie's size is estimated from one fingerprint in so many; it decides only how the trie is dealt out.
+ESTIMATE = 16
 #: Rows of ids and keys that are broadcast at most, after a count; more are joined by a shuffle, with the same result.
-BROADCAST_ROWS = 2_000_000
-#: Ranges of hashes whose counts bound what two sets have in common.
-RANGES = 256
-#: Pairs that one step compares.
-STEP_PAIRS = 1_000_000
+BROADCAST_ROWS = 1_000_000
 
 _SPACES = byte_class((0x09, 0x0D), (0x20, 0x20))
-_LAW = np.random.default_rng(5)
-_XOR = _LAW.integers(0, 2**64, (BANDS, ROWS), np.uint64)
-_TIMES = _LAW.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,6 +67,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return h[new], np.bincount(row[new], minlength=rows)
 
 
+def set_fingerprints(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """[row, word]: a bit is 1 where over half of the set's shingles have it."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    sums = np.zeros((len(counts), 64 * FP_WORDS), np.int32)
+    for a in range(0, len(h), 60_000):
+        part, of = h[a : a + 60_000], row[a : a + 60_000]
+        first = np.unique(np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, np.arange(0, len(of), 255)])
+        for w in range(FP_WORDS):
+            bits = np.unpackbits(mix(part ^ np.uint64(w + 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            few = np.add.reduceat(bits.view(np.uint64), first, axis=0).view(np.uint8)  # eight counters in a word, 255 rows at most
+            edge = np.flatnonzero(np.r_[True, of[first][1:] != of[first][:-1]])
+            sums[of[first[edge]], 64 * w : 64 * w + 64] += np.add.reduceat(few.astype(np.int32), edge, axis=0)
+    return np.packbits(2 * sums > counts[:, None], axis=1).view(">u8").astype(np.uint64).reshape(-1, FP_WORDS)
+
+
 def _digests(h: np.ndarray, counts: np.ndarray) -> pa.Array:
     """16 bytes for each set."""
     out = np.zeros((len(counts), 2), np.uint64)
@@ -73,25 +93,13 @@ def _digests(h: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(out.tobytes())])
 
 
-def _bands(h: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """BANDS hashes for each set that is not empty."""
-    filled = np.flatnonzero(counts)
-    out = np.zeros((len(filled), BANDS), np.uint64)
-    if len(filled):
-        at = (np.cumsum(counts) - counts)[filled]
-        for band in range(BANDS):
-            value = np.full(len(filled), band, np.uint64)
-            for xor, times in zip(_XOR[band], _TIMES[band]):
-                value = mix(value * _OTHER + np.minimum.reduceat((h ^ xor) * times, at))
-            out[:, band] = value
-    ends = np.r_[0, np.cumsum((counts > 0) * BANDS)].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.view(np.int64).reshape(-1)))
-
-
 def _small(rows: DataFrame) -> DataFrame:
     """``rows``, written, to be broadcast if there are few: the texts on the other side of a join then stay where they are."""
     rows = cut(rows)
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+_FPS = [f"f{w}" for w in range(FP_WORDS)]
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
@@ -99,136 +107,198 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for a, b, data, offsets in text_steps(batch.column(1)):
                 h, counts = shingle_sets(data, offsets, words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], _digests(h, counts), pa.array(counts, pa.int64()), _bands(h, counts)], ["id", "key", "n", "bands"]
-                )
+                fps = set_fingerprints(h, counts).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], _digests(h, counts), pa.array(counts, pa.int64()), *(pa.array(x) for x in fps.T)], ["id", "key", "n", *_FPS])
             give_back()
 
-    return rows.mapInArrow(work, "id long, key binary, n long, bands array<long>")
+    return rows.mapInArrow(work, f"id long, key binary, n long, {', '.join(f'{f} long' for f in _FPS)}")
 
 
-def _sets(rows: DataFrame, words: int) -> DataFrame:
+# ---- candidate groups
+
+
+def masks_for(n: int, similarity: float) -> tuple[int, np.ndarray]:
+    """The error budget, and the sets of bits [mask, word] in which some two fingerprints agree with the chance 1 - MISS.
+
+    Two sets of similarity s have the cosine 2s / (1 + s), and a bit differs
+    with the chance angle / pi.  So many bits are chosen that ``n`` evenly spread
+    fingerprints leave some GROUP in a trie.
+    """
+    width, differ = 64 * FP_WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    budget = math.ceil(width * differ + SLACK * math.sqrt(width * differ * (1 - differ)))
+    bits = max(0, math.ceil(math.log2(max(1, n) / GROUP)))
+    count = 1 if not bits else math.ceil(math.log(MISS) / math.log(1 - (1 - differ) ** bits))
+    law, out = np.random.default_rng([5, bits]), np.zeros((count, FP_WORDS), np.uint64)
+    for mask in out:
+        for bit in law.choice(width, bits, replace=False).tolist():
+            mask[bit >> 6] |= np.uint64(1 << (bit & 63))
+    return budget, out
+
+
+def candidate_links(reps: DataFrame, similarity: float) -> DataFrame:
+    """Links ``node``, ``root`` that connect the nodes of ``reps`` whose fingerprints may belong to similar sets.
+
+    A large trie is dealt out in parts.  What lies within the budget of one of
+    its fingerprints is linked with that at once and takes no further part among
+    its like; only what does not is compared with every part, so that a dense
+    group of any size costs no squares.
+    """
+    budget, masks = masks_for(reps.count(), similarity)
+    keys = F.array(*(F.xxhash64(F.lit(c), *(F.col(f).bitwiseAND(F.lit(int(m.view(np.int64)))) for f, m in zip(_FPS, mask))) for c, mask in enumerate(masks)))
+    rows = reps.select("node", *_FPS, F.explode(keys).alias("v"))
+
+    def apart(left: str, right: str) -> F.Column:
+        return sum((F.bit_count(F.col(f"{left}{f}").bitwiseXOR(F.col(f"{right}{f}"))) for f in _FPS), F.lit(0))
+
+    some = rows.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(ESTIMATE)) == 0)
+    pivots = some.groupBy("v").agg(F.min(F.struct(F.xxhash64("node", "v").alias("h"), "node", *_FPS)).alias("p"), F.count("*").alias("m")).where(F.col("m") * ESTIMATE > PART)
+    pivots = pivots.select(F.col("v").alias("large"), F.col("p.node").alias("pivot"), *(F.col(f"p.{f}").alias(f"p{f}") for f in _FPS), F.col("m"))
+    odd = some.join(pivots, F.col("v") == F.col("large")).groupBy("large").agg(F.sum((apart("", "p") > budget).cast("long")).alias("odd"))
+    parts = [F.greatest(F.lit(1), F.ceil(F.col(c) * ESTIMATE / PART)).cast("int").alias(f"{c}_parts") for c in ("m", "odd")]
+    pivots = _small(pivots.join(odd.withColumnRenamed("large", "of"), F.col("large") == F.col("of")).select("large", "pivot", *(f"p{f}" for f in _FPS), *parts))
+    known = rows.join(pivots, F.col("v") == F.col("large"), "left")
+    away = F.col("large").isNotNull() & (apart("", "p") > budget)
+    near = known.where(F.col("large").isNotNull() & ~away & (F.col("node") != F.col("pivot")))
+    near = near.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("root"))
+    own = [F.pmod(F.xxhash64("node", F.lit(k)), F.coalesce(F.col(f"{c}_parts"), F.lit(1))).cast("int") for k, c in enumerate(("m", "odd"))]
+    known = known.select("node", *_FPS, "v", F.col("large").isNotNull().alias("parted"), own[0].alias("own"), own[1].alias("own_odd"), away.alias("away"), *(F.coalesce(f"{c}_parts", F.lit(1)).alias(f"{c}_parts") for c in ("m", "odd")))
+    every = F.transform(F.sequence(F.lit(0), F.col("odd_parts") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("m_parts") - 1), lambda j: F.struct(F.col("own_odd").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    dealt = known.withColumn("to", F.explode(F.when(F.col("away"), F.concat(every, asks)).otherwise(every))).select("v", "to.i", "to.j", "parted", "to.asks", "node", *_FPS)
+    order = [F.expr(f"shiftrightunsigned({f}, 1)") for f in _FPS]
+    dealt = dealt.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", *(x for f, o in zip(_FPS, order) for x in (o, f)))
+
+    def joined(part, bounds):
+        fps = np.stack([part[f].view(np.uint64)[: bounds[-1]] for f in _FPS], axis=1)
+        node, left, right, size = part["node"], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        parted = part["parted"][bounds[:-1]]
+        for lo, hi in zip(bounds[:-1][parted].tolist(), bounds[1:][parted].tolist()):
+            asking = part["asks"][lo:hi]
+            a, b = np.flatnonzero(asking) + lo, np.flatnonzero(~asking) + lo
+            i, j = cross_near(fps[a], fps[b], budget)
+            left.append(node[a[i]])
+            right.append(node[b[j]])
+        for k in np.flatnonzero(~parted).tolist():
+            if bounds[k + 1] - bounds[k] > 1:
+                for a, b in trie_join(fps[bounds[k] : bounds[k + 1]], np.array([0, bounds[k + 1] - bounds[k]]), budget, leaf=1 << 18):
+                    left.append(node[a + bounds[k]])
+                    right.append(node[b + bounds[k]])
+                    size += len(a)
+                    if size > 500_000:
+                        got = local_roots(np.concatenate(left), np.concatenate(right))
+                        left, right, size = [got[0]], [got[1]], 0
+        left, right = np.concatenate(left), np.concatenate(right)
+        if len(left):
+            yield forest_batch(left, right)
+
     def work(batches):
-        for batch in batches:
-            for _, _, data, offsets in text_steps(batch.column(1)):
-                h, counts = shingle_sets(data, offsets, words)
-                ends = np.r_[0, np.cumsum(counts)] * 8
-                whole = h.tobytes()
-                place = np.repeat(np.arange(len(counts)), counts) * RANGES + (h >> np.uint64(32)).astype(np.int64) % RANGES
-                ranges = np.bincount(place, minlength=len(counts) * RANGES).astype(np.uint32).reshape(-1, RANGES)
-                yield pa.RecordBatch.from_arrays(
-                    [_digests(h, counts), pa.array([whole[x:y] for x, y in zip(ends[:-1], ends[1:])], pa.binary()), pa.array([x.tobytes() for x in ranges], pa.binary())],
-                    ["key", "set", "ranges"],
-                )
-            give_back()
+        for part, bounds in grouped(batches, ("v", "i", "j")):
+            yield from joined(part, bounds)
 
-    return rows.mapInArrow(work, "key binary, set binary, ranges binary")
+    return dealt.mapInArrow(work, "node long, root long").unionByName(near)
 
 
-def _attach(pairs: DataFrame, sets: DataFrame, by: str, *values: str) -> DataFrame:
-    """Pairs with some values of one end; an end of many pairs is dealt out in parts."""
-    large = pairs.groupBy(by).count().where(F.col("count") > PART).select(F.col(by).alias("of"), F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    other = "b" if by == "a" else "a"
-    dealt = pairs.join(large, F.col(by) == F.col("of"), "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("of", "parts")
-    ends = sets.join(large, F.col("node") == F.col("of"), "left")
-    ends = ends.select(F.col("node").alias(by), *(F.col(x).alias(f"{x}_{by}") for x in values), F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("part"))
-    return dealt.join(ends, [by, "part"]).drop("part")
+def grouped(batches, by: tuple[str, ...]):
+    """Columns as arrays, whole groups of sorted rows at a time, with the groups' bounds."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
+        if held is not None:
+            part = {k: np.concatenate([held[k], part[k]]) for k in part}
+        new = np.flatnonzero(np.any([part[k][1:] != part[k][:-1] for k in by], axis=0)) + 1
+        if not len(new):
+            held = part
+            continue
+        yield part, np.r_[0, new]
+        held = {k: x[new[-1] :] for k, x in part.items()}
+    if held is not None:
+        yield held, np.array([0, len(held[by[0]])])
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs without those that cannot be alike: in a range, two sets share no more than the smaller has."""
-    both = _attach(_attach(pairs, sets, "a", "ranges"), sets, "b", "ranges").select("a", "b", "ranges_a", "ranges_b")
+# ---- verification
 
-    def work(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, RANGES).astype(np.int64) for c in (2, 3))
-                common = np.minimum(x, y).sum(axis=1)
-                may = common >= similarity * (x.sum(axis=1) + y.sum(axis=1) - common) - 1e-9
-                yield part.select(["a", "b"]).filter(pa.array(may))
 
-    return both.mapInArrow(work, "a long, b long")
+def similar_links(sets: list[np.ndarray], comp: np.ndarray, ask: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Positions of pairs of similar sets that unite all sets that similarity unites.
 
+    ``comp``: sets of the same number are united already.  ``ask``: sets that are
+    compared with all others; two that do not ask are not compared.  Pairs in one
+    component are left out; so is all that remains once there is one component.
+    """
+    _, comp = np.unique(comp, return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    left, right = [], []
+    if len(sets) == 2:
+        if comp[0] != comp[1] and ask.any() and sizes.min() >= similarity * sizes.max() - 1e-9:
+            common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+            if common >= similarity * (sizes.sum() - common) - 1e-9:
+                return [0], [1]
+        return left, right
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    by = np.argsort(number, kind="stable")
+    owner, edge = owner[by], np.searchsorted(number[by], np.arange(len(values) + 1))
+    bounds = np.r_[0, np.cumsum(sizes)]
+    todo, all_ask = ask.copy(), ask.all()
+    while True:
+        most = np.bincount(comp)
+        # where all ask, every pair across components has an end outside the largest
+        waits = np.flatnonzero(todo & (comp != most.argmax()) if all_ask else todo)
+        if not len(waits) or (most > 0).sum() == 1:
+            return left, right
+        i = int(waits[0])
+        todo[i] = False
+        terms = number[bounds[i] : bounds[i + 1]]
+        n = edge[terms + 1] - edge[terms]
+        where = np.repeat(edge[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        common = np.bincount(owner[where], minlength=len(sets))
+        near = (common >= similarity * (sizes + sizes[i] - common) - 1e-9) & (comp != comp[i]) & (sizes + sizes[i] > 0)
+        for j in np.flatnonzero(near).tolist():
+            if comp[j] != comp[i]:
+                left.append(i)
+                right.append(j)
+                comp[comp == comp[j]] = comp[i]
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets are alike, with ``rep_a``, ``rep_b``."""
-    pairs = cut(_possible(cut(pairs), sets, similarity))
-    both = _attach(_attach(pairs, sets, "a", "rep", "set"), sets, "b", "rep", "set").select("a", "b", "rep_a", "rep_b", "set_a", "set_b")
 
+def _sets(rows: DataFrame, words: int) -> DataFrame:
     def work(batches):
         for batch in batches:
-            alike = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                alike[k] = common >= similarity * (len(x) + len(y) - common) - 1e-9
-            yield batch.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(alike))
+            for _, _, data, offsets in text_steps(batch.column(1)):
+                h, counts = shingle_sets(data, offsets, words)
+                ends, whole = np.r_[0, np.cumsum(counts)] * 8, h.tobytes()
+                yield pa.RecordBatch.from_arrays([_digests(h, counts), pa.array([whole[x:y] for x, y in zip(ends[:-1], ends[1:])], pa.binary())], ["key", "set"])
             give_back()
 
-    return both.mapInArrow(work, "a long, b long, rep_a long, rep_b long")
-
-
-def _star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Each member of a group in the first bands with one of the group, not the same in all bands."""
-    some = rows.where(F.col("c") < STAR_BANDS)
-    low = some.groupBy("v").agg(F.min(F.struct(F.xxhash64("node", "v").alias("h"), "node", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
-    pairs = some.join(low.select("v", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")), "v")
-    fits = F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-9
-    return pairs.where((F.col("node") != F.col("pivot")) & fits).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-
-
-def _pairs_apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of a group in any band that are in different components (``comp``) and whose sizes allow the similarity."""
-    groups = rows.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high")
-    dealt = rows.join(groups.select("v", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "v")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select("v", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "node", "comp", "n")
-    dealt = dealt.repartition("v", "p", "q").sortWithinPartitions("v", "p", "q")
-
-    def pairs_of(part, lo, hi):
-        node, comp, n, own = (part[k][lo:hi] for k in ("node", "comp", "n", "own"))
-        across = part["p"][lo] != part["q"][lo]
-        step = max(1, STEP_PAIRS // len(node))
-        for k in range(0, len(node), step):
-            i = slice(k, k + step)
-            keep = (node[i, None] < node) & (comp[i, None] != comp)
-            keep &= np.minimum(n[i, None], n) >= similarity * np.maximum(n[i, None], n) - 1e-9
-            if across:
-                keep &= own[i, None] != own
-            x, y = np.nonzero(keep)
-            if len(x):
-                yield node[i][x], node[y]
+    return rows.mapInArrow(work, "key binary, set binary")
+
+
+_LINK = "a long, b long, rep_a long, rep_b long"
 
-    def joined(part, bounds):
-        left, right, size = [], [], 0
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            for a, b in pairs_of(part, lo, hi) if hi - lo > 1 else ():
-                left.append(a)
-                right.append(b)
-                size += len(a)
-                if size > STEP_PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-                    left, right, size = [], [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+def _verified(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Verified links of the rows ``cluster``, ``i``, ``j``, ``comp``, ``asks``, ``node``, ``rep``, ``set`` that share the first three."""
+    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node", F.desc("asks"))
+
+    def links(part, bounds):
+        out = []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            pick = np.arange(lo, hi)[np.r_[True, part["node"][lo + 1 : hi] != part["node"][lo : hi - 1]]]  # a repeated id has its set once
+            if len(pick) > 1:
+                sets = [np.frombuffer(part["set"][k], np.uint64) for k in pick.tolist()]
+                i, j = similar_links(sets, part["comp"][pick], part["asks"][pick], similarity)
+                out += zip(pick[i].tolist(), pick[j].tolist()) if i else []
+        if out:
+            i, j = np.array(out).T
+            yield pa.RecordBatch.from_arrays([pa.array(part[c][k], pa.int64()) for c, k in (("node", i), ("node", j), ("rep", i), ("rep", j))], ["a", "b", "rep_a", "rep_b"])
 
     def work(batches):
-        held = None
-        for batch in batches:
-            part = {k: batch.column(k).to_numpy() for k in batch.schema.names}
-            if held is not None:
-                part = {k: np.concatenate([held[k], part[k]]) for k in part}
-            new = np.flatnonzero(np.any([part[k][1:] != part[k][:-1] for k in ("v", "p", "q")], axis=0)) + 1
-            if not len(new):
-                held = part
-                continue
-            yield from joined(part, np.r_[0, new])
-            held = {k: x[new[-1] :] for k, x in part.items()}
-        if held is not None and len(held["v"]):
-            yield from joined(held, np.array([0, len(held["v"])]))
+        for part, bounds in grouped((b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)), ("cluster", "i", "j")):
+            yield from links(part, bounds)
+            give_back()
 
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return dealt.mapInArrow(work, _LINK)
 
 
 def near_copies(
@@ -237,27 +307,49 @@ def near_copies(
     """``rep``, ``component``: the smallest id of each different text, and the smallest reachable over verified links.
 
     Equal sets are one node, whatever their number; texts without words are
-    alike.  Links are the pairs of ``similarity`` or more that share a band.
-    Groups are first linked through one member; only pairs that this leaves in
-    different components are compared one by one, which changes no component.
+    alike.  A link is a pair within a candidate group whose whole sets have the
+    similarity; a group is what the trie join connects.  The parts of a large
+    group are compared within themselves and with one set of the group; after
+    that, what its largest component does not hold is compared with every part.
     Rows with a null id name no component.
     """
     rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    reps = _sketches(rows, words).groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = _sketches(rows, words).groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *(F.first(f).alias(f) for f in _FPS))
     reps = cut(reps.where("rep is not null").withColumn("node", F.monotonically_increasing_id()))
-    banded = reps.select("node", "n", F.posexplode("bands").alias("c", "v"))
-    shared = banded.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
-    banded = cut(banded.join(shared, "v", "left_semi"))
-    wanted = _small(reps.join(banded.select("node").distinct(), "node", "left_semi").select("node", "key", "rep"))
-    texts = rows.join(_small(wanted.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
-    sets = _sets(texts.select("id", "text"), words).join(wanted, "key").groupBy("node").agg(F.first("rep").alias("rep"), F.first("set").alias("set"), F.first("ranges").alias("ranges"))
-    sets = stash(sets, "shingle-sets")
-    star = cut(_verified(_star_pairs(banded, similarity), sets, similarity))
-    labels = components(star.select("a", "b")).withColumnRenamed("node", "of")
-    labelled = banded.join(labels, F.col("node") == F.col("of"), "left").select("node", "n", "v", F.coalesce("component", "node").alias("comp"))
-    rest = _verified(_pairs_apart(labelled, similarity), sets, similarity)
-    found = components(star.unionByName(rest).select("rep_a", "rep_b"))
-    return reps.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    groups = components(candidate_links(reps.select("node", *_FPS), similarity)).select(F.col("node").alias("of"), "component")
+    groups = groups.unionByName(groups.select(F.col("component").alias("of"), "component").distinct())
+    found = reps.join(groups, F.col("node") == F.col("of")).select("node", "key", "rep", "n", F.col("component").alias("cluster"))
+    size = found.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("bytes"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("m") / SETS), F.ceil(F.col("bytes") * 8 / SET_BYTES)).cast("int")
+    size = size.select(F.col("cluster").alias("of"), parts.alias("parts"), F.col("p.node").alias("pivot"))
+    found = cut(found.join(size, F.col("cluster") == F.col("of")).drop("of"))
+
+    def with_sets(nodes: DataFrame) -> DataFrame:
+        wanted = _small(nodes)
+        texts = rows.join(_small(nodes.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
+        return _sets(texts.select("id", "text"), words).join(wanted, "key")
+
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    to = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    first = with_sets(found.select("key", "node", "rep", "cluster", F.col("node").alias("comp"), to.alias("to")))
+    first = first.select("cluster", F.explode("to").alias("i"), F.lit(0).alias("j"), "comp", F.lit(True).alias("asks"), "node", "rep", "set")
+    links = cut(_verified(first, similarity))
+    parted = cut(found.where("parts > 1"))
+    if parted.head(1):
+        labels = components(links.select("a", "b")).withColumnRenamed("node", "of")
+        parted = parted.join(labels, F.col("node") == F.col("of"), "left").drop("of").withColumn("comp", F.coalesce("component", "node"))
+        held = parted.groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("bytes"))
+        largest = held.groupBy("cluster").agg(F.max(F.struct("m", "comp", "bytes")).alias("x"), F.sum("m").alias("m"), F.sum("bytes").alias("bytes"))
+        odd = F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("x.m")) / SETS), F.ceil((F.col("bytes") - F.col("x.bytes")) * 8 / SET_BYTES)).cast("int")
+        largest = largest.where("m > x.m").select(F.col("cluster").alias("of"), F.col("x.comp").alias("main"), odd.alias("odd_parts"))
+        rest = parted.join(largest, F.col("cluster") == F.col("of")).withColumn("own", own).withColumn("own_odd", F.pmod(F.xxhash64("node", F.lit(1)), F.col("odd_parts")).cast("int"))
+        every = F.transform(F.sequence(F.lit(0), F.col("odd_parts") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks")))
+        asks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("own_odd").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+        rest = with_sets(rest.select("key", "node", "rep", "cluster", "comp", F.when(F.col("comp") == F.col("main"), every).otherwise(F.concat(every, asks)).alias("to")))
+        rest = rest.withColumn("to", F.explode("to")).select("cluster", "to.i", "to.j", "comp", "to.asks", "node", "rep", "set")
+        links = links.unionByName(_verified(rest, similarity))
+    united = components(links.select("rep_a", "rep_b"))
+    return reps.select("rep").distinct().join(united, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
 
 
 def drop_near_copies(

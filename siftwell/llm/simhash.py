@@ -68,19 +68,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(work, "id long, fp long")
 
 
-def trie_join(fps: np.ndarray, groups: np.ndarray, budget: int):
+def trie_join(fps: np.ndarray, groups: np.ndarray, budget: int, leaf: int = 64):
     """Pairs of positions in sorted groups of different fingerprints that differ in at most ``budget`` bits.
 
-    ``groups`` are bounds in ``fps``.  A node is a range of fingerprints with a
-    common prefix.  Pairs of nodes go down the trie together, carrying the bits
-    in which their prefixes differ; a pair over the budget is dropped with all
-    below it, and two small nodes are compared leaf by leaf.  Yields index arrays.
+    ``fps`` are numbers of 64 bits, or rows of several such.  ``groups`` are
+    bounds in ``fps``.  A node is a range of fingerprints with a common prefix.
+    Pairs of nodes go down the trie together, carrying the bits in which their
+    prefixes differ; a pair over the budget is dropped with all below it, and
+    nodes of no more than ``leaf`` pairs are compared leaf by leaf.  Yields index
+    arrays.
     """
+    fps = fps.reshape(len(fps), -1)
     ones: dict[int, np.ndarray] = {}
 
     def split(lo, hi, depth):
         if depth not in ones:
-            ones[depth] = np.r_[0, np.cumsum((fps >> np.uint64(63 - depth)) & np.uint64(1))].astype(np.int64)
+            ones[depth] = np.r_[0, np.cumsum((fps[:, depth >> 6] >> np.uint64(63 - depth % 64)) & np.uint64(1))].astype(np.int64)
         return hi - (ones[depth][hi] - ones[depth][lo])
 
     lo, hi = groups[:-1], groups[1:]
@@ -91,10 +94,10 @@ def trie_join(fps: np.ndarray, groups: np.ndarray, budget: int):
         same = alo == blo
         na, nb = ahi - alo, bhi - blo
         live = (na > 0) & (nb > 0) & ~(same & (na < 2))
-        leaf = live & ((na * nb <= 64) | (depth == 64))
-        if leaf.any():
-            yield from _leaves(fps, alo[leaf], ahi[leaf], blo[leaf], bhi[leaf], budget)
-        live &= ~leaf
+        small = live & ((na * nb <= leaf) | (depth == 64 * fps.shape[1]))
+        if small.any():
+            yield from (_leaves if leaf <= 64 else _dense_leaves)(fps, alo[small], ahi[small], blo[small], bhi[small], budget)
+        live &= ~small
         if not live.any():
             continue
         alo, ahi, blo, bhi, err, same = (x[live] for x in (alo, ahi, blo, bhi, err, same))
@@ -122,11 +125,32 @@ def _leaves(fps, alo, ahi, blo, bhi, budget):
         of = np.repeat(np.arange(len(n)), n)
         i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         a, b = alo[cell][of] + i // nb[cell][of], blo[cell][of] + i % nb[cell][of]
-        near = (a < b) & (np.bitwise_count(fps[a] ^ fps[b]) <= budget)
+        near = (a < b) & (np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= budget)
         if near.any():
             yield a[near], b[near]
 
 
+def _dense_leaves(fps, alo, ahi, blo, bhi, budget):
+    """As :func:`_leaves`, a pair of nodes at a time, for nodes of many fingerprints."""
+    for p, q, r, s in zip(alo.tolist(), ahi.tolist(), blo.tolist(), bhi.tolist()):
+        a, b = cross_near(fps[p:q], fps[r:s], budget)
+        a, b = a + p, b + r
+        if len(a):
+            yield a[a < b], b[a < b]
+
+
+def cross_near(left: np.ndarray, right: np.ndarray, budget: int):
+    """Positions of the pairs of two arrays of fingerprints [n, words] that differ in at most ``budget`` bits."""
+    found, step = [], max(1, 1_000_000 // max(1, len(right)))
+    for k in range(0, len(left), step):
+        apart = np.zeros((len(left[k : k + step]), len(right)), np.uint16)
+        for w in range(left.shape[1]):
+            apart += np.bitwise_count(left[k : k + step, w, None] ^ right[None, :, w])
+        a, b = np.nonzero(apart <= budget)
+        found.append((a + k, b))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
+
+
 def agreeing_blocks(n: int, budget: int) -> list[int]:
     """Masks of the bits that must agree: two fingerprints within the budget agree in one of them.
 

@@ -525,14 +525,42 @@ def test_pipeline_drops_near_copies_by_similarity(spark, sf_dir, monkeypatch):
     want = {i for i, c in reach(links).items() if i == c}
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     assert {x.doc_id for x in stage(spark, documents(spark, texts), sf_dir).collect()} == want
-    monkeypatch.setattr(near_copies, "PART", 4)
-    monkeypatch.setattr(near_copies, "STAR_BANDS", 1)
-    monkeypatch.setattr(near_copies, "STEP_PAIRS", 10)
-    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)
+    for name, value in {"PART": 4, "SETS": 4, "ESTIMATE": 1, "GROUP": 40, "MISS": 1e-7, "BROADCAST_ROWS": 0}.items():
+        monkeypatch.setattr(near_copies, name, value)
     assert {x.doc_id for x in stage(spark, documents(spark, texts, clash=True), sf_dir).collect()} == want
     assert stage(spark, documents(spark, []), sf_dir).count() == 0
 
 
+def test_wide_prints_meet_at_the_threshold():
+    """Pairs at a similarity of 0.8 to 0.82 are within the budget and share a mask, at the default setting."""
+    from siftwell.llm import near_copies
+
+    r, met, pairs = np.random.default_rng(12), 0, 600
+    budget, masks = near_copies.masks_for(10**6, 0.8)
+    for k in range(pairs):
+        size = int(r.integers(10, 600))
+        common = math.ceil(2 * size * 0.8 / 1.8)
+        h = r.integers(0, 2**64, 2 * size - common, dtype=np.uint64)
+        x, y = near_copies.set_fingerprints(np.r_[h[:size], h[:common], h[size:]], np.array([size, size]))
+        apart = x ^ y
+        met += np.bitwise_count(apart).sum() <= budget and bool(((apart & masks) == 0).all(axis=1).any())
+    assert met >= 0.98 * pairs
+
+
+def test_set_fingerprints_are_majorities():
+    from siftwell.llm import near_copies
+
+    r = np.random.default_rng(1)
+    counts = np.array([3, 0, 700, 1, 70_000, 0, 4])
+    h = r.integers(0, 2**64, counts.sum(), dtype=np.uint64)
+    got = near_copies.set_fingerprints(h, counts)
+    for k, (a, n) in enumerate(zip(np.cumsum(counts) - counts, counts)):
+        for w in range(near_copies.FP_WORDS):
+            x = near_copies.mix(h[a : a + n] ^ np.uint64(w + 1))
+            want = sum(1 << b for b in range(64) if 2 * int((x >> np.uint64(b) & np.uint64(1)).sum()) > n)
+            assert int(got[k, w]) == want
+
+
 def test_trie_join_equals_all_pairs():
     r = np.random.default_rng(3)
     center = np.uint64(0x0123456789ABCDEF)
@@ -544,6 +572,10 @@ def test_trie_join_equals_all_pairs():
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(near)) if i < j and (i < 100) == (j < 100)}
     assert got == want
+    wide = np.array(sorted({(int(a), int(b)) for a in fps[::40] for b in fps[:30]}), np.uint64)
+    want = {(i, j) for i in range(len(wide)) for j in range(i) if np.bitwise_count(wide[i] ^ wide[j]).sum() <= 34}
+    for leaf in (64, 1 << 12):
+        assert {(int(b), int(a)) for x in simhash.trie_join(wide, np.array([0, len(wide)]), 34, leaf) for a, b in zip(*x)} == want
 
 
 def test_simhash_deals_out_large_tries(spark, monkeypatch):
