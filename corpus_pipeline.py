@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), that with the smallest id."""
+    """One document of each group of near copies (SimHash candidates, five-word similarity of 0.8), that with the smallest id."""
     return drop_near_copies(docs)
 
 
