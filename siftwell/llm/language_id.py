@@ -4,11 +4,12 @@ The pieces are those of a fixed public vocabulary, and its byte pieces.  For
 each language every piece has a probability; a text's likelihood is the product
 over its words, and a word's is the sum over all ways to put it together from
 pieces, by the forward algorithm.  The probabilities are fitted by expectation
-maximisation over the same segmentations.
+maximisation over the same segmentations, in parts on the executors.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -17,24 +18,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import byte_class, give_back, pick, raw_text, span_hashes, steps, table, word_spans
+from siftwell.llm._common import byte_class, cut, give_back, pick, raw_text, span_hashes, steps, table, word_spans
 from siftwell.llm._tokens import WordTable
 
 #: Labelled rows of each language that are learned from, about; they are chosen by a hash of the id.
 ROWS_PER_LANGUAGE = 1500
-#: Languages that are learned, the most frequent first.
-LANGUAGES = 256
+#: Text bytes of these rows of each language, about, where the rows are long.
+BYTES_PER_LANGUAGE = 30_000_000
 #: Rounds of expectation maximisation.
 ROUNDS = 3
 #: Bytes of the longest piece that is used; a word begins with a blank, as pieces do.
 PIECE_BYTES = 16
-#: Words whose likelihoods a Python worker keeps; a full cache starts again from nothing.
-CACHE_WORDS = 400_000
+#: Bytes of a stretch that is learned from; longer words, as in scripts without blanks, are learned from in several.
+STRETCH_BYTES = 32
+#: Words whose likelihoods a Python worker keeps, and likelihoods in all; a full cache starts again from nothing.
+CACHE_WORDS, CACHE_VALUES = 400_000, 8_000_000
 UNKNOWN = "und"
 
 _LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _ASCII_LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A))
 _SMOOTH = 0.05
+#: Tasks that learn from a share of the words each.
+LEARNERS = 24
 
 
 def pieces_of(path: str) -> list[bytes]:
@@ -73,13 +78,13 @@ class Lattice:
         self.table.add(hashes, np.arange(len(pieces), dtype=np.int32))
         self.longest = max(map(len, pieces))
 
-    def groups(self, sizes: np.ndarray):
+    def groups(self, sizes: np.ndarray, languages: int):
         """Numbers of words of about the same size, so many that their arrays stay small."""
         order = np.argsort(sizes, kind="stable")
         padded = np.where(sizes[order] <= 32, sizes[order], -(-sizes[order] // 32) * 32)
         edge = np.r_[np.flatnonzero(np.r_[True, padded[1:] != padded[:-1]]), len(order)] if len(order) else np.zeros(1, int)
         for a, b in zip(edge, edge[1:]):
-            most = max(1, 200_000 // int(padded[a]))
+            most = max(1, 200_000 // int(padded[a] * max(1, languages / 8)))
             for k in range(a, b, most):
                 yield order[k : min(b, k + most)], int(padded[a])
 
@@ -121,7 +126,7 @@ class Lattice:
 
     def log_likelihoods(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
         out = np.zeros((len(starts), p.shape[1]))
-        for which, width in self.groups(sizes):
+        for which, width in self.groups(sizes, p.shape[1]):
             f, scale = self.forward(self.numbers(data, starts[which], sizes[which], width), p)
             at = np.arange(len(which)), sizes[which]
             out[which] = np.log(np.maximum(f[at], 1e-300)) + scale[at]
@@ -131,7 +136,7 @@ class Lattice:
         """Expected uses of each piece by each language, for words with counts [word, language]."""
         uses = np.zeros_like(p)
         padded = np.vstack([p, np.zeros(p.shape[1])])
-        for which, width in self.groups(sizes):
+        for which, width in self.groups(sizes, p.shape[1]):
             numbers = self.numbers(data, starts[which], sizes[which], width)
             f, _ = self.forward(numbers, p)
             rows = np.arange(len(which))
@@ -170,7 +175,7 @@ class Model:
         """Rows of the kept likelihoods for the words."""
         h = span_hashes(data, starts, ends)
         h[h == 0] = 1
-        if self.known.n > CACHE_WORDS:
+        if self.known.n > min(CACHE_WORDS, CACHE_VALUES // len(self.languages)):
             self.known.clear()
         at = self.known.find(h)
         missing = np.flatnonzero(at < 0)
@@ -225,55 +230,84 @@ def fit(
     """Learns from whole texts of about ``rows_per_language`` labelled rows of each language.
 
     The rows are those with the smallest hash of their id, by a fraction that
-    follows from the language's number of rows; held-out rows and rows without
-    text or label are never used.  Of more than ``LANGUAGES`` labels the most
-    frequent are learned.
+    follows from the language's number of rows and bytes; held-out rows and rows
+    without text or label are never used.  Every label is learned.  The driver
+    gets the languages and, each round, the sums of each piece.
     """
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col).where(~held_out(F.col("id")) & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r.lang for r in counts)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    languages, pieces = sorted(r.lang for r in counts), pieces_of(vocabulary)
     if not languages:
         return Model([], [b"\0"], np.ones((1, 1)))
     parts = 1 << 20
-    share = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(int(min(1.0, rows_per_language / r["count"]) * parts)))))
+    fraction = {r.lang: min(1.0, rows_per_language / r.rows, BYTES_PER_LANGUAGE / max(1, r.bytes or 0)) for r in counts}
+    share = F.create_map(*(x for lang, part in fraction.items() for x in (F.lit(lang), F.lit(math.ceil(part * parts)))))
     sample = rows.where((F.pmod(F.xxhash64("id"), F.lit(parts)) < share[F.col("lang")]) & F.col("text").isNotNull())
+    number = {lang: k for k, lang in enumerate(languages)}
 
     def count(batches):
         for batch in batches:
-            langs = batch.column(1).to_pylist()
+            langs = [number[x] for x in batch.column(1).to_pylist()]
             _, offsets = raw_text(batch.column(0))
             for a, b in steps(offsets):
-                data, starts, ends, of = _words(batch.column(0), a, b)
+                data, starts, ends, of = stretches(*_words(batch.column(0), a, b))
                 whole, found = data.tobytes(), {}
                 for s, e, k in zip(starts.tolist(), ends.tolist(), of.tolist()):
                     key = langs[a + k], whole[s:e]
                     found[key] = found.get(key, 0) + 1
-                yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in found], "word": pa.array([k[1] for k in found], pa.binary()), "n": list(found.values())})
-
-    words = sample.select("text", "lang").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    return _estimate(words, languages, pieces_of(vocabulary), rounds)
-
-
-def _estimate(words: pa.Table, languages: list[str], pieces: list[bytes], rounds: int) -> Model:
-    lattice, number = Lattice(pieces), {}
-    for w in words.column("word").to_pylist():
-        number.setdefault(w, len(number))
-    number = {w: k for k, w in enumerate(sorted(w for w in number if len(w) <= 32))}  # longer ones are scored, not learned from
-    counts = np.zeros((len(number), len(languages)))
-    at = {lang: k for k, lang in enumerate(languages)}
-    for lang, w, n in zip(*(words.column(c).to_pylist() for c in ("lang", "word", "n"))):
-        if w in number:
-            counts[number[w], at[lang]] += n
-    data = np.frombuffer(b"".join(number), np.uint8)
-    sizes = np.fromiter(map(len, number), np.int64, len(number))
-    starts = np.cumsum(sizes) - sizes
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.int32()), "word": pa.array([k[1] for k in found], pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+
+    words = sample.select("text", "lang").mapInArrow(count, "lang int, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = words.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
+    words = cut(words.repartition(LEARNERS, "word").sortWithinPartitions("word"))
     p = np.full((len(pieces), len(languages)), 1 / len(pieces))
-    for _ in range(rounds if len(number) else 0):
-        uses = lattice.expected(data, starts, sizes, counts, p) + _SMOOTH
-        p = uses / uses.sum(axis=0)
+    for _ in range(rounds):
+        p = _uses(words, pieces, p) + _SMOOTH
+        p = p / p.sum(axis=0)
     return Model(languages, pieces, p)
 
 
+def stretches(data, starts, ends, of):
+    """Words of more than STRETCH_BYTES in parts that are cut between characters."""
+    if not len(starts) or (ends - starts).max() <= STRETCH_BYTES:
+        return data, starts, ends, of
+    whole, found = data.tobytes(), []
+    for s, e, k in zip(starts.tolist(), ends.tolist(), of.tolist()):
+        while e - s > STRETCH_BYTES:
+            cut_at = s + STRETCH_BYTES
+            while whole[cut_at] & 0xC0 == 0x80:
+                cut_at -= 1
+            found.append((s, cut_at, k))
+            s = cut_at
+        found.append((s, e, k))
+    return data, *np.array(found).T
+
+
+def _uses(words: DataFrame, pieces: list[bytes], p: np.ndarray) -> np.ndarray:
+    """Expected uses [piece, language] of all words under the probabilities; sums are of millionths, so that their order does not count."""
+    shared = words.sparkSession.sparkContext.broadcast((pieces, p))
+
+    def work(batches):
+        pieces, p = shared.value
+        lattice, uses = Lattice(pieces), np.zeros_like(p)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 20_000):
+                part = batch.slice(a, 20_000)
+                found, counts = part.column(0).to_pylist(), np.zeros((part.num_rows, p.shape[1]))
+                for k, by in enumerate(part.column(1).to_pylist()):
+                    for lang, n in by:
+                        counts[k, lang] = n
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                uses += lattice.expected(np.frombuffer(b"".join(found), np.uint8), np.cumsum(sizes) - sizes, sizes, counts, p)
+        rows, langs = np.nonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(langs, pa.int32()), pa.array(np.rint(uses[rows, langs] * 1e6).astype(np.int64))], ["piece", "lang", "use"])
+
+    sums = words.mapInArrow(work, "piece int, lang int, use long").groupBy("piece", "lang").agg(F.sum("use").alias("use")).toArrow()
+    out = np.zeros_like(p)
+    out[sums.column("piece").to_numpy(), sums.column("lang").to_numpy()] = sums.column("use").to_numpy() / 1e6
+    return out
+
+
 _PREDICTION = "lang_pred string, score double"
 
 

@@ -460,6 +460,19 @@ def test_language_id(spark, sf_dir):
     assert got[len(ODD) + 1].lang_pred in model.languages
     kept = {x.doc_id for x in language_id.keep_identified(odd, model, least_score=0.0).collect()}
     assert kept == set(got) - {0, 1, 2, len(ODD)}
+    for text in ["plain words", "漢" * 40 + "é" * 20, "x" * 100]:
+        data, starts, ends, of = language_id.stretches(*language_id._words(pa.array(["a", text]), 0, 2))
+        assert (ends - starts).max() <= language_id.STRETCH_BYTES and b"".join(data[s:e].tobytes() for s, e in zip(starts, ends)).decode() == " a " + text
+        assert all(data[s:e].tobytes().decode() for s, e in zip(starts, ends)) and of.tolist() == [0] + [1] * (len(of) - 1)
+    scripts = {"ja": "あいうえおかきくけこさしすせそ", "zh": "的一是不了人我在有他这为之大来", "th": "กขคงจฉชซญดตถทนบ"}  # runs without blanks, many labels
+    r = random.Random(4)
+    runs = [(i, "".join(r.choice(scripts[lang]) for _ in range(60)), lang) for i in range(240) for lang in [list(scripts)[i % 3]]]
+    runs += [(1000 + i, f"label{i} word{i} " * 5, f"l{i}") for i in range(300)]
+    runs = spark.createDataFrame(runs, "doc_id long, text string, lang string")
+    many = language_id.fit(runs, PIECES)
+    assert len(many.languages) == 303 - sum(language_id.is_held_out(1000 + i) for i in range(300))
+    got = language_id.identify(runs, many).join(runs, "doc_id").where("doc_id < 1000").collect()
+    assert all(x.lang == x.lang_pred and x.score > 0.9 for x in got)
     none = language_id.fit(docs.withColumn("lang", F.lit(None).cast("string")), PIECES)
     assert {x.lang_pred for x in language_id.identify(odd, none).collect()} == {"und"}
     assert language_id.identify(odd.limit(0), model).count() == 0
