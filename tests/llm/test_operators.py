@@ -182,7 +182,7 @@ def brute_leaks(text, items, n=10):
     return len(doc), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("max_windows", [4_000_000, 20])
+@pytest.mark.parametrize("max_windows", [4_000_000, 20, 7])
 def test_leaks(spark, max_windows):
     upper = lambda t: t.translate({k: k - 32 for k in range(97, 123)})
     r = random.Random(11)
@@ -201,7 +201,7 @@ def test_leaks(spark, max_windows):
     assert all(upper(passages[3]) not in (t or "") for t in after.values())
 
 
-@pytest.mark.parametrize("max_windows", [4_000_000, 5])
+@pytest.mark.parametrize("max_windows", [4_000_000, 5, 1])
 def test_leaks_with_null_and_repeated_ids(spark, max_windows):
     r = random.Random(12)
     passages = [" ".join(r.choice(VOCABULARY) for _ in range(14)) for _ in range(4)]
@@ -215,6 +215,12 @@ def test_leaks_with_null_and_repeated_ids(spark, max_windows):
     assert order((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in found) == order((i, *brute_leaks(t, items)) for i, t in rows)
     covered = {passages[0] + " " + passages[1]: [(0, len((passages[0] + " " + passages[1]).encode()))]}
     assert [(s.start, s.end) for x in found if x.doc_id is None and x.n_words == 28 for s in x.spans] == covered[texts[4]]
+    bench = spark.createDataFrame([(0, passages[0] + " " + passages[1]), (1, passages[1][4:] + " zz " + passages[0])], "item_id long, text string")  # windows that overlap
+    docs = spark.createDataFrame([(None, f"a {passages[0]} {passages[1]} b", "c"), (7, "clean", "d"), (7, passages[1], "e"), (7, None, "f")], "doc_id long, text string, row0 string")
+    cut = decontaminate.decontaminate(docs, bench, "spans", max_windows=max_windows)
+    assert cut.columns == docs.columns and order(map(tuple, cut.collect())) == order([(None, "a  b", "c"), (7, "clean", "d"), (7, "", "e"), (7, None, "f")])
+    kept = decontaminate.decontaminate(docs, bench, "documents", max_windows=max_windows)
+    assert kept.columns == docs.columns and order(map(tuple, kept.collect())) == order([(7, "clean", "d"), (7, None, "f")])
 
 
 def test_leaks_empty(spark):
