@@ -23,12 +23,14 @@ _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and os.path.exists("
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; only where it is unset and all runs in one process (tests), one of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         return place
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-"))
     return jsc.getCheckpointDir().get()
 

@@ -72,7 +72,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = links.select(F.col("node").alias("u"), F.col("root").alias("other")).unionByName(links.select(F.col("root").alias("u"), F.col("node").alias("other")))
         large = _star(both, "u").where("other > u").select(F.col("other").alias("u"), F.least("u", "low").alias("other"))
-        small = _star(large.mapInArrow(_forest, "node long, root long").toDF("u", "other"), "u")
+        # a forest depends on which links share a partition, and the star reads it twice: it is written
+        small = _star(cut(large.mapInArrow(_forest, "node long, root long")).toDF("u", "other"), "u")
         own = F.when(F.col("other") == F.col("low"), F.col("u")).otherwise(F.col("other"))
         links = small.select(F.explode(F.array_distinct(F.array(F.struct(own.alias("node"), F.col("low").alias("root")), F.struct(F.col("u").alias("node"), F.col("low").alias("root"))))).alias("x"))
         links = cut(links.select("x.node", "x.root").where("node > root").distinct())

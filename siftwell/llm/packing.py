@@ -32,6 +32,9 @@ class Bins:
     def place(self, length: int) -> tuple[int, int, int | None]:
         """(window, offset, window closed to make room)."""
         closed = None
+        if length == self.size:  # a window of its own needs no room among the open ones
+            self.next += 1
+            return self.next - 1, 0, None
         at = bisect.bisect_left(self.free, (length, -1))
         if at < len(self.free):
             room, window = self.free.pop(at)

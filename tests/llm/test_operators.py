@@ -387,6 +387,12 @@ def test_token_files(spark):
     assert pfor.read_token_files(spark, empty, pfor.write_token_files(documents(spark, []), empty, WORD_BPE, 1)).count() == 0
 
 
+def test_whole_windows_close_none():
+    bins = packing.Bins(10, 2, 0)
+    assert [bins.place(n) for n in (4, 7, 10, 3, 10)] == [(0, 0, None), (1, 0, None), (2, 0, None), (1, 7, None), (3, 0, None)]
+    assert bins.place(9) == (4, 0, None) and bins.place(8)[2] == 4
+
+
 @pytest.mark.parametrize("window,open_windows", [(64, 2), (4096, 8)])
 def test_packing(spark, window, open_windows):
     texts = texts_with_copies(60)
