@@ -11,6 +11,8 @@ from siftwell.llm._common import cut
 
 #: Parts of the links of a node in the join of a star step: a node may have a third of all links.
 SALTS = 16
+#: Links that one task unites, after a count; more take rounds over all executors, with the same result.
+LOCAL_LINKS = 1_000_000
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +64,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node``, ``component`` for links (two long columns): the smallest node reachable.
 
     Nodes without a link (or linked with themselves alone) have no row.
-    Alternates large-star and small-star steps; between them each partition
-    replaces its links by a spanning forest.  Every round is written to the
+    Each partition first replaces its links by a spanning forest; what is left is
+    united by one task where that is few.  Else this alternates large-star and small-star steps, with forests between them.  Every round is written to the
     shared folder.  The rounds grow with the logarithm of the nodes.
     """
     a, b = links.columns
     links = links.select(F.greatest(a, b).cast("long").alias("node"), F.least(a, b).cast("long").alias("root")).where("node > root")
     links, before = cut(links.mapInArrow(_forest, "node long, root long")), None
+    if links.limit(LOCAL_LINKS + 1).count() <= LOCAL_LINKS:
+        return cut(links.repartition(1).mapInArrow(_forest, "node long, root long")).withColumnRenamed("root", "component")
     for _ in range(most_rounds):
         both = links.select(F.col("node").alias("u"), F.col("root").alias("other")).unionByName(links.select(F.col("root").alias("u"), F.col("node").alias("other")))
         large = _star(both, "u").where("other > u").select(F.col("other").alias("u"), F.least("u", "low").alias("other"))

@@ -503,7 +503,8 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_simhash(spark):
+def test_simhash(spark, monkeypatch):
+    monkeypatch.setattr(_components, "LOCAL_LINKS", 3)
     r = random.Random(8)
     texts = texts_with_copies(50)
     base = " ".join(r.choice(VOCABULARY) for _ in range(900)).split()
@@ -622,7 +623,9 @@ def test_agreeing_blocks_cover_all_bits():
             assert any(change & m == 0 for m in masks)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(_components, "LOCAL_LINKS", local)
     r = random.Random(2)
     links = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, k) for k in range(2001, 2300)] + [(5, 5)]
     near = {i: set() for x in links for i in x}
