@@ -65,7 +65,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Nodes without a link (or linked with themselves alone) have no row.
     Each partition first replaces its links by a spanning forest; what is left is
-    united by one task where that is few.  Else this alternates large-star and small-star steps, with forests between them.  Every round is written to the
+    united by one task where that is few.  Else this alternates large-star and
+    small-star steps, with forests between them.  Every round is written to the
     shared folder.  The rounds grow with the logarithm of the nodes.
     """
     a, b = links.columns

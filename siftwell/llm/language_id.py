@@ -256,6 +256,7 @@ def fit(
                     key = langs[a + k], whole[s:e]
                     found[key] = found.get(key, 0) + 1
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.int32()), "word": pa.array([k[1] for k in found], pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+            give_back()
 
     words = sample.select("text", "lang").mapInArrow(count, "lang int, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = words.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
@@ -299,6 +300,7 @@ def _uses(words: DataFrame, pieces: list[bytes], p: np.ndarray) -> np.ndarray:
                         counts[k, lang] = n
                 sizes = np.fromiter(map(len, found), np.int64, len(found))
                 uses += lattice.expected(np.frombuffer(b"".join(found), np.uint8), np.cumsum(sizes) - sizes, sizes, counts, p)
+                give_back()
         rows, langs = np.nonzero(uses)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(langs, pa.int32()), pa.array(np.rint(uses[rows, langs] * 1e6).astype(np.int64))], ["piece", "lang", "use"])
 

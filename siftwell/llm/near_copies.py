@@ -321,8 +321,9 @@ def near_copies(
     found = reps.join(groups, F.col("node") == F.col("of")).select("node", "key", "rep", "n", F.col("component").alias("cluster"))
     size = found.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("bytes"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / SETS), F.ceil(F.col("bytes") * 8 / SET_BYTES)).cast("int")
-    size = size.select(F.col("cluster").alias("of"), parts.alias("parts"), F.col("p.node").alias("pivot"))
-    found = cut(found.join(size, F.col("cluster") == F.col("of")).drop("of"))
+    size = _small(size.select(F.col("cluster").alias("of"), parts.alias("parts"), F.col("p.node").alias("pivot")).where("parts > 1"))  # a large group's rows stay where they are
+    found = found.join(size, F.col("cluster") == F.col("of"), "left").drop("of")
+    found = cut(found.withColumns({"parts": F.coalesce("parts", F.lit(1)), "pivot": F.coalesce("pivot", F.lit(-1))}))
 
     def with_sets(nodes: DataFrame) -> DataFrame:
         wanted = _small(nodes)
@@ -342,7 +343,7 @@ def near_copies(
         largest = held.groupBy("cluster").agg(F.max(F.struct("m", "comp", "bytes")).alias("x"), F.sum("m").alias("m"), F.sum("bytes").alias("bytes"))
         odd = F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("x.m")) / SETS), F.ceil((F.col("bytes") - F.col("x.bytes")) * 8 / SET_BYTES)).cast("int")
         largest = largest.where("m > x.m").select(F.col("cluster").alias("of"), F.col("x.comp").alias("main"), odd.alias("odd_parts"))
-        rest = parted.join(largest, F.col("cluster") == F.col("of")).withColumn("own", own).withColumn("own_odd", F.pmod(F.xxhash64("node", F.lit(1)), F.col("odd_parts")).cast("int"))
+        rest = parted.join(_small(largest), F.col("cluster") == F.col("of")).withColumn("own", own).withColumn("own_odd", F.pmod(F.xxhash64("node", F.lit(1)), F.col("odd_parts")).cast("int"))
         every = F.transform(F.sequence(F.lit(0), F.col("odd_parts") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks")))
         asks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("own_odd").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
         rest = with_sets(rest.select("key", "node", "rep", "cluster", "comp", F.when(F.col("comp") == F.col("main"), every).otherwise(F.concat(every, asks)).alias("to")))
