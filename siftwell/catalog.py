@@ -296,17 +296,16 @@ register("retrieve_graph_rrf")(_hybrid("graph-rrf", True))
 GOLD_CTE = f"""
 {BM25_CTE},
 g AS (SELECT query_id, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY chunk_id) - 1 AS INTEGER) AS gold_idx, chunk_id AS gold
-      FROM b JOIN documents d ON d.doc_id = chunk_id JOIN benchmark i ON i.item_id = query_id WHERE rank <= 50 AND contains(d.text, i.text)),
+      FROM (SELECT i.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark i JOIN documents d ON contains(d.text, i.text) WHERE i.text <> '')),
 h AS (SELECT g.query_id, gold_idx, rank FROM g JOIN b ON b.query_id = g.query_id AND b.chunk_id = g.gold WHERE rank <= 10)
 """
 
 
 def _golds(spark, d):
-    """Golds are BM25 candidates that hold an item's text; retrieved are the ten best."""
-    best = search.Bm25Index.build(_chunks(spark, d)).search(_asked(spark, d), 50)
+    """Golds are all documents that hold an item's text; retrieved are BM25's ten best."""
+    best = search.Bm25Index.build(_chunks(spark, d)).search(_asked(spark, d), 10)
     best = graph.settle(best.select("query_id", "chunk_id", "rank"))
-    texts = best.join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(_asked(spark, d), "query_id")
-    holds = texts.where(F.contains("text", "query"))
+    holds = graph.settle(prep.holders(_chunks(spark, d), _asked(spark, d)))
     number = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")) - 1
     nothing = F.lit(None).cast("int")
     golds = holds.select("query_id", number.alias("gold_idx"), F.lit("passage").alias("gold_type"), F.col("chunk_id").alias("passage_id"), F.lit(None).cast("long").alias("doc_id"), nothing.alias("gold_start"), nothing.alias("gold_end"))

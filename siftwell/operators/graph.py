@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import normal_phrase
+from siftwell.functions.vectors import cosine
 from siftwell.operators.search import DIGITS, dense_search, ranked
 
 SYNONYM = 0.85
@@ -23,9 +24,11 @@ PHRASE_BLOCK = 8192
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the cluster; an own folder only where none is set."""
+    """``df`` written to the checkpoint folder of the cluster; an own folder only where none is set and all runs in one process."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-"))
     return df.checkpoint()
 
@@ -177,9 +180,11 @@ def graph_search(queries: DataFrame, node_vectors: DataFrame, undirected: DataFr
     """Passages by ``blend`` of their PageRank and the rest of their cosine: chunk_id, score, rank, source graph."""
     mass = pagerank(adjacency(undirected), node_vectors, seeds_of(queries, node_vectors, recognised=recognised))
     passages = node_vectors.where("kind = 'passage'").select("node_id", "chunk_id", "vector")
-    n = max(1, passages.count())
-    near = dense_search(queries, passages.select(F.col("node_id").alias("chunk_id"), "vector"), n).select("query_id", F.col("chunk_id").alias("node_id"), F.col("score").alias("near"))
-    scored = near.join(mass, ["query_id", "node_id"], "left").join(passages.select("node_id", "chunk_id"), "node_id")
-    score = F.round(blend * F.coalesce("mass", F.lit(0.0)) + (1 - blend) * F.col("near"), DIGITS)
+    reached = mass.join(passages, "node_id").join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
+    reached = reached.select("query_id", "chunk_id", "mass", F.round(cosine(F.col("asked"), F.col("vector")), DIGITS).alias("near"))
+    # a passage without mass is among the best k only if it is among the k nearest
+    near = dense_search(queries, passages.select("chunk_id", "vector"), k).select("query_id", "chunk_id", F.lit(0.0).alias("mass"), F.col("score").alias("near"))
+    scored = reached.unionByName(near).groupBy("query_id", "chunk_id").agg(F.max("mass").alias("mass"), F.max("near").alias("near"))
+    score = F.round(blend * F.col("mass") + (1 - blend) * F.col("near"), DIGITS)
     return ranked(scored.select("query_id", "chunk_id", score.alias("score"), F.lit("graph").alias("source")), k)
 

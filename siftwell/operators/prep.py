@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,46 @@ def multi_hop_records(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries, passages
 
 
+def holders(rows: DataFrame, items: DataFrame, id_col: str = "chunk_id", text_col: str = "text", block_bytes: int = 32_000_000) -> DataFrame:
+    """Which row's text contains which item's: ``query_id``, and the row's id.
+
+    The items (query_id, query) are the stated set: they go out in blocks of
+    bounded bytes, and each text is scanned once a block for all its items by one
+    automaton.  Empty items are held by none.
+    """
+    spark, kind = rows.sparkSession, {"id": rows.schema[id_col].dataType.simpleString(), "query": items.schema["query_id"].dataType.simpleString()}
+    schema = f"query_id {kind['query']}, {id_col} {kind['id']}"
+    texts, out, held, size = rows.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")), spark.createDataFrame([], schema), [], 0
+
+    def scanned(part):
+        shared = spark.sparkContext.broadcast(part)
+
+        def work(batches):
+            import ahocorasick
+
+            by_text: dict[str, list] = {}
+            for query, text in shared.value:
+                by_text.setdefault(text, []).append(query)
+            known = ahocorasick.Automaton()
+            for text, asking in by_text.items():
+                known.add_word(text, asking)
+            known.make_automaton()
+            for batch in batches:
+                found = []
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found += [(q, row) for q in dict.fromkeys(q for _, asking in known.iter(text) for q in asking)]
+                yield pa.RecordBatch.from_pydict({"query_id": [f[0] for f in found], id_col: [f[1] for f in found]})
+
+        return texts.mapInArrow(work, schema)
+
+    for item in items.where("query <> ''").select("query_id", "query").toLocalIterator():
+        held.append((item.query_id, item.query))
+        size += len(item.query)
+        if size > block_bytes:
+            out, held, size = out.unionByName(scanned(held)), [], 0
+    return out.unionByName(scanned(held)) if held else out
+
+
 def first_documents(rows: DataFrame, id_col: str = "doc_id", ord_col: str = "ord") -> DataFrame:
     """One row for each id, that which came first."""
     others = [c for c in rows.columns if c != id_col]

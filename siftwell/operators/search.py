@@ -6,6 +6,8 @@ from 1, ties go to the smaller chunk.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +20,10 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Decimals that count in a comparison of scores: sums in another order differ beyond them.
 DIGITS = 6
-#: Query vectors that are broadcast at a time.
-QUERY_BLOCK = 4096
+#: Query vectors that are broadcast at a time, and scores that a worker computes at a time.
+QUERY_BLOCK, SCORES = 4096, 4_000_000
+#: Different terms of all queries that are broadcast at most; more are joined by a shuffle.
+ASKED_TERMS = 200_000
 
 
 def ranked(scored: DataFrame, k: int | None, score: str = "score", by: str = "chunk_id") -> DataFrame:
@@ -31,8 +35,8 @@ def ranked(scored: DataFrame, k: int | None, score: str = "score", by: str = "ch
 class Bm25Index:
     """Postings with ready weights, by term, and the statistics behind them."""
 
-    def __init__(self, postings: DataFrame, terms: DataFrame, corpus: DataFrame):
-        self.postings, self.terms, self.corpus = postings, terms, corpus
+    def __init__(self, postings: DataFrame, terms: DataFrame, corpus: DataFrame, weighted=None):
+        self.postings, self.terms, self.corpus, self._weighted = postings, terms, corpus, weighted
 
     @staticmethod
     def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", k1: float = K1, b: float = B) -> Bm25Index:
@@ -44,12 +48,18 @@ class Bm25Index:
         rows = chunks.select(F.col(id_col).alias("chunk_id"), search_terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
         sized = rows.withColumn("length", F.size("terms"))
         corpus = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-        counts = sized.select("chunk_id", "length", F.explode("terms").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-        terms = counts.groupBy("term").agg(F.count("*").alias("df"))
-        terms = terms.crossJoin(F.broadcast(corpus)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of corpus
-        weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-        postings = counts.join(terms, "term").select("term", "chunk_id", "tf", weight.alias("weight"))
-        return Bm25Index(postings, terms.select("term", "df", "idf"), corpus)
+
+        def weighted(only: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+            found = sized.select("chunk_id", "length", F.explode("terms").alias("term"))
+            if only is not None:
+                found = found.join(only, "term", "left_semi")
+            counts = found.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+            terms = counts.groupBy("term").agg(F.count("*").alias("df"))
+            terms = terms.crossJoin(F.broadcast(corpus)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of corpus
+            weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+            return counts.join(terms, "term").select("term", "chunk_id", "tf", weight.alias("weight")), terms.select("term", "df", "idf")
+
+        return Bm25Index(*weighted(None), corpus, weighted)
 
     def write(self, path: str) -> None:
         self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
@@ -63,7 +73,11 @@ class Bm25Index:
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """Top ``k`` by the sum of weights over the query's terms, each occurrence counted; no term, no row."""
         asked = queries.select("query_id", F.explode(search_terms(F.coalesce("query", F.lit("")))).alias("term"))
-        found = asked.join(self.postings, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), DIGITS).alias("score"))
+        only = asked.select("term").distinct()
+        if only.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS:  # other terms fall away where the texts are read
+            only = F.broadcast(only)
+        postings = self._weighted(only)[0] if self._weighted else self.postings.join(only, "term", "left_semi")
+        found = asked.join(postings, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), DIGITS).alias("score"))
         return ranked(found.where("score > 0").withColumn("source", F.lit("bm25")), k)
 
 
@@ -72,55 +86,68 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int, vector: str = "v
 
     The query vectors are the stated set: they go out in bounded blocks, and
     every partition of chunks multiplies block by block and keeps its own best
-    ``k``, so only queries x k rows a partition are exchanged.
+    ``k``, so only queries x k rows a partition are exchanged.  Vectors with null
+    or non-finite components take no part, and only vectors of one size are
+    compared; a zero vector has cosine 0 with all.
     """
     if k <= 0:
         return queries.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double, source string, rank int")
     spark = queries.sparkSession
     kind = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     rows = chunks.select("chunk_id", F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    out, held = None, []
+    schema = f"query_id {kind[1]}, chunk_id {kind[0]}, score double"
+    out = spark.createDataFrame([], schema)
+    held: dict[int, list] = {}
 
     def scored(part):
         names = [r.query_id for r in part]
-        matrix = np.array([r.v for r in part], float)
-        size = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        shared = spark.sparkContext.broadcast((names, matrix / np.where(size == 0, 1, size)))
+        shared = spark.sparkContext.broadcast((names, unit_rows(np.array([r.v for r in part], float))))
 
         def work(batches):
             own, q = shared.value
-            best: tuple = (np.zeros((len(own), 0)), np.zeros((len(own), 0), object))
+            best: list[list[tuple[float, object]]] = [[] for _ in own]  # (-score, id), ascending
+            edge = np.full(len(own), -np.inf)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.array(batch.column(1).to_pylist(), float)
-                size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                scores = np.round(q @ (x / np.where(size == 0, 1, size)).T, DIGITS) + 0.0
-                ids = np.array(batch.column(0).to_pylist(), object)
-                scores = np.hstack([best[0], scores])
-                every = np.hstack([best[1], np.broadcast_to(ids, (len(own), len(ids)))])
-                keep = [_best(s, e, min(k, len(s))) for s, e in zip(scores, every)]
-                best = (np.array([s[j] for s, j in zip(scores, keep)]), np.array([e[j] for e, j in zip(every, keep)], object).reshape(len(own), -1))
-            if best[0].shape[1]:
-                n = best[0].shape[1]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array(own, object), n).tolist(), "chunk_id": best[1].reshape(-1).tolist(), "score": best[0].reshape(-1)})
-
-        return rows.mapInArrow(work, f"query_id {kind[1]}, chunk_id {kind[0]}, score double")
+                ids, x = whole_rows(batch.column(0), batch.column(1), q.shape[1])
+                step = max(1, SCORES // len(own))
+                for a in range(0, len(ids), step):
+                    scores = np.round(q @ unit_rows(x[a : a + step]).T, DIGITS) + 0.0
+                    for i in np.flatnonzero((scores >= edge[:, None]).any(axis=1)).tolist():
+                        near = np.flatnonzero(scores[i] >= edge[i])
+                        if len(near) > k:  # no fewer than k are at least as near as the k-th of them
+                            near = near[scores[i][near] >= np.partition(scores[i][near], len(near) - k)[len(near) - k]]
+                        best[i] = sorted([*best[i], *((-scores[i][j], ids[a + j]) for j in near.tolist())])[:k]
+                        if len(best[i]) == k:
+                            edge[i] = -best[i][-1][0]
+            found = [(name, chunk, -score) for name, rows in zip(own, best) for score, chunk in rows]
+            if found:
+                yield pa.RecordBatch.from_pydict({"query_id": [f[0] for f in found], "chunk_id": [f[1] for f in found], "score": [f[2] + 0.0 for f in found]})
+
+        return rows.mapInArrow(work, schema)
 
     for row in queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).where("v is not null").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            out, held = (scored(held) if out is None else out.unionByName(scored(held))), []
-    if held or out is None:
-        last = scored(held) if held else spark.createDataFrame([], f"query_id {kind[1]}, chunk_id {kind[0]}, score double")
-        out = last if out is None else out.unionByName(last)
+        if not row.v or not all(x is not None and math.isfinite(x) for x in row.v):
+            continue
+        part = held.setdefault(len(row.v), [])
+        part.append(row)
+        if len(part) == block:
+            out = out.unionByName(scored(held.pop(len(row.v))))
+    for part in held.values():
+        out = out.unionByName(scored(part))
     return ranked(out.withColumn("source", F.lit("dense")), k)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int):
-    edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-    near = np.flatnonzero(scores >= edge)
-    return sorted(near.tolist(), key=lambda j: (-scores[j], ids[j]))[:k]
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size == 0, 1, size)
+
+
+def whole_rows(ids: pa.Array, vectors: pa.Array, size: int) -> tuple[list, np.ndarray]:
+    """Ids and vectors of the rows with a vector of ``size`` finite components."""
+    fits = [(i, v) for i, v in zip(ids.to_pylist(), vectors.to_pylist()) if v is not None and len(v) == size and None not in v]
+    x = np.array([v for _, v in fits], float).reshape(-1, size)
+    good = np.isfinite(x).all(axis=1)
+    return [i for (i, _), yes in zip(fits, good.tolist()) if yes], x[good]
 
 
 def rrf(lists: list[DataFrame], k: int | None = None, rrf_k: int = RRF_K) -> DataFrame:
