@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import blend, hash_embedding
 from siftwell.operators.graph import graph_search
-from siftwell.operators.search import Bm25Index, dense_search, ranked, rerank, rrf
+from siftwell.operators.search import Bm25Index, dense_search, rerank, rrf
 from siftwell.plans.config import PipelineConfig
 
 
@@ -81,10 +80,3 @@ def retrieve(queries: DataFrame, indexes: Indexes, config: PipelineConfig, score
     if q.rerank:
         degraded.append("rerank-skipped")
     return candidates.where(F.col("rank") <= q.top_k_final), degraded
-
-
-def fuse_all(lists: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, lists)
-
-
-__all__ = ["Indexes", "Unavailable", "check", "embed_chunks", "fuse_all", "ranked", "retrieve"]

@@ -15,8 +15,9 @@ from siftwell.operators import evaluate, graph, ledger
 from siftwell.operators.chunking import chunk
 from siftwell.operators.search import Bm25Index
 from siftwell.plans import costs, records
+from siftwell.plans.answer import Providers, answer
 from siftwell.plans.config import MULTI_HOP, IngestConfig, PipelineConfig, preset
-from siftwell.plans.retrieve import Indexes, Unavailable, embed_chunks, retrieve
+from siftwell.plans.retrieve import Indexes, Unavailable, embed_chunks
 from siftwell.sources import files, sinks
 
 RESULTS = (
@@ -71,47 +72,44 @@ def load(spark: SparkSession, out: str) -> Indexes:
     return found
 
 
-def first_sentence(text):
-    """The offline answer: a chunk's first sentence."""
-    return F.trim(F.regexp_extract(text, r"(?s)^(.*?[.!?])(\s|$)", 1))
-
-
-def run_preset(queries: DataFrame, golds: DataFrame, indexes: Indexes, config: PipelineConfig, run_id: str, done: DataFrame | None = None, spend_cap: float | None = None, spent: float = 0.0, answer=first_sentence) -> DataFrame:
+def run_preset(queries: DataFrame, golds: DataFrame, indexes: Indexes, config: PipelineConfig, run_id: str, done: DataFrame | None = None, spend_cap: float | None = None, spent: float = 0.0, providers: Providers | None = None) -> DataFrame:
     """Result rows of the queries not yet recorded.
 
     ``queries``: query_id, question, gold_answers.  With a cap, only the
     queries whose estimates fit what is left are admitted, in order of id, and
-    :class:`SpendCap` is raised if not even one is.  A plan that cannot run
-    gives failed rows, not a failed job.
+    :class:`SpendCap` is raised if not even one is.  Presets that route send
+    each query its way.  A plan that cannot run gives failed rows, not a failed
+    job.
     """
     own = F.lit(config.name)
     if done is not None:
         queries = ledger.resume(queries, done.where((F.col("run_id") == run_id) & (F.col("preset") == config.name)), ["query_id"])
     each = costs.query_usd(config)
     if spend_cap is not None:
-        fits = int((spend_cap - spent + 1e-12) // each)
-        if fits <= 0 and queries.head(1):
+        costed = queries.withColumns({"__run": F.lit(run_id), "__usd": F.lit(each), "__left": F.lit(spend_cap - spent + 1e-12)})
+        admitted = graph.settle(ledger.within_cap(costed, "__run", ["query_id"], "__usd", "__usd", "__left").where("admitted").select(*queries.columns))
+        if not admitted.head(1) and queries.head(1):
             raise SpendCap(f"{spent} of {spend_cap} dollars are spent")
-        queries = queries.orderBy("query_id").limit(max(0, fits))
+        queries = admitted
     began = time.perf_counter()
     base = queries.select("query_id", F.col("question").alias("query"), "gold_answers")
     null = lambda kind: F.lit(None).cast(kind)
     try:
-        rows, degraded = retrieve(base, indexes, config)
-        rows = graph.settle(rows)
+        found, rows = answer(base, indexes, config, providers)
+        found = graph.settle(found)
     except Unavailable as error:
         return base.select(F.lit(run_id).alias("run_id"), own.alias("preset"), "query_id", F.lit("failed").alias("status"), null("string").alias("route"), *(null("double").alias(c) for c in ("recall", "mrr", "em", "f1", "usd", "latency_ms")),
                            F.array().cast("array<string>").alias("retrieved_chunk_ids"), null("string").alias("answer"), F.array().cast("array<string>").alias("flags"), F.lit(str(error)).alias("error"))
     placed = rows.join(indexes.chunks.select("chunk_id", "passage_id", "doc_id", "text", "start_token", "end_token"), "chunk_id")
     scores = evaluate.retrieval_metrics(evaluate.hits(placed, golds), golds)
-    best = placed.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x.chunk_id).alias("retrieved_chunk_ids"), F.min_by("text", "rank").alias("top"))
-    joined = base.join(best, "query_id", "left").join(scores, "query_id", "left").withColumn("answer", answer(F.col("top")))
+    joined = base.join(found, "query_id", "left").join(scores, "query_id", "left")
     latency = (time.perf_counter() - began) * 1000 / max(1, queries.count())
-    route = "graph" if config.query.graph and not config.query.bm25 else "s1"
+    said = F.coalesce("answer", F.lit(""))
     return joined.select(
-        F.lit(run_id).alias("run_id"), own.alias("preset"), "query_id", F.when(F.coalesce("answer", F.lit("")) == "", "abstained").otherwise("ok").alias("status"), F.lit(route).alias("route"), "recall", "mrr",
-        exact_match(F.coalesce("answer", F.lit("")), F.col("gold_answers")).alias("em"), token_f1(F.coalesce("answer", F.lit("")), F.col("gold_answers")).alias("f1"), F.lit(each).alias("usd"), F.lit(latency).alias("latency_ms"),
-        F.coalesce("retrieved_chunk_ids", F.array().cast("array<string>")).alias("retrieved_chunk_ids"), "answer", F.lit(degraded).cast("array<string>").alias("flags") if degraded else F.array().cast("array<string>").alias("flags"), null("string").alias("error"),
+        F.lit(run_id).alias("run_id"), own.alias("preset"), "query_id", F.when(said == "", "abstained").otherwise("ok").alias("status"),
+        F.when(F.lit(config.query.graph and not config.query.bm25), "graph").otherwise(F.col("route")).alias("route"), "recall", "mrr",
+        exact_match(said, F.col("gold_answers")).alias("em"), token_f1(said, F.col("gold_answers")).alias("f1"), F.lit(each).alias("usd"), F.lit(latency).alias("latency_ms"),
+        F.col("chunk_ids").alias("retrieved_chunk_ids"), "answer", "flags", null("string").alias("error"),
     )
 
 

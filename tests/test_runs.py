@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell import cli
 from siftwell.operators.prep import gold_rows
@@ -17,11 +18,11 @@ def corpus(tmp_path_factory):
     home = tmp_path_factory.mktemp("data") / "mini"
     raw = home / "raw"
     raw.mkdir(parents=True)
-    docs = [("d1", "Paris is the capital of France. It lies on the Seine."), ("d2", "Berlin is the capital of Germany."), ("d3", "The Spree flows through Berlin. It is short.")]
+    docs = [("d1", "Otters sleep afloat in kelp. They hold hands."), ("d2", "Kelp grows half a metre a day."), ("d3", "The heron stands beside kelp pools. It is patient.")]
     (raw / "docs.jsonl").write_text("\n".join(json.dumps({"doc_id": d, "passage_id": d, "title": d, "text": t}) for d, t in docs))
     asked = [
-        {"query_id": "q1", "question": "capital of France", "answer": "Paris is the capital of France.", "answer_aliases": ["Paris"], "gold": {"type": "passage", "passage_ids": ["d1"]}},
-        {"query_id": "q2", "question": "which river flows through Berlin", "answer_texts": ["The Spree"], "gold": {"type": "span", "doc_id": "d3", "start_token": 0, "end_token": 5}},
+        {"query_id": "q1", "question": "who sleeps afloat", "answer": "Otters sleep afloat in kelp.", "answer_aliases": ["Otters"], "gold": {"type": "passage", "passage_ids": ["d1"]}},
+        {"query_id": "q2", "question": "which bird stands beside pools", "answer_texts": ["The heron"], "gold": {"type": "span", "doc_id": "d3", "start_token": 0, "end_token": 6}},
     ]
     (raw / "queries.jsonl").write_text("\n".join(map(json.dumps, asked)))
     (raw / "slice-smoke.json").write_text('["q1", "q2"]')
@@ -44,6 +45,40 @@ def test_ingest_and_run(spark, corpus, tmp_path):
     assert run_preset(asked, golds, indexes, preset("bm25-only"), "r2", spend_cap=0.0144).count() == 1
 
 
+def test_answers_by_route(spark, corpus, tmp_path):
+    from siftwell.plans import offline
+    from siftwell.plans.answer import Providers, answer, retrieve_each
+
+    triples = spark.createDataFrame([("d1:0", "otters", "sleep in", "kelp"), ("d2:0", "kelp", "grows", "fast")], "chunk_id string, subject string, relation string, object string")
+    ingest(spark, str(corpus / "raw"), str(tmp_path / "index"), "mini", triples=triples)
+    indexes = load(spark, str(tmp_path / "index"))
+    asked = spark.createDataFrame([("a", "who sleeps afloat"), ("b", "heron pools and then kelp metre"), ("c", "otters graph"), ("d", None), ("e", "unsure heron")], "query_id string, query string")
+    ways = {"a": ("simple", 0.9), "b": ("complex", 0.9), "c": ("graph", 0.9), "e": ("simple", 0.2)}
+    table = spark.createDataFrame([(k, r, c, 7) for k, (r, c) in ways.items()], "query_id string, route string, confidence double, tokens int")
+    parts = spark.createDataFrame([("b", ["heron pools", "kelp metre"], 5), ("e", ["heron"], 5)], "query_id string, subqueries array<string>, tokens int")
+
+    def writes(contexts):
+        return offline.write(contexts).withColumns({"contradiction": F.col("query_id") == "a", "open_parts": F.array(F.lit("x")), "citations": F.array(F.lit(1), F.lit(99))})
+
+    providers = Providers(lambda q: table, lambda q: parts, offline.judge, writes)
+    found, rows = answer(asked, indexes, preset("router-on"), providers)
+    by = {x.query_id: x for x in found.collect()}
+    assert {k: x.route for k, x in by.items()} == {"a": "s1", "b": "s2", "c": "graph", "d": "s2", "e": "s2"}
+    assert by["a"].answer == "Otters sleep afloat in kelp." and by["a"].cited == ["d1:0"] and by["a"].flags == ["contradiction"]
+    assert by["b"].hops_used == 2 and set(by["b"].chunk_ids[:1]) == {"d3:0"} and "d2:0" in by["b"].chunk_ids and by["b"].unresolved == ["x"]
+    assert by["c"].chunk_ids and {x.route for x in rows.where("query_id = 'c'").collect()} == {"graph"} and by["d"].hops_used == 0
+    forced, _ = answer(asked, indexes, preset("rerank"))
+    assert {x.route for x in forced.collect()} == {"s1"}
+    failures = spark.createDataFrame([("a", "dense"), ("b", "rerank"), ("c", "bm25"), ("c", "dense")], "query_id string, component string")
+    got, told = retrieve_each(asked.where("query is not null"), indexes, preset("rerank"), failures)
+    assert {x.query_id: x.degraded for x in told.collect()} == {"a": ["dense-skipped"], "b": ["rerank-skipped"], "c": ["failed"], "e": []}
+    assert {x.query_id for x in got.collect()} == {"a", "b", "e"} and {x.source for x in got.where("query_id = 'b'").collect()} == {"rrf"}
+    gold_queries, golds = gold_rows(files.queries(spark, str(corpus / "raw/queries.jsonl")))
+    found = run(spark, gold_queries, golds, indexes, ["router-on", "graph"], "r9", str(tmp_path / "routed"), dataset="musique")
+    by = {r["preset"]: r for r in found["receipts"]}
+    assert not found["skipped"] and by["router-on"]["n_s1"] == 2 and by["graph"]["n_graph"] == 2 and by["graph"]["recall_at_5"] is None
+
+
 def test_command_line(corpus, tmp_path):
     assert cli.main(["ingest", "--corpus", "none", "--data-dir", str(tmp_path)]) == cli.MISSING
     assert cli.main(["eval", "--corpus", "mini", "--presets", "nothing"]) == cli.USAGE
