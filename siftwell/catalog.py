@@ -9,6 +9,7 @@ from siftwell.functions import text as X
 from siftwell.functions import vectors as V
 from siftwell.operators import agent, chunking, evaluate, graph, ledger, prep, search
 from siftwell.plans import costs, records
+from siftwell.plans.answer import answer, retrieve_each
 from siftwell.plans.config import PRESETS, preset
 from siftwell.plans.retrieve import Indexes, embed_chunks, retrieve
 from siftwell.registry import register
@@ -116,30 +117,38 @@ def chunk_fixed_stride(spark, d):
     return chunking.fixed_chunks(table(spark, d, "documents"), 128, 16)
 
 
-PACK_SQL = f"""
-WITH RECURSIVE t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents),
-e AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: right(w[i], 1) IN ('.', '!', '?') OR i = len(w)) AS ends FROM t WHERE len(w) > 0),
-s AS (SELECT doc_id, unnest(range(1, len(ends) + 1)) AS k, ends FROM e),
-r AS (SELECT doc_id, CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END AS a, ends[k] AS b FROM s),
-u AS (SELECT doc_id, a + i * 56 AS a, least(a + i * 56 + 64, b) AS b FROM (SELECT doc_id, a, b, unnest(range(CASE WHEN b - a <= 64 THEN 1 ELSE 1 + CAST(ceil((b - a - 64) / 56.0) AS BIGINT) END)) AS i FROM r)),
-l AS (SELECT doc_id, list(a ORDER BY a, b) AS a, list(b ORDER BY a, b) AS b FROM u GROUP BY doc_id),
-p(doc_id, a, b, i, first, used, win) AS (
-  SELECT doc_id, a, b, 1, 1, CAST(0 AS BIGINT), CAST(NULL AS STRUCT(s BIGINT, e BIGINT)) FROM l
+def pack_cte(rows: str, size: int, overlap: int) -> str:
+    """Common table expressions (recursive) up to ``o``: key, w (words), s, e of the packed windows of rows key, text."""
+    step = size - overlap
+    return f"""
+t AS (SELECT key, {TOKENS_SQL} AS w FROM ({rows})),
+e AS (SELECT key, w, list_filter(range(1, len(w) + 1), lambda i: right(w[i], 1) IN ('.', '!', '?') OR i = len(w)) AS ends FROM t WHERE len(w) > 0),
+s AS (SELECT key, unnest(range(1, len(ends) + 1)) AS k, ends FROM e),
+r AS (SELECT key, CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END AS a, ends[k] AS b FROM s),
+u AS (SELECT key, a + i * {step} AS a, least(a + i * {step} + {size}, b) AS b FROM (SELECT key, a, b, unnest(range(CASE WHEN b - a <= {size} THEN 1 ELSE 1 + CAST(ceil((b - a - {size}) / {step}.0) AS BIGINT) END)) AS i FROM r)),
+l AS (SELECT key, list(a ORDER BY a, b) AS a, list(b ORDER BY a, b) AS b FROM u GROUP BY key),
+p(key, a, b, i, first, used, win) AS (
+  SELECT key, a, b, 1, 1, CAST(0 AS BIGINT), CAST(NULL AS STRUCT(s BIGINT, e BIGINT)) FROM l
   UNION ALL
-  SELECT doc_id, a, b, i + 1,
+  SELECT key, a, b, i + 1,
     CASE WHEN fits THEN first ELSE nf END, CASE WHEN fits THEN used + len ELSE coalesce(list_sum(list_transform(range(nf, i), lambda j: b[j] - a[j])), 0) + len END,
     CASE WHEN fits THEN NULL ELSE {{'s': a[first], 'e': b[i - 1]}} END
   FROM (
-    SELECT *, CASE WHEN k0 < i AND (list_sum(list_transform(range(k0, i), lambda j: b[j] - a[j])) + len > 64 OR b[i - 1] <> a[i]) THEN i ELSE k0 END AS nf
+    SELECT *, CASE WHEN k0 < i AND (list_sum(list_transform(range(k0, i), lambda j: b[j] - a[j])) + len > {size} OR b[i - 1] <> a[i]) THEN i ELSE k0 END AS nf
     FROM (
-      SELECT *, b[i] - a[i] AS len, (i = first OR used + b[i] - a[i] <= 64) AS fits,
-        coalesce(list_min(list_filter(range(first, i), lambda k: list_sum(list_transform(range(k, i), lambda j: b[j] - a[j])) <= 8)), i) AS k0
+      SELECT *, b[i] - a[i] AS len, (i = first OR used + b[i] - a[i] <= {size}) AS fits,
+        coalesce(list_min(list_filter(range(first, i), lambda k: list_sum(list_transform(range(k, i), lambda j: b[j] - a[j])) <= {overlap})), i) AS k0
       FROM p WHERE i <= len(a)
     )
   )
 ),
-o AS (SELECT doc_id, win.s AS s, win.e AS e FROM p WHERE win IS NOT NULL UNION ALL SELECT doc_id, a[first], b[len(b)] FROM p WHERE i = len(a) + 1)
-SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(s AS INTEGER) AS start_token, CAST(e AS INTEGER) AS end_token, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, e) - 1 AS INTEGER) AS position FROM o
+o AS (SELECT key, w, s, e FROM t JOIN (SELECT key, win.s AS s, win.e AS e FROM p WHERE win IS NOT NULL UNION ALL SELECT key, a[first], b[len(b)] FROM p WHERE i = len(a) + 1) USING (key))
+"""
+
+
+PACK_SQL = f"""
+WITH RECURSIVE {pack_cte("SELECT doc_id AS key, text FROM documents", 64, 8)}
+SELECT CAST(key AS VARCHAR) AS doc_id, CAST(s AS INTEGER) AS start_token, CAST(e AS INTEGER) AS end_token, CAST(row_number() OVER (PARTITION BY key ORDER BY s, e) - 1 AS INTEGER) AS position FROM o
 """
 
 
@@ -149,7 +158,12 @@ def chunk_sentence_pack(spark, d):
     return chunking.chunk(docs, 64, 8).select("doc_id", "start_token", "end_token", "position")
 
 
-@register("chunk_renumber")
+@register("chunk_renumber", f"""
+WITH RECURSIVE {pack_cte("SELECT conv_id || '-' || turn AS key, text FROM conversations", 32, 4)},
+n AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, key AS passage_id, array_to_string(w[s + 1 : e], ' ') AS text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, s, e) - 1 AS INTEGER) AS position, s, e
+      FROM o JOIN conversations c ON c.conv_id || '-' || c.turn = key)
+SELECT doc_id || ':' || position AS chunk_id, doc_id, passage_id, text, position, CAST(s AS INTEGER) AS start_token, CAST(e AS INTEGER) AS end_token FROM n
+""")
 def chunk_renumber(spark, d):
     """Passages are conversation turns: positions count through each conversation."""
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat_ws("-", "conv_id", "turn").alias("passage_id"), F.col("turn").alias("ord"), "text")
@@ -165,7 +179,20 @@ def oversized_hard_cut(spark, d):
     return chunking.split_oversized(table(spark, d, "documents"), 2000)
 
 
-@register("oversized_split")
+@register("oversized_split", r"""
+WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, string_split(text, chr(10)) AS x FROM documents WHERE length(text) > 3000),
+l AS (SELECT doc_id, list_transform(range(1, len(x) + 1), lambda i: x[i] || CASE WHEN i < len(x) THEN chr(10) ELSE '' END) AS p FROM d),
+r(doc_id, p, i, held, parts) AS (
+  SELECT doc_id, p, 1, '', CAST([] AS VARCHAR[]) FROM l
+  UNION ALL
+  SELECT doc_id, p, i + 1, CASE WHEN over THEN '' ELSE held END || substr(p[i], cuts * 3000 + 1),
+    list_concat(list_concat(parts, CASE WHEN over THEN [held] ELSE CAST([] AS VARCHAR[]) END), list_transform(range(cuts), lambda j: substr(p[i], j * 3000 + 1, 3000)))
+  FROM (SELECT *, held <> '' AND length(held) + length(p[i]) > 3000 AS over, greatest(length(p[i]) - 1, 0) // 3000 AS cuts FROM r WHERE i <= len(p))
+),
+o AS (SELECT doc_id, CASE WHEN held <> '' THEN list_append(parts, held) ELSE parts END AS parts FROM r WHERE i = len(p) + 1)
+SELECT doc_id || '#part' || (k - 1) AS doc_id, CAST(k - 1 AS INTEGER) AS part, CAST(len(parts) AS INTEGER) AS n_splits, parts[k] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM o)
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 0, 1, text FROM documents WHERE length(text) <= 3000
+""")
 def oversized_split(spark, d):
     return chunking.split_oversized(table(spark, d, "documents"), 3000, separator="\n")
 
@@ -224,7 +251,20 @@ def dense_topk(spark, d):
     return search.dense_search(asked, v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), 10).select("query_id", "chunk_id", "score", "rank")
 
 
-@register("dense_two_variants")
+def vector_sql(text: str) -> str:
+    """The hash embedding of a text, not brought to length 1: a cosine does that."""
+    digit = "(instr('0123456789abcdef', sha256({t})[2 * i + {k} : 2 * i + {k}]) - 1)"
+    return f"list_transform(range(32), lambda i: ({digit.format(t=text, k=1)} * 16 + {digit.format(t=text, k=2)}) / 255.0::DOUBLE - 0.5)"
+
+
+@register("dense_two_variants", f"""
+WITH RECURSIVE {pack_cte("SELECT doc_id AS key, text FROM documents", 128, 16)},
+c AS (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY s, e) - 1 AS INTEGER) AS position, array_to_string(w[s + 1 : e], ' ') AS text FROM o),
+h AS (SELECT key, string_agg(text, ' ' ORDER BY position) AS whole FROM c GROUP BY key),
+v AS (SELECT key, position, {vector_sql("text")} AS a, {vector_sql("whole")} AS b FROM c JOIN h USING (key)),
+z AS (SELECT *, sqrt(list_dot_product(a, a)) AS na, sqrt(list_dot_product(b, b)) AS nb FROM v)
+SELECT CAST(key AS VARCHAR) || ':' || position AS chunk_id, round(list_cosine_similarity(a, list_transform(range(1, 33), lambda i: 0.8::DOUBLE * a[i] / na + 0.2::DOUBLE * b[i] / nb)), 6) AS cosine FROM z
+""")
 def dense_two_variants(spark, d):
     """Isolated and contextual vectors of sentence chunks; equal texts tie in the first and part in the second."""
     docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("passage_id"), F.lit(0).alias("ord"), "text")
@@ -274,6 +314,86 @@ def _indexes(spark, d, with_graph=False):
     return found
 
 
+TRIPLES_SQL = """
+tr AS (SELECT CAST(n_nationkey AS BIGINT) AS chunk_id, n_name AS s, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey
+       UNION ALL SELECT CAST(c_custkey AS BIGINT), n_name, ' Market  ' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey),
+tn AS (SELECT chunk_id, trim(regexp_replace(lower(s), '\\s+', ' ', 'g')) AS s, trim(regexp_replace(lower(o), '\\s+', ' ', 'g')) AS o FROM tr),
+ph AS (SELECT s AS text FROM tn UNION SELECT o FROM tn)
+"""
+
+
+def plan_cte(asked: str, bm25=True, dense=False, with_graph=False, rerank=False, k: int = 50, final: int = 5, **_) -> str:
+    """A retrieval plan over rows query_id, text as common table expressions up to ``final``: query_id, chunk_id, score, source, rank.
+
+    Every document is one chunk, so its contextual vector is its own.
+    """
+    rank = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank"
+    parts = [f"a AS ({asked})", f"dc AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text, {TERMS_SQL} AS terms, {vector_sql('text')} AS e FROM documents)", f"av AS (SELECT query_id, text, {vector_sql('text')} AS e FROM a)"]
+    lists = []
+    if bm25:
+        parts.append(f"""c AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM dc),
+f AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(terms) AS dl, unnest(terms) AS term FROM dc) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+w AS (SELECT term, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / mean)) AS weight FROM f JOIN df USING (term), c),
+q AS (SELECT query_id, unnest({TERMS_SQL}) AS term FROM a),
+b AS (SELECT *, {rank} FROM (SELECT query_id, chunk_id, round(sum(weight), 6) AS score FROM q JOIN w USING (term) GROUP BY ALL) WHERE score > 0)""")
+        lists.append("b")
+    if dense:
+        parts.append(f"v AS (SELECT *, {rank} FROM (SELECT query_id, chunk_id, round(list_cosine_similarity(av.e, dc.e), 6) AS score FROM av, dc))")
+        lists.append("v")
+    if with_graph:
+        parts += _graph_sql()
+        lists.append("gr")
+    if len(lists) == 1:
+        parts.append(f"fused AS (SELECT query_id, chunk_id, score, '{dict(b='bm25', v='dense', gr='graph')[lists[0]]}' AS source, rank FROM {lists[0]} WHERE rank <= {k})")
+    else:
+        share = " UNION ALL ".join(f"SELECT query_id, chunk_id, {i} AS l, 1.0::DOUBLE / (rank + 60) AS share FROM {x} WHERE rank <= {k}" for i, x in enumerate(lists))
+        total = " + ".join(f"coalesce(sum(share) FILTER (l = {i}), 0.0::DOUBLE)" for i in range(len(lists)))
+        parts.append(f"fused AS (SELECT query_id, chunk_id, score, 'rrf' AS source, {rank} FROM (SELECT query_id, chunk_id, {total} AS score FROM ({share}) GROUP BY ALL))")
+    if rerank:
+        words = r"list_distinct(list_filter(regexp_split_to_array(lower({t}.text), '\s+'), lambda t: t <> ''))"
+        own, other = words.format(t="a"), words.format(t="dc")
+        parts.append(f"""ro AS (SELECT query_id, chunk_id, rank AS before, round(len(list_intersect({own}, {other})) / greatest(len({own}), 1), 6) AS score FROM fused JOIN a USING (query_id) JOIN dc USING (chunk_id)),
+final AS (SELECT * FROM (SELECT query_id, chunk_id, score, 'rerank' AS source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS INTEGER) AS rank FROM ro) WHERE rank <= {final})""")
+    else:
+        parts.append(f"final AS (SELECT * FROM fused WHERE rank <= {final})")
+    return ",\n".join(parts)
+
+
+def _graph_sql() -> list[str]:
+    """The graph of documents and phrases, the seeds of every query, the rounds of PageRank, and ``gr``."""
+    parts = [TRIPLES_SQL, f"""
+nd AS (SELECT CAST(row_number() OVER (ORDER BY kind, ord, key) - 1 AS BIGINT) AS node, kind, chunk_id, key, e FROM (
+  SELECT 0 AS kind, doc_id AS ord, '' AS key, CAST(doc_id AS VARCHAR) AS chunk_id, {vector_sql("text")} AS e FROM documents UNION ALL SELECT 1, 0, text, NULL, {vector_sql("text")} FROM ph)),
+ti AS (SELECT CAST(tn.chunk_id AS VARCHAR) AS chunk_id, x.node AS s, y.node AS o FROM tn JOIN nd x ON x.kind = 1 AND x.key = tn.s JOIN nd y ON y.kind = 1 AND y.key = tn.o),
+ge AS (SELECT DISTINCT least(s, o) AS src, greatest(s, o) AS dst, 'r' AS kind FROM ti WHERE s <> o
+  UNION ALL SELECT DISTINCT least(node, p), greatest(node, p), 'a' FROM (SELECT chunk_id, s AS p FROM ti UNION ALL SELECT chunk_id, o FROM ti) JOIN nd USING (chunk_id)),
+ad AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT src, dst FROM ge UNION ALL SELECT dst, src FROM ge) GROUP BY ALL),
+ou AS (SELECT src, sum(weight) AS w FROM ad GROUP BY src),
+sc AS (SELECT query_id, node, round(list_cosine_similarity(av.e, nd.e), 6) AS score FROM av, nd),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank, max(score) OVER (PARTITION BY query_id) > 0 AS above FROM sc),
+se AS (SELECT query_id, node, CASE WHEN above THEN score ELSE 1.0::DOUBLE END AS m FROM sr WHERE rank <= {graph.SEEDS} AND ((above AND score > 0) OR (NOT above AND rank = 1))),
+pp AS (SELECT query_id, node, m / sum(m) OVER (PARTITION BY query_id) AS p FROM se),
+lo AS (SELECT query_id, coalesce(sum(p) FILTER (node NOT IN (SELECT src FROM ou)), 0.0::DOUBLE) AS lone FROM pp GROUP BY query_id),
+x0 AS (SELECT query_id, node, p AS m FROM pp)"""]
+    lost = "lone"
+    for k in range(graph.ROUNDS):
+        back = f"(0.5 + 0.5 * {lost})"
+        parts.append(
+            f"x{k + 1} AS MATERIALIZED (SELECT query_id, node, sum(m) AS m FROM (SELECT query_id, ad.dst AS node, 0.5 * m * (weight / w) AS m FROM x{k} JOIN ad ON ad.src = node JOIN ou ON ou.src = ad.src "
+            f"UNION ALL SELECT query_id, node, p * {back} FROM pp JOIN lo USING (query_id)) GROUP BY ALL)"
+        )
+        lost = f"({back} * lone)"
+    parts.append(
+        "gr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM ("
+        f"SELECT query_id, chunk_id, round(0.5 * coalesce(m, 0) + 0.5 * score, 6) AS score FROM sc JOIN nd USING (node) LEFT JOIN x{graph.ROUNDS} USING (query_id, node) WHERE kind = 0))"
+    )
+    return parts
+
+
+ITEMS_SQL = "SELECT CAST(item_id AS VARCHAR) AS query_id, text FROM benchmark"
+
+
 def _hybrid(name, with_graph=False):
     def run(spark, d):
         asked = _asked(spark, d).withColumn("query_id", F.col("query_id").cast("string"))
@@ -283,11 +403,68 @@ def _hybrid(name, with_graph=False):
     return run
 
 
+def _hybrid_sql(name) -> str:
+    q = preset(name).query
+    return f"WITH {plan_cte(ITEMS_SQL, q.bm25, q.dense, q.graph, q.rerank)} SELECT query_id, chunk_id, round(score, 6) AS score, source, rank, '' AS degraded FROM final"
+
+
 for _name in PRESETS:
-    if _name not in ("graph", "graph-rrf"):
-        register(f"retrieve_{_name.replace('-', '_')}")(_hybrid(_name))
-register("retrieve_graph")(_hybrid("graph", True))
-register("retrieve_graph_rrf")(_hybrid("graph-rrf", True))
+    if _name != "router-on":
+        register(f"retrieve_{_name.replace('-', '_')}", _hybrid_sql(_name))(_hybrid(_name, PRESETS[_name].query.graph))
+
+
+#: Sub-queries of the long items: the halves of their words.
+_HALVES = r"""
+al AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w FROM benchmark),
+ah AS (SELECT query_id, h, array_to_string(CASE h WHEN 0 THEN w[1 : CAST(ceil(len(w) / 2.0) AS BIGINT)] ELSE w[CAST(ceil(len(w) / 2.0) AS BIGINT) + 1 :] END, ' ') AS text FROM al, (VALUES (0), (1)) t(h) WHERE len(w) > 30)
+"""
+_ROUTED = "SELECT query_id || '#0' AS query_id, text FROM al WHERE len(w) <= 30 UNION ALL SELECT query_id || '#' || h, text FROM ah"
+_ROUTED_SQL = f"""
+WITH {_HALVES}, {plan_cte(_ROUTED, dense=True, rerank=True)},
+fh AS (SELECT split_part(query_id, '#', 1) AS query_id, CAST(split_part(query_id, '#', 2) AS INTEGER) AS hop, rank, chunk_id FROM final),
+fu AS (SELECT query_id, chunk_id, min({{'h': hop, 'r': rank}}) AS m FROM fh GROUP BY ALL),
+fr AS (SELECT query_id, chunk_id, m.h AS hop, CAST(row_number() OVER (PARTITION BY query_id ORDER BY m.h, m.r, chunk_id) AS INTEGER) AS rank FROM fu)
+"""
+
+
+def _answered(spark, d):
+    asked = _asked(spark, d).withColumn("query_id", F.col("query_id").cast("string"))
+    return answer(asked, _indexes(spark, d), preset("router-on"))
+
+
+@register("retrieve_router_on", f"{_ROUTED_SQL} SELECT query_id, CASE WHEN len(w) <= 30 THEN 's1' ELSE 's2' END AS route, hop, rank, chunk_id FROM fr JOIN al USING (query_id)")
+def retrieve_router_on(spark, d):
+    """Short items in one step, long ones in two hops; the ranked rows behind the answers."""
+    return _answered(spark, d)[1].select("query_id", "route", "hop", "rank", "chunk_id")
+
+
+@register("answer_router_on", rf"""
+{_ROUTED_SQL},
+fa AS (SELECT query_id, arg_min(chunk_id, rank) AS top, string_agg(chunk_id, ',' ORDER BY rank) AS chunks FROM fr GROUP BY query_id),
+fx AS (SELECT query_id, top, chunks, trim(regexp_extract(text, '(?s)^(.*?[.!?])(\s|$)', 1), ' ') AS answer FROM fa JOIN dc ON chunk_id = top)
+SELECT query_id, CASE WHEN len(w) <= 30 THEN 's1' ELSE 's2' END AS route, answer, CASE WHEN answer = '' THEN '' ELSE top END AS cited, chunks, CASE WHEN len(w) <= 30 THEN 1 ELSE 2 END AS hops_used, '' AS flags FROM fx JOIN al USING (query_id)
+""")
+def answer_router_on(spark, d):
+    found = _answered(spark, d)[0]
+    return found.select("query_id", "route", "answer", F.array_join("cited", ",").alias("cited"), F.array_join("chunk_ids", ",").alias("chunks"), "hops_used", F.array_join("flags", ",").alias("flags"))
+
+
+@register("retrieve_degraded", f"""
+WITH {plan_cte(ITEMS_SQL, dense=True)},
+pa AS (SELECT query_id, CAST(query_id AS BIGINT) % 4 AS k FROM a)
+SELECT query_id, chunk_id, round(score, 6) AS score, source, rank, '' AS degraded FROM final JOIN pa USING (query_id) WHERE k = 0
+UNION ALL SELECT query_id, chunk_id, score, 'bm25', rank, 'dense-skipped' FROM b JOIN pa USING (query_id) WHERE k = 1 AND rank <= 5
+UNION ALL SELECT query_id, chunk_id, score, 'dense', rank, 'bm25-skipped' FROM v JOIN pa USING (query_id) WHERE k = 2 AND rank <= 5
+UNION ALL SELECT query_id, '', 0, '', 0, 'failed' FROM pa WHERE k = 3
+""")
+def retrieve_degraded(spark, d):
+    """Components fail for single queries: the dense one, BM25, or both."""
+    asked = _asked(spark, d).withColumn("query_id", F.col("query_id").cast("string"))
+    k = F.col("query_id").cast("long") % 4
+    broken = F.when(k == 1, F.array(F.lit("dense"))).when(k == 2, F.array(F.lit("bm25"))).when(k == 3, F.array(F.lit("bm25"), F.lit("dense")))
+    rows, told = retrieve_each(asked, _indexes(spark, d), preset("dense-rrf"), asked.select("query_id", F.explode(broken).alias("component")))
+    joined = told.join(rows, "query_id", "left").na.fill({"chunk_id": "", "score": 0.0, "source": "", "rank": 0})
+    return joined.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "source", "rank", F.array_join("degraded", ",").alias("degraded"))
 
 
 # ---- alignment and metrics
@@ -504,14 +681,6 @@ def _triples(spark, d):
     return located.unionByName(bought).withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
-TRIPLES_SQL = """
-tr AS (SELECT CAST(n_nationkey AS BIGINT) AS chunk_id, n_name AS s, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey
-       UNION ALL SELECT CAST(c_custkey AS BIGINT), n_name, ' Market  ' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey),
-tn AS (SELECT chunk_id, trim(regexp_replace(lower(s), '\\s+', ' ', 'g')) AS s, trim(regexp_replace(lower(o), '\\s+', ' ', 'g')) AS o FROM tr),
-ph AS (SELECT s AS text FROM tn UNION SELECT o FROM tn)
-"""
-
-
 @register("phrase_nodes", f"""
 WITH {TRIPLES_SQL}
 SELECT CAST(row_number() OVER (ORDER BY kind, ord, key) - 1 AS BIGINT) AS node_id, CASE kind WHEN 0 THEN 'passage' ELSE 'phrase' END AS kind, text FROM (
@@ -755,7 +924,15 @@ def route_decide(spark, d):
     return table(spark, d, "events").select("event_id", agent.after_route(route, confidence, True).alias("with_graph"), agent.after_route(route, confidence, False).alias("without_graph"))
 
 
-@register("agent_loop")
+@register("agent_loop", f"""
+WITH h AS (SELECT item_id, k, CASE k WHEN 0 THEN substr(text, 1, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END AS text FROM benchmark, (VALUES (0), (1)) t(k)),
+{plan_cte("SELECT item_id || '#' || k AS query_id, text FROM h", k=5)},
+n AS (SELECT query_id, count(*) >= 5 AS good FROM final GROUP BY query_id),
+g AS (SELECT CAST(item_id AS VARCHAR) AS query_id, coalesce(bool_or(good) FILTER (k = 0), false) AS g0, coalesce(bool_or(good) FILTER (k = 1), false) AS g1, min(h.text) FILTER (k = 0) AS h0, min(h.text) FILTER (k = 1) AS h1
+      FROM h LEFT JOIN n ON n.query_id = item_id || '#' || k GROUP BY item_id)
+SELECT query_id, 'synthesise' AS next, CAST(CASE WHEN g0 AND g1 THEN 2 ELSE 3 END AS INTEGER) AS hops_used, CAST(CASE WHEN g0 AND g1 THEN 200 ELSE 250 END AS BIGINT) AS tokens_used, NOT (g0 AND g1) AS exhausted,
+       CASE WHEN g0 AND g1 THEN '' WHEN g0 THEN h1 WHEN h0 = h1 THEN h0 ELSE h0 || '|' || h1 END AS unresolved FROM g
+""")
 def agent_loop(spark, d):
     """Items as questions, their halves as sub-queries; a hop suffices when its best chunk scores over 20."""
     index = search.Bm25Index.build(_chunks(spark, d))
@@ -794,7 +971,14 @@ def gold_span_stats(spark, d):
     return prep.span_statistics(golds)
 
 
-@register("annotated_pages")
+@register("annotated_pages", r"""
+WITH t AS (SELECT page_id, page_id % 5 + 1 AS a, unnest(string_split(html, ' ')) AS token, generate_subscripts(string_split(html, ' '), 1) - 1 AS pos FROM pages),
+w AS (SELECT page_id, a, pos, CASE WHEN starts_with(token, '<') THEN [] ELSE list_filter(regexp_split_to_array(token, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') END AS words FROM t),
+b AS (SELECT *, len(words) AS parts, coalesce(sum(len(words)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
+g AS (SELECT page_id, min(before) AS s, max(before + parts) AS e FROM b WHERE parts > 0 AND pos >= a AND pos < a + 8 GROUP BY page_id),
+x AS (SELECT page_id, string_agg(array_to_string(words, ' '), ' ' ORDER BY pos) FILTER (parts > 0) AS text FROM b GROUP BY page_id)
+SELECT CAST(page_id AS VARCHAR) AS query_id, 'nq-' || left(sha1(text), 16) AS doc_id, CAST(s AS INTEGER) AS gold_start, CAST(e AS INTEGER) AS gold_end FROM g JOIN x USING (page_id) WHERE e - s <= 1024
+""")
 def annotated_pages(spark, d):
     """Pages of blank-separated tokens, tags as markup, three made-up annotators: two agree on most."""
     token = F.transform(F.split("html", " "), lambda t: F.struct(t.alias("token"), t.startswith("<").alias("is_html")))
