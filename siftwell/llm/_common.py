@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at a time; a longer text is a step of its own.
 STEP_BYTES = 1_000_000
+#: Rows of ids and keys that are broadcast at most, after a count; more are joined by a shuffle, with the same result.
+BROADCAST_ROWS = 1_000_000
 
 
 _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and os.path.exists("/proc/self/maps") else None
@@ -59,6 +61,31 @@ def cut_dealt(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", before)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, written, to be broadcast if there are few: the texts on the other side of a join then stay where they are."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def grouped(batches, by: tuple[str, ...]):
+    """Columns as arrays, whole groups of sorted rows at a time, with the groups' bounds."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
+        if held is not None:
+            part = {k: np.concatenate([held[k], part[k]]) for k in part}
+        new = np.flatnonzero(np.any([part[k][1:] != part[k][:-1] for k in by], axis=0)) + 1
+        if not len(new):
+            held = part
+            continue
+        yield part, np.r_[0, new]
+        held = {k: x[new[-1] :] for k, x in part.items()}
+    if held is not None:
+        yield held, np.array([0, len(held[by[0]])])
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a compressed columnar table in the shared folder, for rows that hold texts."""
     path = new_path(df.sparkSession, name)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import LOWER, byte_class, cut, give_back, mix, pick, span_hashes, text_steps, word_spans
+from siftwell.llm._common import LOWER, byte_class, cut, give_back, grouped, mix, pick, small, span_hashes, text_steps, word_spans
 from siftwell.llm._components import components, forest_batch, local_roots
 from siftwell.llm.simhash import cross_near, trie_join
 
@@ -33,8 +33,6 @@ SLACK = 3.5
 PART, SETS, SET_BYTES = 2048, 2048, 16_000_000
 #: A trie's size is estimated from one fingerprint in so many; it decides only how the trie is dealt out.
 ESTIMATE = 16
-#: Rows of ids and keys that are broadcast at most, after a count; more are joined by a shuffle, with the same result.
-BROADCAST_ROWS = 1_000_000
 
 _SPACES = byte_class((0x09, 0x0D), (0x20, 0x20))
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -93,12 +91,6 @@ def _digests(h: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(out.tobytes())])
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """``rows``, written, to be broadcast if there are few: the texts on the other side of a join then stay where they are."""
-    rows = cut(rows)
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 _FPS = [f"f{w}" for w in range(FP_WORDS)]
 
 
@@ -155,7 +147,7 @@ def candidate_links(reps: DataFrame, similarity: float) -> DataFrame:
     pivots = pivots.select(F.col("v").alias("large"), F.col("p.node").alias("pivot"), *(F.col(f"p.{f}").alias(f"p{f}") for f in _FPS), F.col("m"))
     odd = some.join(pivots, F.col("v") == F.col("large")).groupBy("large").agg(F.sum((apart("", "p") > budget).cast("long")).alias("odd"))
     parts = [F.greatest(F.lit(1), F.ceil(F.col(c) * ESTIMATE / PART)).cast("int").alias(f"{c}_parts") for c in ("m", "odd")]
-    pivots = _small(pivots.join(odd.withColumnRenamed("large", "of"), F.col("large") == F.col("of")).select("large", "pivot", *(f"p{f}" for f in _FPS), *parts))
+    pivots = small(pivots.join(odd.withColumnRenamed("large", "of"), F.col("large") == F.col("of")).select("large", "pivot", *(f"p{f}" for f in _FPS), *parts))
     known = rows.join(pivots, F.col("v") == F.col("large"), "left")
     away = F.col("large").isNotNull() & (apart("", "p") > budget)
     near = known.where(F.col("large").isNotNull() & ~away & (F.col("node") != F.col("pivot")))
@@ -198,25 +190,6 @@ def candidate_links(reps: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(work, "node long, root long").unionByName(near)
 
 
-def grouped(batches, by: tuple[str, ...]):
-    """Columns as arrays, whole groups of sorted rows at a time, with the groups' bounds."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
-        if held is not None:
-            part = {k: np.concatenate([held[k], part[k]]) for k in part}
-        new = np.flatnonzero(np.any([part[k][1:] != part[k][:-1] for k in by], axis=0)) + 1
-        if not len(new):
-            held = part
-            continue
-        yield part, np.r_[0, new]
-        held = {k: x[new[-1] :] for k, x in part.items()}
-    if held is not None:
-        yield held, np.array([0, len(held[by[0]])])
-
-
 # ---- verification
 
 
@@ -321,13 +294,13 @@ def near_copies(
     found = reps.join(groups, F.col("node") == F.col("of")).select("node", "key", "rep", "n", F.col("component").alias("cluster"))
     size = found.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("bytes"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / SETS), F.ceil(F.col("bytes") * 8 / SET_BYTES)).cast("int")
-    size = _small(size.select(F.col("cluster").alias("of"), parts.alias("parts"), F.col("p.node").alias("pivot")).where("parts > 1"))  # a large group's rows stay where they are
+    size = small(size.select(F.col("cluster").alias("of"), parts.alias("parts"), F.col("p.node").alias("pivot")).where("parts > 1"))  # a large group's rows stay where they are
     found = found.join(size, F.col("cluster") == F.col("of"), "left").drop("of")
     found = cut(found.withColumns({"parts": F.coalesce("parts", F.lit(1)), "pivot": F.coalesce("pivot", F.lit(-1))}))
 
     def with_sets(nodes: DataFrame) -> DataFrame:
-        wanted = _small(nodes)
-        texts = rows.join(_small(nodes.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
+        wanted = small(nodes)
+        texts = rows.join(small(nodes.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
         return _sets(texts.select("id", "text"), words).join(wanted, "key")
 
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -343,7 +316,7 @@ def near_copies(
         largest = held.groupBy("cluster").agg(F.max(F.struct("m", "comp", "bytes")).alias("x"), F.sum("m").alias("m"), F.sum("bytes").alias("bytes"))
         odd = F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("x.m")) / SETS), F.ceil((F.col("bytes") - F.col("x.bytes")) * 8 / SET_BYTES)).cast("int")
         largest = largest.where("m > x.m").select(F.col("cluster").alias("of"), F.col("x.comp").alias("main"), odd.alias("odd_parts"))
-        rest = parted.join(_small(largest), F.col("cluster") == F.col("of")).withColumn("own", own).withColumn("own_odd", F.pmod(F.xxhash64("node", F.lit(1)), F.col("odd_parts")).cast("int"))
+        rest = parted.join(small(largest), F.col("cluster") == F.col("of")).withColumn("own", own).withColumn("own_odd", F.pmod(F.xxhash64("node", F.lit(1)), F.col("odd_parts")).cast("int"))
         every = F.transform(F.sequence(F.lit(0), F.col("odd_parts") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks")))
         asks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("own_odd").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
         rest = with_sets(rest.select("key", "node", "rep", "cluster", "comp", F.when(F.col("comp") == F.col("main"), every).otherwise(F.concat(every, asks)).alias("to")))
@@ -363,5 +336,5 @@ def drop_near_copies(
     """
     kept = near_copies(docs, id_col, text_col, words, similarity).where("rep = component").select("rep")
     ids = pick(docs, __gone=id_col).where("__gone is not null").distinct()
-    gone = _small(ids.join(kept, F.col("__gone") == F.col("rep"), "left_anti"))
+    gone = small(ids.join(kept, F.col("__gone") == F.col("rep"), "left_anti"))
     return docs.where(docs[id_col].isNotNull()).join(gone, docs[id_col] == F.col("__gone"), "left_anti")

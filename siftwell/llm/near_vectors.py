@@ -1,10 +1,13 @@
 """Embedding near-duplicates by sorted projection passes.
 
 In every pass vectors are ordered by the signs of 64 random projections, joined
-to one number; each is compared with the next few in that order,
-and with more while they go on being close.  Vectors that
-are close share long prefixes in most passes, so they come to stand near each
-other in some.  Pairs are verified by their cosine and united over all passes.
+to one number, and each is compared with those in a window after it, by these
+signs and 64 more that are the same in all passes.  Vectors that are close share
+long prefixes in most passes, so they come to stand near each other in some.
+What the windows of all passes connect is a candidate group; its vectors meet
+once, and all pairs in it are verified by their cosine in double precision, tile
+by tile.  Only numbers of links and a forest of them leave a tile, so that a
+dense group costs no more rows than it has vectors.
 """
 
 from __future__ import annotations
@@ -17,18 +20,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siftwell.llm._common import cut, pick, table
-from siftwell.llm._components import components
+from siftwell.llm._common import cut, give_back, grouped, pick, small, table
+from siftwell.llm._components import components, forest_batch, local_roots
 
-#: Neighbours after each vector that it is compared with, and how far a window grows while it keeps finding links.
-WINDOW = 48
-WIDEST = 4096
-#: Rows at each border of a partition that are compared with those of the next.
-BORDER = 256
+#: Neighbours after each vector that it is compared with.
+WINDOW = 512
 #: Chance to meet that a pair just at the threshold is to have, over all passes.
 RECALL = 0.999
-_TILE = 256
+#: Standard deviations above the expected number of differing signs that make a candidate.
+SLACK = 3.5
+#: Vector bytes of a part of a large candidate group.
+PART_BYTES = 32_000_000
+_TILE = 1024
 
 
 def passes_for(n: int, least: float, window: int = WINDOW, recall: float = RECALL) -> int:
@@ -43,7 +48,13 @@ def passes_for(n: int, least: float, window: int = WINDOW, recall: float = RECAL
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - same**bits)))
 
 
-def _vectors(column: pa.Array) -> tuple[list[int], list[bytes]]:
+def budget_for(least: float) -> int:
+    """Signs of 128 in which two vectors at the threshold may differ."""
+    differ = math.acos(least) / math.pi
+    return math.ceil(128 * differ + SLACK * math.sqrt(128 * differ * (1 - differ)))
+
+
+def _vectors(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
     """Row numbers of the vectors that can be linked, and their components as doubles.  Null, zero or with null or non-finite components: left out."""
     rows, out = [], []
     for k, v in enumerate(column):
@@ -52,151 +63,206 @@ def _vectors(column: pa.Array) -> tuple[list[int], list[bytes]]:
         x = v.values.to_numpy(zero_copy_only=False).astype("<f8")
         if np.isfinite(x).all() and x.any():
             rows.append(k)
-            out.append(x.tobytes())
+            out.append(x)
     return rows, out
 
 
-def _flagged(vectors: DataFrame) -> DataFrame:
-    """``id`` and ``digest``, null for vectors that link with nothing; and ``vec``, the doubles' bytes."""
-
-    def work(batches):
-        for batch in batches:
-            digests, bodies = [None] * batch.num_rows, [None] * batch.num_rows
-            for k, raw in zip(*_vectors(batch.column(1))):
-                digests[k], bodies[k] = hashlib.blake2b(raw, digest_size=16).digest(), raw
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())], ["id", "digest", "vec"])
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
-    return vectors.mapInArrow(work, "id long, digest binary, vec binary")
 
+def _sketched(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
+    """``id``, and for vectors that can be linked ``digest``, ``size`` and ``signs``: a number for each pass and one more."""
 
-def _projected(passes: int, seed: int):
     def work(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            bodies = batch.column(2).to_pylist()
+            n = batch.num_rows
+            digests, sizes, signs = [None] * n, [None] * n, [None] * n
+            rows, found = _vectors(batch.column(1))
             by_size: dict[int, list[int]] = {}
-            for k, raw in enumerate(bodies):
-                by_size.setdefault(len(raw) // 8, []).append(k)
-            for size, rows in by_size.items():
+            for k, (row, x) in enumerate(zip(rows, found)):
+                digests[row], sizes[row] = _digest(x), len(x)
+                by_size.setdefault(len(x), []).append(k)
+            for size, some in by_size.items():
                 if size not in planes:
-                    planes[size] = np.random.default_rng([seed, size]).standard_normal((size, 64 * passes))
-                for a in range(0, len(rows), 2000):
-                    part = rows[a : a + 2000]
-                    x = np.frombuffer(b"".join(bodies[k] for k in part), "<f8").reshape(-1, size)
-                    keys = np.packbits(x @ planes[size] > 0, axis=1).view(">u8").astype(np.uint64)
-                    signed = (keys ^ np.uint64(1 << 63)).view(np.int64)  # signed order is the order of the bits
-                    take = pa.array(part)
-                    own, n, vec = (batch.column(k).take(take) for k in range(3))
-                    for p in range(passes):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), p, np.int32)), pa.array(np.full(len(part), size, np.int32)), pa.array(signed[:, p]), own, n, vec], ["p", "size", "key", "rep", "n", "vec"])
-
-    return work
-
-
-class _Rows:
-    """Some sorted rows: pass and size as one number, representative, count and vector."""
+                    planes[size] = np.random.default_rng([seed, size]).standard_normal((size, 64 * (passes + 1)))
+                for a in range(0, len(some), 2000):
+                    part = some[a : a + 2000]
+                    keys = np.packbits(np.stack([found[k] for k in part]) @ planes[size] > 0, axis=1).view(">u8").astype(np.uint64)
+                    for k, own in zip(part, (keys ^ np.uint64(1 << 63)).view(np.int64)):  # signed order is the order of the bits
+                        signs[rows[k]] = own
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.list_(pa.int64()))], ["id", "digest", "size", "signs"])
+            give_back()
 
-    def __init__(self, group, rep, n, raw):
-        self.group, self.rep, self.n, self.raw = group, rep, n, raw
+    return vectors.mapInArrow(work, "id long, digest binary, size int, signs array<long>")
 
-    def part(self, a: int, b: int) -> _Rows:
-        return _Rows(self.group[a:b], self.rep[a:b], self.n[a:b], self.raw[a:b])
 
-    def __add__(self, more: _Rows) -> _Rows:
-        return _Rows(np.r_[self.group, more.group], np.r_[self.rep, more.rep], np.r_[self.n, more.n], self.raw + more.raw)
+# ---- windows
 
+_COLUMNS = ["grp", "key", "more", "node"]
+_FOUND = "node long, root long, border int, side int, place int, grp long, key long, more long"
 
-def _compare(rows: _Rows, window: int, least: float, first: int, last: int):
-    """Verified pairs of rows some ``window`` apart, further while links go on, the first of them before ``first`` and the second from ``last`` on (-1: any)."""
-    found = []
-    edge = np.flatnonzero(np.r_[True, rows.group[1:] != rows.group[:-1], True])
-    for g, h in zip(edge, edge[1:]):
-        x = np.frombuffer(b"".join(rows.raw[g:h]), "<f8").reshape(h - g, -1)
-        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-        for a in range(0, h - g, _TILE):
-            b = min(h - g, a + _TILE)
-            low, high = a, min(h - g, b + window)
-            while low < high:
-                i, j = np.nonzero(x[a:b] @ x[low:high].T >= least - 1e-9)
-                i, j = i + a, j + low
-                near = j > i
-                grows = bool((j - i > window // 2).any())  # links up to its end: the window grows
-                i, j = i[near] + g, j[near] + g
-                if first >= 0:
-                    across = (i < first) & (j >= last)
-                    i, j = i[across], j[across]
-                if len(i):
-                    u, v = (np.frombuffer(b"".join(rows.raw[k] for k in z.tolist()), "<f8").reshape(len(z), -1) for z in (i, j))
-                    cosine = (u * v).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (v * v).sum(axis=1))
-                    sure = (cosine >= least) & (rows.rep[i] != rows.rep[j])
-                    found.append((i[sure], j[sure]))
-                low, high = high, min(h - g, high + _TILE, a + WIDEST) if grows else high
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
+def window_links(rows: dict[str, np.ndarray], first: int, window: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of pairs at most ``window`` apart, the second from ``first`` on, that differ in few signs: as many as connect what they connect."""
+    grp, key, more, node = (rows[c] for c in _COLUMNS)
+    n, left, right = len(node), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    label = np.arange(n)
+    for apart in range(1, min(window, n - 1) + 1):
+        a, b = slice(max(0, first - apart), n - apart), slice(max(apart, first), n)
+        near = np.flatnonzero((np.bitwise_count(key[a] ^ key[b]) + np.bitwise_count(more[a] ^ more[b]) <= budget) & (label[a] != label[b]) & (grp[a] == grp[b]))
+        if len(near):
+            i, j = near + a.start, near + b.start
+            left.append(node[i])
+            right.append(node[j])
+            of, root = local_roots(label[i], label[j])
+            to = np.arange(n)
+            to[of] = root
+            label = to[label]
+    return np.concatenate(left), np.concatenate(right)
 
-_PAIRS = "border int, side int, place int, grp long, a long, b long, na long, nb long, vec binary"
-_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-_COLUMNS = [x.split()[0] for x in _PAIRS.split(", ")]
 
+def _link_rows(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    found = forest_batch(left, right)
+    none = [pa.nulls(found.num_rows, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+    return pa.RecordBatch.from_arrays([*found.columns, *none], ["node", "root", "border", "side", "place", "grp", "key", "more"])
 
-def _pairs(rows: _Rows, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    a, b, na, nb = rows.rep[i], rows.rep[j], rows.n[i], rows.n[j]
-    turn = a > b
-    a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
-    none = pa.nulls(len(i), pa.int32())
-    return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(i), pa.int64()), *(pa.array(x, pa.int64()) for x in (a, b, na, nb)), pa.nulls(len(i), pa.binary())], _COLUMNS)
 
+def _border_rows(rows: dict[str, np.ndarray], border: int, side: int) -> pa.RecordBatch:
+    n = len(rows["node"])
+    values = [rows["node"], np.full(n, -1), np.full(n, border), np.full(n, side), np.arange(n), rows["grp"], rows["key"].view(np.int64), rows["more"].view(np.int64)]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds)], ["node", "root", "border", "side", "place", "grp", "key", "more"])
 
-def _border(rows: _Rows, border: int, side: int) -> pa.RecordBatch:
-    n = len(rows.rep)
-    values = [np.full(n, border), np.full(n, side), np.arange(n), rows.group, rows.rep, rows.rep, rows.n, rows.n, rows.raw]
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(values, _KINDS)], _COLUMNS)
 
-
-def _within(window: int, least: float):
-    """Pairs within a partition, and the rows at its borders."""
+def _within(window: int, budget: int):
+    """Links within a partition, and the rows of a window at each of its borders."""
 
     def work(batches):
-        number, held, done, started = TaskContext.get().partitionId(), None, 0, False
+        number, held, head, sent = TaskContext.get().partitionId(), None, 0, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, size, _, rep, n, vec = batch.columns
-            group = p.to_numpy().astype(np.int64) << 32 | size.to_numpy()
-            new = _Rows(group, rep.to_numpy(), n.to_numpy(), vec.to_pylist())
-            rows = new if held is None else held + new
-            if not started:
-                yield _border(rows.part(0, BORDER), number, 1)
-                started = True
-            seen = 0 if held is None else len(held.rep)
-            for a in range(seen, len(rows.rep), WIDEST):  # each pair once: its second row is new
-                shift = max(0, a - WIDEST)
-                part = rows.part(shift, a + WIDEST)
-                i, j = _compare(part, window, least, -1, -1)
-                fresh = j + shift >= a
-                if fresh.any():
-                    yield _pairs(part, i[fresh], j[fresh])
-            held = rows.part(max(0, len(rows.rep) - WIDEST), len(rows.rep))
+            get = lambda c: batch.column(c).to_numpy()
+            new = {"grp": get("p").astype(np.int64) << 32 | get("size"), "key": get("key").view(np.uint64), "more": get("more").view(np.uint64), "node": get("node")}
+            first = 0 if held is None else len(held["node"])
+            rows = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in _COLUMNS}
+            left, right = window_links(rows, first, window, budget)
+            if len(left):
+                yield _link_rows(left, right)
+            if not sent:  # the first rows, a window of them at least if there are so many
+                head = len(rows["node"])
+                if head >= window:
+                    yield _border_rows({c: x[:window] for c, x in rows.items()}, number, 1)
+                    sent = True
+            keep = window if sent else len(rows["node"])
+            held = {c: x[max(0, len(x) - keep) :] for c, x in rows.items()}
         if held is not None:
-            yield _border(held.part(max(0, len(held.rep) - BORDER), len(held.rep)), number + 1, 0)
+            if not sent:
+                yield _border_rows(held, number, 1)
+            yield _border_rows({c: x[max(0, len(x) - window) :] for c, x in held.items()}, number + 1, 0)
 
     return work
 
 
-def _across(window: int, least: float):
+def _across(window: int, budget: int):
     def work(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("side", "ascending"), ("place", "ascending")])
-        get = lambda name: table.column(name).to_numpy()
-        rows = _Rows(get("grp"), get("a"), get("na"), table.column("vec").to_pylist())
-        left = int((get("side") == 0).sum())
-        i, j = _compare(rows, window, least, left, left)
-        return pa.Table.from_batches([_pairs(rows, i, j)])
+        rows = {c: table.column(c).to_numpy() for c in _COLUMNS}
+        rows |= {c: rows[c].view(np.uint64) for c in ("key", "more")}
+        return pa.Table.from_batches([_link_rows(*window_links(rows, int((table.column("side").to_numpy() == 0).sum()), window, budget))])
 
     return work
 
 
+# ---- verification
+
+
+def tile_links(x: np.ndarray, y: np.ndarray | None, n_x: np.ndarray, n_y: np.ndarray, least: float):
+    """For vectors at length 1 the numbers of links, and positions of links that connect what all links connect.
+
+    ``y`` None: pairs within ``x``.  A cosine within 1e-9 of the threshold is
+    computed anew in one order.  Positions of ``y`` follow those of ``x``.
+    """
+    same = y is None
+    other, n_other = (x, n_x) if same else (y, n_y)
+    counts = np.zeros(len(x) + (0 if same else len(y)), np.int64)
+    label = np.arange(len(counts))
+    shift = 0 if same else len(x)
+    left, right = [], []
+    for a in range(0, len(x), _TILE):
+        for b in range(a if same else 0, len(other), _TILE):
+            u, v = x[a : a + _TILE], other[b : b + _TILE]
+            cosine = u @ v.T
+            near = cosine >= least
+            for i, j in zip(*np.nonzero(np.abs(cosine - least) < 1e-9)):
+                near[i, j] = (u[i] * v[j]).sum() >= least
+            if same and a == b:
+                np.fill_diagonal(near, False)
+            counts[a : a + len(u)] += near @ n_other[b : b + len(v)]
+            if not same or a != b:
+                counts[shift + b : shift + b + len(v)] += near.T @ n_x[a : a + len(u)]
+            i, j = np.nonzero(near & (label[a : a + len(u), None] != label[None, shift + b : shift + b + len(v)]))
+            if len(i):
+                i, j = i + a, j + b + shift
+                of, root = local_roots(label[i], label[j])
+                left.append(of)
+                right.append(root)
+                to = np.arange(len(label))
+                to[of] = root
+                label = to[label]
+    none = np.zeros(0, np.int64)
+    return counts, np.concatenate(left) if left else none, np.concatenate(right) if right else none
+
+
+def _unit(raw: np.ndarray, kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).astype(float).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _verified(dealt: DataFrame, kind: str, least: float) -> DataFrame:
+    """``node``, ``root`` of links, and ``node``, ``links`` (a number) of vectors; of parts that share ``cluster``, ``i``, ``j``."""
+    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "own", "node")
+
+    def judged(part, lo, hi):
+        own, node, n = (part[c][lo:hi] for c in ("own", "node", "n"))
+        new = np.r_[True, node[1:] != node[:-1]]  # a vector that repeated ids brought twice is there once
+        own, node, n = own[new], node[new], n[new]
+        x = _unit(part["vec"][lo:hi][new], kind)
+        if part["i"][lo] == part["j"][lo]:
+            counts, left, right = tile_links(x, None, n, n, least)
+        else:
+            mid = int(np.searchsorted(own, part["j"][lo]))
+            counts, left, right = tile_links(x[:mid], x[mid:], n[:mid], n[mid:], least)
+        if len(left):
+            found = forest_batch(node[left], node[right])
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.int64())], ["node", "root", "links"])
+        some = counts > 0
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(counts[some])], ["node", "root", "links"])
+
+    def work(batches):
+        for part, bounds in grouped((b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)), ("cluster", "i", "j")):
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if hi - lo > 1:
+                    yield from judged(part, lo, hi)
+            give_back()
+
+    return dealt.mapInArrow(work, "node long, root long, links long")
+
+
+def _bodies(rows: DataFrame, kind: str) -> DataFrame:
+    def work(batches):
+        for batch in batches:
+            _, found = _vectors(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], ["key", "vec"])
+            give_back()
+
+    return rows.mapInArrow(work, "key binary, vec binary")
+
+
 def near_vectors(
     vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
     window: int = WINDOW, recall: float = RECALL, seed: int = 20240229,
@@ -207,31 +273,39 @@ def near_vectors(
     link with nothing.  Equal vectors are linked and take part once, by their
     smallest id and their number; vectors of different sizes are never linked.
     Pairs below ``least`` are never linked; the number of passes follows from
-    the number of different vectors and ``recall``.  Rows that repeat an id
-    count as other vectors; an empty table gives an empty result; other columns
-    are ignored.
+    the number of vectors and ``recall``.  Rows that repeat an id count as other
+    vectors; an empty table gives an empty result; other columns are ignored.
     """
     rows = pick(vectors, id=id_col, vec=vector_col).withColumn("id", F.col("id").cast("long"))
-    flagged = _flagged(rows)
-    keys = cut(flagged.select("id", "digest"))
-    distinct = cut(flagged.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")))
-    count = distinct.count()
-    passes = passes_for(count, least, window, recall)
-    shuffled = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(shuffled, count * passes // (8 * window)))
-    projected = distinct.select("rep", "n", "vec").mapInArrow(_projected(passes, seed), "p int, size int, key long, rep long, n long, vec binary")
-    ordered = projected.repartitionByRange(parts, "p", "size", "key", "rep").sortWithinPartitions("p", "size", "key", "rep")
-    found = cut(ordered.mapInArrow(_within(window, least), _PAIRS))
-    borders = found.where("border is not null").groupBy("border").applyInArrow(_across(window, least), _PAIRS)
-    links = found.where("border is null").unionByName(borders).select("a", "b", "na", "nb")
-    links = cut(links.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")))
-    ends = links.select(F.col("a").alias("node"), F.col("nb").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.col("na").alias("n")))
-    degrees = ends.groupBy("node").agg(F.sum("n").alias("more"))
-    near = components(links.select("a", "b")).withColumnRenamed("node", "member")
-    named = distinct.select("digest", "rep", "n").join(degrees, F.col("rep") == F.col("node"), "left").join(near, F.col("rep") == F.col("member"), "left")
-    named = named.select(F.col("digest").alias("of"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = keys.join(named, F.col("digest") == F.col("of")).select("id", "n_links", "component_id")
-    alone = keys.where("digest is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    passes, budget = passes_for(rows.count(), least, window, recall), budget_for(least)
+    sketches = cut(_sketched(rows, passes, seed))
+    reps = sketches.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("signs").alias("signs"))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))
+    parts = max(1, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.count() * passes // (8 * window)))
+    ordered = reps.select("size", "node", F.posexplode(F.slice("signs", 1, passes)).alias("p", "key"), F.element_at("signs", passes + 1).alias("more"))
+    ordered = ordered.repartitionByRange(parts, "p", "size", "key", "node").sortWithinPartitions("p", "size", "key", "node")
+    found = cut(ordered.mapInArrow(_within(window, budget), _FOUND))
+    borders = found.where("border is not null").groupBy("border").applyInArrow(_across(window, budget), _FOUND)
+    groups = components(found.where("border is null").unionByName(borders).select("node", "root")).select(F.col("node").alias("of"), "component")
+    groups = groups.unionByName(groups.select(F.col("component").alias("of"), "component").distinct())
+    members = reps.join(groups, F.col("node") == F.col("of")).select("digest", "rep", "n", "size", "node", F.col("component").alias("cluster"))
+    kind = "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "<f8"
+    large = members.groupBy("cluster").agg(F.ceil(F.sum(F.col("size").cast("long") * int(kind[2])) / PART_BYTES).cast("int").alias("parts")).where("parts > 1")
+    members = cut(members.join(small(large.withColumnRenamed("cluster", "of")), F.col("cluster") == F.col("of"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("of"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    wanted = small(members.select("digest", "node", "n", "cluster", "parts", own.alias("own")))
+    bodies = _bodies(rows.join(small(members.select(F.col("rep").alias("id")).distinct()), "id", "left_semi").select("vec"), kind)
+    dealt = bodies.join(wanted, F.col("key") == F.col("digest")).withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "n", "vec")
+    judged = cut(_verified(dealt, kind, least))
+    degrees = judged.where("links is not null").groupBy(F.col("node").alias("of")).agg(F.sum("links").alias("more"))
+    united = components(judged.where("links is null").select("node", "root")).select(F.col("node").alias("member"), "component")
+    named = reps.select("digest", "rep", "n", "node").join(degrees, F.col("node") == F.col("of"), "left").join(united, F.col("node") == F.col("member"), "left")
+    named = cut(named.select("digest", "rep", "n", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("component", "node").alias("component")))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(lowest, "component").select(F.col("digest").alias("of"), (F.col("n") - 1 + F.col("more")).alias("n_links"), "component_id")
+    linked = sketches.select("id", "digest").join(named, F.col("digest") == F.col("of")).select("id", "n_links", "component_id")
+    alone = sketches.where("digest is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

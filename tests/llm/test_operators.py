@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siftwell.llm import _components, decontaminate, html_text, language_id, near_vectors, packing, pfor, sharding, simhash, suffix_dedup, warc
+from siftwell.llm import _common, _components, decontaminate, html_text, language_id, near_vectors, packing, pfor, sharding, simhash, suffix_dedup, warc
 from siftwell.llm._common import new_path, text_steps
 from siftwell.llm._tokens import Encoder
 
@@ -144,7 +144,7 @@ def reach(links):
         label = new
 
 
-def test_near_vectors(spark):
+def test_near_vectors(spark, monkeypatch):
     r = np.random.default_rng(5)
     base = r.standard_normal((120, 16))
     vectors = [(int(i), [float(x) for x in v]) for i, v in enumerate(base)]
@@ -155,11 +155,37 @@ def test_near_vectors(spark):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("rep", F.lit("x"))
     links = brute_links(vectors, 0.95)
     labels = reach(links)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(df, recall=0.999999).collect()}
-    assert got == {i: (len(links[i]), labels[i], labels[i] == i) for i in links}
+    want = {i: (len(links[i]), labels[i], labels[i] == i) for i in links}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(df).collect()} == want
+    for name, value in {"PART_BYTES": 16 * 8 * 4, "_TILE": 3}.items():  # groups in parts, tiles of few
+        monkeypatch.setattr(near_vectors, name, value)
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(df, window=40).collect()} == want
+    again = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, near_vectors.near_vectors(again).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False)]
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_recall_on_a_dense_group(spark):
+    """At the default setting: 6,000 different near copies of one vector, pairs at the threshold, and 4,000 other vectors."""
+    r = np.random.default_rng(9)
+    center = r.standard_normal(32)
+    dense = center / np.linalg.norm(center) + 0.035 * r.standard_normal((6000, 32))
+    a = r.standard_normal((1000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = r.standard_normal((1000, 32))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9505 * a + math.sqrt(1 - 0.9505**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate([dense, a, b, r.standard_normal((2000, 32))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(u[k : k + 1000] @ u.T >= 0.95).sum(axis=1) - 1 for k in range(0, len(u), 1000)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {row.vec_id: row.n_links for row in near_vectors.near_vectors(df).collect()}
+    assert all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.995 * want.sum()
+    pairs = want[6000:8000]
+    assert sum(got[k + 6000] for k in range(2000)) >= 0.99 * pairs.sum()
+
+
 def test_passes_grow_with_the_logarithm():
     few, many = near_vectors.passes_for(1000, 0.95), near_vectors.passes_for(10**9, 0.95)
     assert 4 <= few < many < 200
@@ -551,8 +577,9 @@ def test_pipeline_drops_near_copies_by_similarity(spark, sf_dir, monkeypatch):
     want = {i for i, c in reach(links).items() if i == c}
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     assert {x.doc_id for x in stage(spark, documents(spark, texts), sf_dir).collect()} == want
-    for name, value in {"PART": 4, "SETS": 4, "ESTIMATE": 1, "GROUP": 40, "MISS": 1e-7, "BROADCAST_ROWS": 0}.items():
+    for name, value in {"PART": 4, "SETS": 4, "ESTIMATE": 1, "GROUP": 40, "MISS": 1e-7}.items():
         monkeypatch.setattr(near_copies, name, value)
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
     assert {x.doc_id for x in stage(spark, documents(spark, texts, clash=True), sf_dir).collect()} == want
     assert stage(spark, documents(spark, []), sf_dir).count() == 0
 
