@@ -1,20 +1,22 @@
-"""Resharding by minimum-cost flow: fewest bytes moved, equal new shards."""
+"""Resharding by minimum-cost flow: fewest bytes moved, equal new shards, and only affected files rewritten."""
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm._common import cut, new_path, table
+from siftwell.llm._common import cut, new_path, small
 
 #: Bytes of a block, about; only whole blocks move, but for those in which a transfer ends.
 BLOCK_BYTES = 4_000_000
 #: Blocks at most; larger inputs have larger blocks.
 BLOCKS = 40_000
+#: Bytes of a file of moved rows, about.
+FILE_BYTES = 128_000_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -78,6 +80,7 @@ class Plan:
 
     parts: list[tuple[int, int, int, int, int]]
     moved: int
+    rewritten: list[str] = field(default_factory=list)
 
 
 def plan_transfers(blocks: dict[tuple[int, int], int], shards: int) -> Plan:
@@ -105,86 +108,108 @@ def plan_transfers(blocks: dict[tuple[int, int], int], shards: int) -> Plan:
     return Plan(parts, sum(b - a for old, _, a, b, new in parts if old != new))
 
 
-_PARTS = T.StructType([T.StructField(n, T.LongType()) for n in ("_old", "_block", "_first", "_last", "_new", "_base")])
+def _longs(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    return spark.createDataFrame(rows, T.StructType([T.StructField(n, T.LongType()) for n in names]))
 
 
-def _placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows with their part of the plan and their number ``_n`` in their block.
+def numbered_rows(spark: SparkSession, source: str, text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """A parquet table's rows as ``row`` (a struct of its columns), ``old`` (the number of the file, in order of name), ``at`` (the place there) and ``size``; and the files.
 
-    Rows of a block are in order of size, the largest first; a row goes to the
-    part in which its middle byte lies.  A block is bounded, so is its window.
+    A place in a file is the same whenever it is read, so that rows have names
+    without a shuffle.
     """
-    order = Window.partitionBy("_old", "_block").orderBy(F.desc("_size"), "_id")
-    middle = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.expr("_size div 2") - 1
-    rows = rows.withColumn("_middle", middle).withColumn("_n", F.row_number().over(order))
-    own = parts.withColumnsRenamed({"_old": "_of_old", "_block": "_of_block"})
-    here = (F.col("_old") == F.col("_of_old")) & (F.col("_block") == F.col("_of_block"))
-    return rows.join(F.broadcast(own), here & (F.col("_middle") >= F.col("_first")) & (F.col("_middle") < F.col("_last")))
-
-
-def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", old_col: str = "old_shard") -> tuple[DataFrame, Plan]:
-    """``docs`` with ``size``, ``shard`` and ``slot``, and the plan by which blocks move.
-
-    A row's size is the UTF-8 bytes of its text (null: none) plus 1.  The new
-    shards' sizes differ by the sizes of a few rows at most.  Slots count each
-    shard's rows from 0 without gaps.  What the driver and the broadcast hold is
-    at most about BLOCKS block sizes; rows never leave the executors.  A null id
-    is a key like any other, a null old shard counts as -1; repeated rows are
-    placed each; an empty table gives an empty result; columns of the result's
-    names are replaced, others stay.
+    found = spark.read.parquet(source)
+    names = sorted(found.inputFiles())
+    meta = found.metadataColumn("_metadata")
+    size = (F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 1).cast("long")
+    rows = found.select(F.struct(*(F.col(f"`{c}`") for c in found.columns)).alias("row"), meta.getField("file_path").alias("file"), meta.getField("row_index").alias("at"), size.alias("size"))
+    files = spark.createDataFrame(list(zip(names, range(len(names)))), "name string, old long")  # a row for each file
+    # one name has two spellings as a URI
+    plain = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/+", "file:/")
+    joined = rows.join(F.broadcast(files.select(plain(F.col("name")).alias("name"), "old")), plain(F.col("file")) == F.col("name"))
+    return joined.select("row", "old", "at", "size"), names
+
+
+def _largest_first(rows: DataFrame) -> DataFrame:
+    """Rows of cut blocks with ``middle``, the place of the middle byte, and ``nth`` in their block, the largest first; a block is bounded, so is its window."""
+    order = Window.partitionBy("old", "block").orderBy(F.desc("size"), "at")
+    middle = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.expr("size div 2") - 1
+    return rows.withColumn("middle", middle).withColumn("nth", F.row_number().over(order) - 1)
+
+
+def reshard(spark: SparkSession, source: str, path: str, shards: int, text_col: str = "text") -> tuple[DataFrame, Plan]:
+    """The rows of a parquet table, whose files are the old shards in order of name, in ``shards`` new ones of equal size.
+
+    A row's size is the UTF-8 bytes of its text (null: none) plus 1.  Old shard k
+    may stay as new shard k.  Only what the flow moves is exchanged: moved rows
+    are written under ``path``/moved, a folder for each shard; files that lose
+    rows are rewritten under ``path``/kept without an exchange; other files stay
+    as they are and where they are.  The source is left alone until the caller
+    drops the files that were rewritten (``Plan.rewritten``).
+
+    Returns the rows as read back, with ``size``, ``shard`` and ``slot``, which
+    counts a shard's rows from 0 without gaps.  The new shards' sizes differ by
+    the sizes of a few rows at most.  What the driver holds is at most about
+    BLOCKS block sizes and a number for each file.  Null ids and repeated rows
+    are rows like any other; an empty table gives an empty result; columns of the
+    result's names are replaced, all others stay, whatever their names.
     """
-    spark = docs.sparkSession
-    size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long")
-    keys = {"_id": F.col(id_col), "_old": F.coalesce(F.col(old_col).cast("long"), F.lit(-1)), "_size": size}
-    meta = cut(docs.select(*(c.alias(name) for name, c in keys.items())))
-    sizes = {r._old: r.n for r in meta.groupBy("_old").agg(F.sum("_size").alias("n")).collect()}  # a row for each old shard
-    block = max(BLOCK_BYTES, -(-sum(sizes.values()) // BLOCKS))
-    counts = F.create_map(*(F.lit(x).cast("long") for old, n in sizes.items() for x in (old, -(-n // block)))) if sizes else None
-
-    def blocked(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(11)), counts[F.col("_old")]) if sizes else F.lit(0).cast("long"))
-
-    found = blocked(meta).groupBy("_old", "_block").agg(F.sum("_size").alias("n")).collect()
-    plan = plan_transfers({(r._old, r._block): r.n for r in found}, shards)
-    raw = spark.createDataFrame([(*p, 0) for p in plan.parts], _PARTS)
-    used = _placed(blocked(meta), raw).groupBy("_old", "_block", "_first", "_new").agg(F.count("*").alias("rows"), F.min("_n").alias("n")).collect()
+    rows, names = numbered_rows(spark, source, text_col)
+    schema = spark.read.parquet(source).schema
+    meta = cut(rows.select("old", "at", "size"))
+    held = {r.old: (r.n, r.total) for r in meta.groupBy("old").agg(F.count("*").alias("n"), F.sum("size").alias("total")).collect()}  # a row for each file
+    size = max(BLOCK_BYTES, -(-sum(total for _, total in held.values()) // BLOCKS))
+    steps = F.broadcast(_longs(spark, [(old, max(1, n * size // total)) for old, (n, total) in held.items()], "of", "step"))
+
+    def blocked(df: DataFrame) -> DataFrame:
+        return df.join(steps, F.col("old") == F.col("of")).withColumn("block", F.floor(F.col("at") / F.col("step")).cast("long")).withColumn("nth", F.col("at") - F.col("block") * F.col("step")).drop("of", "step")
+
+    blocks = {(r.old, r.block): (r.total, r.n) for r in blocked(meta).groupBy("old", "block").agg(F.sum("size").alias("total"), F.count("*").alias("n")).collect()}
+    plan = plan_transfers({k: total for k, (total, _) in blocks.items()}, shards)
+    pieces: dict[tuple[int, int], list] = {}
+    for old, block, first, last, new in plan.parts:
+        pieces.setdefault((old, block), []).append((first, last, new))
+    whole = {key: parts[0][2] for key, parts in pieces.items() if len(parts) == 1}
+    divided = _longs(spark, [(*key, *part) for key, parts in pieces.items() if len(parts) > 1 for part in parts], "of_old", "of_block", "first", "last", "new")
+    here = (F.col("old") == F.col("of_old")) & (F.col("block") == F.col("of_block"))
+    some = blocked(meta).join(F.broadcast(divided.select("of_old", "of_block").distinct()), here, "left_semi").drop("nth")
+    some = _largest_first(some).join(F.broadcast(divided), here & (F.col("middle") >= F.col("first")) & (F.col("middle") < F.col("last")))
+    some = cut(some.select("old", "block", "at", "new", F.row_number().over(Window.partitionBy("old", "block", "new").orderBy("nth")).alias("place")))
     filled: dict[int, int] = {}
-    bases = {}
-    for r in sorted(used, key=lambda r: (r._new, r._old, r._block, r._first)):
-        bases[r._old, r._block, r._first] = filled.get(r._new, 0) - r.n
-        filled[r._new] = filled.get(r._new, 0) + r.rows
-    parts = spark.createDataFrame([(*p, bases.get(p[:3], 0)) for p in plan.parts], _PARTS)
-    placed = _placed(blocked(docs.withColumns(keys)), parts)
-    result = {"size": F.col("_size"), "shard": F.col("_new").cast("int"), "slot": F.col("_base") + F.col("_n")}
-    return placed.select(*(f"`{c}`" for c in docs.columns if c not in result), *(c.alias(name) for name, c in result.items())), plan
-
-
-def reshard(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text", old_col: str = "old_shard") -> tuple[DataFrame, Plan]:
-    """Writes the files of the new shards, a folder each, and returns their rows as read back.
-
-    Rows stand in the files with their ``slot``; the old files are left alone
-    until the caller drops them.
-    """
-    placed, plan = assign(docs, shards, id_col, text_col, old_col)
-    placed.write.partitionBy("shard").parquet(path)
-    spark: SparkSession = docs.sparkSession
-    schema = T.StructType([*(f for f in placed.schema if f.name != "shard"), T.StructField("shard", T.IntegerType())])
-    return spark.read.schema(schema).parquet(path), plan
-
-
-def old_files(spark: SparkSession, path: str) -> DataFrame:
-    """A table whose ``old_shard`` is the number of the file a row is in, files in order of name."""
-    docs = spark.read.parquet(path)
-    names = sorted(f.rsplit("/", 1)[-1] for f in docs.inputFiles())
-    if not names:
-        return docs.withColumn("old_shard", F.lit(0).cast("long"))
-    number = F.create_map(*(x for k, name in enumerate(names) for x in (F.lit(name), F.lit(k).cast("long"))))
-    return docs.withColumn("old_shard", number[F.element_at(F.split(F.input_file_name(), "/"), -1)])
+    bases = []
+    counts = [(new, *key, blocks[key][1]) for key, new in whole.items()]
+    counts += [(r.new, r.old, r.block, r.n) for r in some.groupBy("old", "block", "new").agg(F.count("*").alias("n")).collect()]  # a row for each part of a cut block
+    for new, old, block, n in sorted(counts):
+        bases.append((old, block, new, filled.get(new, 0)))
+        filled[new] = filled.get(new, 0) + n
+    known = _longs(spark, [b for b in bases if (b[0], b[1]) in whole], "of_old", "of_block", "to", "base")
+    single = some.join(F.broadcast(_longs(spark, [b for b in bases if (b[0], b[1]) not in whole], "of_old", "of_block", "to", "base")), here & (F.col("new") == F.col("to")))
+    single = small(single.select(F.col("old").alias("its_old"), F.col("at").alias("its_at"), "new", (F.col("base") + F.col("place") - 1).alias("its_slot")))
+    placed = blocked(rows).join(F.broadcast(known), here, "left").join(single, (F.col("old") == F.col("its_old")) & (F.col("at") == F.col("its_at")), "left")
+    placed = placed.select("row", "old", "at", "size", F.coalesce("new", "to").cast("int").alias("shard"), F.coalesce("its_slot", F.col("base") + F.col("nth")).alias("slot"))
+    result = {"size": F.col("size"), "shard": F.col("shard"), "slot": F.col("slot")}
+
+    def flat(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(f"row.`{c}`").alias(c) for c in schema.names if c not in result), *(c.alias(name) for name, c in result.items()))
+
+    loses = sorted({old for old, _, _, _, new in plan.parts if old != new})
+    plan.rewritten = [names[old] for old in loses]
+    moves = F.col("old") != F.col("shard")
+    into = max(1, min(10_000, -(-plan.moved // (shards * FILE_BYTES))))
+    moved = flat(placed.where(moves).repartition(shards * into, "shard", F.pmod(F.xxhash64("old", "at"), F.lit(into))))
+    moved.write.partitionBy("shard").parquet(f"{path}/moved")
+    affected = F.broadcast(_longs(spark, [(old,) for old in loses], "loser"))
+    stays = placed.where(~moves)
+    flat(stays.join(affected, F.col("old") == F.col("loser"), "left_semi")).write.partitionBy("shard").parquet(f"{path}/kept")
+    as_read = T.StructType([*(f for f in moved.schema if f.name != "shard"), T.StructField("shard", T.IntegerType())])
+    back = spark.read.schema(as_read).parquet(f"{path}/moved").unionByName(spark.read.schema(as_read).parquet(f"{path}/kept"))
+    if len(loses) < len(held):
+        back = back.unionByName(flat(stays.join(affected, F.col("old") == F.col("loser"), "left_anti")))
+    return back, plan
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
-    docs = old_files(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "old_shard")
-    rows, _ = reshard(docs, new_path(spark, "shards"), shards=8)
+    rows, _ = reshard(spark, f"{sf_dir}/documents.parquet", new_path(spark, "shards"), shards=8)
     return rows.select(
         "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),

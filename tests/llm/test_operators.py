@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -342,21 +343,55 @@ def test_min_cost_flow_is_cheapest():
         assert sum(cost[i][j] * v for (i, j), v in flow.items()) == best(0, tuple(capacity))
 
 
-def test_reshard(spark):
+def written(spark, df, by):
+    """A parquet table with a file for each value of a column."""
+    place = new_path(spark, "table")
+    for k in sorted(r[0] for r in df.select(by).distinct().collect()):
+        one = new_path(spark, "one")
+        df.where(F.col(by) == k).coalesce(1).write.parquet(one)
+        os.makedirs(place.removeprefix("file:"), exist_ok=True)
+        (part,) = [f for f in os.listdir(one.removeprefix("file:")) if f.endswith(".parquet")]
+        os.rename(f"{one.removeprefix('file:')}/{part}", f"{place.removeprefix('file:')}/part {k:02d}+é.parquet")
+    return place
+
+
+def test_reshard(spark, monkeypatch):
     texts = texts_with_copies(200)
-    docs = documents(spark, texts, clash=True).withColumn("old_shard", F.when(F.col("doc_id") % 3 < 2, 0).otherwise(F.col("doc_id") % 7))
-    out, plan = sharding.reshard(docs, new_path(spark, "shards"), shards=3)
+    clash = {c: F.lit("clash") for c in ("old", "at", "row", "block", "_id", "_old", "file", "name", "shard", "new", "_metadata")}
+    docs = documents(spark, texts, clash=True).withColumn("old_shard", F.when(F.col("doc_id") % 3 < 2, 0).otherwise(F.col("doc_id") % 7)).withColumns(clash)
+    for bytes_of_block in (4_000_000, 2000):
+        monkeypatch.setattr(sharding, "BLOCK_BYTES", bytes_of_block)
+        source = written(spark, docs, "old_shard")
+        out, plan = sharding.reshard(spark, source, new_path(spark, "shards"), shards=3)
+        rows = out.collect()
+        assert sorted(x.doc_id for x in rows) == list(range(len(texts))) and all(x._old == x.old == x.name == x["_metadata"] == "clash" for x in rows)
+        by = {k: [x for x in rows if x["shard"] == k] for k in range(3)}
+        sizes = [sum(x["size"] for x in by[k]) for k in range(3)]
+        assert max(sizes) - min(sizes) <= 2 * max(len((t or "").encode()) + 1 for t in texts)
+        assert all(sorted(x.slot for x in by[k]) == list(range(len(by[k]))) for k in range(3))
+        assert all(x.text == texts[x.doc_id] and x["size"] == len((x.text or "").encode()) + 1 for x in rows)
+        total = sum(sizes)
+        stays = sum(min(total // 3 + (k < total % 3), sum(x["size"] for x in rows if x.old_shard == k)) for k in range(3))
+        assert plan.moved == total - stays
+    none = new_path(spark, "table")
+    docs.limit(0).write.parquet(none)
+    assert sharding.reshard(spark, none, new_path(spark, "shards"), shards=3)[0].count() == 0
+
+
+def test_reshard_leaves_files_alone(spark):
+    """Equal shards stay; of a fourth that is to be dealt out, only that file is rewritten."""
+    texts = [f"{k:06d}" * 20 for k in range(400)]
+    docs = documents(spark, texts).withColumn("old_shard", F.col("doc_id") % 4)
+    source = written(spark, docs, "old_shard")
+    out, plan = sharding.reshard(spark, source, new_path(spark, "shards"), shards=4)
+    assert plan.moved == 0 and plan.rewritten == [] and {(x.old_shard, x.shard) for x in out.collect()} == {(k, k) for k in range(4)}
+    place = new_path(spark, "shards")
+    out, plan = sharding.reshard(spark, source, place, shards=3)
+    assert len(plan.rewritten) == 1 and "03" in plan.rewritten[0]
     rows = out.collect()
-    assert sorted(x.doc_id for x in rows) == list(range(len(texts)))
-    by = {k: [x for x in rows if x["shard"] == k] for k in range(3)}
-    sizes = [sum(x["size"] for x in by[k]) for k in range(3)]
-    assert max(sizes) - min(sizes) <= 2 * max(len((t or "").encode()) + 1 for t in texts)
-    assert all(sorted(x.slot for x in by[k]) == list(range(len(by[k]))) for k in range(3))
-    assert all(x.text == texts[x.doc_id] and x["size"] == len((x.text or "").encode()) + 1 for x in rows)
-    total = sum(sizes)
-    stays = sum(min(total // 3 + (k < total % 3), sum(x["size"] for x in rows if x.old_shard == k)) for k in range(3))
-    assert plan.moved == total - stays
-    assert sharding.reshard(docs.limit(0), new_path(spark, "shards"), shards=3)[0].count() == 0
+    assert sorted(x.doc_id for x in rows) == list(range(400)) and sum(x.old_shard != x.shard for x in rows) == 100
+    assert spark.read.parquet(f"{place}/moved").count() == 100
+    assert all(sorted(x.slot for x in rows if x["shard"] == k) == list(range(sum(x["shard"] == k for x in rows))) for k in range(3))
 
 
 # ---- 6 token files, 9 packing
