@@ -14,6 +14,8 @@ suffixes of all documents:
     not larger than the next are sorted directly, the others follow by scanning
     the buckets of the first byte in order.  Neighbours whose common prefix has
     ``least`` bytes are the same string; its smallest document keeps it.
+    Windows with an anchor of very many blocks are gathered by their whole hash
+    instead, each a segment of its own, so that no bucket has all of them.
 3.  Each block hears which windows go and cuts the bytes they cover.
 """
 
@@ -41,6 +43,10 @@ SLICE_BYTES = 1_000_000
 SEGMENT = 64
 #: Suffixes sorted at a time, about; a sort ends between two anchors.
 SORTED = 300_000
+#: Text bytes of a bucket, about; there are as many as there are shuffle partitions at least.
+BUCKET_BYTES = 64_000_000
+#: An anchor that more blocks have is not gathered in one bucket: its windows are, one by one, by their own hash.
+HOT_BLOCKS = 1000
 _SUFFIX = np.uint64((1 << 47) - 1)
 _LAST_ID = np.iinfo(np.int64).max
 
@@ -255,7 +261,7 @@ def _open(body: bytes, id_at: int, text_at: int, least: int):
     return rows, Block(data, offsets, ids, least)
 
 
-def _blocks(docs: DataFrame, text_at: int) -> DataFrame:
+def _blocks(docs: DataFrame, text_at: int, parts: int) -> DataFrame:
     """Rows put together as compressed Arrow streams, dealt out by block number and written once."""
     def work(batches):
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -285,8 +291,7 @@ def _blocks(docs: DataFrame, text_at: int) -> DataFrame:
         del held
         give_back()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_dealt(docs.mapInArrow(work, "block long, body binary").repartition(n, "block"))
+    return cut_dealt(docs.mapInArrow(work, "block long, body binary").repartition(parts, "block"))
 
 
 def _told(blocks: DataFrame, told: DataFrame) -> DataFrame:
@@ -299,23 +304,56 @@ def _said(row) -> dict[int, bytes]:
     return {x["bucket"]: x["body"] for x in (row.as_py() or [])}
 
 
-def _hits(bucket: np.ndarray, said: dict[int, bytes], buckets: int) -> np.ndarray:
-    """Bits that the buckets returned for a block's anchors, which are in order of bucket."""
-    hit = np.zeros(len(bucket), bool)
+def _hits(bucket: np.ndarray, said: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the buckets returned for a block's anchors, which are in order of bucket: whether several documents have it, and very many blocks."""
+    hit, hot = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
     edge = np.searchsorted(bucket, np.arange(buckets + 1))
     for k, body in said.items():
-        n = int(edge[k + 1] - edge[k])
-        hit[edge[k] : edge[k + 1]] = np.unpackbits(np.frombuffer(_stretch(body), np.uint8), count=n).astype(bool)
-    return hit
+        part, n = slice(edge[k], edge[k + 1]), int(edge[k + 1] - edge[k])
+        bits = np.frombuffer(_stretch(body), np.uint8)
+        hit[part], hot[part] = (np.unpackbits(x, count=n).astype(bool) for x in np.split(bits, 2))
+    return hit, hot
+
+
+class Runs:
+    """A block's runs of windows with an anchor that is shared; those of very many blocks window by window."""
+
+    def __init__(self, block: Block, said: dict[int, bytes], buckets: int):
+        bucket, _, _, of = block.anchors(buckets)
+        hit, hot = _hits(bucket, said, buckets)
+        own = np.flatnonzero((hit & ~hot)[of])
+        parts = [(block.first[own], block.count[own], block.row[own], block.key[own], block.content[own], bucket[of[own]])]
+        split = np.flatnonzero((hit & hot)[of])
+        if len(split):
+            n = block.count[split]
+            run = np.repeat(split, n)
+            first = block.first[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+            content = np.concatenate([span_hashes(block.data[x[0] : x[-1] + block.least], x - x[0], x - x[0] + block.least) for x in _near_each_other(first)])
+            key = mix(content ^ np.uint64(0xE7037ED1A0B428DB))
+            parts.append((first, np.ones(len(first), np.int64), block.row[run], key, content, (key >> np.uint64(47)).astype(np.int64) % buckets))
+        self.first, self.count, self.row, self.key, self.content, self.bucket = (np.concatenate(x) for x in zip(*parts))
+        self.ids = block.ids[self.row]
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+
+def _near_each_other(first: np.ndarray):
+    """Ascending positions in stretches of SLICE_BYTES."""
+    a = 0
+    while a < len(first):
+        b = int(np.searchsorted(first, first[a] + SLICE_BYTES))
+        yield first[a:b]
+        a = b
 
 
-def _segments(block: Block, hit_runs: np.ndarray, bucket_of_run: np.ndarray):
-    """Different segments in order of bucket: runs that stand for them, their smallest document, and where each hit run's is."""
-    content = block.content[hit_runs]
-    order = np.lexsort((content, block.key[hit_runs], bucket_of_run))
-    new = np.r_[True, (content[order][1:] != content[order][:-1]) | (block.key[hit_runs[order]][1:] != block.key[hit_runs[order]][:-1])] if len(order) else np.zeros(0, bool)
+def _segments(runs: Runs):
+    """Different segments in order of bucket: runs that stand for them, their smallest document, and where each run's is."""
+    order = np.lexsort((runs.content, runs.key, runs.bucket))
+    content, key = runs.content[order], runs.key[order]
+    new = np.r_[True, (content[1:] != content[:-1]) | (key[1:] != key[:-1])] if len(order) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    ids = block.ids[block.row[hit_runs]]
+    ids = runs.ids
     owner = np.minimum.reduceat(ids[order], at) if len(at) else np.zeros(0, np.int64)
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
@@ -364,19 +402,23 @@ def _send_anchors(id_at: int, text_at: int, least: int, buckets: int):
     return work
 
 
-def _shared_anchors(batches):
-    for bucket, blocks, bodies in _by_bucket(batches):
-        parts = [_from_six(b) for b in bodies]
-        value = np.concatenate(parts)
-        suffix, several = value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
-        order = np.argsort(suffix, kind="stable")
-        new = np.r_[True, suffix[order][1:] != suffix[order][:-1]]
-        at = np.flatnonzero(new)
-        shared = (np.diff(np.r_[at, len(order)]) > 1) | np.logical_or.reduceat(several[order], at)
-        hit = np.empty(len(order), bool)
-        hit[order] = shared[np.cumsum(new) - 1]
-        edge = np.cumsum([0, *map(len, parts)])
-        yield _rows([bucket] * len(blocks), blocks, [_squeeze(np.packbits(hit[a:b]).tobytes()) for a, b in zip(edge, edge[1:])])
+def _shared_anchors(hot_blocks: int):
+    def work(batches):
+        for bucket, blocks, bodies in _by_bucket(batches):
+            parts = [_from_six(b) for b in bodies]
+            value = np.concatenate(parts)
+            suffix, several = value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
+            order = np.argsort(suffix, kind="stable")
+            new = np.r_[True, suffix[order][1:] != suffix[order][:-1]]
+            at = np.flatnonzero(new)
+            n = np.diff(np.r_[at, len(order)])
+            shared, very = (n > 1) | np.logical_or.reduceat(several[order], at), n > hot_blocks
+            hit, hot = np.empty(len(order), bool), np.empty(len(order), bool)
+            hit[order], hot[order] = shared[np.cumsum(new) - 1], very[np.cumsum(new) - 1]
+            edge = np.cumsum([0, *map(len, parts)])
+            yield _rows([bucket] * len(blocks), blocks, [_squeeze(np.packbits(hit[a:b]).tobytes() + np.packbits(hot[a:b]).tobytes()) for a, b in zip(edge, edge[1:])])
+
+    return work
 
 
 def _send_segments(id_at: int, text_at: int, least: int, buckets: int):
@@ -384,22 +426,20 @@ def _send_segments(id_at: int, text_at: int, least: int, buckets: int):
         for batch in batches:
             for number, body, told in zip(batch.column("block").to_pylist(), batch.column("body"), batch.column("told")):
                 _, block = _open(body.as_py(), id_at, text_at, least)
-                bucket, _, _, of = block.anchors(buckets)
-                runs = np.flatnonzero(_hits(bucket, _said(told), buckets)[of])
+                runs = Runs(block, _said(told), buckets)
                 if not len(runs):
                     continue
-                mine = bucket[of[runs]]
-                chosen, owner, _ = _segments(block, runs, mine)
-                edge = np.searchsorted(mine[chosen], np.arange(buckets + 1))
-                runs = runs[chosen]
-                size = block.count[runs] + least - 1
+                chosen, owner, _ = _segments(runs)
+                edge = np.searchsorted(runs.bucket[chosen], np.arange(buckets + 1))
+                first, key = runs.first[chosen], runs.key[chosen]
+                size = runs.count[chosen] + least - 1
                 full = np.flatnonzero(np.diff(edge)).tolist()
                 bodies = []
                 for k in full:
                     part = slice(edge[k], edge[k + 1])
-                    text = _gather(block.data, block.first[runs[part]], size[part])
+                    text = _gather(block.data, first[part], size[part])
                     head = np.array([edge[k + 1] - edge[k]], "<u8").tobytes()
-                    bodies.append(_squeeze(b"".join([head, block.key[runs[part]].astype("<u8").tobytes(), owner[part].astype("<i8").tobytes(), size[part].astype("<u2").tobytes(), text.tobytes()])))
+                    bodies.append(_squeeze(b"".join([head, key[part].astype("<u8").tobytes(), owner[part].astype("<i8").tobytes(), size[part].astype("<u2").tobytes(), text.tobytes()])))
                 yield _rows(full, [number] * len(full), bodies)
                 del block, bodies
                 give_back()
@@ -469,21 +509,19 @@ def _cut_blocks(id_at: int, text_at: int, least: int, buckets: int, finish):
                 rows, block = _open(body.as_py(), id_at, text_at, least)
                 goes = np.zeros(len(block.data) + 1, np.int32)
                 said = _said(judged)
-                bucket, _, _, of = block.anchors(buckets)
-                runs = np.flatnonzero(_hits(bucket, _said(told), buckets)[of])
+                runs = Runs(block, _said(told), buckets)
                 if len(runs):
-                    mine = bucket[of[runs]]
-                    chosen, owner, segment = _segments(block, runs, mine)
+                    chosen, owner, segment = _segments(runs)
                     bits = np.zeros(len(chosen), np.uint64)
-                    edge = np.searchsorted(mine[chosen], np.arange(buckets + 1))
+                    edge = np.searchsorted(runs.bucket[chosen], np.arange(buckets + 1))
                     for k, raw in said.items():
                         bits[edge[k] : edge[k + 1]] = np.frombuffer(_stretch(raw), "<u8")
                     here = bits[segment]
-                    here[block.ids[block.row[runs]] > owner[segment]] = ~np.uint64(0)
-                    runs, here = runs[here > 0], here[here > 0]
-                    n = block.count[runs]
+                    here[runs.ids > owner[segment]] = ~np.uint64(0)
+                    some, here = here > 0, here[here > 0]
+                    n = runs.count[some]
                     k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    starts = np.repeat(block.first[runs], n) + k
+                    starts = np.repeat(runs.first[some], n) + k
                     starts = starts[(np.repeat(here, n) >> k.astype(np.uint64) & np.uint64(1)) > 0]
                     goes[starts] += 1
                     np.subtract.at(goes, starts + least, 1)
@@ -526,11 +564,12 @@ def _rewrite(text_at: int, count_at: int | None):
 def _run(docs: DataFrame, id_at: int, text_at: int, least: int, finish, schema) -> DataFrame:
     if least < 8:
         raise ValueError("least is 8 bytes or more")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(docs, text_at)
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{docs.columns[text_at]}`")))).head()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    blocks = _blocks(docs, text_at, buckets)
     own = (id_at, text_at, least, buckets)
     anchors = blocks.mapInArrow(_send_anchors(*own), _ROW).repartitionById(buckets, "bucket")
-    shared = cut(anchors.mapInArrow(_shared_anchors, _ROW))
+    shared = cut(anchors.mapInArrow(_shared_anchors(HOT_BLOCKS), _ROW))
     hits = _told(blocks, shared)
     segments = hits.mapInArrow(_send_segments(*own), _ROW).repartitionById(buckets, "bucket")
     judged = cut(segments.mapInArrow(_judge_segments(least), _ROW))

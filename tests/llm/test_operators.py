@@ -293,7 +293,9 @@ def test_suffix_order_is_two_stage_exact():
         assert lcp[1:].tolist() == want
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("hot_blocks", [1000, 2, 1])
+def test_repeats(spark, monkeypatch, hot_blocks):
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot_blocks)
     texts = texts_with_copies(40)
     ids = list(range(len(texts)))
     random.Random(1).shuffle(ids)
@@ -304,11 +306,13 @@ def test_repeats(spark):
     assert suffix_dedup.repeated_bytes(df.limit(0)).count() == 0
 
 
-def test_repeats_with_nul_bytes_and_runs(spark):
+def test_repeats_with_nul_bytes_and_runs(spark, monkeypatch):
     texts = ["\x00" * 120, "ab" * 60, "x" + "ab" * 60, "\x00" * 60 + "z" * 60, "z" * 49, "z" * 50, "q" * 300]
     rows = list(enumerate(texts)) + [(9, "q" * 299 + "\x00" * 50)]
-    found = suffix_dedup.repeated_bytes(documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
-    assert sorted(tuple(x) for x in found) == brute_repeats(rows)
+    for hot_blocks in (1000, 1):
+        monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot_blocks)
+        found = suffix_dedup.repeated_bytes(documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(4)).collect()
+        assert sorted(tuple(x) for x in found) == brute_repeats(rows)
 
 
 def test_drop_repeats(spark):
