@@ -15,8 +15,6 @@ from siftwell.llm._common import cut, new_path, small
 BLOCK_BYTES = 4_000_000
 #: Blocks at most; larger inputs have larger blocks.
 BLOCKS = 40_000
-#: Bytes of a file of moved rows, about.
-FILE_BYTES = 128_000_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -141,11 +139,12 @@ def reshard(spark: SparkSession, source: str, path: str, shards: int, text_col:
     """The rows of a parquet table, whose files are the old shards in order of name, in ``shards`` new ones of equal size.
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 1.  Old shard k
-    may stay as new shard k.  Only what the flow moves is exchanged: moved rows
-    are written under ``path``/moved, a folder for each shard; files that lose
-    rows are rewritten under ``path``/kept without an exchange; other files stay
-    as they are and where they are.  The source is left alone until the caller
-    drops the files that were rewritten (``Plan.rewritten``).
+    may stay as new shard k.  Files that lose rows are rewritten under ``path``,
+    a folder for each shard; other files stay as they are and where they are.
+    Nothing is exchanged: a flow has fewer arcs than there are old and new
+    shards, so what a task reads goes to few of them and it writes their files
+    itself.  The source is left alone until the caller drops the files that were
+    rewritten (``Plan.rewritten``).
 
     Returns the rows as read back, with ``size``, ``shard`` and ``slot``, which
     counts a shard's rows from 0 without gaps.  The new shards' sizes differ by
@@ -194,17 +193,13 @@ def reshard(spark: SparkSession, source: str, path: str, shards: int, text_col:
 
     loses = sorted({old for old, _, _, _, new in plan.parts if old != new})
     plan.rewritten = [names[old] for old in loses]
-    moves = F.col("old") != F.col("shard")
-    into = max(1, min(10_000, -(-plan.moved // (shards * FILE_BYTES))))
-    moved = flat(placed.where(moves).repartition(shards * into, "shard", F.pmod(F.xxhash64("old", "at"), F.lit(into))))
-    moved.write.partitionBy("shard").parquet(f"{path}/moved")
     affected = F.broadcast(_longs(spark, [(old,) for old in loses], "loser"))
-    stays = placed.where(~moves)
-    flat(stays.join(affected, F.col("old") == F.col("loser"), "left_semi")).write.partitionBy("shard").parquet(f"{path}/kept")
-    as_read = T.StructType([*(f for f in moved.schema if f.name != "shard"), T.StructField("shard", T.IntegerType())])
-    back = spark.read.schema(as_read).parquet(f"{path}/moved").unionByName(spark.read.schema(as_read).parquet(f"{path}/kept"))
+    rewritten = flat(placed.join(affected, F.col("old") == F.col("loser"), "left_semi"))
+    rewritten.write.partitionBy("shard").parquet(path)
+    as_read = T.StructType([*(f for f in rewritten.schema if f.name != "shard"), T.StructField("shard", T.IntegerType())])
+    back = spark.read.schema(as_read).parquet(path)
     if len(loses) < len(held):
-        back = back.unionByName(flat(stays.join(affected, F.col("old") == F.col("loser"), "left_anti")))
+        back = back.unionByName(flat(placed.join(affected, F.col("old") == F.col("loser"), "left_anti")))
     return back, plan
 
 
