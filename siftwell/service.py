@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sqlite3
 import threading
 import time
 import uuid
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import ledger
 from siftwell.plans import costs
+from siftwell.plans.answer import answer
 from siftwell.plans.config import PRESETS, preset
 from siftwell.plans.retrieve import Unavailable, retrieve
-from siftwell.plans.runner import load
+from siftwell.plans.runner import load, run
 from siftwell.sources import files
 
 LONGEST_QUERY = 4000
+#: Dollars that a query of the demo counts for.
+QUERY_USD = 0.02
 QUEUED, RUNNING, SUCCEEDED, FAILED, INTERRUPTED = "queued", "running", "succeeded", "failed", "interrupted"
 
 
@@ -37,11 +41,54 @@ class Job:
         self.events.append({"seq": len(self.events) + 1, "ts": time.time(), "message": message, "progress": progress})
 
 
+class Store:
+    """Jobs, traces and the ledger of requests, in a file of the service's host; without a path in memory."""
+
+    def __init__(self, path: str | None = None):
+        self.db, self.lock = sqlite3.connect(path or ":memory:", check_same_thread=False, isolation_level=None), threading.RLock()
+        self._do("create table if not exists jobs (job_id text primary key, doc text)")
+        self._do("create table if not exists traces (trace_id text, seq integer, doc text, primary key (trace_id, seq))")
+        self._do("create table if not exists requests (ip text, s integer)")
+        self._do("create index if not exists by_second on requests (s)")
+
+    def _do(self, statement: str, *values) -> list[tuple]:
+        with self.lock:
+            return self.db.execute(statement, values).fetchall()
+
+    def save_job(self, job: Job) -> None:
+        self._do("insert or replace into jobs values (?, ?)", job.job_id, json.dumps(job.__dict__))
+
+    def jobs(self) -> dict[str, Job]:
+        return {job_id: Job(**json.loads(doc)) for job_id, doc in self._do("select job_id, doc from jobs")}
+
+    def add_trace(self, trace_id: str, events: list[dict]) -> None:
+        for event in events:
+            self._do("insert into traces values (?, ?, ?)", trace_id, event["seq"], json.dumps(event))
+
+    def trace(self, trace_id: str) -> list[dict]:
+        return [json.loads(doc) for (doc,) in self._do("select doc from traces where trace_id = ? order by seq", trace_id)]
+
+    def admit(self, ip: str, now: int) -> str:
+        """Check, then record: the address's last minute and UTC day, and the day's budget of all, as in the ledger's windows."""
+        with self.lock:
+            day = now // 86_400
+            self._do("delete from requests where s < ?", day * 86_400 - 60)
+            recent = self._do("select count(*) from requests where ip = ? and s > ? and s <= ?", ip, now - 60, now)[0][0]
+            today = self._do("select count(*) from requests where ip = ? and s / 86400 = ?", ip, day)[0][0]
+            spent = QUERY_USD * self._do("select count(*) from requests where s / 86400 = ?", day)[0][0]
+            why = "minute" if recent >= ledger.PER_MINUTE else "day" if today >= ledger.PER_DAY else "budget" if spent >= ledger.BUDGET else "ok"
+            if why == "ok":
+                self._do("insert into requests values (?, ?)", ip, now)
+            return why
+
+
 class Jobs:
     """One job after another; what ran when the process ended counts as interrupted and can be resumed."""
 
-    def __init__(self):
-        self.handlers, self.jobs, self.lock = {}, {}, threading.Lock()
+    def __init__(self, store: Store | None = None):
+        self.handlers, self.store, self.lock = {}, store or Store(), threading.Lock()
+        self.jobs = self.store.jobs()
+        self.restart()
 
     def register(self, kind: str, handler) -> None:
         self.handlers[kind] = handler
@@ -51,29 +98,34 @@ class Jobs:
             raise KeyError(kind)
         job = Job(uuid.uuid4().hex, kind, params)
         self.jobs[job.job_id] = job
+        self.store.save_job(job)
         return job.job_id
 
+    def _set(self, job: Job, status: str, error: str | None = None) -> None:
+        job.status, job.error = status, error
+        self.store.save_job(job)
+
     def run_queued(self) -> None:
         with self.lock:
             for job in [j for j in self.jobs.values() if j.status == QUEUED]:
-                job.status = RUNNING
+                self._set(job, RUNNING)
                 try:
                     self.handlers[job.kind](job.params, job)
-                    job.status = SUCCEEDED
+                    self._set(job, SUCCEEDED)
                 except Exception as error:  # noqa: BLE001  a job's failure is its record
-                    job.status, job.error = FAILED, f"{type(error).__name__}: {error}"
-                    job.say(job.error)
+                    job.say(f"{type(error).__name__}: {error}")
+                    self._set(job, FAILED, f"{type(error).__name__}: {error}")
 
     def restart(self) -> None:
         for job in self.jobs.values():
             if job.status == RUNNING:
-                job.status = INTERRUPTED
+                self._set(job, INTERRUPTED)
 
     def resume(self, job_id: str) -> bool:
         job = self.jobs[job_id]
         if job.status not in (INTERRUPTED, FAILED):
             return False
-        job.status, job.error = QUEUED, None
+        self._set(job, QUEUED)
         return True
 
     def newest(self, kind: str | None = None) -> list[Job]:
@@ -81,18 +133,26 @@ class Jobs:
 
 
 class App:
-    """Handlers over a folder of corpora, each with an ``index`` folder."""
+    """Handlers over a folder of corpora, each with an ``index`` folder.
 
-    def __init__(self, spark: SparkSession, data_dir: str, demo_corpus: str | None = None, clock=time.time):
+    ``state``: a file in which jobs, traces and the ledger outlast the process.
+    """
+
+    def __init__(self, spark: SparkSession, data_dir: str, demo_corpus: str | None = None, clock=time.time, state: str | None = None):
         self.spark, self.data_dir, self.demo, self.clock = spark, data_dir, demo_corpus, clock
-        self.jobs, self.traces, self.asked = Jobs(), {}, []
+        self.store = Store(state)
+        self.jobs = Jobs(self.store)
         self.jobs.register("ingest", self._ingest)
+        self.jobs.register("eval", self._eval)
 
     def health(self) -> tuple[int, dict]:
-        return 200, {"ok": files.exists(self.spark, self.data_dir), "presets": list(PRESETS), "demo": self.demo is not None}
+        return 200, {"ok": files.exists(self.spark, self.data_dir), "presets": list(PRESETS), "demo": self.demo is not None, "jobs": [] if self.demo is not None else sorted(self.jobs.handlers)}
 
     def query(self, body: dict, address: str = "local") -> tuple[int, dict]:
-        """400 and 422 for bad requests, 403 outside the demo corpus, 404 without the corpus, 429 over a limit, 503 if nothing answers."""
+        """The best chunks, and with ``answer`` set what is written from them and by which route.
+
+        422 for bad requests, 403 outside the demo corpus, 404 without the corpus, 429 over a limit, 503 if nothing answers.
+        """
         text, name, corpus = body.get("query", ""), body.get("preset", "bm25-only"), body.get("corpus_id", "")
         if not isinstance(text, str) or not 1 <= len(text) <= LONGEST_QUERY or name not in PRESETS:
             return 422, {"detail": "the query needs 1 to 4000 characters and a known preset"}
@@ -107,33 +167,30 @@ class App:
         began = time.perf_counter()
         try:
             indexes = load(self.spark, home)
-            rows, degraded = retrieve(asked, indexes, preset(name))
-            found = rows.join(indexes.chunks.select("chunk_id", "doc_id", "text"), "chunk_id").orderBy("rank").collect()  # top_k_final rows
+            chunks, said = indexes.chunks.select("chunk_id", "doc_id", "text"), {}
+            if body.get("answer"):
+                result, rows = answer(asked, indexes, preset(name))
+                r = result.head()
+                degraded, said = r.flags, {"answer": r.answer, "route": r.route, "cited": r.cited, "hops_used": r.hops_used, "unresolved": r.unresolved}
+            else:
+                rows, degraded = retrieve(asked, indexes, preset(name))
+            found = [r.asDict() for r in rows.join(chunks, "chunk_id").orderBy("rank").collect()]  # top_k_final rows a hop
         except Unavailable as error:
             return 503, {"detail": str(error)}
         except ValueError as error:
             return 404, {"detail": str(error)}
         trace = uuid.uuid4().hex
-        rows = [{"rank": r.rank, "chunk_id": r.chunk_id, "doc_id": r.doc_id, "score": r.score, "source": r.source, "text": r.text} for r in found]
-        self.traces[trace] = [{"trace_id": trace, "seq": 0, "node": "retrieve", "payload": {"query": text, "preset": name, "chunks": [r["chunk_id"] for r in rows], "degraded": degraded}, "duration_ms": (time.perf_counter() - began) * 1000}]
-        return 200, {"trace_id": trace, "citations": rows, "degraded": degraded}
+        rows = [{c: r[c] for c in ("rank", "chunk_id", "doc_id", "score", "source", "hop", "text") if c in r} for r in found]
+        events = [("retrieve", {"query": text, "preset": name, "chunks": [r["chunk_id"] for r in rows], "degraded": degraded}), *([("answer", said)] if said else [])]
+        spent = (time.perf_counter() - began) * 1000
+        self.store.add_trace(trace, [{"trace_id": trace, "seq": k, "node": node, "payload": payload, "duration_ms": spent} for k, (node, payload) in enumerate(events)])
+        return 200, {"trace_id": trace, "citations": rows, "degraded": degraded, **said}
 
     def _limit(self, address: str) -> str:
-        """Check, then record; the same columns decide as in the ledger's windows."""
-        now = self.clock()
-        self.asked.append((address, int(now)))
-        rows = self.spark.createDataFrame(self.asked, "ip string, s long")
-        day = ledger.day_counts(ledger.minute_counts(rows, "ip", "s"), "ip", "s")
-        own = day.where((F.col("ip") == address) & (F.col("s") == int(now)))
-        same = sum(1 for a, s in self.asked[:-1] if (a, s) == (address, int(now)))
-        spent = 0.02 * sum(1 for _, s in self.asked[:-1] if s // 86_400 == int(now) // 86_400)
-        why = own.select(ledger.verdict(F.col("recent") + same, F.col("today") + same, F.lit(spent)).alias("why")).head().why
-        if why != "ok":
-            self.asked.pop()
-        return why
+        return self.store.admit(address, int(self.clock()))
 
     def trace(self, trace_id: str) -> tuple[int, dict]:
-        events = self.traces.get(trace_id, [])
+        events = self.store.trace(trace_id)
         return (200, {"events": events}) if events else (404, {"detail": "no such trace"})
 
     def _documents(self, pattern: str) -> tuple[list[dict], list[dict]]:
@@ -180,6 +237,36 @@ class App:
         usd = round(costs.estimate([preset(name)], n), 4)
         return (400, {"detail": "the estimate is over the cap", "usd": usd}) if cap is not None and usd > cap else (200, {"usd": usd})
 
+    def submit_eval(self, body: dict) -> tuple[int, dict]:
+        """A run of presets over a slice of a corpus's queries, as a job; 400 where the estimate is over the cap."""
+        corpus, names, size, cap = str(body.get("corpus_id", "")), body.get("presets") or [], body.get("slice", "smoke"), body.get("spend_cap_usd")
+        if self.demo is not None:
+            return 403, {"detail": "runs are closed in the demo"}
+        if not names or any(n not in PRESETS for n in names) or size not in ("smoke", "full") or (cap is not None and cap <= 0):
+            return 422, {"detail": "known presets, a slice (smoke, full) and a positive cap are needed"}
+        home = f"{self.data_dir}/{corpus}"
+        if not corpus or not files.exists(self.spark, f"{home}/index/chunks") or not all(files.exists(self.spark, f"{home}/raw/{f}") for f in ("queries.jsonl", f"slice-{size}.json")):
+            return 404, {"detail": f"no corpus {corpus!r} with this slice of queries"}
+        usd = round(costs.estimate([preset(n) for n in names], self._asked(home, size)[0].count()), 4)
+        if cap is not None and usd > cap:
+            return 400, {"detail": "the estimate is over the cap", "usd": usd}
+        run_id = time.strftime("%Y%m%dT%H%M%S", time.gmtime(self.clock())) + "-" + uuid.uuid4().hex[:8]
+        return 202, {"job_id": self.jobs.submit("eval", {"corpus_id": corpus, "presets": list(names), "slice": size, "spend_cap_usd": cap, "run_id": run_id}), "run_id": run_id, "usd": usd}
+
+    def _asked(self, home: str, size: str) -> tuple[DataFrame, DataFrame]:
+        from siftwell.operators.prep import gold_rows
+
+        chosen = files.query_slice(self.spark, f"{home}/raw", size)
+        return gold_rows(files.slice_queries(files.queries(self.spark, f"{home}/raw/queries.jsonl"), chosen))
+
+    def _eval(self, params: dict, job: Job) -> None:
+        """A resumed run goes on with the queries that have no result yet."""
+        home = f"{self.data_dir}/{params['corpus_id']}"
+        asked, golds = self._asked(home, params["slice"])
+        doc = run(self.spark, asked, golds, load(self.spark, f"{home}/index"), params["presets"], params["run_id"], f"{home}/results", params["corpus_id"], params["spend_cap_usd"])
+        self.spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{home}/{params['run_id']}.json")
+        job.say(f"{len(doc['receipts'])} receipts", 1.0)
+
     def job(self, job_id: str) -> tuple[int, dict]:
         job = self.jobs.jobs.get(job_id)
         return (404, {"detail": "no such job"}) if job is None else (200, {"status": job.status, "error": job.error, "events": job.events})
@@ -210,6 +297,8 @@ class App:
                 return self.resume(job_id)
             case ("POST", "eval", "estimate"):
                 return self.estimate(body.get("preset", ""), int(body.get("n", 0)), body.get("spend_cap_usd"))
+            case ("POST", "eval", "runs"):
+                return self.submit_eval(body)
             case ("GET", "eval", "runs"):
                 return 200, {"runs": [{"job_id": j.job_id, "status": j.status} for j in self.jobs.newest("eval")]}
         return 404, {"detail": "no such path"}
