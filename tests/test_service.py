@@ -8,8 +8,8 @@ from siftwell.service import App, FAILED, INTERRUPTED, RUNNING, SUCCEEDED
 def test_service(spark, tmp_path):
     up = tmp_path / "mine" / "uploads"
     up.mkdir(parents=True)
-    (up / "a.txt").write_text("Paris is the capital of France. The Seine flows there.")
-    (up / "b.md").write_text("Berlin is the capital of Germany.")
+    (up / "a.txt").write_text("Walnuts ripen in the valley orchards by late autumn. Pickers shake the boughs.")
+    (up / "b.md").write_text("Salt pans line the northern shore.")
     (up / "c.exe").write_bytes(b"x")
     app = App(spark, str(tmp_path))
     assert app.health()[0] == 200 and app.health()[1]["ok"]
@@ -17,7 +17,7 @@ def test_service(spark, tmp_path):
     app.jobs.run_queued()
     job = app.route("GET", f"/jobs/{body['job_id']}", {})[1]
     assert status == 202 and job["status"] == SUCCEEDED and any("c.exe" in e["message"] for e in job["events"]), job
-    status, found = app.route("POST", "/query", {"query": "capital of France", "corpus_id": "mine", "preset": "dense-rrf"})
+    status, found = app.route("POST", "/query", {"query": "walnuts in valley orchards", "corpus_id": "mine", "preset": "dense-rrf"})
     assert status == 200 and found["citations"][0]["doc_id"] == "a.txt" and found["degraded"] == []
     assert app.route("GET", f"/traces/{found['trace_id']}", {})[1]["events"][0]["node"] == "retrieve"
     assert app.route("GET", "/corpora", {})[1]["corpora"][0]["n_docs"] == 2
