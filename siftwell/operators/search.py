@@ -62,7 +62,8 @@ class Bm25Index:
         return Bm25Index(*weighted(None), corpus, weighted)
 
     def write(self, path: str) -> None:
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        # by both, for a frequent term has a posting in nearly every chunk
+        self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 

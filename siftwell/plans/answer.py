@@ -23,12 +23,17 @@ class Providers:
     ``decompose``: subqueries, tokens.  ``judge(queries, hop rows)``: verdict,
     refined, tokens.  ``write``: from query_id, query, context, texts to answer,
     citations (numbers of the context), contradiction, open_parts, tokens.
+    ``recognise(queries, phrases)``: the phrases (text) that a query names, for
+    plans with ``graph_recognition``.  ``assess``: from query_id, query, answer,
+    texts to faithfulness and relevancy.
     """
 
     classify: Callable = offline.classify
     decompose: Callable = offline.decompose
     judge: Callable = offline.judge
     write: Callable = offline.write
+    recognise: Callable = offline.recognise
+    assess: Callable = offline.assess
 
 
 def graph_core(config: PipelineConfig) -> PipelineConfig:
@@ -68,8 +73,14 @@ def answer(queries: DataFrame, indexes: Indexes, config: PipelineConfig, provide
     hops = None
 
     def ranked(asked: DataFrame, plan: PipelineConfig, name: str) -> DataFrame:
-        found, left_out = retrieve(asked, indexes, plan, score)
-        flags[name] = left_out
+        recognised, missed = None, []
+        if plan.query.graph and plan.query.graph_recognition:
+            try:
+                recognised = providers.recognise(asked, indexes.node_vectors.where("kind = 'phrase'").select("text"))
+            except Unavailable:  # all seeds stay
+                missed = ["recognition-skipped"]
+        found, left_out = retrieve(asked, indexes, plan, score, recognised=recognised)
+        flags[name] = left_out + missed
         return found.select("query_id", "rank", "chunk_id")
 
     for step, name, plan in (("s1_retrieve", "s1", config), ("graph_retrieve", "graph", graph_core(config))):

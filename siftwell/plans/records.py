@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.plans.config import PRESETS
+from siftwell.plans.config import PRESETS, PipelineConfig
 
 SCHEMA_VERSION = 1
+#: What a row of a query keeps in a record that is committed.
+KEPT = ("query_id", "retrieved_chunk_ids", "latency_ms", "usd", "flags")
 #: Published differences that a run is held against (fixed values): preset, baseline, metric, published delta, source.
 ANCHORS = [
     ("dense-rrf", "bm25-only", "recall_at_5", -0.057, "T2-RAGBench dense against BM25"),
@@ -56,11 +60,42 @@ def pivot_anchors(found: DataFrame) -> DataFrame:
 
 def strip(rows: DataFrame) -> DataFrame:
     """Per-query rows as they may be committed: no answers and no routes."""
-    return rows.select("query_id", "retrieved_chunk_ids", "latency_ms", "usd", "flags")
+    return rows.select(*KEPT)
 
 
-def envelope(run_id: str, receipts: list[dict], skipped: list[dict] | None = None) -> str:
-    return json.dumps({"schema_version": SCHEMA_VERSION, "run_id": run_id, "receipts": receipts, "skipped": skipped or []}, sort_keys=True, ensure_ascii=False)
+def strip_document(doc: dict) -> dict:
+    """A run document as it may be committed: the rows of its queries stripped, all else as it is."""
+    return doc | {"receipts": [r | ({"per_query": [{k: v for k, v in q.items() if k in KEPT} for q in r["per_query"]]} if "per_query" in r else {}) for r in doc["receipts"]]}
+
+
+def run_id(corpus_id: str, size: str, at: datetime | None = None) -> str:
+    """``corpus-slice-YYYYMMDD-HHMMSS-`` and six hexadecimal digits, in UTC."""
+    return f"{corpus_id}-{size}-{(at or datetime.now(UTC)):%Y%m%d-%H%M%S}-{uuid.uuid4().hex[:6]}"
+
+
+def used_hashes(config: PipelineConfig, hashes: dict) -> dict:
+    """Of an index's hashes those of the tables that the configuration's lists come from; the graph's is not among them."""
+    q = config.query
+    wanted = ["sparse"] * q.bm25 + ["dense_contextual" if q.contextual else "dense_isolated"] * q.dense
+    return {name: hashes[name] for name in wanted}
+
+
+def per_query(results: DataFrame) -> dict[str, list[dict]]:
+    """The rows of each preset's queries in order of id, for the run document.
+
+    They fit in one document as the slice of queries does, which is one itself.
+    """
+    found: dict[str, list[dict]] = {}
+    for r in results.drop("run_id").orderBy("preset", "query_id").toLocalIterator():
+        row = r.asDict(recursive=True)
+        found.setdefault(row.pop("preset"), []).append(row)
+    return found
+
+
+def envelope(run_id: str, receipts: list[dict], skipped: list[dict] | None = None, **about) -> str:
+    """A run document; ``about``: corpus_id and slice, where they are known."""
+    doc = about | {"schema_version": SCHEMA_VERSION, "run_id": run_id, "receipts": receipts, "skipped": skipped or [], "created_at": datetime.now(UTC).isoformat()}
+    return json.dumps(doc, sort_keys=True, ensure_ascii=False)
 
 
 def open_envelope(text: str) -> dict:

@@ -36,6 +36,23 @@ class Skipped:
     reason: str
 
 
+def build_graph(spark: SparkSession, out: str, triples: DataFrame) -> str:
+    """The graph of an ingested corpus from triples of its chunks; returns its hash."""
+    chunks = spark.read.parquet(f"{out}/chunks")
+    nodes = graph.nodes(chunks.select("chunk_id", "ord", "text"), triples).withColumn("vector", hash_embedding(F.col("text")))
+    named = nodes.where("kind = 'phrase'").select("node_id", "vector")
+    sinks.write_graph(nodes, graph.edges(nodes, triples, graph.synonym_pairs(named)), f"{out}/graph")
+    return sinks.table_hash(spark.read.parquet(f"{out}/graph/edges"), "kind", "src", "dst", "weight")
+
+
+def add_graph(spark: SparkSession, out: str, triples: DataFrame) -> dict:
+    """Builds the graph of a corpus that has been ingested without one and enters its hash in the manifest."""
+    doc = files.manifest(spark, f"{out}/manifest")
+    doc["index_hashes"]["graph"] = build_graph(spark, out, triples)
+    sinks.write_manifest(spark, doc, f"{out}/manifest")
+    return doc
+
+
 def ingest(spark: SparkSession, raw: str, out: str, corpus_id: str, config: IngestConfig | None = None, triples: DataFrame | None = None) -> dict:
     """From raw/docs.jsonl to chunks, vectors, the BM25 index, the graph if there are triples, and the manifest."""
     config = config or IngestConfig()
@@ -55,13 +72,10 @@ def ingest(spark: SparkSession, raw: str, out: str, corpus_id: str, config: Inge
         "sparse": sinks.table_hash(spark.read.parquet(f"{out}/bm25/terms"), "term", "df"),
     }
     if triples is not None:
-        nodes = graph.nodes(chunks.select("chunk_id", "ord", "text"), triples).withColumn("vector", hash_embedding(F.col("text")))
-        named = nodes.where("kind = 'phrase'").select("node_id", "vector")
-        sinks.write_graph(nodes, graph.edges(nodes, triples, graph.synonym_pairs(named)), f"{out}/graph")
-        hashes["graph"] = sinks.table_hash(spark.read.parquet(f"{out}/graph/edges"), "kind", "src", "dst", "weight")
+        hashes["graph"] = build_graph(spark, out, triples)
     counts = passages.agg(F.count_distinct("doc_id")).head()[0], chunks.count(), files.count_queries(spark, f"{raw}/queries.jsonl")
-    doc = sinks.manifest(corpus_id, {}, {"chunk_size": config.chunk_size, "chunk_overlap": config.chunk_overlap}, config.embed_model, hashes, *counts)
-    spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
+    doc = sinks.manifest(corpus_id, files.dataset_info(spark, raw, corpus_id), {"chunk_size": config.chunk_size, "chunk_overlap": config.chunk_overlap}, config.embed_model, hashes, *counts)
+    sinks.write_manifest(spark, doc, f"{out}/manifest")
     return doc
 
 
@@ -113,12 +127,16 @@ def run_preset(queries: DataFrame, golds: DataFrame, indexes: Indexes, config: P
     )
 
 
-def run(spark: SparkSession, queries: DataFrame, golds: DataFrame, indexes: Indexes, presets: list[str], run_id: str, results_path: str, dataset: str = "", spend_cap: float | None = None) -> dict:
-    """All presets; results are kept under ``results_path`` and a repeated run goes on where it stopped."""
+def run(spark: SparkSession, queries: DataFrame, golds: DataFrame, indexes: Indexes, presets: list[str], run_id: str, results_path: str, dataset: str = "", spend_cap: float | None = None, size: str = "", providers: Providers | None = None, recognition: bool | None = None, judged: bool = False, manifest: dict | None = None) -> dict:
+    """All presets; results are kept under ``results_path`` and a repeated run goes on where it stopped.
+
+    ``dataset`` may be the corpus that holds it.  ``recognition`` replaces that of
+    presets with the graph.  ``judged`` has the providers assess the answers.
+    """
     skipped: list[Skipped] = []
     for name in presets:
-        config = preset(name)
-        if config.query.route_mode != "force_s1" and dataset not in MULTI_HOP:
+        config = override(preset(name), recognition)
+        if config.query.route_mode != "force_s1" and files.dataset_name(dataset) not in MULTI_HOP:
             skipped.append(Skipped(name, f"{name} needs a multi-hop dataset"))
             continue
         missing = config.query.graph and indexes.edges is None
@@ -127,7 +145,7 @@ def run(spark: SparkSession, queries: DataFrame, golds: DataFrame, indexes: Inde
             continue
         done = spark.read.schema(RESULTS).parquet(results_path) if files.exists(spark, results_path) else None
         spent = 0.0 if done is None else done.where(F.col("run_id") == run_id).agg(F.coalesce(F.sum("usd"), F.lit(0.0))).head()[0]
-        rows = run_preset(queries, golds, indexes, config, run_id, done, spend_cap, spent)
+        rows = run_preset(queries, golds, indexes, config, run_id, done, spend_cap, spent, providers)
         rows.write.mode("append").parquet(results_path)
     results = spark.read.schema(RESULTS).parquet(results_path).where(F.col("run_id") == run_id) if files.exists(spark, results_path) else spark.createDataFrame([], RESULTS)
     metrics = evaluate.run_metrics(results)
@@ -135,8 +153,31 @@ def run(spark: SparkSession, queries: DataFrame, golds: DataFrame, indexes: Inde
     by_preset: dict[str, list[dict]] = {}
     for a in found.collect():  # a few rows for each preset
         by_preset.setdefault(a.preset, []).append(a.asDict())
-    receipts = [m.asDict() | {"config": preset(m.preset).as_dict(), "pricing_version": costs.VERSION, "anchors": by_preset.get(m.preset, [])} for m in metrics.orderBy("preset").collect()]
-    return json.loads(records.envelope(run_id, receipts, [s.__dict__ for s in skipped]))
+    rows = records.per_query(results)
+    extra = {r.preset: {"faithfulness": r.faithfulness, "relevancy": r.relevancy, "judge_spend_untracked": True} for r in judge(results, queries, indexes, providers).collect()} if judged else {}
+    hashes = (manifest or {}).get("index_hashes")
+    receipts = []
+    for m in metrics.orderBy("preset").collect():
+        config = override(preset(m.preset), recognition)
+        used = {} if hashes is None else {"index_hashes": records.used_hashes(config, hashes)}
+        receipts.append(m.asDict() | {"config": config.as_dict(), "pricing_version": costs.VERSION, "anchors": by_preset.get(m.preset, []), "per_query": rows.get(m.preset, [])} | used | extra.get(m.preset, {}))
+    return json.loads(records.envelope(run_id, receipts, [s.__dict__ for s in skipped], corpus_id=dataset, slice=size))
+
+
+def override(config: PipelineConfig, recognition: bool | None) -> PipelineConfig:
+    """The configuration with another setting of recognition, if it has the graph."""
+    return config if recognition is None or not config.query.graph else config.with_query(graph_recognition=recognition)
+
+
+def judge(results: DataFrame, queries: DataFrame, indexes: Indexes, providers: Providers | None = None) -> DataFrame:
+    """Means of the assessed answers of each preset, over queries with status ok."""
+    ok = results.where("status = 'ok'").join(queries.select("query_id", F.col("question").alias("query")), "query_id")
+    ok = ok.withColumn("key", F.to_json(F.struct("run_id", "preset", "query_id")))
+    cited = ok.select("key", F.explode("retrieved_chunk_ids").alias("chunk_id")).join(indexes.chunks.select("chunk_id", "text"), "chunk_id")
+    texts = cited.groupBy("key").agg(F.array_sort(F.collect_list("text")).alias("texts"))  # as many as a plan returns
+    asked = ok.join(texts, "key", "left").select(F.col("key").alias("query_id"), "query", "answer", "texts")
+    scores = (providers or Providers()).assess(asked).withColumnRenamed("query_id", "key")
+    return evaluate.judged_means(ok.join(scores, "key", "left"))
 
 
 def next_seq(log: DataFrame, key: str) -> DataFrame:

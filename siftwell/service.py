@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import json
+import re
 import sqlite3
 import threading
 import time
 import uuid
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators import ledger
-from siftwell.plans import costs
+from siftwell.plans import costs, records
 from siftwell.plans.answer import answer
 from siftwell.plans.config import PRESETS, preset
 from siftwell.plans.retrieve import Unavailable, retrieve
 from siftwell.plans.runner import load, run
-from siftwell.sources import files
+from siftwell.sources import files, sinks
 
 LONGEST_QUERY = 4000
+CORPUS_ID = re.compile(r"[a-z0-9][a-z0-9_-]{0,63}")
 #: Dollars that a query of the demo counts for.
 QUERY_USD = 0.02
 QUEUED, RUNNING, SUCCEEDED, FAILED, INTERRUPTED = "queued", "running", "succeeded", "failed", "interrupted"
@@ -136,9 +141,12 @@ class App:
     """Handlers over a folder of corpora, each with an ``index`` folder.
 
     ``state``: a file in which jobs, traces and the ledger outlast the process.
+    ``receipts_dir``: run documents that have been committed.  ``examples_dir``:
+    saved answers.  ``pdf``: a reader of PDF files for uploads.
     """
 
-    def __init__(self, spark: SparkSession, data_dir: str, demo_corpus: str | None = None, clock=time.time, state: str | None = None):
+    def __init__(self, spark: SparkSession, data_dir: str, demo_corpus: str | None = None, clock=time.time, state: str | None = None, receipts_dir: str | None = None, examples_dir: str | None = None, pdf=None):
+        self.receipts_dir, self.examples_dir, self.pdf = receipts_dir, examples_dir, pdf
         self.spark, self.data_dir, self.demo, self.clock = spark, data_dir, demo_corpus, clock
         self.store = Store(state)
         self.jobs = Jobs(self.store)
@@ -146,7 +154,7 @@ class App:
         self.jobs.register("eval", self._eval)
 
     def health(self) -> tuple[int, dict]:
-        return 200, {"ok": files.exists(self.spark, self.data_dir), "presets": list(PRESETS), "demo": self.demo is not None, "jobs": [] if self.demo is not None else sorted(self.jobs.handlers)}
+        return 200, {"ok": files.exists(self.spark, self.data_dir), "presets": list(PRESETS), "demo": self.demo is not None, "formats": [e for e in files.READABLE if e != ".pdf" or self.pdf is not None], "jobs": [] if self.demo is not None else sorted(self.jobs.handlers)}
 
     def query(self, body: dict, address: str = "local") -> tuple[int, dict]:
         """The best chunks, and with ``answer`` set what is written from them and by which route.
@@ -196,7 +204,7 @@ class App:
     def _documents(self, pattern: str) -> tuple[list[dict], list[dict]]:
         try:
             good, bad = files.json_documents(self.spark, pattern)
-            return [json.loads(r.doc) for r in good.select(F.to_json("doc").alias("doc")).collect()], [r.asDict() for r in bad.collect()]
+            return [json.loads(r.doc) for r in good.select("file", F.to_json("doc").alias("doc")).orderBy("file").collect()], [r.asDict() for r in bad.orderBy("file").collect()]
         except Exception as error:  # noqa: BLE001  Spark says so of a pattern without files
             if "PATH_NOT_FOUND" in str(error):
                 return [], []
@@ -207,12 +215,38 @@ class App:
         return 200, {"corpora": sorted(found, key=lambda m: m.get("corpus_id", "")), "errors": errors}
 
     def receipts(self) -> tuple[int, dict]:
-        found, errors = self._documents(f"{self.data_dir}/*/*.json")
-        return 200, {"receipts": [r for doc in found for r in (doc.get("receipts") or ([doc["receipt"]] if "receipt" in doc else []))], "errors": errors}
+        """Those of committed runs, then those of the corpora."""
+        found, errors = self._documents(f"{self.receipts_dir}/*.json") if self.receipts_dir else ([], [])
+        local, more = self._documents(f"{self.data_dir}/*/*.json")
+        return 200, {"receipts": [r for doc in found + local for r in (doc.get("receipts") or ([doc["receipt"]] if "receipt" in doc else []))], "errors": errors + more}
+
+    def examples(self) -> tuple[int, dict]:
+        """Saved answers in order of their files; a malformed file is told and hides no other."""
+        found, errors = self._documents(f"{self.examples_dir}/*.json") if self.examples_dir else ([], [])
+        good = [doc for doc in found if isinstance(doc, dict) and {"query", "response", "events"} <= doc.keys()]
+        return 200, {"examples": good, "skipped": len(errors) + len(found) - len(good)}
+
+    def upload(self, corpus: str, sent: dict) -> tuple[int, dict]:
+        """``sent``: names of files with their bytes in base64; saved among the corpus's uploads, then a job to ingest them."""
+        if self.demo is not None:
+            return 403, {"detail": "uploads are closed in the demo"}
+        if not isinstance(sent, dict) or not CORPUS_ID.fullmatch(corpus):
+            return 422, {"detail": "files by name and a corpus id of a-z, 0-9, _ and - are needed"}
+        try:
+            known = {re.split(r"[/\\\\]", name)[-1] or "unnamed": base64.b64decode(data, validate=True) for name, data in sent.items()}
+        except (binascii.Error, TypeError, ValueError):
+            return 422, {"detail": "not base64"}
+        if any(name in (".", "..") for name in known):
+            return 422, {"detail": "a file needs a name"}
+        for name, data in known.items():
+            sinks.write_bytes(self.spark, f"{self.data_dir}/{corpus}/uploads/{name}", data)
+        return self.submit_ingest(corpus)
 
     def submit_ingest(self, corpus: str) -> tuple[int, dict]:
         if self.demo is not None:
             return 403, {"detail": "uploads are closed in the demo"}
+        if not CORPUS_ID.fullmatch(corpus):
+            return 422, {"detail": "a corpus id has a-z, 0-9, _ and -"}
         return 202, {"job_id": self.jobs.submit("ingest", {"corpus_id": corpus})}
 
     def _ingest(self, params: dict, job: Job) -> None:
@@ -221,7 +255,7 @@ class App:
         from siftwell.plans.runner import ingest
 
         home = f"{self.data_dir}/{params['corpus_id']}"
-        good, bad = files.read_uploads(self.spark, f"{home}/uploads")
+        good, bad = files.read_uploads(self.spark, f"{home}/uploads", self.pdf)
         for r in bad.collect():  # a row for each file
             job.say(f"{r.file}: {r.error}")
         if not good.head(1):
@@ -250,7 +284,7 @@ class App:
         usd = round(costs.estimate([preset(n) for n in names], self._asked(home, size)[0].count()), 4)
         if cap is not None and usd > cap:
             return 400, {"detail": "the estimate is over the cap", "usd": usd}
-        run_id = time.strftime("%Y%m%dT%H%M%S", time.gmtime(self.clock())) + "-" + uuid.uuid4().hex[:8]
+        run_id = records.run_id(corpus, size, datetime.fromtimestamp(self.clock(), UTC))
         return 202, {"job_id": self.jobs.submit("eval", {"corpus_id": corpus, "presets": list(names), "slice": size, "spend_cap_usd": cap, "run_id": run_id}), "run_id": run_id, "usd": usd}
 
     def _asked(self, home: str, size: str) -> tuple[DataFrame, DataFrame]:
@@ -263,7 +297,7 @@ class App:
         """A resumed run goes on with the queries that have no result yet."""
         home = f"{self.data_dir}/{params['corpus_id']}"
         asked, golds = self._asked(home, params["slice"])
-        doc = run(self.spark, asked, golds, load(self.spark, f"{home}/index"), params["presets"], params["run_id"], f"{home}/results", params["corpus_id"], params["spend_cap_usd"])
+        doc = run(self.spark, asked, golds, load(self.spark, f"{home}/index"), params["presets"], params["run_id"], f"{home}/results", params["corpus_id"], params["spend_cap_usd"], size=params["slice"], manifest=files.manifest(self.spark, f"{home}/index/manifest"))
         self.spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{home}/{params['run_id']}.json")
         job.say(f"{len(doc['receipts'])} receipts", 1.0)
 
@@ -288,7 +322,10 @@ class App:
             case ("GET", "corpora"):
                 return self.corpora()
             case ("POST", "corpora", "ingest"):
-                return self.submit_ingest(str(body.get("corpus_id", "")))
+                corpus = str(body.get("corpus_id", ""))
+                return self.upload(corpus, body["files"]) if "files" in body else self.submit_ingest(corpus)
+            case ("GET", "demo", "examples"):
+                return self.examples()
             case ("GET", "receipts"):
                 return self.receipts()
             case ("GET", "jobs", job_id):

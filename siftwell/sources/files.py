@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +17,8 @@ PASSAGES = T.StructType([T.StructField(n, T.StringType()) for n in ("doc_id", "i
 GOLD = "struct<type:string,passage_ids:array<string>,doc_id:string,start_token:int,end_token:int>"
 QUERIES = f"query_id string, question string, answer string, answer_aliases array<string>, answer_texts array<string>, gold_text string, gold {GOLD}"
 READABLE = (".pdf", ".md", ".html", ".txt")
+#: What every manifest of a corpus has (fixed values).
+MANIFEST = ("corpus_id", "dataset", "chunking", "embed_model", "index_hashes", "n_docs", "n_chunks", "n_queries", "created_at")
 
 
 def passages(spark: SparkSession, path: str) -> DataFrame:
@@ -34,6 +41,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def dataset_name(corpus_id: str) -> str:
+    """A corpus's dataset: its id without a closing ``-dev-`` and number."""
+    return re.sub(r"-dev-[0-9]+$", "", corpus_id)
+
+
+def document(spark: SparkSession, path: str) -> dict:
+    """One JSON object, in whatever lines or part files it stands."""
+    doc = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    if not isinstance(doc, dict):
+        raise ValueError(f"{path} is not a JSON object")
+    return doc
+
+
+def dataset_info(spark: SparkSession, raw: str, corpus_id: str) -> dict:
+    """The dataset of a corpus from raw/download_meta.json; of a corpus without one, its name alone."""
+    path = f"{raw}/download_meta.json"
+    if not exists(spark, path):
+        return {"name": dataset_name(corpus_id)}
+    meta = document(spark, path)
+    return {"name": dataset_name(str(meta["corpus_id"])), **{k: meta["dataset"][k] for k in ("hf_id", "split", "revision")}}
+
+
+def manifest(spark: SparkSession, path: str) -> dict:
+    """A corpus's manifest; one that lacks a key is refused."""
+    doc = document(spark, path)
+    if missing := [k for k in MANIFEST if k not in doc]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return doc
+
+
+def source_files(rows: DataFrame) -> DataFrame:
+    """The files that rows of uploads come from, each once and in order."""
+    return rows.select("file").distinct().orderBy("file")
+
+
 def count_queries(spark: SparkSession, path: str) -> int:
     return queries(spark, path).count() if exists(spark, path) else 0
 
@@ -69,14 +111,43 @@ def lines_or_errors(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select(F.col("_corrupt_record").alias("line"))
 
 
-def read_uploads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a folder's files without a byte, which file scans pass over."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted(f.getPath().getName() for f in listed if f.isFile() and f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")))
+
+
+def _plugged(rows: DataFrame, reader: Callable[[bytes], str]) -> DataFrame:
+    """file, text, error of binary files, by a reader of one file's bytes; what it raises is the file's error."""
+
+    def work(parts):
+        for part in parts:
+            out = []
+            for name, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                try:
+                    text = reader(content or b"")
+                    out.append((name, text, None if (text or "").strip() else "ValueError: no text"))
+                except Exception as error:  # noqa: BLE001  a file that cannot be read is a row with its error
+                    out.append((name, None, f"{type(error).__name__}: {error}"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], ["file", "text", "error"])
+
+    return rows.mapInArrow(work, "file string, text string, error string")
+
+
+def read_uploads(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Uploaded files as (file, text), and failures as (file, error).  A file that cannot be read stops no other.
 
     Markdown and plain text are taken as they are, of HTML the body's text;
-    PDF needs a reader that is not part of this engine and is disclosed as such.
+    PDF needs a reader, from a file's bytes to its text, that is not part of this
+    engine; without one such files are failures.
     """
     raw = spark.read.format("binaryFile").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
+    others = None
+    if pdf is not None:
+        is_pdf = F.lower("path").endswith(".pdf")
+        others, raw = _plugged(raw.where(is_pdf).select(name, "content"), pdf), raw.where(~is_pdf)
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     text: Column = F.try_validate_utf8(F.col("content").cast("string"))
     body = F.when(extension == ".html", html_body(text)).when(extension.isin(".md", ".txt"), text)
@@ -87,4 +158,9 @@ def read_uploads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
         .when(F.trim(F.coalesce(body, F.lit(""))) == "", "ValueError: no text")
     )
     rows = raw.select(name.alias("file"), body.alias("text"), error.alias("error"))
-    return rows.where("error is null").select("file", "text"), rows.where("error is not null").select("file", "error")
+    if others is not None:
+        rows = rows.unionByName(others)
+    bad = rows.where("error is not null").select("file", "error")
+    if empty := empty_files(spark, folder):
+        bad = bad.unionByName(spark.createDataFrame([(n, "ValueError: no text") for n in empty], "file string, error string"))
+    return rows.where("error is null").select("file", "text"), bad

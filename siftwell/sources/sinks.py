@@ -6,7 +6,7 @@ import hashlib
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,53 @@ def create_if_empty(rows: DataFrame, path: str) -> bool:
     return True
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, wherever the path leads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_manifest(spark: SparkSession, doc: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def copy_corpus(spark: SparkSession, source: str, target: str) -> bool:
+    """Copies an index's tables and, last, its manifest; returns whether it did.
+
+    Nothing is done without a source manifest or where the target has one, so a
+    copy that broke off is begun anew and one that ended is left alone.
+    """
+    from siftwell.sources.files import exists, manifest
+
+    if not exists(spark, f"{source}/manifest/_SUCCESS") or exists(spark, f"{target}/manifest/_SUCCESS"):
+        return False
+    for part in ("chunks", "bm25/postings", "bm25/terms", "bm25/corpus", "vectors", "graph/nodes", "graph/edges"):
+        if exists(spark, f"{source}/{part}"):
+            spark.read.parquet(f"{source}/{part}").write.mode("overwrite").parquet(f"{target}/{part}")
+    write_manifest(spark, manifest(spark, f"{source}/manifest"), f"{target}/manifest")
+    return True
+
+
+def hand_check_report(found: DataFrame, n: int, seed: int = 0) -> str:
+    """Markdown for checking alignment by hand: ``n`` queries drawn by seed, each chunk with its hit or miss.
+
+    ``found``: query_id, question, chunk_id, rank, text, hit.
+    """
+    drawn = found.select("query_id").distinct().orderBy(F.xxhash64(F.lit(seed), "query_id"), "query_id").limit(n)
+    lines = ["# Alignment by hand", ""]
+    last = None
+    for r in found.join(drawn, "query_id").orderBy("query_id", "rank").collect():  # the sample asked for
+        if r.query_id != last:
+            lines += [f"## {r.query_id}", "", r.question or "", ""]
+            last = r.query_id
+        lines += [f"- {'hit' if r.hit else 'miss'} {r.rank} `{r.chunk_id}`: {' '.join((r.text or '').split())}"]
+    return "\n".join(lines) + "\n"
+
+
 def hand_check(found: DataFrame) -> DataFrame:
     """Alignment summary by corpus: golds, hits and the share."""
     return found.groupBy("corpus_id").agg(F.count("*").alias("golds"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("share"))

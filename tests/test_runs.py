@@ -79,6 +79,102 @@ def test_answers_by_route(spark, corpus, tmp_path):
     assert not found["skipped"] and by["router-on"]["n_s1"] == 2 and by["graph"]["n_graph"] == 2 and by["graph"]["recall_at_5"] is None
 
 
+def test_sources_of_a_corpus(spark, tmp_path):
+    from siftwell.sources import sinks
+
+    assert files.dataset_name("musique-dev-300") == "musique" and files.dataset_name("nq-dev-x") == "nq-dev-x"
+    (tmp_path / "download_meta.json").write_text(json.dumps({"corpus_id": "nq-dev-20", "dataset": {"hf_id": "a/b", "split": "dev", "revision": "1", "more": 2}}))
+    assert files.dataset_info(spark, str(tmp_path), "x") == {"name": "nq", "hf_id": "a/b", "split": "dev", "revision": "1"}
+    assert files.dataset_info(spark, str(tmp_path / "none"), "own-dev-3") == {"name": "own"}
+    (tmp_path / "m.json").write_text('{"corpus_id": "x"}')
+    with pytest.raises(ValueError, match="lacks dataset"):
+        files.manifest(spark, str(tmp_path / "m.json"))
+    up = tmp_path / "up"
+    up.mkdir()
+    for name, data in (("a.pdf", b"%first"), ("b.PDF", b"bad"), ("c.txt", b"plain"), ("d.pdf", b"")):
+        (up / name).write_bytes(data)
+
+    def reader(data):
+        if data == b"bad":
+            raise ValueError("broken")
+        return data.decode().strip("%")
+
+    good, bad = files.read_uploads(spark, str(up), reader)
+    assert {r.file: r.text for r in good.collect()} == {"a.pdf": "first", "c.txt": "plain"}
+    assert {r.file: r.error for r in bad.collect()} == {"b.PDF": "ValueError: broken", "d.pdf": "ValueError: no text"}
+    assert [r.file for r in files.source_files(good.unionByName(good)).collect()] == ["a.pdf", "c.txt"]
+    rows = spark.createDataFrame([("q", "why", "d:0", 1, "so  it is", True), ("q", "why", "d:1", 2, None, False)], "query_id string, question string, chunk_id string, rank int, text string, hit boolean")
+    assert sinks.hand_check_report(rows, 5).splitlines()[2:] == ["## q", "", "why", "", "- hit 1 `d:0`: so it is", "- miss 2 `d:1`: "]
+
+
+def test_commands_of_a_run(spark, corpus, tmp_path, capsys):
+    from siftwell.sources import sinks
+
+    data = tmp_path / "data"
+    home = data / "musique-dev-2"
+    home.mkdir(parents=True)
+    (home / "raw").symlink_to(corpus / "raw")
+    at = ["--corpus", "musique-dev-2", "--data-dir", str(data)]
+    assert cli.main(["eval", *at, "--yes"]) == cli.MISSING
+    assert cli.main(["ingest", *at, "--chunk-size", "64", "--chunk-overlap", "8"]) == cli.OK
+    doc = files.manifest(spark, str(home / "index/manifest"))
+    assert doc["chunking"] == {"chunk_size": 64, "chunk_overlap": 8} and doc["dataset"] == {"name": "musique"}
+    triples = tmp_path / "triples.jsonl"
+    triples.write_text(json.dumps({"chunk_id": "d1:0", "subject": "Otters", "relation": "sleep in", "object": "kelp"}) + "\n")
+    assert cli.main(["build-graph", *at, "--triples", str(tmp_path / "none")]) == cli.MISSING
+    assert cli.main(["build-graph", *at, "--triples", str(triples)]) == cli.OK
+    assert set(files.manifest(spark, str(home / "index/manifest"))["index_hashes"]) == {"dense_contextual", "dense_isolated", "sparse", "graph"}
+    capsys.readouterr()
+    assert cli.main(["eval", *at, "--presets", "bm25-only,graph-rrf,router-on", "--yes", "--ragas", "--graph-recognition", "llm", "--run-id", "r1"]) == cli.OK
+    doc = json.loads((home / "r1.json").read_text())
+    by = {r["preset"]: r for r in doc["receipts"]}
+    assert doc["slice"] == "smoke" and doc["corpus_id"] == "musique-dev-2" and not doc["skipped"] and set(by) == {"bm25-only", "graph-rrf", "router-on"}
+    assert set(by["bm25-only"]["index_hashes"]) == {"sparse"} and set(by["graph-rrf"]["index_hashes"]) == {"sparse", "dense_contextual"}
+    assert by["graph-rrf"]["config"]["query"]["graph_recognition"] and not by["router-on"]["config"]["query"]["graph_recognition"]
+    assert by["bm25-only"]["faithfulness"] == 1.0 and 0 < by["bm25-only"]["relevancy"] <= 1 and by["bm25-only"]["judge_spend_untracked"]
+    assert [q["query_id"] for q in by["bm25-only"]["per_query"]] == ["q1", "q2"] and by["bm25-only"]["per_query"][0]["answer"]
+    assert cli.main(["receipts", "promote", "r2", "--data-dir", str(data)]) == cli.USAGE
+    assert cli.main(["receipts", "promote", "r1", "--data-dir", str(data), "--receipts-dir", str(tmp_path / "kept")]) == cli.OK
+    kept = json.loads((tmp_path / "kept" / "r1.json").read_text())
+    assert set(kept["receipts"][0]["per_query"][0]) == {"query_id", "retrieved_chunk_ids", "latency_ms", "usd", "flags"}
+    (tmp_path / "asked.txt").write_text("who sleeps afloat\n\n")
+    assert cli.main(["capture", *at, "--queries", str(tmp_path / "asked.txt"), "--to", str(tmp_path / "examples")]) == cli.OK
+    (tmp_path / "examples" / "bad.json").write_text("{")
+    from siftwell.service import App
+
+    app = App(spark, str(data), receipts_dir=str(tmp_path / "kept"), examples_dir=str(tmp_path / "examples"))
+    status, found = app.route("GET", "/demo/examples", {})
+    assert status == 200 and [e["query"] for e in found["examples"]] == ["who sleeps afloat"] and found["skipped"] == 1
+    assert ["answer" in r["per_query"][0] for r in app.receipts()[1]["receipts"]] == [False] * 3 + [True] * 3
+    capsys.readouterr()
+    assert cli.main(["ask", *at, "who sleeps afloat"]) == cli.OK and json.loads(capsys.readouterr().out)["answer"]
+    assert cli.main(["ask", *at, "x", "--preset", "none"]) == cli.MISSING
+    assert cli.main(["export-vectors", *at, "--to", str(tmp_path / "vectors")]) == cli.OK and spark.read.parquet(str(tmp_path / "vectors")).count() == 3
+    assert sinks.copy_corpus(spark, str(home / "index"), str(tmp_path / "copy")) and not sinks.copy_corpus(spark, str(home / "index"), str(tmp_path / "copy"))
+    assert load(spark, str(tmp_path / "copy")).edges is not None and not sinks.copy_corpus(spark, str(tmp_path / "none"), str(tmp_path / "other"))
+
+
+def test_keys_and_records():
+    from datetime import UTC, datetime
+
+    from siftwell.plans import records
+
+    assert cli.missing_keys(["bm25-only", "router-on"], environ={}) == ["ANTHROPIC_API_KEY"]
+    assert cli.missing_keys(["rerank"], environ={"VOYAGE_API_KEY": "x"}) == ["ANTHROPIC_API_KEY", "COHERE_API_KEY"]
+    name = records.run_id("nq-dev-300", "full", datetime(2026, 1, 2, 3, 4, 5, tzinfo=UTC))
+    assert name[:-6] == "nq-dev-300-full-20260102-030405-" and set(name[-6:]) <= set("0123456789abcdef")
+
+
+def test_recognised_phrases_and_assessed_answers(spark):
+    from siftwell.plans import offline
+
+    phrases = spark.createDataFrame([("New York",), ("york",), ("Boston",)], "text string")
+    asked = spark.createDataFrame([("a", "Is new york big"), ("b", "nothing here"), ("c", None), ("d", "")], "query_id string, query string")
+    assert {tuple(r) for r in offline.recognise(asked, phrases).collect()} == {("a", "New York"), ("a", "york")}
+    said = spark.createDataFrame([("a", "red fox?", "The fox ran.", ["a fox", "ran far"]), ("b", "x", "", None)], "query_id string, query string, answer string, texts array<string>")
+    assert {r.query_id: (round(r.faithfulness, 4), r.relevancy) for r in offline.assess(said).collect()} == {"a": (0.6667, 0.5), "b": (0.0, 0.0)}
+
+
 def test_command_line(corpus, tmp_path):
     assert cli.main(["ingest", "--corpus", "none", "--data-dir", str(tmp_path)]) == cli.MISSING
     assert cli.main(["eval", "--corpus", "mini", "--presets", "nothing"]) == cli.USAGE

@@ -1,5 +1,6 @@
 """The service's handlers."""
 
+import base64
 import json
 
 from siftwell.service import App, FAILED, INTERRUPTED, RUNNING, SUCCEEDED
@@ -32,6 +33,18 @@ def test_service(spark, tmp_path):
     assert app.job(failed)[1]["status"] == FAILED and app.resume(failed)[0] == 202 and app.resume(body["job_id"])[0] == 409
 
 
+def test_uploads(spark, tmp_path):
+    app = App(spark, str(tmp_path), pdf=lambda data: data.decode())
+    assert ".pdf" in app.health()[1]["formats"] and ".pdf" not in App(spark, str(tmp_path)).health()[1]["formats"]
+    send = lambda corpus, sent: app.route("POST", "/corpora/ingest", {"corpus_id": corpus, "files": sent})
+    assert send("../x", {})[0] == send("x", ["a"])[0] == send("x", {"a.txt": "*"})[0] == send("x", {"..": ""})[0] == 422
+    status, body = send("sent", {"../../a.txt": base64.b64encode(b"Reeds grow by the weir.").decode(), "b.pdf": base64.b64encode(b"Mills stand idle.").decode()})
+    app.jobs.run_queued()
+    assert status == 202 and app.job(body["job_id"])[1]["status"] == SUCCEEDED and (tmp_path / "sent/uploads/a.txt").exists()
+    assert app.corpora()[1]["corpora"][0]["n_docs"] == 2
+    assert App(spark, str(tmp_path), demo_corpus="demo").upload("x", {})[0] == 403
+
+
 def test_demo_limits(spark, tmp_path):
     app = App(spark, str(tmp_path), demo_corpus="demo", clock=lambda: 1000.0)
     assert app.query({"query": "x", "corpus_id": "other"})[0] == 403 and app.submit_ingest("x")[0] == 403
