@@ -39,8 +39,8 @@ def normal_answer(text: Column) -> Column:
 
 def search_terms(text: Column, stop_words: list[str] | None = None) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
-    stop = F.array(*(F.lit(w) for w in (STOP_WORDS if stop_words is None else stop_words)))
-    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+    stop = STOP_WORDS if stop_words is None else stop_words
+    return F.filter(found, lambda t: ~t.isin(stop))
 
 
 def content_id(prefix: str, *parts: Column) -> Column:

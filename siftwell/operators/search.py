@@ -42,10 +42,14 @@ class Bm25Index:
     def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", k1: float = K1, b: float = B) -> Bm25Index:
         """Term counts, document counts and lengths, in two aggregations over the exploded terms.
 
+        Texts are exchanged by chunk first: they are smaller than their counted
+        terms, which then need no exchange, and few large splits of the input
+        become as many tasks as there are cores.
         idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a posting's weight is
         idf * tf / (tf + k1 * (1 - b + b * length / mean length)).
         """
-        rows = chunks.select(F.col(id_col).alias("chunk_id"), search_terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+        texts = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartition("chunk_id")
+        rows = texts.select("chunk_id", search_terms(F.col("text")).alias("terms"))
         sized = rows.withColumn("length", F.size("terms"))
         corpus = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
 
