@@ -53,15 +53,16 @@ class Bm25Index:
         sized = rows.withColumn("length", F.size("terms"))
         corpus = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
 
-        def weighted(only: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-            found = sized.select("chunk_id", "length", F.explode("terms").alias("term"))
+        def weighted(only: DataFrame | None, few: bool = False) -> tuple[DataFrame, DataFrame]:
+            # outer, or the optimizer also finds the terms of every text before the exchange, to drop texts without any
+            found = sized.select("chunk_id", "length", F.explode_outer("terms").alias("term")).where("term is not null")
             if only is not None:
                 found = found.join(only, "term", "left_semi")
             counts = found.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
             terms = counts.groupBy("term").agg(F.count("*").alias("df"))
             terms = terms.crossJoin(F.broadcast(corpus)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of corpus
             weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-            return counts.join(terms, "term").select("term", "chunk_id", "tf", weight.alias("weight")), terms.select("term", "df", "idf")
+            return counts.join(F.broadcast(terms) if few else terms, "term").select("term", "chunk_id", "tf", weight.alias("weight")), terms.select("term", "df", "idf")
 
         return Bm25Index(*weighted(None), corpus, weighted)
 
@@ -79,9 +80,10 @@ class Bm25Index:
         """Top ``k`` by the sum of weights over the query's terms, each occurrence counted; no term, no row."""
         asked = queries.select("query_id", F.explode(search_terms(F.coalesce("query", F.lit("")))).alias("term"))
         only = asked.select("term").distinct()
-        if only.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS:  # other terms fall away where the texts are read
+        few = only.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
+        if few:  # other terms fall away where the texts are read
             only = F.broadcast(only)
-        postings = self._weighted(only)[0] if self._weighted else self.postings.join(only, "term", "left_semi")
+        postings = self._weighted(only, few)[0] if self._weighted else self.postings.join(only, "term", "left_semi")
         found = asked.join(postings, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), DIGITS).alias("score"))
         return ranked(found.where("score > 0").withColumn("source", F.lit("bm25")), k)
 
