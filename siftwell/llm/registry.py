@@ -8,6 +8,7 @@ from siftwell.llm.language_id import op7_language_id
 from siftwell.llm.near_vectors import op2_near_vectors
 from siftwell.llm.packing import op9_packing
 from siftwell.llm.pfor import op6_token_files
+from siftwell.llm.ranked_search import OP12_SQL, op12_ranked_search
 from siftwell.llm.repeated_windows import OP13_SQL, op13_substring_dedup
 from siftwell.llm.sharding import op5_sharding
 from siftwell.llm.simhash import op8_simhash
@@ -27,9 +28,10 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_html_text": op10_html_text,
+        "op12_ranked_search": op12_ranked_search,
         "op13_substring_dedup": op13_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op13_substring_dedup": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op12_ranked_search": OP12_SQL, "op13_substring_dedup": OP13_SQL}

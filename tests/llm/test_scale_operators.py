@@ -1,6 +1,7 @@
 """Operators 11 to 13 against brute force, with the cases that their docstrings define."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import repeated_windows
+from siftwell.llm import ranked_search, repeated_windows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(11)
@@ -113,3 +114,86 @@ def test_drop_repeated_windows(spark):
             assert k not in left
         else:
             assert left[k].text == (kept if gone else texts[k]) and left[k].source == "s"
+
+
+# ---- 12 ranked search
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def brute_ranked(docs, items, most):
+    held = [(i, Counter(t), len(t)) for i, text in docs if (t := terms(text))]
+    n, total = len(held), sum(size for _, _, size in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for i, c, size in held:
+            m = 100 - 50 + (50 * size * n) // total
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((1_000_000_000 * c[t]) // (1000 * c[t] + 20 * m)) for t in set(terms(text)) if c[t])
+            if score > 0:
+                scores.append((-score, i is None, i or 0, i))
+        out += [(item, k + 1, i, -s) for k, (s, _, _, i) in enumerate(sorted(scores)[:most])]
+    return sorted(out, key=str)
+
+
+def search_texts():
+    r = random.Random(9)
+    rare = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    some = lambda k: " ".join(r.choice(rare[:20] if r.random() < 0.6 else rare) for _ in range(k))
+    texts = [some(r.randint(1, 60)) for _ in range(150)] + ODD + [some(20_000)]
+    texts += [texts[3]] * 30 + ["THE É-é 42_x", "the é É 42 X"]
+    return texts, [some(r.randint(1, 30)) for _ in range(12)] + ["the É 42 x", "", None, "nothing?", texts[3]]
+
+
+@pytest.mark.parametrize("most", [50, 3])
+def test_ranked_documents(spark, most):
+    texts, asked = search_texts()
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").withColumns({"item": F.lit(1), "doc": F.lit(2)})
+    got = ranked_search.ranked_documents(documents(spark, texts, clash=("doc", "item", "id", "score", "part")).repartition(5), items, most)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    want = brute_ranked(list(enumerate(texts)), list(enumerate(asked)), most)
+    assert len(want) > 30 and sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_ranked_documents_in_blocks_and_stretches(spark, monkeypatch):
+    texts, asked = search_texts()
+    docs, items = documents(spark, texts).repartition(3), spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").coalesce(1)
+    monkeypatch.setattr(ranked_search, "MOST_ITEMS", 7)
+    work = ranked_search._accumulated
+    monkeypatch.setattr(ranked_search, "_accumulated", lambda shared, most: _with_small_stretches(work(shared, most)))
+    got = ranked_search.ranked_documents(docs, items, 5)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_ranked(list(enumerate(texts)), list(enumerate(asked)), 5)
+
+
+def _with_small_stretches(work):
+    def run(batches):
+        from siftwell.llm import ranked_search as own
+
+        before = own.IMPACTS, own.STRETCH
+        own.IMPACTS, own.STRETCH = 40, 3
+        yield from work(batches)
+        own.IMPACTS, own.STRETCH = before
+
+    return run
+
+
+def test_ranked_documents_of_odd_tables(spark):
+    items = spark.createDataFrame([("b", "one two"), ("a", "two"), ("a", "two")], "item_id string, text string")
+    none = items.where("item_id = 'x'")
+    run = ranked_search.ranked_documents
+    assert run(documents(spark, []), items).collect() == [] and run(documents(spark, ["one"]), none).collect() == [] and run(documents(spark, [None, "?"]), items).collect() == []
+    got = sorted(map(tuple, run(documents(spark, ["two", "two", "two", "x", "y"], ids=[None, 5, 5, 7, 8]), items).collect()), key=str)
+    assert [(g[0], g[1], g[2]) for g in got] == [(i, r, d) for i, r, d in [("a", 1, 5), ("a", 1, 5), ("a", 2, 5), ("a", 2, 5), ("a", 3, None), ("a", 3, None), ("b", 1, 5), ("b", 2, 5), ("b", 3, None)]]
+
+
+def test_radix_order_and_accumulation():
+    keys = np.random.default_rng(0).integers(0, 3_000_000_000, 5000)
+    keys[::7] = keys[0]
+    assert (ranked_search.radix_order(keys, int(keys.max())) == np.argsort(keys, kind="stable")).all()
+    item, doc, total = ranked_search.accumulate(np.array([2, 0, 2, 0]), np.array([1, 3, 1, 0]), np.array([5, 7, 6, 8]), 4, 3)
+    assert (item.tolist(), doc.tolist(), total.tolist()) == ([0, 0, 2], [0, 3, 1], [8, 7, 11])
