@@ -13,6 +13,7 @@ from siftwell.llm.repeated_windows import OP13_SQL, op13_substring_dedup
 from siftwell.llm.sharding import op5_sharding
 from siftwell.llm.simhash import op8_simhash
 from siftwell.llm.suffix_dedup import op4_suffix_dedup
+from siftwell.llm.token_alignment import op11_token_alignment
 from siftwell.llm.warc import OP1_SQL, op1_warc
 
 
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_html_text": op10_html_text,
+        "op11_token_alignment": op11_token_alignment,
         "op12_ranked_search": op12_ranked_search,
         "op13_substring_dedup": op13_substring_dedup,
     }

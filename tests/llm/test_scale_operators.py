@@ -7,10 +7,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import ranked_search, repeated_windows
+from siftwell.llm import ranked_search, repeated_windows, token_alignment
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(11)
@@ -197,3 +198,118 @@ def test_radix_order_and_accumulation():
     assert (ranked_search.radix_order(keys, int(keys.max())) == np.argsort(keys, kind="stable")).all()
     item, doc, total = ranked_search.accumulate(np.array([2, 0, 2, 0]), np.array([1, 3, 1, 0]), np.array([5, 7, 6, 8]), 4, 3)
     assert (item.tolist(), doc.tolist(), total.tolist()) == ([0, 0, 2], [0, 3, 1], [8, 7, 11])
+
+
+# ---- 11 token alignment
+
+BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def brute_alignment(texts):
+    import sentencepiece
+    from tokenizers import Tokenizer, decoders
+
+    one, two = Tokenizer.from_file(BYTE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    one.encode_special_tokens = True
+    level = token_alignment.byte_level()
+    assert decoders.ByteLevel().decode([c for c, b in level.items() if b < 128]) == "".join(chr(b) for b in level.values() if b < 128)
+    rows = []
+    for text in texts:
+        if not text:
+            rows.append(None)
+            continue
+        a, b = one.encode(" " + text, add_special_tokens=False).ids, two.encode(text)
+        left = [bytes(level[c] for c in one.id_to_token(x)) for x in a]
+        right = [bytes([int(two.id_to_piece(x)[3:5], 16)]) if two.is_byte(x) else two.id_to_piece(x).replace("\u2581", " ").encode() for x in b]
+        if b"".join(left) != (" " + text).encode() or b"".join(right) != (" " + text).encode():
+            rows.append(None)
+            continue
+        ends = [np.cumsum([len(x) for x in side]).tolist() for side in (left, right)]
+        groups, links, i, j = [], [], 0, 0
+        at_b = {e: k for k, e in enumerate(ends[1])}
+        for k, e in enumerate(ends[0]):
+            if e in at_b:
+                groups.append(",".join(map(str, a[i : k + 1])) + "|" + ",".join(map(str, b[j : at_b[e] + 1])))
+                links.append((a[k], b[at_b[e]]))
+                i, j = k + 1, at_b[e] + 1
+        rows.append((len(a), len(b), ";".join(groups), links))
+    count = Counter(x for r in rows if r for x in r[3])
+    best = {}
+    for (_, b), n in count.items():
+        best[b] = max(best.get(b, 0), n)
+    out = []
+    for r in rows:
+        if r is None:
+            out.append((0,) * 6 + ("",))
+        else:
+            out.append((r[0], r[1], len(r[3]), len(r[3]), sum(count[x] == best[x[1]] for x in r[3]), sum(count[x] for x in r[3]), r[2]))
+    return out, count
+
+
+def alignment_texts():
+    r = random.Random(2)
+    odd = ["a  b", "  a b ", "a\nb", "a \n b", "\n", " ", "a\n\nb\n", "\nx y\n", "a\tb c", "a\u3000 b", "a \u3000b c", "\u3000 \u3000b", "x\u00a0 y", "\u2581x", "it's we'll 'S", "<|endoftext|> <s> </s> <0x41>", "1 234 5.6", "日本語 テキスト", "\U0001f600 \U0001f468\u200d\U0001f469", "\x00 \x7f x", "\x1c a\x1db c", "e\u0301 é", "\ufeffx y", "\u2028 a\u2029b c", "ab" * 3000, "don't\nstop 's\n's"]
+    glue = [" ", " ", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u2003 ", " \r\n"]
+    return odd + ["".join(w + r.choice(glue) for w in words(r.randint(1, 80), r)) for _ in range(120)] + [" ".join(words(20_000, r))] + ODD + ["a  b"] * 5
+
+
+def test_alignment(spark, monkeypatch):
+    texts = alignment_texts()
+    want, count = brute_alignment(texts)
+    docs = documents(spark, texts, clash=("id", "ids", "tokens", "parts", "fresh", "pairs", "groups", "n", "a", "b")).repartition(3)
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+    found, pairs = token_alignment.align(docs, BYTE_BPE, PIECES, with_groups=True)
+    for r in found.collect():
+        assert tuple(r[c] for c in names) == want[r.doc_id], (r.doc_id, texts[r.doc_id])
+    got = pairs.collect()
+    assert {(r.a, r.b): r.n for r in got} == count
+    assert sum(w[0] > 0 for w in want) > 140
+    digests = token_alignment.align(docs, BYTE_BPE, PIECES)[0].collect()
+    assert {r.doc_id: r.groups for r in digests} == {k: hashlib.sha256(w[6].encode()).hexdigest() if w[6] else "" for k, w in enumerate(want)}
+
+
+def test_alignment_with_a_full_cache():
+    import pyarrow as pa
+
+    texts = alignment_texts()
+    known = token_alignment.pair(BYTE_BPE, PIECES)
+    assert known.by_segment
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    batches = [whole.slice(k, 10) for k in range(0, len(texts), 10)]
+
+    def run():
+        rows = list(token_alignment._aligned(BYTE_BPE, PIECES, True)(iter(batches)))
+        told = rows.pop()
+        assert told.column(4)[0].is_valid
+        counts = next(token_alignment._counts([pa.RecordBatch.from_arrays([told.column(4)], ["pairs"])]))
+        return [g for r in rows for g in r.column(5)[0].as_py()], dict(zip(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist()), counts.column(2).to_pylist()))
+
+    want = run()
+    before = token_alignment.CACHE_SEGMENTS, token_alignment.CACHE_STEPS
+    token_alignment.CACHE_SEGMENTS, token_alignment.CACHE_STEPS = 20, 5
+    try:
+        assert run() == want
+    finally:
+        token_alignment.CACHE_SEGMENTS, token_alignment.CACHE_STEPS = before
+    brute, count = brute_alignment(texts)
+    assert want[0] == [b[6] for b in brute] and want[1] == count
+
+
+def test_transducer():
+    one, two = [b"a", b"ab", b"bc", b"d", b"abcd"], [b"ab", b"c", b"cd", b"a", b"b"]
+    t = token_alignment.Transducer(one, two)
+    assert t.groups([0, 2, 3], [0, 1, 2]) is None
+    assert t.groups([0, 2, 3], [0, 2]) == [([0, 2, 3], [0, 2])]
+    assert t.groups([1, 0], [3, 4, 3]) == [([1], [3, 4]), ([0], [3])]
+    assert t.groups([4], [3]) is None and t.groups([], []) == [] and t.groups([], [0]) is None
+    steps = len(t.known)
+    assert t.groups([1, 0], [3, 4, 3]) and len(t.known) == steps  # every transition is known
+
+
+def test_alignment_of_odd_tables(spark):
+    found, pairs = token_alignment.align(documents(spark, []), BYTE_BPE, PIECES)
+    assert found.collect() == [] and pairs.collect() == []
+    found, pairs = token_alignment.align(documents(spark, [None, "", "\u2581", "a", "a"], ids=[None, 1, 1, 1, 1]), BYTE_BPE, PIECES)
+    got = sorted((r.doc_id or 0, r.n_a, r.n_links, r.n_best, r.count_sum, bool(r.groups)) for r in found.collect())
+    assert got == [(0, 0, 0, 0, 0, False), (1, 0, 0, 0, 0, False), (1, 0, 0, 0, 0, False), (1, 1, 1, 1, 2, True), (1, 1, 1, 1, 2, True)]
+    assert [r.n for r in pairs.collect()] == [2]
