@@ -78,13 +78,14 @@ class Loop:
 
     ``decompose(df)`` returns query_id, subqueries, tokens; ``retrieve(df)``
     takes query_id, query and returns ranked rows; ``judge(df, hop_rows)``
-    returns query_id, verdict, refined, tokens.
+    returns query_id, verdict, refined, tokens.  ``refine(df)``, if given, returns
+    query_id, refined, tokens for the queries whose hop is to be tried again.
     """
 
-    def __init__(self, decompose, retrieve, judge, most_hops: int = MOST_HOPS, ceiling: int = TOKEN_CEILING, settle=None):
+    def __init__(self, decompose, retrieve, judge, most_hops: int = MOST_HOPS, ceiling: int = TOKEN_CEILING, settle=None, refine=None):
         from siftwell.operators.graph import settle as cut
 
-        self.decompose, self.retrieve, self.judge = decompose, retrieve, judge
+        self.decompose, self.retrieve, self.judge, self.refine = decompose, retrieve, judge, refine
         self.most_hops, self.ceiling, self.settle = most_hops, ceiling, settle or cut
 
     def start(self, queries: DataFrame) -> DataFrame:
@@ -110,6 +111,11 @@ class Loop:
             graded = active.join(verdicts, "query_id").withColumns({"hops_used": F.col("hops_used") + 1, "tokens_used": F.col("tokens_used") + F.coalesce("tokens", F.lit(0))})
             graded = grade(graded, F.col("verdict"), self.most_hops, self.ceiling)
             refining = F.col("next") == "refine"
+            if self.refine is not None:
+                graded = self.settle(graded)
+                again = self.refine(graded.where(refining).select("query_id", F.coalesce("refined_query", F.element_at("subqueries", F.col("hop_index") + 1)).alias("query")))
+                graded = graded.drop("refined", "tokens").join(again.select("query_id", "refined", "tokens"), "query_id", "left")
+                graded = graded.withColumn("tokens_used", F.col("tokens_used") + F.coalesce("tokens", F.lit(0)))
             graded = graded.withColumns({"refined_query": F.when(refining, F.coalesce("refined", F.col("refined_query"))).otherwise(F.col("refined_query")), "next": F.when(refining, "retrieve_hop").otherwise(F.col("next"))})
             states = self.settle(states.where("next <> 'retrieve_hop'").unionByName(graded.select(*states.columns)))
             hops = rows if hops is None else hops.unionByName(rows)

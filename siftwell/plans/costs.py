@@ -53,9 +53,17 @@ def price_events(events: DataFrame) -> DataFrame:
     prices = events.sparkSession.createDataFrame([(m, a, b) for m, (a, b) in PRICES.items()], "model string, price_in double, price_out double")
     joined = events.join(F.broadcast(prices), "model", "left")  # a fixed list
     usd = (F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) / 1e6
+    if "units" in events.columns:
+        usd = F.when(F.col("model") == "rerank", F.coalesce("units", F.lit(0)) * RERANK_UNIT).otherwise(usd)
     unknown = F.raise_error(F.concat(F.lit("no price for "), F.col("model"))).cast("double")
-    return joined.withColumn("usd", F.when(F.col("model").isNull(), 0.0).when(F.col("price_in").isNull(), unknown).otherwise(usd)).drop("price_in", "price_out")
+    return joined.withColumn("usd", F.when(F.col("model").isNull(), 0.0).when(F.col("price_in").isNull() & (F.col("model") != "rerank"), unknown).otherwise(usd)).drop("price_in", "price_out")
 
 
 def trace_totals(events: DataFrame) -> DataFrame:
     return price_events(events).groupBy("trace_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("usd").alias("usd"))
+
+
+def query_totals(events: DataFrame) -> DataFrame:
+    """What each query took by its own events: input_tokens, output_tokens, usd and the time of its models."""
+    sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "usd", "duration_ms")]
+    return price_events(events).groupBy("query_id").agg(*sums)

@@ -68,5 +68,5 @@ def write(contexts: DataFrame) -> DataFrame:
     answer = F.coalesce(first_sentence(F.get("texts", F.lit(0))), F.lit(""))
     return contexts.select(
         "query_id", answer.alias("answer"), F.when(answer != "", F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("citations"),
-        F.lit(False).alias("contradiction"), F.array().cast("array<string>").alias("open_parts"), approx_tokens(F.coalesce("context", F.lit(""))).alias("tokens"),
+        F.lit(False).alias("contradiction"), F.array().cast("array<string>").alias("open_parts"), approx_tokens(F.coalesce("context", F.lit(""))).alias("tokens"), F.when(answer == "", 0).otherwise(approx_tokens(answer)).alias("output_tokens"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from siftwell.operators import evaluate, graph, ledger
 from siftwell.operators.chunking import chunk
 from siftwell.operators.search import Bm25Index
 from siftwell.plans import costs, records
-from siftwell.plans.answer import Providers, answer
+from siftwell.plans.answer import Providers, answer_traced
 from siftwell.plans.config import MULTI_HOP, IngestConfig, PipelineConfig, preset
 from siftwell.plans.retrieve import Indexes, Unavailable, embed_chunks
 from siftwell.sources import files, sinks
@@ -86,9 +87,14 @@ def load(spark: SparkSession, out: str) -> Indexes:
     return found
 
 
-def run_preset(queries: DataFrame, golds: DataFrame, indexes: Indexes, config: PipelineConfig, run_id: str, done: DataFrame | None = None, spend_cap: float | None = None, spent: float = 0.0, providers: Providers | None = None) -> DataFrame:
+def run_preset(queries: DataFrame, golds: DataFrame, indexes: Indexes, config: PipelineConfig, run_id: str, done: DataFrame | None = None, spend_cap: float | None = None, spent: float = 0.0, providers: Providers | None = None, clock: Callable = time.perf_counter) -> DataFrame:
     """Result rows of the queries not yet recorded.
 
+    A query's cost is that of its own events: the tokens of its models at their
+    prices, and its reranked searches.  Its latency is the time of its own models
+    and an equal share of what the queries' common plan took besides.  A query
+    that no retriever or writer could answer is failed, with its error.
+
     ``queries``: query_id, question, gold_answers.  With a cap, only the
     queries whose estimates fit what is left are admitted, in order of id, and
     :class:`SpendCap` is raised if not even one is.  Presets that route send
@@ -105,25 +111,29 @@ def run_preset(queries: DataFrame, golds: DataFrame, indexes: Indexes, config: P
         if not admitted.head(1) and queries.head(1):
             raise SpendCap(f"{spent} of {spend_cap} dollars are spent")
         queries = admitted
-    began = time.perf_counter()
+    began = clock()
     base = queries.select("query_id", F.col("question").alias("query"), "gold_answers")
     null = lambda kind: F.lit(None).cast(kind)
     try:
-        found, rows = answer(base, indexes, config, providers)
-        found = graph.settle(found)
+        out = answer_traced(base, indexes, config, providers)
+        found, rows, events = graph.settle(out.found), out.rows, graph.settle(out.events)
     except Unavailable as error:
         return base.select(F.lit(run_id).alias("run_id"), own.alias("preset"), "query_id", F.lit("failed").alias("status"), null("string").alias("route"), *(null("double").alias(c) for c in ("recall", "mrr", "em", "f1", "usd", "latency_ms")),
                            F.array().cast("array<string>").alias("retrieved_chunk_ids"), null("string").alias("answer"), F.array().cast("array<string>").alias("flags"), F.lit(str(error)).alias("error"))
     placed = rows.join(indexes.chunks.select("chunk_id", "passage_id", "doc_id", "text", "start_token", "end_token"), "chunk_id")
     scores = evaluate.retrieval_metrics(evaluate.hits(placed, golds), golds)
-    joined = base.join(found, "query_id", "left").join(scores, "query_id", "left")
-    latency = (time.perf_counter() - began) * 1000 / max(1, queries.count())
-    said = F.coalesce("answer", F.lit(""))
+    took = graph.settle(costs.query_totals(events).select("query_id", "usd", "duration_ms"))
+    joined = base.join(found, "query_id", "left").join(scores, "query_id", "left").join(took, "query_id", "left")
+    models = took.agg(F.coalesce(F.sum("duration_ms"), F.lit(0.0))).head()[0]
+    shared = max(0.0, (clock() - began) * 1000 - models) / max(1, queries.count())
+    said, failed = F.coalesce("answer", F.lit("")), F.col("error").isNotNull()
+    scored = lambda c: F.when(~failed, c)
     return joined.select(
-        F.lit(run_id).alias("run_id"), own.alias("preset"), "query_id", F.when(said == "", "abstained").otherwise("ok").alias("status"),
-        F.when(F.lit(config.query.graph and not config.query.bm25), "graph").otherwise(F.col("route")).alias("route"), "recall", "mrr",
-        exact_match(said, F.col("gold_answers")).alias("em"), token_f1(said, F.col("gold_answers")).alias("f1"), F.lit(each).alias("usd"), F.lit(latency).alias("latency_ms"),
-        F.col("chunk_ids").alias("retrieved_chunk_ids"), "answer", "flags", null("string").alias("error"),
+        F.lit(run_id).alias("run_id"), own.alias("preset"), "query_id", F.when(failed, "failed").when(said == "", "abstained").otherwise("ok").alias("status"),
+        F.when(F.lit(config.query.graph and not config.query.bm25), "graph").otherwise(F.col("route")).alias("route"), scored(F.col("recall")).alias("recall"), scored(F.col("mrr")).alias("mrr"),
+        scored(exact_match(said, F.col("gold_answers"))).alias("em"), scored(token_f1(said, F.col("gold_answers"))).alias("f1"),
+        F.when(failed, 0.0).otherwise(F.coalesce("usd", F.lit(0.0))).alias("usd"), (F.coalesce("duration_ms", F.lit(0.0)) + shared).alias("latency_ms"),
+        F.col("chunk_ids").alias("retrieved_chunk_ids"), scored(F.col("answer")).alias("answer"), "flags", "error",
     )
 
 

@@ -196,13 +196,3 @@ def test_providers(spark):
     assert providers.with_retry(call, sleep=waits.append) == "done" and waits == [1.0, 7.0]
     with pytest.raises(providers.Exhausted):
         providers.with_retry(lambda: (_ for _ in ()).throw(providers.ProviderError("x", 503)), attempts=2, sleep=lambda s: None)
-    assert list(providers.batches([[50], [60], [30]], most_tokens=100)) == [(0, 1), (1, 3)]
-    with pytest.raises(ValueError):
-        list(providers.batches([[101]], most_tokens=100))
-    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "query_id string, text string")
-
-    def fails(texts):
-        raise providers.ProviderError("no", 400)
-
-    assert {x.error for x in providers.apply_provider(rows, fails, "text").collect()} == {"ProviderError: no"}
-    assert {x.value for x in providers.apply_provider(rows, lambda ts: [t.upper() for t in ts], "text").collect()} == {"X", "Y"}
