@@ -237,15 +237,13 @@ class _Told:
         self.place, self.count = np.full(1 << 14, -1, np.int64), np.zeros(1 << 14, np.int64)
 
     def number(self, index: np.ndarray, told: int) -> tuple[np.ndarray, np.ndarray]:
-        """The task's numbers of segments, and those that are new."""
+        """The task's numbers of segments, which are counted, and those that are new."""
         while len(self.place) < self.known.n:
             self.place, self.count = np.r_[self.place, np.full_like(self.place, -1)], np.r_[self.count, np.zeros_like(self.count)]
         new = np.unique(index[self.place[index] < 0])
         self.place[new] = told + np.arange(len(new))
-        return self.place[index], new
-
-    def add(self, index: np.ndarray) -> None:
         self.count += np.bincount(index, minlength=len(self.count))
+        return self.place[index], new
 
     def sum_up(self) -> None:
         known, some = self.known, np.flatnonzero(self.count[: self.known.n])
@@ -277,7 +275,6 @@ def _aligned(first: str, second: str, with_groups: bool):
                 good[of[known.sizes[index, 2] == 0]] = False  # a text with a segment that one of them does not keep
                 kept = good[of]
                 index, of = index[kept], of[kept]
-                told.add(index)
                 own, new = told.number(index, numbers)
                 numbers += len(new)
                 tokens = np.stack([np.bincount(of, known.sizes[index, k], minlength=rows) for k in range(3)]).astype("<i8")

@@ -250,7 +250,7 @@ def alignment_texts():
     r = random.Random(2)
     odd = ["a  b", "  a b ", "a\nb", "a \n b", "\n", " ", "a\n\nb\n", "\nx y\n", "a\tb c", "a\u3000 b", "a \u3000b c", "\u3000 \u3000b", "x\u00a0 y", "\u2581x", "it's we'll 'S", "<|endoftext|> <s> </s> <0x41>", "1 234 5.6", "日本語 テキスト", "\U0001f600 \U0001f468\u200d\U0001f469", "\x00 \x7f x", "\x1c a\x1db c", "e\u0301 é", "\ufeffx y", "\u2028 a\u2029b c", "ab" * 3000, "don't\nstop 's\n's"]
     glue = [" ", " ", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u2003 ", " \r\n"]
-    return odd + ["".join(w + r.choice(glue) for w in words(r.randint(1, 80), r)) for _ in range(120)] + [" ".join(words(20_000, r))] + ODD + ["a  b"] * 5
+    return odd + ["".join(w + r.choice(glue) for w in words(r.randint(1, 80), r)) for _ in range(120)] + [" ".join(words(20_000, r)), " ".join(f"w{k} {k % 999}" for k in range(40_000))] + ODD + ["a  b"] * 5
 
 
 def test_alignment(spark, monkeypatch):
