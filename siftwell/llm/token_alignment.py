@@ -59,13 +59,11 @@ class Transducer:
 
     def clear(self) -> None:
         self.states, self.numbers = [(0, b"")], {(0, b""): 0}  # (side that leads, unmatched bytes); nothing dangles in 0
-        self.known: dict[tuple[int, int], int] = {}
+        self.from_first = [True]  # the side whose token comes next: the trailing one, or the first if nothing dangles
+        self.known: dict[int, int] = {}
 
-    def step(self, state: int, token: int) -> int | None:
-        """The state after the next token: of the trailing side, or of the first if nothing dangles.  None: the bytes differ."""
-        to = self.known.get((state, token), -1)
-        if to != -1:
-            return to
+    def step(self, state: int, token: int) -> int:
+        """The state after the next token, and -1 if its bytes differ; kept in ``known`` by state and token."""
         side, residual = self.states[state]
         if not residual:
             after = (0, self.tokens[0][token])
@@ -75,40 +73,47 @@ class Transducer:
                 after = (side, residual[len(new) :]) if residual.startswith(new) else None
             else:
                 after = (1 - side, new[len(residual) :]) if new.startswith(residual) else None
+        to = -1
         if after is not None:
             after = after if after[1] else (0, b"")
             if after not in self.numbers:
                 self.numbers[after] = len(self.states)
                 self.states.append(after)
+                self.from_first.append(after[0] == 1)
             to = self.numbers[after]
-        else:
-            to = None
-        self.known[state, token] = to
+        self.known[state << 32 | token] = to
         return to
 
-    def groups(self, first: list[int], second: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Runs of tokens of both sides with the same bytes, as short as can be; None if the streams differ."""
-        out, i, j, a, b, state = [], 0, 0, 0, 0, 0
-        while i < len(first) or j < len(second):
-            if state == 0 or self.states[state][0] == 1:
-                if i == len(first):
+    def ends(self, first: list[int], second: list[int]) -> list[tuple[int, int]] | None:
+        """How many tokens of both sides there are where groups close; None if the streams differ."""
+        if len(self.known) > CACHE_STEPS:
+            self.clear()
+        out, i, j, state, n, m = [], 0, 0, 0, len(first), len(second)
+        known, from_first = self.known.get, self.from_first
+        while i < n or j < m:
+            if from_first[state]:
+                if i == n:
                     return None
-                state = self.step(state, first[i])
+                token = first[i]
                 i += 1
             else:
-                if j == len(second):
+                if j == m:
                     return None
-                state = self.step(state, second[j])
+                token = second[j]
                 j += 1
-            if state is None:
-                return None
+            to = known(state << 32 | token)
+            state = self.step(state, token) if to is None else to
             if state == 0:
-                out.append((first[a:i], second[b:j]))
-                a, b = i, j
-        if len(self.known) > CACHE_STEPS:
-            self.clear()
+                out.append((i, j))
+            elif state < 0:
+                return None
         return out if state == 0 else None
 
+    def groups(self, first: list[int], second: list[int]) -> list[tuple[list[int], list[int]]] | None:
+        """Runs of tokens of both sides with the same bytes, as short as can be; None if the streams differ."""
+        ends = self.ends(first, second)
+        return ends and [(first[a:i], second[b:j]) for (a, b), (i, j) in zip([(0, 0), *ends], ends)]
+
 
 class Pair:
     """Two tokenizers, the bytes of their tokens, and what is known of segments."""
@@ -143,29 +148,39 @@ class Pair:
         texts = [s.decode() for s in segments]
         one = [e.ids for e in self.one.encode_batch_fast(texts, add_special_tokens=False)]
         two = self.two.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        token_one, token_two = self.transducer.tokens
+        token_one, ends_of = self.transducer.tokens[0], self.transducer.ends
+        sizes, links = [], []
         for raw, a, b in zip(segments, one, two):
             if raw[:1] != b" ":
-                b = b[1:] if b and b[0] == self.mark else None  # the space that the library adds
-            found = None
-            if b is not None and b"".join([token_one[x] for x in a]) == raw == b"".join([token_two[x] for x in b]):
-                found = self.transducer.groups(a, b)
-            while self.n >= len(self.first):
-                self.first, self.sizes = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            self.first[self.n] = self.used
-            if found is None:
+                b = b[1:] if b and b[0] == self.mark else []  # the space that the library adds
+            ends = ends_of(a, b)
+            # where both streams have the same bytes, one of them tells whether they are the segment's
+            if not ends or (token_one[a[0]] if len(a) == 1 else b"".join([token_one[x] for x in a])) != raw:
                 self.text.append(None)
-                self.sizes[self.n] = 0
-            else:
-                text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found]).encode()
-                self.text.append(text)
-                self.held += len(text) + 60
-                self.sizes[self.n] = len(a), len(b), len(found)
-                while self.used + len(found) > len(self.links):
-                    self.links = np.concatenate([self.links, np.zeros_like(self.links)])
-                self.links[self.used : self.used + len(found)] = [x[-1] << 32 | y[-1] for x, y in found]  # one of each side ends a group
-                self.used += len(found)
-            self.n += 1
+                sizes.append((0, 0, 0))
+                continue
+            parts, x, y = [], 0, 0
+            for i, j in ends:
+                if i - x == 1 and j - y == 1:
+                    parts.append(f"{a[x]}|{b[y]}")
+                else:
+                    parts.append(",".join(map(str, a[x:i])) + "|" + ",".join(map(str, b[y:j])))
+                links.append(a[i - 1] << 32 | b[j - 1])  # one of each side ends a group
+                x, y = i, j
+            text = ";".join(parts).encode()
+            self.text.append(text)
+            self.held += len(text) + 60
+            sizes.append((len(a), len(b), len(ends)))
+        n, used = self.n + len(sizes), self.used + len(links)
+        while n > len(self.first):
+            self.first, self.sizes = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        while used > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        new = np.array(sizes, np.int32).reshape(-1, 3)
+        self.sizes[self.n : n] = new
+        self.first[self.n : n] = self.used + np.cumsum(new[:, 2]) - new[:, 2]
+        self.links[self.used : used] = links
+        self.n, self.used = n, used
 
     def bounds(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where the segments of some texts start, each text with a space before it."""
