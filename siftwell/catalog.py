@@ -230,6 +230,14 @@ def bm25_topk(spark, d):
     return search.Bm25Index.build(_chunks(spark, d)).search(_asked(spark, d), 5).select("query_id", "chunk_id", "score", "source", "rank")
 
 
+@register("bm25_blocks_topk", f"WITH {BM25_CTE} SELECT query_id, chunk_id, score, 'bm25' AS source, rank FROM b WHERE rank <= 5")
+def bm25_blocks_topk(spark, d):
+    """The same from a written index of blocks, most of which are not read."""
+    path = graph.shared_path(spark, "blocks")
+    search.BlockIndex.build(_chunks(spark, d)).write(path)
+    return search.BlockIndex.read(spark, path).search(_asked(spark, d), 5).rows.select("query_id", "chunk_id", "score", "source", "rank")
+
+
 @register("bm25_stopword_only", "SELECT CAST(0 AS BIGINT) AS n")
 def bm25_stopword_only(spark, d):
     asked = spark.createDataFrame([(1, "the of and"), (2, None), (3, "")], "query_id long, query string")
@@ -322,7 +330,7 @@ ph AS (SELECT s AS text FROM tn UNION SELECT o FROM tn)
 """
 
 
-def plan_cte(asked: str, bm25=True, dense=False, with_graph=False, rerank=False, k: int = 50, final: int = 5, **_) -> str:
+def plan_cte(asked: str, bm25=True, dense=False, with_graph=False, rerank=False, k: int = 50, final: int = 5, recognise=False) -> str:
     """A retrieval plan over rows query_id, text as common table expressions up to ``final``: query_id, chunk_id, score, source, rank.
 
     Every document is one chunk, so its contextual vector is its own.
@@ -342,7 +350,7 @@ b AS (SELECT *, {rank} FROM (SELECT query_id, chunk_id, round(sum(weight), 6) AS
         parts.append(f"v AS (SELECT *, {rank} FROM (SELECT query_id, chunk_id, round(list_cosine_similarity(av.e, dc.e), 6) AS score FROM av, dc))")
         lists.append("v")
     if with_graph:
-        parts += _graph_sql()
+        parts += _graph_sql(recognise)
         lists.append("gr")
     if len(lists) == 1:
         parts.append(f"fused AS (SELECT query_id, chunk_id, score, '{dict(b='bm25', v='dense', gr='graph')[lists[0]]}' AS source, rank FROM {lists[0]} WHERE rank <= {k})")
@@ -360,8 +368,18 @@ final AS (SELECT * FROM (SELECT query_id, chunk_id, score, 'rerank' AS source, C
     return ",\n".join(parts)
 
 
-def _graph_sql() -> list[str]:
-    """The graph of documents and phrases, the seeds of every query, the rounds of PageRank, and ``gr``."""
+def _graph_sql(recognise: bool = False) -> list[str]:
+    """The graph of documents and phrases, the seeds of every query, the rounds of PageRank, and ``gr``.
+
+    With recognition phrases stay seeds only if the query holds them, unless none would be left.
+    """
+    norm = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+    if recognise:
+        named = f"contains(' ' || {norm.format('a.text')} || ' ', ' ' || nd.key || ' ')"
+        seeds = f"""sb AS (SELECT query_id, node, m, nd.kind = 0 AS passage, nd.kind = 1 AND {named} AS hit FROM s0 JOIN nd USING (node) JOIN a USING (query_id)),
+se AS (SELECT query_id, node, m FROM (SELECT *, max(hit) OVER (PARTITION BY query_id) AS named FROM sb) WHERE NOT named OR hit OR passage)"""
+    else:
+        seeds = "se AS (SELECT * FROM s0)"
     parts = [TRIPLES_SQL, f"""
 nd AS (SELECT CAST(row_number() OVER (ORDER BY kind, ord, key) - 1 AS BIGINT) AS node, kind, chunk_id, key, e FROM (
   SELECT 0 AS kind, doc_id AS ord, '' AS key, CAST(doc_id AS VARCHAR) AS chunk_id, {vector_sql("text")} AS e FROM documents UNION ALL SELECT 1, 0, text, NULL, {vector_sql("text")} FROM ph)),
@@ -372,7 +390,8 @@ ad AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT src, dst
 ou AS (SELECT src, sum(weight) AS w FROM ad GROUP BY src),
 sc AS (SELECT query_id, node, round(list_cosine_similarity(av.e, nd.e), 6) AS score FROM av, nd),
 sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank, max(score) OVER (PARTITION BY query_id) > 0 AS above FROM sc),
-se AS (SELECT query_id, node, CASE WHEN above THEN score ELSE 1.0::DOUBLE END AS m FROM sr WHERE rank <= {graph.SEEDS} AND ((above AND score > 0) OR (NOT above AND rank = 1))),
+s0 AS (SELECT query_id, node, CASE WHEN above THEN score ELSE 1.0::DOUBLE END AS m FROM sr WHERE rank <= {graph.SEEDS} AND ((above AND score > 0) OR (NOT above AND rank = 1))),
+{seeds},
 pp AS (SELECT query_id, node, m / sum(m) OVER (PARTITION BY query_id) AS p FROM se),
 lo AS (SELECT query_id, coalesce(sum(p) FILTER (node NOT IN (SELECT src FROM ou)), 0.0::DOUBLE) AS lone FROM pp GROUP BY query_id),
 x0 AS (SELECT query_id, node, p AS m FROM pp)"""]
@@ -715,13 +734,26 @@ def adjacency_sum(spark, d):
     return graph.adjacency(graph.dedupe_edges(_edge_rows(spark, d)))
 
 
-@register("synonym_join", """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS weight FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.85
+LONG_WORD, DIMENSIONS = 8, 64
+
+
+@register("synonym_join", f"""
+WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter({TOKENS_SQL}, lambda t: length(t) >= {LONG_WORD}))) AS word FROM documents),
+h AS (SELECT doc_id, md5(word) AS m FROM w),
+x AS (SELECT doc_id, ((instr('0123456789abcdef', m[1:1]) - 1) * 16 + instr('0123456789abcdef', m[2:2]) - 1) % {DIMENSIONS} AS d, CAST(sum(CASE WHEN m[3:3] < '8' THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM h GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM x GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.x * b.x) AS dot FROM x a JOIN x b ON a.d = b.d AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a, b, round(dot / (m.size * n.size), 6) AS weight FROM p JOIN n m ON m.doc_id = a JOIN n ON n.doc_id = b WHERE m.size > 0 AND n.size > 0 AND dot / (m.size * n.size) >= 0.85
 """)
 def synonym_join(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return graph.synonym_pairs(v, 0.85, "vec_id").select("a", "b", F.round("weight", 6).alias("weight"))
+    """Near vectors of signed counts of each document's different long words: its near copies."""
+    words = F.array_distinct(F.filter(X.tokens(F.col("text")), lambda t: F.length(t) >= LONG_WORD))
+    digest = table(spark, d, "documents").select("doc_id", F.explode(words).alias("word")).select("doc_id", F.md5(F.col("word").cast("binary")).alias("m"))
+    place = (F.conv(F.substring("m", 1, 2), 16, 10).cast("int") % DIMENSIONS).alias("d")
+    counts = digest.groupBy("doc_id", place).agg(F.sum(F.when(F.substring("m", 3, 1) < "8", 1.0).otherwise(-1.0)).alias("x"))
+    cells = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("cells"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)))
+    return graph.synonym_pairs(cells.select("doc_id", vector.alias("vector")), 0.85, "doc_id").select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 def _ppr_sql() -> str:
@@ -809,9 +841,10 @@ def token_cost(spark, d):
     return costs.trace_totals(_trace(spark, d)).select("trace_id", "input_tokens", "output_tokens", F.round("usd", 9).alias("usd"))
 
 
-@register("cost_estimate", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {round(costs.query_usd(p), 9)}::DOUBLE)" for n, p in PRESETS.items()) + ") t(preset, usd)")
+@register("cost_estimate", "SELECT preset, count(*) AS n, round(count(*) * usd, 6) AS usd FROM benchmark, (VALUES " + ", ".join(f"('{n}', {costs.query_usd(p)!r}::DOUBLE)" for n, p in PRESETS.items()) + ") t(preset, usd) WHERE text IS NOT NULL GROUP BY preset, usd")
 def cost_estimate(spark, d):
-    return spark.createDataFrame([(n, round(costs.query_usd(p), 9)) for n, p in PRESETS.items()], "preset string, usd double")
+    """What a run of each preset over all items is expected to cost at most."""
+    return costs.estimates(_asked(spark, d).where("query is not null"), list(PRESETS.values())).select("preset", "n", F.round("usd", 6).alias("usd"))
 
 
 @register("spend_cap_prefix", """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftwell.catalog import ITEMS_SQL, _asked, _golds, _indexes, plan_cte
 from siftwell.operators import evaluate, graph
 from siftwell.plans import costs, offline
-from siftwell.plans.answer import Providers
+from siftwell.plans.answer import Providers, answer
 from siftwell.plans.config import preset
 from siftwell.plans.providers import ProviderError, Reply, hash_embed, provided
 from siftwell.plans.retrieve import Steps, retrieve_isolated
@@ -149,3 +149,22 @@ def run_receipt(spark, d):
     """The metrics of the same runs."""
     m = evaluate.run_metrics(_run_rows(spark, d))
     return m.select("preset", "n_total", "n_abstained", *(F.round(c, 9).alias(c) for c in ("recall_at_5", "mrr_at_3", "usd_per_query")), "latency_p50", "latency_p95")
+
+
+_NAMED = "SELECT CAST(n_nationkey AS VARCHAR) AS query_id, 'who buys in ' || n_name || ' now' AS text FROM nation"
+
+
+@register("answer_graph_route", f"""
+WITH g AS (WITH {plan_cte(_NAMED + " WHERE n_nationkey % 2 = 0", bm25=False, with_graph=True, recognise=True)} SELECT query_id, rank, chunk_id, 'graph' AS route FROM final),
+s AS (WITH {plan_cte(_NAMED + " WHERE n_nationkey % 2 = 1", dense=True, rerank=True)} SELECT query_id, rank, chunk_id, 's1' AS route FROM final)
+SELECT query_id, route, rank, chunk_id FROM g UNION ALL SELECT query_id, route, rank, chunk_id FROM s
+""")
+def answer_graph_route(spark, d):
+    """Questions about nations: every other one is classified as one for the graph, whose seeds are the phrases that it names."""
+    asked = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("query_id"), F.concat(F.lit("who buys in "), "n_name", F.lit(" now")).alias("query"))
+
+    def classify(queries):
+        return queries.select("query_id", F.when(F.col("query_id").cast("int") % 2 == 0, "graph").otherwise("simple").alias("route"), F.lit(0.9).alias("confidence"), F.lit(3).alias("tokens"))
+
+    _, rows = answer(asked, _indexes(spark, d, with_graph=True), preset("router-on").with_query(graph_recognition=True), Providers(classify=classify))
+    return rows.select("query_id", "route", "rank", "chunk_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,25 +12,41 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import normal_phrase
 from siftwell.functions.vectors import cosine
+from siftwell.operators.near import RECALL, near_pairs
 from siftwell.operators.search import DIGITS, dense_search, ranked
 
 SYNONYM = 0.85
 DAMPING = 0.5
 #: With damping 0.5 a step's L1 change is at most 2 * 0.5**t, below 1e-6 from round 21 on.
 ROUNDS = 21
+#: Residuals up to this stay where they are.
+LEAST_RESIDUAL = 1e-11
+#: Directed edges of a graph that is broadcast, after a count.
+LOCAL_EDGES = 2_000_000
 BLEND = 0.5
 SEEDS = 30
-#: Phrases whose vectors are broadcast at a time in the synonym join.
-PHRASE_BLOCK = 8192
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the cluster; an own folder only where none is set and all runs in one process."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark) -> str:
+    """The checkpoint folder of the cluster; an own folder only where none is set and all runs in one process."""
+    if place := spark.conf.get("spark.checkpoint.dir", None):
+        return place
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-"))
+    return jsc.getCheckpointDir().get()
+
+
+def shared_path(spark, name: str) -> str:
+    """A new folder for a table that all executors see."""
+    return f"{shared_folder(spark)}/siftwell/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder; later reads start from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -83,39 +100,9 @@ def dedupe_edges(every: DataFrame) -> DataFrame:
     return pairs.agg(F.max("weight").alias("weight"))
 
 
-def synonym_pairs(vectors: DataFrame, least: float = SYNONYM, id_col: str = "node_id", block: int = PHRASE_BLOCK) -> DataFrame:
-    """Pairs a < b with a cosine of at least ``least``: blocks of phrases, broadcast one after the other, against all."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v"))
-
-    def against(part):
-        own = np.array([r.id for r in part])
-        matrix = np.array([r.v for r in part], float)
-        size = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        shared = spark.sparkContext.broadcast((own, matrix / np.where(size == 0, 1, size)))
-
-        def work(batches):
-            ids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.array(batch.column(1).to_pylist(), float)
-                size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                sims = (x / np.where(size == 0, 1, size)) @ q.T
-                mine = batch.column(0).to_numpy()
-                i, j = np.nonzero((sims >= least) & (ids[None, :] < mine[:, None]))
-                yield pa.RecordBatch.from_pydict({"a": ids[j], "b": mine[i], "weight": sims[i, j]})
-
-        return rows.mapInArrow(work, "a long, b long, weight double")
-
-    out, held = None, []
-    for row in rows.orderBy("id").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            out, held = against(held) if out is None else out.unionByName(against(held)), []
-    if held:
-        out = against(held) if out is None else out.unionByName(against(held))
-    return out if out is not None else spark.createDataFrame([], "a long, b long, weight double")
+def synonym_pairs(vectors: DataFrame, least: float = SYNONYM, id_col: str = "node_id", recall: float = RECALL) -> DataFrame:
+    """Pairs a < b of phrases with a cosine of at least ``least``, by buckets of projection signs; see :func:`near.near_pairs`."""
+    return near_pairs(vectors, least, id_col, "vector", recall)
 
 
 def adjacency(undirected: DataFrame) -> DataFrame:
@@ -124,36 +111,105 @@ def adjacency(undirected: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def pagerank(adj: DataFrame, all_nodes: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, cut_every: int = 7) -> DataFrame:
-    """Personalised PageRank of every query at once: query_id, node_id, mass.
+def pagerank(adj: DataFrame, all_nodes: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, least: float = LEAST_RESIDUAL, cut_every: int = 7, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """Personalised PageRank of every query at once, by pushing residuals: query_id, node_id, mass.
+
+    A query's mass starts as the residual of its seeds (at sum 1; uniform over
+    all nodes if they have no mass).  A node whose residual is above ``least``
+    keeps 1 - d of it and pushes the rest to its neighbours; a node without
+    edges pushes it back to the seeds.  It ends when no residual is above
+    ``least``, or after ``rounds``; what is left counts where it stands, so that
+    masses sum to 1.  After k rounds this is the k-th step of the power method
+    but for residuals of at most ``least``: the error is at most
+    2 * d**rounds + least * (nodes reached).
 
-    x' = d * (A x / column sums + dangling mass * p) + (1 - d) * p, with p the
-    query's seeds at sum 1 (uniform over all nodes if they have no mass).  The
-    adjacency is symmetric, so only nodes without any edge dangle, and their
-    mass comes from the seeds alone: it is a number for each query and round.
-    Rows hold only nodes with mass; lineage is cut every few rounds.
+    Rows are the nodes that a query reaches.  A graph of up to ``local_edges``
+    directed edges, after a count, is broadcast (24 bytes an edge) and each query
+    is pushed where its seeds are; the edges of a larger one stay where they are
+    and meet the residuals by a join, with the same result.
     """
     total = seeds.groupBy("query_id").agg(F.sum("mass").alias("all"))
     p = seeds.join(total, "query_id").where("all > 0 and mass > 0").groupBy("query_id", "node_id").agg(F.sum(F.col("mass") / F.col("all")).alias("p"))
     empty = total.where("all <= 0 or all is null").select("query_id")
-    n = all_nodes.count()
-    uniform = empty.join(all_nodes.select("node_id"), how="cross") if empty.head(1) else None  # only for queries without any seed
-    if uniform is not None:
-        p = p.unionByName(uniform.select("query_id", "node_id", F.lit(1.0 / max(1, n)).alias("p")))
+    if empty.head(1):  # one and the same answer for all queries without a seed
+        n = max(1, all_nodes.count())
+        one = all_nodes.select(F.lit(0).alias("query_id"), "node_id", F.lit(1.0 / n).alias("mass"))
+        shared = pagerank(adj, all_nodes, one, damping, rounds, least, cut_every, local_edges).select("node_id", "mass")
+        pushed = _pushed(adj, p, damping, rounds, least, cut_every, local_edges)
+        return pushed.unionByName(empty.join(shared, how="cross"))
+    return _pushed(adj, p, damping, rounds, least, cut_every, local_edges)
+
+
+def _pushed(adj: DataFrame, p: DataFrame, damping: float, rounds: int, least: float, cut_every: int, local_edges: int) -> DataFrame:
+    adj = settle(adj.select("src", "dst", "weight"))
+    few = adj.limit(local_edges + 1).count() <= local_edges
+    return _push_local(adj, p, damping, rounds, least) if few else _push_joined(adj, p, damping, rounds, least, cut_every)
+
+
+def push(ptr: np.ndarray, dst: np.ndarray, share: np.ndarray, p: np.ndarray, damping: float, rounds: int, least: float) -> np.ndarray:
+    """The masses of one query over a graph in rows of neighbours; positions after the last row have no edges."""
+    n, kept, residual = len(ptr) - 1, np.zeros(len(p)), p.copy()
+    for _ in range(rounds):
+        front = np.flatnonzero(residual > least)
+        if not len(front):
+            break
+        mass = residual[front]
+        kept[front] += (1 - damping) * mass
+        residual[front] = 0
+        inside = front < n
+        own = front[inside]
+        size = ptr[own + 1] - ptr[own]
+        edge = np.repeat(ptr[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        residual += np.bincount(dst[edge], np.repeat(damping * mass[inside], size) * share[edge], minlength=len(p))
+        if not inside.all():
+            residual += damping * mass[~inside].sum() * p
+    return kept + residual
+
+
+def _push_local(adj: DataFrame, p: DataFrame, damping: float, rounds: int, least: float) -> DataFrame:
+    edges = adj.toArrow()  # local_edges rows at most
+    names, at = np.unique(np.concatenate([edges.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
+    src, dst, weight = at[: edges.num_rows], at[edges.num_rows :], edges.column("weight").to_numpy().astype(float)
+    order = np.argsort(src, kind="stable")
+    src, dst, weight = src[order], dst[order], weight[order]
+    out = np.bincount(src, weight, minlength=len(names))
+    shared = adj.sparkSession.sparkContext.broadcast((names, np.searchsorted(src, np.arange(len(names) + 1)), dst, weight / out[src]))
+
+    def work(group: pa.Table) -> pa.Table:
+        names, ptr, dst, share = shared.value
+        node, mass = group.column("node_id").to_numpy(), group.column("p").to_numpy()
+        place = np.minimum(np.searchsorted(names, node), max(0, len(names) - 1))
+        lone = names[place] != node if len(names) else np.ones(len(node), bool)
+        place[lone] = len(names) + np.arange(int(lone.sum()))
+        start = np.zeros(len(names) + int(lone.sum()))
+        start[place] = mass
+        found = push(ptr, dst, share, start, damping, rounds, least)
+        some = np.flatnonzero(found)
+        every = np.concatenate([names, node[lone]]) if lone.any() else names
+        return pa.table({"query_id": pa.array([group.column("query_id")[0].as_py()] * len(some), group.schema.field("query_id").type), "node_id": pa.array(every[some], group.schema.field("node_id").type), "mass": found[some]})
+
+    kind = {c: p.schema[c].dataType.simpleString() for c in ("query_id", "node_id")}
+    return p.select("query_id", "node_id", "p").groupBy("query_id").applyInArrow(work, f"query_id {kind['query_id']}, node_id {kind['node_id']}, mass double")
+
+
+def _push_joined(adj: DataFrame, p: DataFrame, damping: float, rounds: int, least: float, cut_every: int) -> DataFrame:
     out = adj.groupBy("src").agg(F.sum("weight").alias("out"))
     step = settle(adj.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     lone = p.join(out.select("src"), F.col("node_id") == F.col("src"), "left_anti").groupBy("query_id").agg(F.sum("p").alias("lone"))
     p = settle(p.join(lone, "query_id", "left").select("query_id", "node_id", "p", F.coalesce("lone", F.lit(0.0)).alias("lone")))
-    x = p.select("query_id", "node_id", F.col("p").alias("mass"))
-    lost = F.col("lone")
-    for k in range(rounds):
-        back = (1 - damping) + damping * lost
-        lost = back * F.col("lone")
-        spread = x.join(step, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id"), (damping * F.col("mass") * F.col("share")).alias("mass"))
-        x = spread.unionByName(p.select("query_id", "node_id", (F.col("p") * back).alias("mass"))).groupBy("query_id", "node_id").agg(F.sum("mass").alias("mass"))
-        if (k + 1) % cut_every == 0:
+    x = p.select("query_id", "node_id", F.lit(0.0).alias("kept"), F.col("p").alias("residual"))
+    for k in range(1, rounds + 1):
+        above = F.col("residual") > least
+        spread = x.where(above).join(step, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id"), F.lit(0.0).alias("kept"), (damping * F.col("residual") * F.col("share")).alias("residual"))
+        stay = x.select("query_id", "node_id", F.when(above, F.col("kept") + (1 - damping) * F.col("residual")).otherwise(F.col("kept")).alias("kept"), F.when(above, 0.0).otherwise(F.col("residual")).alias("residual"))
+        back = F.pow(damping * F.col("lone"), k)  # what nodes without edges return: the seeds' share of it, round after round
+        seeds = p.where("lone > 0").select("query_id", "node_id", F.lit(0.0).alias("kept"), (back * F.col("p")).alias("residual"))
+        x = spread.unionByName(stay).unionByName(seeds).groupBy("query_id", "node_id").agg(F.sum("kept").alias("kept"), F.sum("residual").alias("residual"))
+        if k % cut_every == 0:
             x = settle(x)
-    return x
+            if not x.where(F.col("residual") > least).head(1):
+                break
+    return x.select("query_id", "node_id", (F.col("kept") + F.col("residual")).alias("mass")).where("mass > 0")
 
 
 def seeds_of(queries: DataFrame, node_vectors: DataFrame, most: int = SEEDS, recognised: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from 1, ties go to the smaller chunk.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import search_terms
+from siftwell.operators.near import by_size
 
 #: BM25 parameters (fixed values).
 K1, B = 1.5, 0.75
@@ -24,6 +26,8 @@ DIGITS = 6
 QUERY_BLOCK, SCORES = 4096, 4_000_000
 #: Different terms of all queries that are broadcast at most; more are joined by a shuffle.
 ASKED_TERMS = 200_000
+#: Chunks of a range of blocks, about, and ranges of a query that are read before there is a bar.
+PER_RANGE, FIRST_RANGES = 16, 8
 
 
 def ranked(scored: DataFrame, k: int | None, score: str = "score", by: str = "chunk_id") -> DataFrame:
@@ -88,6 +92,70 @@ class Bm25Index:
         return ranked(found.where("score > 0").withColumn("source", F.lit("bm25")), k)
 
 
+@dataclass
+class BlockResult:
+    """Ranked rows, and of each query how many blocks its terms have and how many were read."""
+
+    rows: DataFrame
+    read: DataFrame
+
+
+class BlockIndex:
+    """Postings in blocks of a term and a small range of chunks, each with its largest weight.
+
+    All terms share the ranges, so the sum of the largest weights of a query's
+    terms in a range bounds every score there.  A search reads the blocks of the
+    ranges with the highest bounds first; the k-th best score there is a bar,
+    and of all other ranges only those are read whose bound reaches it: what is
+    skipped cannot be among the best.
+    """
+
+    def __init__(self, blocks: DataFrame):
+        self.blocks = blocks
+
+    @staticmethod
+    def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", per_range: int = PER_RANGE) -> BlockIndex:
+        """Ranges are by hash, about ``per_range`` chunks each."""
+        index = Bm25Index.build(chunks, id_col, text_col)
+        n = index.corpus.head().n or 0
+        ranges = max(1, -(-n // per_range))
+        own = F.pmod(F.xxhash64(F.col("chunk_id")), F.lit(ranges)).alias("range")
+        blocks = index.postings.where("weight > 0").groupBy("term", own).agg(F.max("weight").alias("most"), F.collect_list(F.struct("chunk_id", "weight")).alias("postings"))
+        return BlockIndex(blocks)
+
+    def write(self, path: str) -> None:
+        self.blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def read(spark, path: str) -> BlockIndex:
+        return BlockIndex(spark.read.parquet(path))
+
+    def search(self, queries: DataFrame, k: int, first: int = FIRST_RANGES) -> BlockResult:
+        """Top ``k`` by the sum of weights over the query's terms, each occurrence counted; no term, no row."""
+        from siftwell.operators.graph import settle
+
+        asked = queries.select("query_id", F.explode(search_terms(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        asked = settle(asked)
+        heads = asked.join(self.blocks.select("term", "range", "most"), "term")  # postings are not read for this
+        bounds = heads.groupBy("query_id", "range").agg(F.sum(F.col("times") * F.col("most")).alias("bound"), F.count("*").alias("blocks"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
+        bounds = settle(bounds)
+        head = bounds.withColumn("place", place).where(F.col("place") <= first).drop("place")
+        found = settle(self._scores(asked, head))
+        bar = ranked(found, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+        rest = bounds.join(head.select("query_id", "range"), ["query_id", "range"], "left_anti").join(bar, "query_id", "left")
+        rest = settle(rest.where("bar is null or bound + 1e-6 >= bar").drop("bar"))
+        rows = ranked(found.unionByName(self._scores(asked, rest)).withColumn("source", F.lit("bm25")), k)
+        used = head.select("query_id", "blocks").unionByName(rest.select("query_id", "blocks")).groupBy("query_id").agg(F.sum("blocks").alias("n_read"))
+        return BlockResult(rows, bounds.groupBy("query_id").agg(F.sum("blocks").alias("n_blocks")).join(used, "query_id"))
+
+    def _scores(self, asked: DataFrame, ranges: DataFrame) -> DataFrame:
+        wanted = asked.join(ranges.select("query_id", "range"), "query_id")
+        postings = wanted.join(self.blocks.select("term", "range", "postings"), ["term", "range"]).select("query_id", "times", F.explode("postings").alias("p"))
+        scores = postings.groupBy("query_id", F.col("p.chunk_id").alias("chunk_id")).agg(F.round(F.sum(F.col("times") * F.col("p.weight")), DIGITS).alias("score"))
+        return scores.where("score > 0")
+
+
 def dense_search(queries: DataFrame, chunks: DataFrame, k: int, vector: str = "vector", block: int = QUERY_BLOCK) -> DataFrame:
     """Top ``k`` chunks of each query by cosine.
 
@@ -151,10 +219,10 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 def whole_rows(ids: pa.Array, vectors: pa.Array, size: int) -> tuple[list, np.ndarray]:
     """Ids and vectors of the rows with a vector of ``size`` finite components."""
-    fits = [(i, v) for i, v in zip(ids.to_pylist(), vectors.to_pylist()) if v is not None and len(v) == size and None not in v]
-    x = np.array([v for _, v in fits], float).reshape(-1, size)
-    good = np.isfinite(x).all(axis=1)
-    return [i for (i, _), yes in zip(fits, good.tolist()) if yes], x[good]
+    for rows, x in by_size(vectors):
+        if x.shape[1] == size:
+            return ids.take(pa.array(rows)).to_pylist(), x
+    return [], np.zeros((0, size))
 
 
 def rrf(lists: list[DataFrame], k: int | None = None, rrf_k: int = RRF_K) -> DataFrame:

@@ -44,8 +44,8 @@ class Providers:
 
 
 def graph_core(config: PipelineConfig) -> PipelineConfig:
-    """The configuration of the graph route: the graph alone."""
-    return replace(config, query=replace(config.query, bm25=False, dense=False, graph=True))
+    """The configuration of the graph route: the graph alone, in its own order."""
+    return replace(config, query=replace(config.query, bm25=False, dense=False, rerank=False, graph=True))
 
 
 def route(queries: DataFrame, config: PipelineConfig, providers: Providers, has_graph: bool) -> DataFrame:

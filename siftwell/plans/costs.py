@@ -48,6 +48,13 @@ def estimate(configs: list[PipelineConfig], n: int, judged: bool = False) -> flo
     return sum(query_usd(c, judged) * n for c in configs)
 
 
+def estimates(queries: DataFrame, configs: list[PipelineConfig], judged: bool = False) -> DataFrame:
+    """``preset``, ``n`` and ``usd``: what running each preset over a table of queries is expected to cost at most."""
+    each = queries.sparkSession.createDataFrame([(c.name, query_usd(c, judged)) for c in configs], "preset string, each double")
+    n = queries.agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(each)).where("n > 0").select("preset", "n", (F.col("n") * F.col("each")).alias("usd"))  # one row of n
+
+
 def price_events(events: DataFrame) -> DataFrame:
     """Trace events with ``usd``; a model without a price fails, an event without a model costs nothing."""
     prices = events.sparkSession.createDataFrame([(m, a, b) for m, (a, b) in PRICES.items()], "model string, price_in double, price_out double")
