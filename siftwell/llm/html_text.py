@@ -5,10 +5,18 @@ one element, that follows its like becomes a repeated group; what only one side
 has becomes an optional group; a text becomes a slot.  A slot counts its texts
 and the different ones among them over all pages.  What varies from page to page
 is content, and what repeats is the template: a page's main text is what the
-element holds in which the host's varying text stands, less the slots that
-repeat.  Tag and class names decide only where slots cannot: on hosts without
-repetition, between an element and the article around it, and for text that
-varies but is no article (comments, forms).
+element holds in which the host's varying text stands.  Elements without names
+are told apart by what they hold: links, text alone, or blocks.  Tag and class
+names decide only where slots cannot: on hosts without repetition, between an
+element and the article around it, and for text that varies but is no article
+(comments, forms).
+
+What repeats chooses the main element but cuts nothing out of an article.  Only
+a division of a neutral main element whose text is one and the same wherever it
+stands, on two pages at least, is taken for a notice and left out; and where the
+main element is the whole body, list items and cells that repeat.  Within the
+main element names count as a whole (``ad``, not ``ad-hoc``) and on divisions and
+lists only; single ``comment`` elements stay, repeated ones are readers' comments.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ import html
 import json
 import pickle
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +38,7 @@ from siftwell.llm._common import cut, give_back, pick, table
 
 #: Hashes that a slot keeps to tell how many different texts it had; fewer are counted exactly.
 KEPT = 24
-#: Elements of a wrapper; a larger one loses those that were seen least, which tell least about what repeats.
+#: Elements of a wrapper; of a larger one those that were seen least leave the expression, and only their slots are counted on.
 WRAPPER_ELEMENTS = 5000
 #: Hosts whose partial wrappers a task holds at a time.
 HELD_HOSTS = 2000
@@ -62,13 +71,23 @@ _BOILERPLATE_NAMES = frozenset(
     "newsletter subscribe signup share sharing social related recommended recommendations widget toolbar pagination pager skip hidden".split()
 )
 _OUTER_NAMES = frozenset({"header"})
+#: Names that an element within the main element is left out for, as whole words of a class or id, and those that count only where the element repeats.
+_CUT_NAMES = frozenset(
+    "ad ads advert adverts advertisement adsense sponsored promo comments comment-list commentlist disqus_thread respond replies "
+    "sidebar menu navbar navigation breadcrumb breadcrumbs pagination newsletter subscribe share sharing social social-share related related-posts cookie-banner hidden".split()
+)
+_REPEATED_NAMES = frozenset("comment reply".split())
+_CUT_TAGS = frozenset("div section ul ol span table".split())
+#: Tags whose elements are told apart by what they hold, where they have no name.
+_SHAPED = frozenset("div section td".split())
 
 
 class Tag:
-    __slots__ = ("close", "drop", "key", "name")
+    __slots__ = ("close", "cut", "drop", "key", "name", "repeats")
 
     def __init__(self, name: str, attrs: str = "", close: bool = False):
         self.name, self.close, self.drop = name, close, name in _BOILERPLATE_TAGS
+        self.cut, self.repeats = self.drop, False
         marks = []
         if attrs and not close:
             for m in _ATTR.finditer(attrs):
@@ -77,13 +96,17 @@ class Tag:
                 if kind in ("class", "id"):
                     marks += [re.sub(r"\d{3,}", "0", w) for w in value.split()] if kind == "class" else []
                     self.drop |= not _BOILERPLATE_NAMES.isdisjoint(words) and name not in ("body", "html", "article", "main")
+                    if name in _CUT_TAGS:
+                        self.cut |= not _CUT_NAMES.isdisjoint(value.split())
+                        self.repeats |= not _REPEATED_NAMES.isdisjoint(value.split())
                 elif kind == "role":
                     self.drop |= value in _BOILERPLATE_ROLES
+                    self.cut |= value in _BOILERPLATE_ROLES
                     marks.append(f"@{value}")
                 elif kind == "hidden" or (kind == "aria-hidden" and value == "true"):
-                    self.drop = True
+                    self.drop = self.cut = True
                 elif kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    self.drop = True
+                    self.drop = self.cut = True
         # an element that is dropped by name is another one than its like that is not
         self.key = ("</" if close else "<") + name + "".join(f".{w}" for w in sorted(set(marks))) + "!" * self.drop
 
@@ -127,9 +150,36 @@ def tokens(page: str | None) -> list[Tag | str]:
     if last < len(page):
         out.append(page[last:])
     close_to(0)
+    _tell_apart(out)
     return out
 
 
+def _tell_apart(stream: list[Tag | str]) -> None:
+    """Adds to the keys of elements without names what they hold: L (mostly links), T (text alone), or P and the first block."""
+    open_tags: list[list] = []  # element, characters, characters in links, first block within
+    links = 0
+    for x in stream:
+        if not isinstance(x, Tag):
+            if open_tags and (n := len(x) - x.count(" ")):
+                open_tags[-1][1] += n
+                open_tags[-1][2] += n if links else 0
+        elif x.name == "a":
+            links = max(0, links + (-1 if x.close else 1))
+        elif x.name in _INLINE or x.name in _VOID:
+            continue
+        elif not x.close:
+            if open_tags and open_tags[-1][3] is None:
+                open_tags[-1][3] = x.name
+            open_tags.append([x, 0, 0, None])
+        elif open_tags:
+            own, chars, linked, first = open_tags.pop()
+            if open_tags:
+                open_tags[-1][1] += chars
+                open_tags[-1][2] += linked
+            if own.name in _SHAPED and own.key.rstrip("!") == "<" + own.name and chars:
+                own.key += "\tL" if 2 * linked >= chars else "\tT" if first is None else f"\tP{first}"
+
+
 # ---- wrapper inference.  Nodes are lists, so that pages can be added to them:
 # ["e", key, repeated, optional, count, children], ["s", "#", repeated, optional, count, text or None, characters, hashes], ["g", keys, repeated, optional, count, nodes]
 
@@ -269,26 +319,59 @@ def _elements(nodes: list) -> int:
     return sum(1 if x[0] == "s" else 1 + _elements(x[5]) for x in nodes)
 
 
-def _without_rare(nodes: list, least: int) -> list:
-    return [[*x[:5], _without_rare(x[5], least)] if x[0] == "e" else x for x in nodes if x[4] >= least or x[0] == "g"]
+def _without_rare(nodes: list, least: int, keys: tuple[str, ...], rare: dict) -> list:
+    """Nodes that were seen ``least`` times; the slots of the others are counted on in ``rare`` by the keys above them."""
+    out = []
+    for x in nodes:
+        if x[0] == "g":
+            out.append(x)
+        elif x[4] >= least:
+            out.append([*x[:5], _without_rare(x[5], least, (*keys, x[1]), rare)] if x[0] == "e" else x)
+        else:
+            _count_slots([x], keys, rare)
+    return out
+
+
+def _count_slots(nodes: list, keys: tuple[str, ...], into: dict) -> None:
+    """Adds each slot's texts, characters and kept hashes to those of the keys above it."""
+    for x in nodes:
+        if x[0] == "s":
+            _add_slot(into, keys, x[4], x[6], x[7])
+        else:
+            _count_slots(x[5], (*keys, x[1]) if x[0] == "e" else keys, into)
+
+
+def _add_slot(into: dict, keys: tuple[str, ...], n: int, chars: int, hashes: list[int]) -> None:
+    seen = into.setdefault(keys, [0, 0, []])
+    seen[:] = [seen[0] + n, seen[1] + chars, sorted({*seen[2], *hashes})[:KEPT]]
 
 
 class Wrapper:
-    """A host's wrapper and the number of its pages."""
+    """A host's wrapper, the number of its pages, and the slots that are no longer in the expression."""
 
     def __init__(self, nodes: list | None = None, pages: int = 0):
-        self.nodes, self.pages = nodes or [], pages
+        self.nodes, self.pages, self.rare = nodes or [], pages, {}
 
-    def add(self, nodes: list, pages: int = 1) -> None:
+    def add(self, nodes: list, pages: int = 1, rare: dict | None = None) -> None:
         self.nodes = align(self.nodes, nodes) if self.pages else nodes
         self.pages += pages
+        for keys, seen in (rare or {}).items():
+            _add_slot(self.rare, keys, *seen)
         least = 2
         while _elements(self.nodes) > WRAPPER_ELEMENTS:
-            self.nodes = _without_rare(self.nodes, least)
+            self.nodes = _without_rare(self.nodes, least, (), self.rare)
             least *= 2
 
+    def slots(self) -> dict[tuple[str, ...], list]:
+        """All slots by the keys above them: texts, characters and kept hashes, whatever the order of the pages."""
+        found: dict[tuple[str, ...], list] = {}
+        _count_slots(self.nodes, (), found)
+        for keys, seen in self.rare.items():
+            _add_slot(found, keys, *seen)
+        return found
+
     def pack(self) -> bytes:
-        return pickle.dumps((self.nodes, self.pages))
+        return pickle.dumps((self.nodes, self.pages, self.rare))
 
 
 def as_expression(nodes: list) -> str:
@@ -298,7 +381,7 @@ def as_expression(nodes: list) -> str:
         if x[0] == "s":
             text = "#" if x[5] is None else json.dumps(x[5], ensure_ascii=False)
         elif x[0] == "e":
-            text = " ".join(y for y in (x[1] + ">", as_expression(x[5]), f"</{_name(x[1])}>") if y)
+            text = " ".join(y for y in (x[1].split("\t")[0] + ">", as_expression(x[5]), f"</{_name(x[1])}>") if y)
         else:
             text = as_expression(x[5])
         mark = "*" if x[2] and x[3] else "+" * x[2] + "?" * x[3]
@@ -307,7 +390,7 @@ def as_expression(nodes: list) -> str:
 
 
 def _name(key: str) -> str:
-    return key.strip("</!").split(".")[0]
+    return re.split(r"[.!\t]", key.lstrip("</"), maxsplit=1)[0]
 
 
 def path_id(parent: int, key: str) -> int:
@@ -322,11 +405,11 @@ def _different(hashes: list[int]) -> float:
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A slot repeats where this much fewer of its texts are different than in the host's slots that vary most.
-REPEATS, LITERAL = 0.5, 0.1
+REPEATS = 0.5
 
 
 def findings(wrapper: Wrapper) -> tuple[dict[int, int], set[int], set[int]]:
-    """Characters of varying text under each element, elements whose own text is a literal, and elements kept against their names.
+    """Characters of varying text under each element, divisions that are notices (and, below 0, items that repeat), and elements kept against their names.
 
     An element is named by its path of keys.  Text that varies under a name of
     menus, comments and the like counts only where hardly any varies elsewhere:
@@ -335,26 +418,22 @@ def findings(wrapper: Wrapper) -> tuple[dict[int, int], set[int], set[int]]:
     """
     slots: dict[int, list] = {}
     chains: dict[int, tuple[int, ...]] = {}
-    heads, named = set(), set()
-
-    def walk(nodes: list, chain: tuple[int, ...]) -> None:
-        for x in nodes:
-            if x[0] == "s":
-                seen = slots.setdefault(chain[-1], [0, 0, []])
-                seen[:] = [seen[0] + x[4], seen[1] + x[6], sorted({*seen[2], *x[7]})[:KEPT]]
-                chains[chain[-1]] = chain
-            elif x[0] == "g":
-                walk(x[5], chain)
-            else:
-                here = path_id(chain[-1], x[1])
-                if _name(x[1]) in _HEADINGS:
-                    heads.add(here)
-                if x[1].endswith("!"):
-                    named.add(here)
-                walk(x[5], (*chain, here))
-
-    walk(wrapper.nodes, (0,))
-    rate = {path: _different(hashes) / n for path, (n, _, hashes) in slots.items()}
+    named, articles, divisions, items = set(), set(), set(), set()
+    for keys, seen in wrapper.slots().items():
+        chain = [0]
+        for key in keys:
+            chain.append(path_id(chain[-1], key))
+            if "!" in key:
+                named.add(chain[-1])
+            if _name(key) in ("article", "main") or ".@main" in key:
+                articles.add(chain[-1])
+        if keys and _name(keys[-1]) in ("div", "section"):
+            divisions.add(chain[-1])
+        if keys and _name(keys[-1]) in _ITEMS:
+            items.add(chain[-1])
+        slots[chain[-1]], chains[chain[-1]] = seen, tuple(chain)
+    different = {path: _different(hashes) for path, (_, _, hashes) in slots.items()}
+    rate = {path: different[path] / n for path, (n, _, _) in slots.items()}
     if wrapper.pages < 2 or all(r <= 1 / wrapper.pages for r in rate.values()):
         return {}, set(), set()
     outside = {path for path in slots if named.isdisjoint(chains[path])}
@@ -378,8 +457,9 @@ def findings(wrapper: Wrapper) -> tuple[dict[int, int], set[int], set[int]]:
             for above in chains[path]:
                 mass[above] = mass.get(above, 0) + slots[path][1]
             mass[-path - 1] = slots[path][1]  # its own text
-    literal = {path for path, (n, _, _) in slots.items() if n >= 5 and rate[path] <= LITERAL * most and path not in heads and named.isdisjoint(chains[path])}
-    return mass, literal, kept
+    alike = {path for path in divisions | items if different[path] == 1 and slots[path][0] > 1 and articles.isdisjoint(chains[path])}
+    alike |= {path for path in items if slots[path][0] > 1 and rate[path] <= REPEATS * most and articles.isdisjoint(chains[path])}
+    return mass, {path if path in divisions else -path - 1 for path in alike}, kept
 
 
 def infer(pages: list[str | None]) -> Wrapper:
@@ -393,10 +473,13 @@ def infer(pages: list[str | None]) -> Wrapper:
 # ---- extraction
 
 _LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr dt dd pre blockquote ul ol dl table tbody thead figure".split())
+_GRID = frozenset("table tbody tr td th".split())
+_BLOCKS = frozenset("div section p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote article main".split())
+_ITEMS = frozenset("li td th dt dd".split())
 
 
 def _is_header(key: str) -> bool:
-    return _name(key) in _OUTER_NAMES or any(w in _OUTER_NAMES for w in key.rstrip("!").split(".")[1:])
+    return _name(key) in _OUTER_NAMES or any(w in _OUTER_NAMES for w in key.split("\t")[0].rstrip("!").split(".")[1:])
 
 
 class _Page:
@@ -452,42 +535,61 @@ class _Page:
             among = [(mass.get(c, 0), -k, c) for k, c in enumerate(self.children[here])]
             whole = sum(m for m, _, _ in among) + mass.get(-here - 1, 0)
             best = max(among, default=(0, 0, 0))
-            if not best[0] or best[0] < SHARE * whole or _name(self.keys[best[2]]) in _LEAVES:
+            if not best[0] or best[0] < SHARE * whole:
+                return here
+            name = _name(self.keys[best[2]])
+            if name in _LEAVES and not (name in _GRID and self._lays_out(best[2], mass)):
                 return here
             here = best[2]
             if _name(self.keys[here]) in ("article", "main") or ".@main" in self.keys[here]:
                 return here
 
+    def _lays_out(self, path: int, mass: dict[int, int]) -> bool:
+        """Whether the heaviest cell of a table holds blocks: the table is no data but a layout."""
+        while self.children[path]:
+            if _name(self.keys[path]) in ("td", "th"):
+                return any(_name(self.keys[c]) in _BLOCKS for c in self.children[path])
+            path = max(self.children[path], key=lambda c: mass.get(c, 0))
+        return False
+
     def tagged(self) -> set[int]:
         """Articles, else main elements."""
         articles = {path for path, key in self.keys.items() if _name(key) == "article"}
         return articles or {path for path, key in self.keys.items() if _name(key) == "main" or ".@main" in key}
 
 
-def main_text(page: str | None, mass: dict[int, int] | None = None, literal: set[int] | frozenset = frozenset(), kept: set[int] | frozenset = frozenset()) -> str:
+def main_text(page: str | None, mass: dict[int, int] | None = None, notices: set[int] | frozenset = frozenset(), kept: set[int] | frozenset = frozenset()) -> str:
     """Blocks of the main text, one a line.
 
-    ``mass``, ``literal``, ``kept``: the findings of the host's wrapper; where they say
+    ``mass``, ``notices``, ``kept``: the findings of the host's wrapper; where they say
     nothing about this page, its own tags and text decide.
     """
     stream = tokens(page)
     if mass:
         own = _Page(stream, kept)
         if any(mass.get(-path - 1, 0) for path in own.keys):
-            return "\n".join(_blocks(stream, {own.region(mass)}, literal, kept))
+            region = own.region(mass)
+            return "\n".join(_blocks(stream, {region}, notices, kept, _name(own.keys[region]) in ("", "html", "body")))
     own = _Page(stream)
-    return "\n".join(_blocks(stream, own.tagged() or {own.region(own.own_mass())}, frozenset(), frozenset()))
+    tagged = own.tagged()
+    region = None if tagged else own.region(own.own_mass())
+    return "\n".join(_blocks(stream, tagged or {region}, frozenset(), frozenset(), not tagged and _name(own.keys[region]) in ("", "html", "body")))
 
 
-def _blocks(stream: list[Tag | str], mains: set[int], literal, kept) -> list[str]:
-    """Texts of the blocks inside the given elements, without those of literal slots."""
-    paths, drops, inside = [0], [False], [0 in mains]
+def _blocks(stream: list[Tag | str], mains: set[int], notices, kept, whole: bool) -> list[str]:
+    """Texts of the blocks inside the given elements.  ``whole``: they are the page's body, where only names tell what is no article."""
+    paths, drops, inside, wraps = [0], [False], [0 in mains], [False]
     blocks, parts = [], []
+    repeated = Counter(x.key for x in stream if isinstance(x, Tag) and x.repeats)
+
+    def goes(x: Tag, path: int, wrapped: bool) -> bool:
+        loose = whole and not wrapped and (x.drop or _is_header(x.key))
+        return (x.cut or loose or repeated[x.key] > 1) and path not in kept
 
     def end() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and paths[-1] not in literal:
+            if text and paths[-1] not in notices and not (whole and -paths[-1] - 1 in notices):
                 blocks.append(text)
             parts.clear()
 
@@ -498,7 +600,7 @@ def _blocks(stream: list[Tag | str], mains: set[int], literal, kept) -> list[str
             continue
         if x.name in _INLINE:
             if not x.close:
-                drops.append(drops[-1] or x.drop)
+                drops.append(drops[-1] or goes(x, -1, wraps[-1]))
             elif len(drops) > 1:
                 drops.pop()
             continue
@@ -511,13 +613,14 @@ def _blocks(stream: list[Tag | str], mains: set[int], literal, kept) -> list[str
         end()
         if x.close:
             if len(paths) > 1:
-                paths.pop(), drops.pop(), inside.pop()
+                paths.pop(), drops.pop(), inside.pop(), wraps.pop()
             continue
         path = path_id(paths[-1], x.key) if len(paths) <= LEVELS else paths[-1]
-        here = inside[-1] or path in mains
+        wraps.append(wraps[-1] or x.name in ("article", "main"))
+        # what stands above the main element, whatever its name, holds it
+        drops.append(drops[-1] or (inside[-1] and goes(x, path, wraps[-1])))
         paths.append(path)
-        drops.append(drops[-1] or (x.drop and path not in kept) or (not here and _is_header(x.key)))
-        inside.append(here)
+        inside.append(inside[-1] or path in mains)
     end()
     return blocks
 
