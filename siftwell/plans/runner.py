@@ -20,6 +20,7 @@ from siftwell.plans.answer import Providers, answer_traced
 from siftwell.plans.config import MULTI_HOP, IngestConfig, PipelineConfig, preset
 from siftwell.plans.retrieve import Indexes, Unavailable, embed_chunks
 from siftwell.sources import files, sinks
+from siftwell.sources.keyed import KeyedTable
 
 RESULTS = (
     "run_id string, preset string, query_id string, status string, route string, recall double, mrr double, em double, f1 double, usd double, latency_ms double, "
@@ -138,12 +139,16 @@ def run_preset(queries: DataFrame, golds: DataFrame, indexes: Indexes, config: P
 
 
 def run(spark: SparkSession, queries: DataFrame, golds: DataFrame, indexes: Indexes, presets: list[str], run_id: str, results_path: str, dataset: str = "", spend_cap: float | None = None, size: str = "", providers: Providers | None = None, recognition: bool | None = None, judged: bool = False, manifest: dict | None = None) -> dict:
-    """All presets; results are kept under ``results_path`` and a repeated run goes on where it stopped.
+    """All presets; results are kept by key under ``results_path``, and a repeated run goes on where it stopped.
+
+    A preset's rows are there together or not at all, so that a run that broke
+    off has each query once when it is resumed.
 
     ``dataset`` may be the corpus that holds it.  ``recognition`` replaces that of
     presets with the graph.  ``judged`` has the providers assess the answers.
     """
     skipped: list[Skipped] = []
+    kept = KeyedTable(spark, results_path, RESULTS, ["run_id", "preset", "query_id"])
     for name in presets:
         config = override(preset(name), recognition)
         if config.query.route_mode != "force_s1" and files.dataset_name(dataset) not in MULTI_HOP:
@@ -153,11 +158,11 @@ def run(spark: SparkSession, queries: DataFrame, golds: DataFrame, indexes: Inde
         if missing:
             skipped.append(Skipped(name, "the corpus has no graph"))
             continue
-        done = spark.read.schema(RESULTS).parquet(results_path) if files.exists(spark, results_path) else None
-        spent = 0.0 if done is None else done.where(F.col("run_id") == run_id).agg(F.coalesce(F.sum("usd"), F.lit(0.0))).head()[0]
+        done = kept.read()
+        spent = done.where(F.col("run_id") == run_id).agg(F.coalesce(F.sum("usd"), F.lit(0.0))).head()[0]
         rows = run_preset(queries, golds, indexes, config, run_id, done, spend_cap, spent, providers)
-        rows.write.mode("append").parquet(results_path)
-    results = spark.read.schema(RESULTS).parquet(results_path).where(F.col("run_id") == run_id) if files.exists(spark, results_path) else spark.createDataFrame([], RESULTS)
+        kept.upsert(rows)
+    results = kept.read().where(F.col("run_id") == run_id)
     metrics = evaluate.run_metrics(results)
     found = records.anchors(metrics)
     by_preset: dict[str, list[dict]] = {}

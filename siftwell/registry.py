@@ -27,7 +27,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from siftwell import catalog, catalog_models  # noqa: F401  importing them registers the queries
+    from siftwell import catalog, catalog_models, catalog_streams  # noqa: F401  importing them registers the queries
 
 
 def queries() -> dict[str, Query]:

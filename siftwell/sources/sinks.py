@@ -37,6 +37,43 @@ def table_hash(rows: DataFrame, key: str, *columns: str) -> str:
     return hashlib.sha256(json.dumps([str(x) for x in r]).encode()).hexdigest()
 
 
+def digest_levels(rows: DataFrame, by: list[str], columns: list[str], fan: int = 1024) -> list[DataFrame]:
+    """A tree of digests over rows in the order of ``by``, from the rows' own groups up to one: ``node``, ``digest``.
+
+    A row's digest is the SHA-256 of its columns as JSON; a node's that of the
+    digests of ``fan`` neighbours, one after the other.  Rows are numbered over
+    ranges of the order, and a group has ``fan`` rows at most, so neither the
+    number of partitions nor one task has a part in it.  ``by`` has to be a total
+    order; rows that tie have to be alike.
+    """
+    from siftwell.operators.graph import dense_numbers, settle
+
+    own = F.sha2(F.to_json(F.struct(*(F.col(c) for c in columns)), {"ignoreNullFields": "false"}), 256)
+    level = dense_numbers(rows.select(*by, own.alias("digest")), by, "node").select("node", "digest")
+    levels = []
+    while True:
+        groups = level.groupBy(F.expr(f"node div {fan}").alias("node"))
+        ordered = F.array_sort(F.collect_list(F.struct(F.col("node"), F.col("digest"))))
+        level = settle(groups.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x.digest), ""), 256).alias("digest")))
+        levels.append(level)
+        if level.limit(2).count() < 2:
+            return levels
+
+
+def ordered_hash(rows: DataFrame, by: list[str], columns: list[str], fan: int = 1024) -> str:
+    """One hash of a table in its order: it differs when two rows swap, and for no partitioning."""
+    top = digest_levels(rows, by, columns, fan)[-1].head()
+    return "sha256:" + (top.digest if top else hashlib.sha256(b"").hexdigest())
+
+
+def hash_files(spark: SparkSession, folder: str, pattern: str = "*") -> str:
+    """One hash of all files of a folder, by name and bytes, in the order of their paths."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = found.select("path", F.sha2(F.concat(name.cast("binary"), F.col("content")), 256).alias("own"))
+    return ordered_hash(rows, ["path"], ["own"])
+
+
 def manifest(corpus_id: str, dataset: dict, chunking: dict, embed_model: str, hashes: dict, n_docs: int, n_chunks: int, n_queries: int) -> dict:
     return {
         "corpus_id": corpus_id, "dataset": dataset, "chunking": chunking, "embed_model": embed_model, "index_hashes": hashes,
