@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import LOWER, byte_class, cut, give_back, grouped, mix, pick, small, span_hashes, text_steps, word_spans
+from siftwell.llm._common import LOWER, byte_class, cut, give_back, grouped, mix, pick, small, span_hashes, stash, text_steps, word_spans
 from siftwell.llm._components import components, forest_batch, local_roots
 from siftwell.llm.simhash import cross_near, trie_join
 
@@ -331,10 +331,16 @@ def drop_near_copies(
 ) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of :func:`near_copies`.
 
-    Rows that repeat an id are one document and stay or go together; rows
-    without an id cannot be told apart and go.  All columns stay as they are.
+    Rows that repeat an id are one document and stay or go together.  Rows
+    without an id are documents of their own, after all others: where there are
+    any, the rows are numbered and written first.  All columns stay as they are.
     """
+    if docs.where(docs[id_col].isNull()).head(1):
+        number = next(f"row{k}" for k in range(len(docs.columns) + 1) if f"row{k}" not in docs.columns)
+        last = F.lit(2**63 - 1) - F.monotonically_increasing_id()
+        numbered = stash(docs.withColumn(number, F.coalesce(docs[id_col].cast("long"), last)), "numbered")
+        return drop_near_copies(numbered, number, text_col, words, similarity).drop(number)
     kept = near_copies(docs, id_col, text_col, words, similarity).where("rep = component").select("rep")
     ids = pick(docs, __gone=id_col).where("__gone is not null").distinct()
     gone = small(ids.join(kept, F.col("__gone") == F.col("rep"), "left_anti"))
-    return docs.where(docs[id_col].isNotNull()).join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

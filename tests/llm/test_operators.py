@@ -788,7 +788,7 @@ def test_queries_and_pipeline(spark, sf_dir):
     from siftwell import llm
 
     names = {re.match(r"op(\d+)_", name)[1] for name in llm.queries()}
-    assert names == {str(k) for k in range(1, 11)} and set(llm.oracle_sql()) <= set(llm.queries())
+    assert names == {str(k) for k in range(1, 14)} and set(llm.oracle_sql()) <= set(llm.queries())
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = corpus_pipeline.run(spark, sf_dir)
     kept = {x.doc_id for x in pieces.select("doc_id").distinct().collect()}
