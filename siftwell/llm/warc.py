@@ -6,7 +6,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,8 +20,12 @@ from siftwell.llm._files import write_file
 LEAST_SHARED = 100
 #: Bytes of an archive file, about.
 FILE_BYTES = 16_000_000
-#: A record that claims or unpacks to more is quarantined.
-RECORD_BYTES = 1 << 30
+#: A record that claims more is quarantined: it would be longer than any value that Spark has.
+RECORD_BYTES = (1 << 31) - 1
+#: Bytes that a member is unpacked to at once; a larger one is unpacked and read piece by piece, with the same result.
+MEMBER_BYTES = 64_000_000
+#: Bytes of a record's headers.
+HEADER_BYTES = 1_000_000
 _GZIP = b"\x1f\x8b\x08"
 _CUT_SHORT = "truncated member"
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -71,66 +75,120 @@ class Gap:
     reason: str
 
 
-def _member(content: memoryview, at: int) -> tuple[bytes, int]:
-    """A whole gzip member and the position after it; zlib checks its CRC and length."""
-    unpack, out, size, k = zlib.decompressobj(31), [], 0, at
+class _Large(Exception):
+    """A member that is not unpacked at once."""
+
+
+def _pieces(content: memoryview, at: int) -> Iterator[tuple[bytes, int]]:
+    """What a whole gzip member unpacks to, piece by piece, with the position reached; zlib checks its CRC and length."""
+    unpack, k = zlib.decompressobj(31), at
     while not unpack.eof:
         if k >= len(content):
             raise ValueError(_CUT_SHORT)
         piece = content[k : k + 65536]
         k += len(piece)
-        out.append(unpack.decompress(piece))
-        size += len(out[-1])
-        if size > RECORD_BYTES:
-            raise ValueError("member too large")
-    return b"".join(out), k - len(unpack.unused_data)
+        yield unpack.decompress(piece), k - len(unpack.unused_data)
 
 
-def _prefix(content: memoryview, at: int) -> bytes:
-    """What a broken member unpacks to before it breaks, at most RECORD_BYTES."""
-    unpack, out, size, k, step = zlib.decompressobj(31), [], 0, at, 65536
-    while k < len(content) and not unpack.eof and size <= RECORD_BYTES:
+def _member(content: memoryview, at: int) -> tuple[bytes, int]:
+    """A whole gzip member of at most MEMBER_BYTES and the position after it."""
+    out, size, stop = [], 0, at
+    for piece, stop in _pieces(content, at):
+        out.append(piece)
+        size += len(piece)
+        if size > MEMBER_BYTES:
+            raise _Large
+    return b"".join(out), stop
+
+
+def _prefix(content: memoryview, at: int) -> Iterator[bytes]:
+    """What a broken member unpacks to before it breaks."""
+    unpack, k, step = zlib.decompressobj(31), at, 65536
+    while k < len(content) and not unpack.eof:
         before = unpack.copy() if step > 1 else None
         try:
-            out.append(unpack.decompress(content[k : k + step]))
+            yield unpack.decompress(content[k : k + step])
         except zlib.error:
             if before is None:
                 break
             unpack, step = before, 1  # byte by byte up to the damage
             continue
-        size += len(out[-1])
         k += step
-    return b"".join(out)
 
 
-def _inside(raw: bytes, at: int, stop: int, broken: str | None) -> list[Record | Gap]:
-    """Records in a member's bytes and the gaps between them; empty if none passes.
+class _Window:
+    """Unpacked bytes of which only those from the present record on are held."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.base, self.ended = pieces, bytearray(), 0, False
+
+    def fill(self, k: int, size: int) -> None:
+        """Holds ``size`` bytes from position ``k`` of the held ones on, if there are so many."""
+        while not self.ended and len(self.held) - k < size:
+            piece = next(self.pieces, None)
+            if piece is None:
+                self.ended = True
+            else:
+                self.held += piece
+
+    def fill_record(self, k: int) -> None:
+        """Holds the record at ``k``, or as much as tells that there is none."""
+        self.fill(k, 16)
+        if not _VERSION.match(self.held, k):
+            return
+        end = self.held.find(b"\r\n\r\n", k)
+        while end < 0 and not self.ended and len(self.held) - k < HEADER_BYTES:
+            self.fill(k, len(self.held) - k + 65536)
+            end = self.held.find(b"\r\n\r\n", k)
+        length = re.search(rb"(?im)^content-length[ \t]*:[ \t]*(\d+)[ \t]*\r?$", self.held[k : end + 2]) if end >= 0 else None
+        if length and int(length[1]) <= RECORD_BYTES:
+            self.fill(k, end - k + int(length[1]) + 8)
+
+    def find(self, mark: bytes, k: int) -> int:
+        """The next position of ``mark`` from ``k`` on, or the end; what lies before it is let go."""
+        while True:
+            at = self.held.find(mark, k)
+            if at >= 0 or self.ended:
+                return at if at >= 0 else len(self.held)
+            k = self.drop(max(k, len(self.held) - len(mark)))
+            self.fill(k, 65536)
+
+    def drop(self, k: int) -> int:
+        """Lets go of the bytes before ``k``, which is then at the position returned."""
+        if k < 65536 and not self.ended:
+            return k
+        del self.held[:k]
+        self.base += k
+        return 0
+
+
+def _inside(pieces: Iterator[bytes], at: int, stop: int, broken: str | None) -> Iterator[Record | Gap]:
+    """Records in a member's bytes and the gaps between them, from the first to the last record that passes; no other gaps before there is one.
 
     Of a ``broken`` member only records with a digest that agrees are kept, but
     of one that is merely cut short all that are whole.
     """
-    found, k, bad, reason = [], 0, None, ""
-    while k < len(raw):
+    window, k, bad, reason, some = _Window(pieces), 0, None, "", False
+    while True:
+        window.fill_record(k)
+        if k >= len(window.held):
+            break
         try:
-            headers, block, after = _parse(raw, k)
+            headers, block, after = _parse(window.held, k)
             if broken not in (None, _CUT_SHORT) and not headers.get("warc-block-digest", "").lower().startswith("sha256:"):
                 raise ValueError("no digest in a broken member")
         except ValueError as error:
             if bad is None:
-                bad, reason = k, str(error)
-            k = raw.find(b"WARC/1.", k + 1)
-            k = len(raw) if k < 0 else k
+                bad, reason = window.base + k, str(error)
+            k = window.find(b"WARC/1.", k + 1)
             continue
         if bad is not None:
-            found.append(Gap(at, stop, f"{reason}: unpacked bytes {bad} to {k}"))
+            yield Gap(at, stop, f"{reason}: unpacked bytes {bad} to {window.base + k}")
             bad = None
-        found.append(Record(at, stop, headers, block))
-        k = after
-    if not any(isinstance(x, Record) for x in found):
-        return []
-    if bad is not None:
-        found.append(Gap(at, stop, f"{reason}: unpacked bytes {bad} to {len(raw)}"))
-    return found
+        yield Record(at, stop, headers, block)
+        some, k = True, window.drop(after)
+    if bad is not None and some:
+        yield Gap(at, stop, f"{reason}: unpacked bytes {bad} to {window.base + len(window.held)}")
 
 
 def _parse(raw, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -160,6 +218,28 @@ def _parse(raw, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
+def _whole_member(view: memoryview, at: int) -> tuple[Iterator[Record | Gap], int]:
+    """Records and gaps of the gzip member at a position, which holds a record at least, and the position after it."""
+    try:
+        raw, stop = _member(view, at)
+        found = list(_inside(iter((raw,)), at, stop, None))
+        if raw and not any(isinstance(x, Record) for x in found):
+            _parse(raw, 0)
+            raise ValueError("no record in the member")
+        return iter(found), stop
+    except _Large:
+        stop = at
+    for _, stop in _pieces(view, at):  # checked as a whole before any of its records counts
+        pass
+    pieces = lambda: (piece for piece, _ in _pieces(view, at))
+    if not any(isinstance(x, Record) for x in _inside(pieces(), at, stop, None)):
+        window = _Window(pieces())
+        window.fill_record(0)
+        _parse(window.held, 0)
+        raise ValueError("no record in the member")
+    return _inside(pieces(), at, stop, None), stop
+
+
 def salvage(content: bytes) -> Iterator[Record | Gap]:
     """All records that pass their checks, in order, and the byte ranges between them.
 
@@ -168,43 +248,57 @@ def salvage(content: bytes) -> Iterator[Record | Gap]:
     bytes that a member unpacks to it looks for version lines too, and gaps there
     name their range of unpacked bytes.  Of a member that breaks the records
     before the damage are kept; their range, and that of its gap, end where the
-    next whole record begins.
+    next whole record begins.  However much a member unpacks to, one record of
+    it is held at a time.
     """
-    view, at, bad, reason, saved = memoryview(content), 0, None, "", []
+    view, at, bad, reason, saved = memoryview(content), 0, None, "", None
+
+    def kept(place: int, why: str, stop: int) -> Iterator[Record]:
+        return (x for x in _inside(_prefix(view, place), place, stop, why) if isinstance(x, Record))
+
     while at < len(content):
-        raw = None
+        member = content[at : at + 3] == _GZIP
         try:
-            if content[at : at + 3] == _GZIP:
-                raw, stop = _member(view, at)
-                found = _inside(raw, at, stop, None)
-                if raw and not found:
-                    _parse(raw, 0)
-                    raise ValueError("no record in the member")
+            if member:
+                found, stop = _whole_member(view, at)
             else:
                 headers, block, stop = _parse(content, at)
-                found = [Record(at, stop, headers, block)]
+                found = iter((Record(at, stop, headers, block),))
         except (ValueError, zlib.error) as error:
-            if raw is None and content[at : at + 3] == _GZIP and (kept := _inside(_prefix(view, at), at, len(content), str(error))):
+            if member and not _unpacks(view, at) and next(kept(at, str(error), at), None) is not None:
                 if bad is not None:
-                    yield from (replace(x, stop=at) for x in saved)
+                    if saved:
+                        yield from kept(*saved, at)
                     yield Gap(bad, at, reason)
-                bad, reason, saved = at, str(error), [x for x in kept if isinstance(x, Record)]
+                bad, reason, saved = at, str(error), (at, str(error))
             elif bad is None:
                 bad, reason = at, str(error)
             places = [p for p in (content.find(_GZIP, at + 1), content.find(b"WARC/1.", at + 1)) if p >= 0]
             at = min(places, default=len(content))
             continue
         if bad is not None:
-            yield from (replace(x, stop=at) for x in saved)
+            if saved:
+                yield from kept(*saved, at)
             yield Gap(bad, at, reason)
-            bad, saved = None, []
+            bad, saved = None, None
         yield from found
         at = stop
     if bad is not None:
-        yield from saved
+        if saved:
+            yield from kept(*saved, len(content))
         yield Gap(bad, len(content), reason)
 
 
+def _unpacks(view: memoryview, at: int) -> bool:
+    """Whether the member at a position is whole."""
+    try:
+        for _ in _pieces(view, at):
+            pass
+    except (ValueError, zlib.error):
+        return False
+    return True
+
+
 def _with_references(pages: DataFrame) -> DataFrame:
     """Pages with ``refers_to``: of equal payloads, if not small, the smallest page (null for that page itself)."""
     payload = F.coalesce("html", F.lit(""))

@@ -119,6 +119,36 @@ def test_warc_salvage_within_a_member():
     assert numbers(found) == [*range(8), 9] and [(x.start, x.stop) for x in found if isinstance(x, warc.Gap)] == [(0, len(whole))]
 
 
+def test_warc_members_of_any_size(monkeypatch):
+    noise = random.Random(14)
+    bodies = [bytes(noise.randrange(97, 123) for _ in range(noise.choice([0, 10, 3000, 200_000]))) for _ in range(60)]
+    plain = [zlib.decompress(warc.record(k, f"http://h/{k}", body), 31) for k, body in enumerate(bodies)]
+    pack = lambda raw: (c := zlib.compressobj(1, zlib.DEFLATED, 31)).compress(raw) + c.flush()
+    whole, tail = pack(b"".join(plain)), warc.record(99, "http://h/99", b"tail")
+    cases = [whole + tail, whole[: len(whole) // 2] + tail, pack(b"no record at all" * 50_000) + tail, pack(b"WARC/1.1\r\nContent-Length: 99999999\r\n\r\n" + b"".join(plain)) + tail, pack(b"") + tail]
+    for _ in range(6):
+        raw = bytearray(b"".join(plain))
+        for _ in range(5):
+            raw[noise.randrange(len(raw))] ^= 0x55
+        cases.append(pack(bytes(raw)) + tail)
+        damaged = bytearray(whole + tail)
+        damaged[noise.randrange(len(whole))] ^= 0x10
+        cases.append(bytes(damaged))
+    told = lambda found: [(x.start, x.stop, x.reason if isinstance(x, warc.Gap) else (x.headers["warc-record-id"], hashlib.sha256(x.block).hexdigest())) for x in found]
+    want = [told(warc.salvage(c)) for c in cases]
+    assert len(want[0]) == 61 and all(w[-1][2][0] == "<urn:page:99>" for w in want)
+    held, fill = [], warc._Window.fill
+
+    def watched(window, k, size):
+        fill(window, k, size)
+        held.append(len(window.held))
+
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)  # far less than any of the members
+    monkeypatch.setattr(warc._Window, "fill", watched)
+    assert told(warc.salvage(cases[0])) == want[0] and max(held) < 600_000 < len(b"".join(plain)) / 3
+    assert [told(warc.salvage(c)) for c in cases] == want
+
+
 def test_warc_empty(spark):
     assert warc.write_archives(pages(spark, []), new_path(spark, "warc")).count() == 0
 
