@@ -170,6 +170,16 @@ def chunk_renumber(spark, d):
     return chunking.chunk(turns, 32, 4)
 
 
+@register("token_offsets", f"""
+WITH t AS (SELECT conv_id, turn, CAST(len({TOKENS_SQL}) AS BIGINT) AS n FROM conversations),
+o AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_token FROM t)
+SELECT conv_id, turn, start_token, start_token + n AS end_token FROM o
+""")
+def token_offsets(spark, d):
+    """Where each turn's tokens stand in its conversation."""
+    return chunking.token_offsets(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "start_token", "end_token")
+
+
 @register("oversized_hard_cut", """
 SELECT doc_id || '#part' || i AS doc_id, CAST(i AS INTEGER) AS part, CAST(n AS INTEGER) AS n_splits, substr(text, i * 2000 + 1, 2000) AS text
 FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, CAST(ceil(length(text) / 2000.0) AS BIGINT) AS n FROM documents WHERE length(text) > 2000), LATERAL (SELECT unnest(range(n)) AS i)
@@ -724,6 +734,19 @@ ad AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM
 """
 
 
+@register("graph_counts", f"""
+WITH {TRIPLES_SQL},
+r AS (SELECT DISTINCT least(s, o) AS a, greatest(s, o) AS b FROM tn WHERE s <> o),
+p AS (SELECT DISTINCT chunk_id, phrase FROM (SELECT chunk_id, s AS phrase FROM tn UNION ALL SELECT chunk_id, o FROM tn) WHERE chunk_id IN (SELECT doc_id FROM documents))
+SELECT (SELECT count(*) FROM documents) AS n_passage, (SELECT count(*) FROM ph) AS n_phrase, (SELECT count(*) FROM r) + (SELECT count(*) FROM p) AS n_edges, (SELECT count(*) FROM tn) AS n_triples
+""")
+def graph_counts(spark, d):
+    chunks = _chunks(spark, d).select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("chunk_id").alias("ord"), "text")
+    triples = _triples(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    nodes = graph.settle(graph.nodes(chunks, triples))
+    return graph.build_counts(nodes, graph.edges(nodes, triples), triples)
+
+
 @register("edge_dedupe", f"WITH {EDGES_SQL} SELECT src, dst, kind, weight FROM ed")
 def edge_dedupe(spark, d):
     return graph.dedupe_edges(_edge_rows(spark, d))
@@ -967,7 +990,7 @@ SELECT query_id, 'synthesise' AS next, CAST(CASE WHEN g0 AND g1 THEN 2 ELSE 3 EN
        CASE WHEN g0 AND g1 THEN '' WHEN g0 THEN h1 WHEN h0 = h1 THEN h0 ELSE h0 || '|' || h1 END AS unresolved FROM g
 """)
 def agent_loop(spark, d):
-    """Items as questions, their halves as sub-queries; a hop suffices when its best chunk scores over 20."""
+    """Items as questions, their halves as sub-queries; a hop suffices when it finds five chunks."""
     index = search.Bm25Index.build(_chunks(spark, d))
     asked = _asked(spark, d).withColumn("query_id", F.col("query_id").cast("string"))
     half = F.floor(F.length("query") / 2).cast("int")

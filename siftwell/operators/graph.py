@@ -105,6 +105,13 @@ def synonym_pairs(vectors: DataFrame, least: float = SYNONYM, id_col: str = "nod
     return near_pairs(vectors, least, id_col, "vector", recall)
 
 
+def build_counts(graph_nodes: DataFrame, graph_edges: DataFrame, triples: DataFrame) -> DataFrame:
+    """One row of what a graph was built from: n_passage, n_phrase, n_edges and n_triples."""
+    kinds = graph_nodes.agg(F.count_if(F.col("kind") == "passage").alias("n_passage"), F.count_if(F.col("kind") == "phrase").alias("n_phrase"))
+    sizes = graph_edges.agg(F.count("*").alias("n_edges")).crossJoin(triples.agg(F.count("*").alias("n_triples")))  # one row each
+    return kinds.crossJoin(sizes)
+
+
 def adjacency(undirected: DataFrame) -> DataFrame:
     """Both directions, parallel edges of all kinds summed: src, dst, weight."""
     both = undirected.select("src", "dst", "weight").unionByName(undirected.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))

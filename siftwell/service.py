@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import ledger
 from siftwell.plans import costs, records
-from siftwell.plans.answer import answer
+from siftwell.plans.answer import answer_traced
 from siftwell.plans.config import PRESETS, preset
 from siftwell.plans.retrieve import Unavailable, retrieve
 from siftwell.plans.runner import load, run
@@ -159,7 +159,8 @@ class App:
     def query(self, body: dict, address: str = "local") -> tuple[int, dict]:
         """The best chunks, and with ``answer`` set what is written from them and by which route.
 
-        422 for bad requests, 403 outside the demo corpus, 404 without the corpus, 429 over a limit, 503 if nothing answers.
+        422 for bad requests and presets that the corpus has no index for, 403 outside the demo corpus, 404 without the corpus, 429 over a limit, 503 if nothing answers.
+        The trace has an event for each step, with its model and tokens where it has any.
         """
         text, name, corpus = body.get("query", ""), body.get("preset", "bm25-only"), body.get("corpus_id", "")
         if not isinstance(text, str) or not 1 <= len(text) <= LONGEST_QUERY or name not in PRESETS:
@@ -175,10 +176,11 @@ class App:
         began = time.perf_counter()
         try:
             indexes = load(self.spark, home)
-            chunks, said = indexes.chunks.select("chunk_id", "doc_id", "text"), {}
+            chunks, said, steps = indexes.chunks.select("chunk_id", "doc_id", "text"), {}, []
             if body.get("answer"):
-                result, rows = answer(asked, indexes, preset(name))
-                r = result.head()
+                out = answer_traced(asked, indexes, preset(name))
+                rows, r = out.rows, out.found.head()
+                steps = [e.asDict() for e in out.events.orderBy("seq").collect()]  # of one query
                 degraded, said = r.flags, {"answer": r.answer, "route": r.route, "cited": r.cited, "hops_used": r.hops_used, "unresolved": r.unresolved}
             else:
                 rows, degraded = retrieve(asked, indexes, preset(name))
@@ -186,10 +188,11 @@ class App:
         except Unavailable as error:
             return 503, {"detail": str(error)}
         except ValueError as error:
-            return 404, {"detail": str(error)}
+            return 422, {"detail": str(error)}
         trace = uuid.uuid4().hex
         rows = [{c: r[c] for c in ("rank", "chunk_id", "doc_id", "score", "source", "hop", "text") if c in r} for r in found]
         events = [("retrieve", {"query": text, "preset": name, "chunks": [r["chunk_id"] for r in rows], "degraded": degraded}), *([("answer", said)] if said else [])]
+        events += [(e["node"], {k: e[k] for k in ("model", "input_tokens", "output_tokens", "units", "duration_ms")}) for e in steps]
         spent = (time.perf_counter() - began) * 1000
         self.store.add_trace(trace, [{"trace_id": trace, "seq": k, "node": node, "payload": payload, "duration_ms": spent} for k, (node, payload) in enumerate(events)])
         return 200, {"trace_id": trace, "citations": rows, "degraded": degraded, **said}

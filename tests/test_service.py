@@ -24,7 +24,7 @@ def test_service(spark, tmp_path):
     assert app.route("GET", "/corpora", {})[1]["corpora"][0]["n_docs"] == 2
     assert app.route("POST", "/query", {"query": "", "corpus_id": "mine"})[0] == 422
     assert app.route("POST", "/query", {"query": "x", "corpus_id": "none"})[0] == 404
-    assert app.route("POST", "/query", {"query": "x", "corpus_id": "mine", "preset": "graph"})[0] == 404
+    assert app.route("POST", "/query", {"query": "x", "corpus_id": "mine", "preset": "graph"})[0] == 422
     assert app.route("GET", "/traces/none", {})[0] == app.route("GET", "/jobs/none", {})[0] == app.route("GET", "/x", {})[0] == 404
     assert app.route("POST", "/eval/estimate", {"preset": "bm25-only", "n": 10})[1] == {"usd": 0.144}
     assert app.route("POST", "/eval/estimate", {"preset": "bm25-only", "n": 10, "spend_cap_usd": 0.1})[0] == 400
@@ -78,7 +78,8 @@ def test_runs_and_answers(spark, tmp_path):
     app.jobs.run_queued()
     status, said = app.query({"query": "Where do otters rest?", "corpus_id": "own", "preset": "bm25-only", "answer": True})
     assert status == 200 and said["route"] == "s1" and said["citations"][0]["doc_id"] == "a.txt" and said["answer"]
-    assert [e["node"] for e in app.trace(said["trace_id"])[1]["events"]] == ["retrieve", "answer"]
+    events = app.trace(said["trace_id"])[1]["events"]
+    assert [e["node"] for e in events][:2] == ["retrieve", "answer"] and events[-1]["node"] == "synthesise" and events[-1]["payload"]["model"] == "answer" and events[-1]["payload"]["input_tokens"] > 0
     asked = {"corpus_id": "own", "presets": ["bm25-only"], "slice": "full"}
     assert app.route("POST", "/eval/runs", asked)[0] == 404
     line = {"query_id": "1", "question": "Where do otters rest?", "answer": "kelp beds", "gold": {"type": "passage", "passage_ids": ["a.txt"]}}
