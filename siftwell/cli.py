@@ -53,12 +53,19 @@ def parser() -> argparse.ArgumentParser:
     five.add_argument("--triples", required=True)
     six = sub.add_parser("ask")
     six.add_argument("query")
+    six.add_argument("--route", dest="route_mode", choices=["auto", "force_s1", "force_s2"], help="another route than the preset's")
+    nine = sub.add_parser("download")
+    source = nine.add_mutually_exclusive_group(required=True)
+    source.add_argument("--url", help="a service that gives its rows page by page")
+    source.add_argument("--folder", help="a folder of JSON lines")
+    nine.add_argument("--limit", default="1000", help="rows of a page")
+    nine.add_argument("--kind", choices=["docs", "queries"], default="docs")
     seven = sub.add_parser("capture")
     seven.add_argument("--queries", required=True, help="a file with a query in each line")
     eight = sub.add_parser("export-vectors")
     for one in (seven, eight):
         one.add_argument("--to", required=True)
-    for one in (five, six, seven, eight):
+    for one in (five, six, seven, eight, nine):
         one.add_argument("--corpus", required=True)
         one.add_argument("--data-dir", default="data")
     for one in (six, seven):
@@ -117,7 +124,8 @@ def _ask(args) -> int:
     from siftwell.service import App
 
     app = App(_session(), args.data_dir)
-    status, said = app.query({"query": args.query, "corpus_id": args.corpus, "preset": args.preset, "answer": True})
+    route = {"route_mode": args.route_mode} if args.route_mode else {}
+    status, said = app.query({"query": args.query, "corpus_id": args.corpus, "preset": args.preset, "answer": True} | route)
     print(json.dumps(said | ({"trace": app.trace(said["trace_id"])[1]} if status == 200 else {}), indent=1))
     return OK if status == 200 else MISSING
 
@@ -140,6 +148,17 @@ def _capture(args) -> int:
     return OK
 
 
+def _download(args) -> int:
+    """The rows of a paged source as a corpus's raw documents or queries; what is there already is not asked for again."""
+    from siftwell.sources.paged import download
+
+    raw = f"{args.data_dir}/{args.corpus}/raw"
+    source = {"url": args.url} if args.url else {"folder": args.folder}
+    rows = download(_session(), f"{raw}/pages-{args.kind}", told=lambda n, of: print(f"{n} of {of} pages"), limit=args.limit, **source)
+    rows.orderBy("page", "place").select("value").write.mode("overwrite").text(f"{raw}/{args.kind}.jsonl")
+    return OK
+
+
 def _export_vectors(args) -> int:
     index = f"{args.data_dir}/{args.corpus}/index"
     if not os.path.exists(f"{index}/vectors"):
@@ -214,7 +233,7 @@ def _promote(args) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    commands = {"ingest": _ingest, "eval": _eval, "promote": _promote, "receipts": _receipts, "build-graph": _build_graph, "ask": _ask, "capture": _capture, "export-vectors": _export_vectors}
+    commands = {"ingest": _ingest, "eval": _eval, "promote": _promote, "receipts": _receipts, "build-graph": _build_graph, "ask": _ask, "capture": _capture, "export-vectors": _export_vectors, "download": _download}
     return commands[args.command](args)
 
 

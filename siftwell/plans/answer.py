@@ -13,6 +13,7 @@ from siftwell.operators import agent, evaluate, graph, ledger
 from siftwell.plans import costs, offline
 from siftwell.plans.config import AUTO, PipelineConfig
 from siftwell.plans.providers import Budget, provided
+from siftwell.plans.schemas import CLASSIFIED, DECOMPOSED, JUDGED, REFINED, WRITTEN, conform
 from siftwell.plans.retrieve import EVENTS, Indexes, Steps, Unavailable, retrieve, retrieve_isolated
 
 
@@ -58,7 +59,7 @@ def route(queries: DataFrame, config: PipelineConfig, providers: Providers, has_
     if config.query.route_mode != AUTO:
         none = F.lit(0).cast("long")
         return base.select("query_id", "query", first.alias("next"), none.alias("tokens_used"), none.alias("input_tokens"), none.alias("output_tokens"), F.lit(0.0).alias("duration_ms"))
-    known = base.join(providers.classify(base), "query_id", "left")
+    known = base.join(conform(providers.classify(base), CLASSIFIED), "query_id", "left")
     step = agent.after_route(F.coalesce("route", F.lit("simple")), F.coalesce("confidence", F.lit(0.0)), has_graph)
     return known.select("query_id", "query", step.alias("next"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens_used"), *_told_tokens(known, F.col("tokens")))
 
@@ -143,16 +144,16 @@ def answer_traced(queries: DataFrame, indexes: Indexes, config: PipelineConfig,
     states = None
     if asked.head(1):
 
-        def noted(call: Callable, node: str) -> Callable:
+        def noted(call: Callable, node: str, fields: dict) -> Callable:
             def run(*given):
-                out = graph.settle(call(*given))
+                out = graph.settle(conform(call(*given), fields))
                 events.append(_event(out.select("query_id", *_told_tokens(out, F.col("tokens"))), node, "small"))
                 return out
 
             return run
 
-        refine = noted(providers.refine, "refine") if providers.refine is not None else None
-        states, hops = agent.Loop(noted(providers.decompose, "decompose"), lambda q: ranked(q, config), noted(providers.judge, "grade"), refine=refine).run(asked)
+        refine = noted(providers.refine, "refine", REFINED) if providers.refine is not None else None
+        states, hops = agent.Loop(noted(providers.decompose, "decompose", DECOMPOSED), lambda q: ranked(q, config), noted(providers.judge, "grade", JUDGED), refine=refine).run(asked)
         if hops is not None:
             union = evaluate.union_of_hops(hops)
             at = hops.groupBy("query_id", "chunk_id").agg(F.min("hop").alias("hop"))
@@ -166,7 +167,7 @@ def answer_traced(queries: DataFrame, indexes: Indexes, config: PipelineConfig,
     left_out = told.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("degraded"))).alias("skipped"), F.min("failed").alias("lost"), F.max("error").alias("lost_error"))
     contexts = contexts.join(graph.settle(left_out), "query_id", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
     contexts = graph.settle(contexts.withColumn("context", numbered_context(F.col("texts"))))
-    said = providers.write(contexts.where("not lost").select("query_id", "query", "context", "texts"))
+    said = conform(providers.write(contexts.where("not lost").select("query_id", "query", "context", "texts")), WRITTEN)
     error = F.col("error") if "error" in said.columns else F.lit(None).cast("string")
     said = graph.settle(said.select("query_id", "answer", "citations", "contradiction", "open_parts", F.coalesce("tokens", F.lit(0)).alias("tokens"), error.alias("write_error"), *_told_tokens(said, F.col("tokens"))))
     events.append(_event(said.where("write_error is null"), "synthesise", "answer"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from siftwell.operators import ledger
 from siftwell.plans import costs, records
 from siftwell.plans.answer import answer_traced
-from siftwell.plans.config import PRESETS, preset
+from siftwell.plans.config import AUTO, FORCE_S1, FORCE_S2, PRESETS, preset
 from siftwell.plans.retrieve import Unavailable, retrieve
 from siftwell.plans.runner import load, run
 from siftwell.sources import files, sinks
@@ -165,6 +165,9 @@ class App:
         text, name, corpus = body.get("query", ""), body.get("preset", "bm25-only"), body.get("corpus_id", "")
         if not isinstance(text, str) or not 1 <= len(text) <= LONGEST_QUERY or name not in PRESETS:
             return 422, {"detail": "the query needs 1 to 4000 characters and a known preset"}
+        mode = body.get("route_mode", preset(name).query.route_mode)
+        if mode not in (AUTO, FORCE_S1, FORCE_S2):
+            return 422, {"detail": f"the route is {AUTO}, {FORCE_S1} or {FORCE_S2}"}
         if self.demo is not None and corpus != self.demo:
             return 403, {"detail": "only the demo corpus can be asked"}
         home = f"{self.data_dir}/{corpus}/index"
@@ -178,7 +181,7 @@ class App:
             indexes = load(self.spark, home)
             chunks, said, steps = indexes.chunks.select("chunk_id", "doc_id", "text"), {}, []
             if body.get("answer"):
-                out = answer_traced(asked, indexes, preset(name))
+                out = answer_traced(asked, indexes, preset(name).with_query(route_mode=mode))
                 rows, r = out.rows, out.found.head()
                 steps = [e.asDict() for e in out.events.orderBy("seq").collect()]  # of one query
                 degraded, said = r.flags, {"answer": r.answer, "route": r.route, "cited": r.cited, "hops_used": r.hops_used, "unresolved": r.unresolved}

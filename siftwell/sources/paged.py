@@ -68,7 +68,7 @@ class PagedReader(DataSourceReader):
         return f"{self.url}{joint}{urllib.parse.urlencode({'offset': page * self.limit, 'limit': self.limit})}"
 
     def _files(self) -> list[str]:
-        return sorted(n for n in os.listdir(self.folder) if n.endswith((".jsonl", ".json")) and not n.startswith((".", "_")))
+        return sorted(n for n in os.listdir(self.folder) if n.endswith(".jsonl") and not n.startswith((".", "_")))
 
     def count(self) -> int:
         """The number of pages now."""

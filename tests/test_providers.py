@@ -181,3 +181,19 @@ def test_triples_by_a_model(spark, indexes):
     triples, failed = providers.extract_triples(indexes.chunks, call, **no_wait)
     assert {(r.chunk_id, r.subject, r.object) for r in triples.collect()} >= {("d0:0", "alpha", "gamma"), ("d5:0", "delta", "iota")} and triples.count() == 5
     assert [tuple(r) for r in failed.collect()] == [("d4:0", "ProviderError: refused")]
+
+
+def test_tables_of_models_are_checked(spark, indexes):
+    from siftwell.plans import schemas
+
+    rows = spark.createDataFrame([("a", "simple", "0.9", 3), ("b", "nowhere", "0.5", 3), ("c", "graph", "high", 3), ("d", "complex", "2", 3), ("e", "simple", "1", -1), ("a", "simple", "0.9", 3), ("f", None, "0.1", None)], "query_id string, route string, confidence string, tokens int")
+    assert sorted((r.query_id, r.route, r.confidence, r.tokens) for r in schemas.conform(rows, schemas.CLASSIFIED).collect()) == [("a", "simple", 0.9, 3)]
+    with pytest.raises(ValueError, match="lacks route"):
+        schemas.conform(rows.drop("route"), schemas.CLASSIFIED)
+    cited = spark.createDataFrame([("a", "x", [1, 2]), ("b", "y", None)], "query_id string, answer string, citations array<long>")
+    got = schemas.conform(cited, schemas.WRITTEN)
+    assert got.schema["citations"].dataType.simpleString() == "array<int>" and {r.query_id: r.citations for r in got.collect()} == {"a": [1, 2], "b": None}
+    asked = spark.createDataFrame([("q1", "alpha zeta"), ("q2", "beta delta")], "query_id string, query string")
+    ways = Providers(classify=lambda q: q.select("query_id", F.when(F.col("query_id") == "q1", "simple").otherwise("elsewhere").alias("route"), F.lit(0.9).alias("confidence"), F.lit(1).alias("tokens")))
+    found = {r.query_id: r.route for r in answer_traced(asked, indexes, preset("router-on"), ways).found.collect()}
+    assert found == {"q1": "s1", "q2": "s2"}  # a route that is none counts as no verdict

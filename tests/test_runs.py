@@ -148,6 +148,12 @@ def test_commands_of_a_run(spark, corpus, tmp_path, capsys):
     assert ["answer" in r["per_query"][0] for r in app.receipts()[1]["receipts"]] == [False] * 3 + [True] * 3
     capsys.readouterr()
     assert cli.main(["ask", *at, "who sleeps afloat"]) == cli.OK and json.loads(capsys.readouterr().out)["answer"]
+    assert cli.main(["ask", *at, "who sleeps afloat", "--route", "force_s2"]) == cli.OK
+    said = json.loads(capsys.readouterr().out)
+    assert said["route"] == "s2" and {e["node"] for e in said["trace"]["events"]} >= {"decompose", "grade", "synthesise"}
+    assert app.query({"query": "x", "corpus_id": "musique-dev-2", "route_mode": "other"})[0] == 422
+    assert cli.main(["download", "--folder", str(corpus / "raw"), "--corpus", "copy", "--data-dir", str(data)]) == cli.OK
+    assert sorted(r.value for r in spark.read.text(str(data / "copy/raw/docs.jsonl")).collect())[0].startswith('{"doc_id"')
     assert cli.main(["ask", *at, "x", "--preset", "none"]) == cli.MISSING
     assert cli.main(["export-vectors", *at, "--to", str(tmp_path / "vectors")]) == cli.OK and spark.read.parquet(str(tmp_path / "vectors")).count() == 3
     assert sinks.copy_corpus(spark, str(home / "index"), str(tmp_path / "copy")) and not sinks.copy_corpus(spark, str(home / "index"), str(tmp_path / "copy"))
