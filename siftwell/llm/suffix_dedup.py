@@ -14,8 +14,8 @@ suffixes of all documents:
     not larger than the next are sorted directly, the others follow by scanning
     the buckets of the first byte in order.  Neighbours whose common prefix has
     ``least`` bytes are the same string; its smallest document keeps it.
-    Windows with an anchor of very many blocks are gathered by their whole hash
-    instead, each a segment of its own, so that no bucket has all of them.
+    Windows with an anchor of very many blocks are gathered by the anchor of
+    longer grams instead, so that no bucket has all of them.
 3.  Each block hears which windows go and cuts the bytes they cover.
 """
 
@@ -33,8 +33,12 @@ from pyspark.sql import functions as F
 from siftwell.llm._common import _INVERSE, _POWERS, cut, cut_dealt, give_back, mix, pick, raw_text, span_hashes, steps, table
 
 LEAST = 50
-#: Bytes of a gram whose hash can be an anchor.
-GRAM = 16
+#: Bytes of a gram whose hash can be an anchor: long enough that few are shared where no window is, also in a large table.
+GRAM = 24
+#: Share of a window's bytes in the longer gram of windows whose anchor very many blocks have.
+LONG_SHARE = 0.8
+#: Compression of the blocks, which are written twice.
+BLOCK_LEVEL = 6
 #: Text bytes of a block (one document at least).
 BLOCK_BYTES = 3_000_000
 #: Text bytes of a block that are hashed at a time (one document at least).
@@ -45,9 +49,12 @@ SEGMENT = 64
 SORTED = 300_000
 #: Text bytes of a bucket, about; there are as many as there are shuffle partitions at least.
 BUCKET_BYTES = 64_000_000
-#: An anchor that more blocks have is not gathered in one bucket: its windows are, one by one, by their own hash.
+#: An anchor that more blocks have is not gathered in one bucket: its windows are, by the anchors of longer grams.
 HOT_BLOCKS = 1000
-_SUFFIX = np.uint64((1 << 47) - 1)
+#: Bits of an anchor that are told to its bucket; two that agree in them are both gathered, which costs bytes but no result.
+_SUFFIX = np.uint64((1 << 31) - 1)
+#: Bytes of a segment's key that are told to its bucket.
+_KEY_BYTES = 5
 _LAST_ID = np.iinfo(np.int64).max
 
 
@@ -168,6 +175,40 @@ def least_owners(segments: list[np.ndarray] | np.ndarray, sizes: np.ndarray, own
 # ---- anchors and segments of a block
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.uint64)
+    term = data.astype(np.uint64)
+    term += np.uint64(1)
+    term *= _POWERS.upto(len(data))[: len(data)]
+    np.cumsum(term, out=sums[1:])
+    return sums
+
+
+def _least_grams(sums: np.ndarray, gram: int, least: int) -> np.ndarray:
+    """The least hash of the grams within the window at each position."""
+    low = sums[gram:] - sums[:-gram]
+    low *= _INVERSE.upto(len(sums) - 1)[: len(low)]
+    low = mix(low)
+    width, span = least - gram + 1, 1
+    while 2 * span <= width:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if width > span:
+        low = np.minimum(low[: span - width], low[width - span :])
+    return low
+
+
+def _segment_parts(first: np.ndarray, stop: np.ndarray, row: np.ndarray):
+    """Runs of more than SEGMENT windows as several."""
+    parts = -(-(stop - first) // SEGMENT)
+    if (parts > 1).any():
+        k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, stop, row = (np.repeat(x, parts) for x in (first, stop, row))
+        first = first + k * SEGMENT
+        stop = np.minimum(stop, first + SEGMENT)
+    return first, stop, row
+
+
 class Block:
     """A block's texts and its runs of windows with a common anchor, found slice by slice."""
 
@@ -180,22 +221,8 @@ class Block:
     def _slice(self, a: int, b: int):
         least, begin = self.least, int(self.offsets[a])
         data, offsets = self.data[begin : self.offsets[b]], self.offsets[a : b + 1] - begin
-        n, gram = len(data), min(GRAM, least)
-        sums = np.zeros(n + 1, np.uint64)
-        term = data.astype(np.uint64)
-        term += np.uint64(1)
-        term *= _POWERS.upto(n)[:n]
-        np.cumsum(term, out=sums[1:])
-        inverse = _INVERSE.upto(n)
-        low = sums[gram:] - sums[:-gram]
-        low *= inverse[: n - gram + 1]
-        low = mix(low)
-        width, span = least - gram + 1, 1
-        while 2 * span <= width:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if width > span:
-            low = np.minimum(low[: span - width], low[width - span :])
+        sums, inverse = _sums(data), _INVERSE.upto(len(data))
+        low = _least_grams(sums, min(GRAM, least), least)
         whole = np.zeros(len(low) + 1, np.int8)  # windows that stay in their document
         fits = np.diff(offsets) >= least
         np.add.at(whole, offsets[:-1][fits], 1)
@@ -208,12 +235,7 @@ class Block:
         stop = np.r_[first[1:], len(low)]
         row = np.searchsorted(offsets, first, "right") - 1
         stop = np.minimum(stop, offsets[row + 1] - least + 1)
-        parts = -(-(stop - first) // SEGMENT)
-        if (parts > 1).any():
-            k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-            first, stop, row = (np.repeat(x, parts) for x in (first, stop, row))
-            first = first + k * SEGMENT
-            stop = np.minimum(stop, first + SEGMENT)
+        first, stop, row = _segment_parts(first, stop, row)
         key = mix(low[first] ^ np.uint64(0xA0761D6478BD642F))
         content = mix((sums[stop + least - 1] - sums[first]) * inverse[first] ^ ((stop - first).astype(np.uint64) << np.uint64(56)))
         return first + begin, stop - first, row + a, key, content
@@ -236,16 +258,27 @@ class Block:
         return bucket[place], suffix[place], several[place], of
 
 
-def _six(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of numbers, all lowest bytes first."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _from_planes(raw: bytes, n: int, size: int, at: int = 0) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
     return out.view("<u8").reshape(-1)
 
 
+def _ascending(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, ascending but for equal suffixes, as their differences modulo 2**32."""
+    return _squeeze(_planes(np.diff(values, prepend=np.uint64(0)), 4))
+
+
+def _from_ascending(raw: bytes) -> np.ndarray:
+    raw = _stretch(raw)
+    return np.cumsum(_from_planes(raw, len(raw) // 4, 4), dtype=np.uint64) & np.uint64(0xFFFFFFFF)
+
+
 def _squeeze(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
@@ -268,7 +301,7 @@ def _blocks(docs: DataFrame, text_at: int, parts: int) -> DataFrame:
 
         def block():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=BLOCK_LEVEL))) as out:
                 for part in held:
                     out.write_batch(part)
             return pa.RecordBatch.from_pydict({"block": [number], "body": [sink.getvalue().to_pybytes()]})
@@ -316,7 +349,7 @@ def _hits(bucket: np.ndarray, said: dict[int, bytes], buckets: int) -> tuple[np.
 
 
 class Runs:
-    """A block's runs of windows with an anchor that is shared; those of very many blocks window by window."""
+    """A block's runs of windows with an anchor that is shared; those of very many blocks by the anchors of longer grams."""
 
     def __init__(self, block: Block, said: dict[int, bytes], buckets: int):
         bucket, _, _, of = block.anchors(buckets)
@@ -326,11 +359,9 @@ class Runs:
         split = np.flatnonzero((hit & hot)[of])
         if len(split):
             n = block.count[split]
-            run = np.repeat(split, n)
-            first = block.first[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-            content = np.concatenate([span_hashes(block.data[x[0] : x[-1] + block.least], x - x[0], x - x[0] + block.least) for x in _near_each_other(first)])
-            key = mix(content ^ np.uint64(0xE7037ED1A0B428DB))
-            parts.append((first, np.ones(len(first), np.int64), block.row[run], key, content, (key >> np.uint64(47)).astype(np.int64) % buckets))
+            row = np.repeat(block.row[split], n)
+            first = np.repeat(block.first[split], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            parts += [_longer(block, first[a:b], row[a:b], buckets) for a, b in _near_each_other(first)]
         self.first, self.count, self.row, self.key, self.content, self.bucket = (np.concatenate(x) for x in zip(*parts))
         self.ids = block.ids[self.row]
 
@@ -339,14 +370,25 @@ class Runs:
 
 
 def _near_each_other(first: np.ndarray):
-    """Ascending positions in stretches of SLICE_BYTES."""
+    """Ranges of ascending positions in stretches of SLICE_BYTES."""
     a = 0
     while a < len(first):
         b = int(np.searchsorted(first, first[a] + SLICE_BYTES))
-        yield first[a:b]
+        yield a, b
         a = b
 
 
+def _longer(block: Block, at: np.ndarray, row: np.ndarray, buckets: int):
+    """Runs of the windows at ascending positions that follow each other with the same anchor of longer grams."""
+    least, begin = block.least, at[0]
+    data, at = block.data[begin : at[-1] + block.least], at - begin
+    low = _least_grams(_sums(data), max(min(GRAM, least), int(LONG_SHARE * least)), least)[at]
+    edge = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (low[1:] != low[:-1]) | (row[1:] != row[:-1])])
+    first, stop, row = _segment_parts(at[edge], at[np.r_[edge[1:], len(at)] - 1] + 1, row[edge])
+    key = mix(low[np.searchsorted(at, first)] ^ np.uint64(0xE7037ED1A0B428DB))
+    return first + begin, stop - first, row, key, span_hashes(data, first, stop + least - 1), (key >> np.uint64(47)).astype(np.int64) % buckets
+
+
 def _segments(runs: Runs):
     """Different segments in order of bucket: runs that stand for them, their smallest document, and where each run's is."""
     order = np.lexsort((runs.content, runs.key, runs.bucket))
@@ -395,7 +437,7 @@ def _send_anchors(id_at: int, text_at: int, least: int, buckets: int):
                 edge = np.searchsorted(bucket, np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(edge)).tolist()
                 if full:
-                    yield _rows(full, [number] * len(full), [_six(value[edge[k] : edge[k + 1]]) for k in full])
+                    yield _rows(full, [number] * len(full), [_ascending(value[edge[k] : edge[k + 1]]) for k in full])
                 del block
                 give_back()
 
@@ -405,7 +447,7 @@ def _send_anchors(id_at: int, text_at: int, least: int, buckets: int):
 def _shared_anchors(hot_blocks: int):
     def work(batches):
         for bucket, blocks, bodies in _by_bucket(batches):
-            parts = [_from_six(b) for b in bodies]
+            parts = [_from_ascending(b) for b in bodies]
             value = np.concatenate(parts)
             suffix, several = value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
             order = np.argsort(suffix, kind="stable")
@@ -439,7 +481,7 @@ def _send_segments(id_at: int, text_at: int, least: int, buckets: int):
                     part = slice(edge[k], edge[k + 1])
                     text = _gather(block.data, first[part], size[part])
                     head = np.array([edge[k + 1] - edge[k]], "<u8").tobytes()
-                    bodies.append(_squeeze(b"".join([head, key[part].astype("<u8").tobytes(), owner[part].astype("<i8").tobytes(), size[part].astype("<u2").tobytes(), text.tobytes()])))
+                    bodies.append(_squeeze(b"".join([head, _planes(key[part], _KEY_BYTES), owner[part].astype("<i8").tobytes(), size[part].astype("<u2").tobytes(), text.tobytes()])))
                 yield _rows(full, [number] * len(full), bodies)
                 del block, bodies
                 give_back()
@@ -454,10 +496,11 @@ def _judge_segments(least: int):
             for raw in map(_stretch, bodies):
                 n = int(np.frombuffer(raw, "<u8", 1)[0])
                 counts.append(n)
-                keys.append(np.frombuffer(raw, "<u8", n, 8))
-                owners.append(np.frombuffer(raw, "<i8", n, 8 + 8 * n))
-                sizes.append(np.frombuffer(raw, "<u2", n, 8 + 16 * n).astype(np.int64))
-                texts.append(np.frombuffer(raw, np.uint8, offset=8 + 18 * n))
+                at = 8 + _KEY_BYTES * n
+                keys.append(_from_planes(raw, n, _KEY_BYTES, 8))
+                owners.append(np.frombuffer(raw, "<i8", n, at))
+                sizes.append(np.frombuffer(raw, "<u2", n, at + 8 * n).astype(np.int64))
+                texts.append(np.frombuffer(raw, np.uint8, offset=at + 10 * n))
             key, owner, size = (np.concatenate(x) for x in (keys, owners, sizes))
             text = np.concatenate(texts)
             texts.clear()

@@ -313,3 +313,35 @@ def test_alignment_of_odd_tables(spark):
     got = sorted((r.doc_id or 0, r.n_a, r.n_links, r.n_best, r.count_sum, bool(r.groups)) for r in found.collect())
     assert got == [(0, 0, 0, 0, 0, False), (1, 0, 0, 0, 0, False), (1, 0, 0, 0, 0, False), (1, 1, 1, 1, 2, True), (1, 1, 1, 1, 2, True)]
     assert [r.n for r in pairs.collect()] == [2]
+
+
+def test_windows_of_very_common_anchors_are_told_in_runs():
+    """Many different windows about phrases that every block has: no window of its own for each, and few bytes for an anchor."""
+    from siftwell.llm import suffix_dedup as s
+
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, 7, dtype=np.uint8)) for _ in range(300)]
+    common = b"a phrase that is found in every block of them"
+    texts = [b" ".join([words[k] for k in rng.integers(0, 300, 12)] + [common] + [words[k] for k in rng.integers(0, 300, 12)]) for _ in range(400)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    block, buckets = s.Block(data, offsets, np.arange(400), 50), 4
+    bucket, suffix, several, of = block.anchors(buckets)
+    every = {k: s._squeeze(np.packbits(np.ones(int((bucket == k).sum()), bool)).tobytes() * 2) for k in range(buckets)}
+    runs = s.Runs(block, every, buckets)
+    windows = int(sum(len(t) - 49 for t in texts))
+    assert runs.count.sum() == windows == block.count.sum()
+    at = np.sort(np.concatenate([f + np.arange(n) for f, n in zip(runs.first, runs.count)]))
+    assert (at == np.concatenate([o + np.arange(len(t) - 49) for o, t in zip(offsets, texts)])).all()
+    chosen = s._segments(runs)[0]
+    assert (runs.count[chosen] + 49).sum() < 20 * windows
+    same: dict[bytes, int] = {}
+    for f, n, key in zip(runs.first.tolist(), runs.count.tolist(), runs.key.tolist()):
+        for k in range(f, f + n):
+            assert same.setdefault(data[k : k + 50].tobytes(), key) == key
+    told = suffix << np.uint64(1) | several.astype(np.uint64)
+    for k in range(buckets):
+        part = told[bucket == k]
+        raw = s._ascending(part)
+        assert (s._from_ascending(raw) == part).all() and len(raw) < 4.2 * len(part)
+    ties = np.array([5, 4, 9, 2**32 - 1], np.uint64)
+    assert (s._from_ascending(s._ascending(ties)) == ties).all()
