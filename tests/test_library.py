@@ -415,3 +415,12 @@ def test_registry(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert len(queries) > 55 and set(oracles) <= set(queries)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_texts_of_an_index_are_dealt_out_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_BYTES", 2_000)
+    chunks = spark.range(200).select(F.col("id").alias("chunk_id"), F.concat(F.lit("word number "), F.repeat(F.lit("again "), 15), "id").alias("text")).coalesce(1)
+    assert search.text_tasks(chunks) >= 10
+    assert search.text_tasks(chunks.limit(0)) == 1
+    counted = search.Bm25Index.build(chunks).corpus._jdf.queryExecution().toString()
+    assert f"hashpartitioning(chunk_id#" in counted and f", {search.text_tasks(chunks)})" in counted
