@@ -424,3 +424,10 @@ def test_texts_of_an_index_are_dealt_out_by_their_bytes(spark, monkeypatch):
     assert search.text_tasks(chunks.limit(0)) == 1
     counted = search.Bm25Index.build(chunks).corpus._jdf.queryExecution().toString()
     assert f"hashpartitioning(chunk_id#" in counted and f", {search.text_tasks(chunks)})" in counted
+
+
+def test_words_of_a_text_are_found_once_for_its_f1(spark):
+    """No pattern runs again for each of a text's words: each text is normalised in one place of the expression."""
+    rows = spark.createDataFrame([("a b b c", ["b b x", "a b b c"]), ("", ["the"]), ("a", None), (None, ["x"])], "p string, g array<string>").withColumn("f", X.token_f1(F.col("p"), F.col("g")))
+    assert rows._jdf.queryExecution().analyzed().toString().count("translate(") <= 2
+    assert [r.f for r in rows.collect()] == [1.0, 1.0, 0.0, 0.0]
