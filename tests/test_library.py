@@ -431,3 +431,11 @@ def test_words_of_a_text_are_found_once_for_its_f1(spark):
     rows = spark.createDataFrame([("a b b c", ["b b x", "a b b c"]), ("", ["the"]), ("a", None), (None, ["x"])], "p string, g array<string>").withColumn("f", X.token_f1(F.col("p"), F.col("g")))
     assert rows._jdf.queryExecution().analyzed().toString().count("translate(") <= 2
     assert [r.f for r in rows.collect()] == [1.0, 1.0, 0.0, 0.0]
+
+
+def test_chunks_are_the_same_a_few_passages_at_a_time(spark, monkeypatch):
+    rows = [(f"d{i}", f"p{i}", 0, " ".join(f"word{j}{'.' if j % 9 == 0 else ''}" for j in range(i * 7))) for i in range(30)]
+    passages = spark.createDataFrame(rows, "doc_id string, passage_id string, ord int, text string").coalesce(1)
+    every = sorted(chunking.chunk(passages, 16, 4).collect())
+    monkeypatch.setattr(chunking, "STEP_ROWS", 7)
+    assert every and sorted(chunking.chunk(passages, 16, 4).collect()) == every
