@@ -439,3 +439,15 @@ def test_chunks_are_the_same_a_few_passages_at_a_time(spark, monkeypatch):
     every = sorted(chunking.chunk(passages, 16, 4).collect())
     monkeypatch.setattr(chunking, "STEP_ROWS", 7)
     assert every and sorted(chunking.chunk(passages, 16, 4).collect()) == every
+
+
+def test_masses_of_a_graph_search_are_not_broadcast(spark):
+    """Their rows are queries x nodes, however small the seeds are from which Spark estimates them."""
+    nodes = spark.createDataFrame([(i, "passage", f"t{i}", f"c{i}", [float(i % 3), 1.0]) for i in range(12)], "node_id long, kind string, text string, chunk_id string, vector array<double>")
+    links = spark.createDataFrame([(i, i + 1, "relation", 1.0) for i in range(11)], "src long, dst long, kind string, weight double")
+    asked = spark.createDataFrame([("q", [1.0, 1.0])], "query_id string, vector array<double>")
+    found = graph.graph_search(asked, nodes, links, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "HashJoin [node_id" in line]
+    assert joins and all("ShuffledHashJoin" in line for line in joins)
+    assert found.count() == 5
