@@ -124,3 +124,16 @@ def test_blocks_give_the_same_and_are_skipped(spark, tmp_path):
     assert key(best.rows) == [w for w in want if w[0] < 100 and w[1] == 1]
     total, used = best.read.agg(F.sum("n_blocks"), F.sum("n_read")).head()
     assert used < 0.3 * total, (used, total)  # where one chunk stands out, few ranges reach it
+
+
+def test_blocks_are_made_and_read_without_an_exchange_of_postings(spark, tmp_path):
+    chunks = spark.createDataFrame([(k, f"common w{k % 7} w{k}") for k in range(300)], "chunk_id long, text string")
+    index = search.BlockIndex.build(chunks)
+    assert index.blocks._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # that of the texts, by range
+    index.write(str(tmp_path / "blocks"))
+    asked = spark.createDataFrame([(1, "common w3 w3"), (2, "w5 w250")], "query_id long, query string")
+    rows = search.BlockIndex.read(spark, str(tmp_path / "blocks")).search(asked, 5).rows
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "postings" in plan and all("strategy=broadcast" in line for line in plan.splitlines() if "Join LeftSemi" in line)
+    key = lambda found: sorted((x.query_id, x["rank"], x.chunk_id, x.score) for x in found.collect())
+    assert key(rows) == key(search.Bm25Index.build(chunks).search(asked, 5)) and rows.count() == 10
