@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,12 +39,13 @@ def epoch_micros(events: DataFrame, ts: str = "ts") -> Column:
     return F.unix_micros(F.expr(f"make_timestamp_ltz({parts}, 'UTC')"))
 
 
-def _ordered(rows: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
-    """The rows of a batch in order of time: the named columns and the epoch milliseconds."""
-    parts = list(rows)
-    if parts:
-        every = pd.concat(parts).sort_values(["us", "event_id"], kind="stable")
-        yield from zip(*(every[c] for c in columns), (every["us"] // 1000).tolist())
+def _ordered(rows: Iterator[Row], *columns: str) -> Iterator[tuple]:
+    """The rows of a batch in order of time: the named columns and the epoch milliseconds.
+
+    Rows, not frames: a key has few of them in a batch, for which a frame costs more than all that is done with it.
+    """
+    for r in sorted(rows, key=lambda r: (r["us"], r["event_id"])):
+        yield *(r[c] for c in columns), r["us"] // 1000
 
 
 class _Numbers(StatefulProcessor):
@@ -52,29 +53,29 @@ class _Numbers(StatefulProcessor):
         self.late_ms = late_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "next long, newest long")
-        self.seen = handle.getMapState("seen", "event_id long", "at long")
+        self.last = handle.getValueState("last", "next long, newest long, seen binary")  # seen: pairs of an event and its time
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        number, newest = self.last.get() if self.last.exists() else (0, -(1 << 62))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # read and written once for all rows, as one value: each value that goes to the store or comes from it costs as much as many rows
+        number, newest, held = self.last.get() if self.last.exists() else (0, -(1 << 62), b"")
+        seen = dict(np.frombuffer(held, np.int64).reshape(-1, 2).tolist())
         out = []
         for event, at in _ordered(rows, "event_id"):
-            if self.seen.containsKey((int(event),)):
-                out.append((key[0], int(event), None, "repeated"))
+            event = int(event)
+            if event in seen:
+                out.append((key[0], event, None, "repeated"))
                 continue
             if at < newest - self.late_ms:
-                out.append((key[0], int(event), None, "late"))
+                out.append((key[0], event, None, "late"))
                 continue
-            out.append((key[0], int(event), number, "new"))
-            self.seen.updateValue((int(event),), (at,))
+            out.append((key[0], event, number, "new"))
+            seen[event] = at
             number, newest = number + 1, max(newest, at)
-        self.last.update((number, newest))
-        for (event,), (at,) in list(self.seen.iterator()):  # what came again after that would be late
-            if at < newest - self.late_ms:
-                self.seen.removeKey((event,))
-        yield pd.DataFrame(out, columns=["trace_id", "event_id", "seq", "status"]).astype({"seq": "Int64"})
+        kept = [(event, at) for event, at in seen.items() if at >= newest - self.late_ms]  # what came again after that would be late
+        self.last.update((number, newest, np.array(kept, np.int64).tobytes()))
+        yield from (Row(trace_id=t, event_id=e, seq=n, status=s) for t, e, n, s in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         return iter(())
 
     def close(self) -> None:
@@ -89,7 +90,7 @@ def numbered_traces(events: DataFrame, key: str = "user_id", late_seconds: float
     number.  Ids are remembered as long as they would not be late.
     """
     rows = events.select(key, "event_id", epoch_micros(events).alias("us")).groupBy(key)
-    return rows.transformWithStateInPandas(_Numbers(int(late_seconds * 1000)), "trace_id long, event_id long, seq long, status string", "append", "None")
+    return rows.transformWithState(_Numbers(int(late_seconds * 1000)), "trace_id long, event_id long, seq long, status string", "append", "None")
 
 
 class _Watch(StatefulProcessor):
@@ -101,10 +102,10 @@ class _Watch(StatefulProcessor):
         self.job = handle.getValueState("job", "status string, at long")
 
     @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["job_id", "status", "at_ms"])
+    def _told(rows: list[tuple]) -> Iterator[Row]:
+        return (Row(job_id=j, status=s, at_ms=a) for j, s, a in rows)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         status, last = self.job.get() if self.job.exists() else (None, 0)
         out = []
         for kind, at in _ordered(rows, "event_type"):
@@ -120,13 +121,13 @@ class _Watch(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if status == "running":
             self.handle.registerTimer(last + self.patience_ms)
-        yield self._frame(out)
+        yield from self._told(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         status, last = self.job.get()
         if status == "running":
             self.job.update(("interrupted", last))
-            yield self._frame([(key[0], "interrupted", last + self.patience_ms)])
+            yield from self._told([(key[0], "interrupted", last + self.patience_ms)])
 
     def close(self) -> None:
         pass
@@ -140,7 +141,7 @@ def watched_jobs(events: DataFrame, key: str = "user_id", ends: tuple[str, ...]
     """
     timed = events.select(key, "event_id", "event_type", epoch_micros(events).alias("us"))
     rows = timed.withColumn("at", F.timestamp_micros("us")).withWatermark("at", late).groupBy(key)
-    return rows.transformWithStateInPandas(_Watch(int(patience_seconds * 1000), frozenset(ends)), "job_id long, status string, at_ms long", "append", "eventTime")
+    return rows.transformWithState(_Watch(int(patience_seconds * 1000), frozenset(ends)), "job_id long, status string, at_ms long", "append", "eventTime")
 
 
 class _Admit(StatefulProcessor):
@@ -151,7 +152,7 @@ class _Admit(StatefulProcessor):
         self.recent = handle.getListState("recent", "at long")
         self.day = handle.getValueState("day", "day long, n int")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         recent = [at for (at,) in self.recent.get()]
         day, n = self.day.get() if self.day.exists() else (-1, 0)
         out = []
@@ -166,9 +167,9 @@ class _Admit(StatefulProcessor):
             out.append((key[0], int(event), verdict))
         self.recent.put([(t,) for t in recent[-self.per_minute :]]) if recent else self.recent.clear()
         self.day.update((day, n))
-        yield pd.DataFrame(out, columns=["client", "event_id", "verdict"])
+        yield from (Row(client=c, event_id=e, verdict=v) for c, e, v in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         return iter(())
 
     def close(self) -> None:
@@ -178,4 +179,4 @@ class _Admit(StatefulProcessor):
 def admitted_requests(events: DataFrame, key: str = "user_id", per_minute: int = 5, per_day: int = 20, window_seconds: float = 60) -> DataFrame:
     """``client``, ``event_id``, ``verdict``: ok, or minute or day where that many requests of the client have been admitted in the window or on the UTC day."""
     rows = events.select(key, "event_id", epoch_micros(events).alias("us")).groupBy(key)
-    return rows.transformWithStateInPandas(_Admit(per_minute, per_day, int(window_seconds * 1000)), "client long, event_id long, verdict string", "append", "None")
+    return rows.transformWithState(_Admit(per_minute, per_day, int(window_seconds * 1000)), "client long, event_id long, verdict string", "append", "None")

@@ -127,3 +127,35 @@ def test_admitted_requests(spark, tmp_path):
     batches = [[(1, 0, 1, ""), (2, 1, 1, ""), (3, 2, 1, ""), (4, 2, 2, "")], [(5, 60, 1, ""), (6, 61, 1, ""), (7, 62, 1, "")], [(8, 300, 1, ""), (9, 301, 1, ""), (10, day, 1, "")]]
     got = {r.event_id: r.verdict for r in stream(spark, tmp_path, batches, lambda e: stateful.admitted_requests(e, per_minute=2, per_day=5), "a").collect()}
     assert got == {1: "ok", 2: "ok", 3: "minute", 4: "ok", 5: "ok", 6: "ok", 7: "minute", 8: "ok", 9: "day", 10: "ok"}
+
+
+def test_a_trace_reads_and_writes_its_state_once_for_all_rows():
+    from pyspark.sql import Row
+
+    class Value:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            self.state = Value()
+            return self.state
+
+    handle, numbers = Handle(), stateful._Numbers(100_000)
+    numbers.init(handle)
+    for k in range(2):  # the second time all come again
+        out = list(numbers.handleInputRows((7,), iter([Row(event_id=e, us=e * 1_000_000) for e in reversed(range(90))]), None))
+        assert [(r.event_id, r.seq, r.status) for r in out] == [(e, None if k else e, "repeated" if k else "new") for e in range(90)]
+    assert handle.state.calls <= 6
