@@ -137,3 +137,15 @@ def test_blocks_are_made_and_read_without_an_exchange_of_postings(spark, tmp_pat
     assert "postings" in plan and all("strategy=broadcast" in line for line in plan.splitlines() if "Join LeftSemi" in line)
     key = lambda found: sorted((x.query_id, x["rank"], x.chunk_id, x.score) for x in found.collect())
     assert key(rows) == key(search.Bm25Index.build(chunks).search(asked, 5)) and rows.count() == 10
+
+
+def test_equal_vectors_take_part_once(spark, monkeypatch):
+    """No bucket of copies is dealt out, no bucket has a Python call of its own; every pair of copies is told."""
+    monkeypatch.setattr(near, "PART", 50)
+    monkeypatch.setattr(near, "COPIES", 30)
+    rows = [(k, [1.0, 0.5, 0.0]) for k in range(0, 240, 2)] + [(k, [1.0, 0.6, 0.0]) for k in range(1, 7, 2)] + [(500, [0.0, 0.0, 1.0]), (501, [0.0, 0.0, 0.0]), (502, [0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "node_id long, vector array<double>").repartition(3)
+    monkeypatch.setattr(type(frame.groupBy("node_id")), "applyInArrow", None)
+    got = [(r.a, r.b) for r in graph.synonym_pairs(frame).collect()]
+    near_ones = sorted([*range(0, 240, 2), 1, 3, 5])
+    assert sorted(got) == [(a, b) for i, a in enumerate(near_ones) for b in near_ones[i + 1 :]]
