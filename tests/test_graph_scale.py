@@ -57,6 +57,24 @@ def test_push_reaches_only_near_nodes(spark):
         assert sum(abs(exact[k] - x.get(k, 0.0)) for k in range(401)) <= 1e-4 * len(x) * 2
 
 
+def test_equal_nodes_take_part_once(spark, monkeypatch):
+    """Leaves of the same hubs are pushed as one, seeds among them apart; what is left of a large graph is broadcast."""
+    hubs, leaves = 6, 600
+    edges = sorted({(h, hubs + k, 1.0 + (k % 2)) for k in range(leaves) for h in (k % 3, 3 + k % 3)} | {(0, 1, 2.0), (3, 4, 1.0)})
+    n = hubs + leaves + 3  # three nodes without edges
+    seeds = {"q0": [(0, 1.0)], "q1": [(hubs + 1, 1.0), (hubs + 7, 1.0), (hubs + 13, 2.0)], "q2": [(n - 1, 1.0), (n - 2, 1.0), (hubs, 2.0)], "q3": [(4, 0.0)]}
+    adj = graph.adjacency(spark.createDataFrame([(a, b, "r", w) for a, b, w in edges], "src long, dst long, kind string, weight double"))
+    rows = spark.createDataFrame([(q, k, m) for q, s in seeds.items() for k, m in s], "query_id string, node_id long, mass double")
+    monkeypatch.setattr(graph, "_push_joined", None)
+    got = {}
+    for r in graph.pagerank(adj, spark.range(n).select(F.col("id").alias("node_id")), rows, local_edges=100).collect():
+        assert (r.query_id, r.node_id) not in got
+        got[r.query_id, r.node_id] = r.mass
+    for q, own in seeds.items():
+        want = power(n, edges, own, graph.ROUNDS)
+        assert max(abs(got.get((q, k), 0.0) - want[k]) for k in range(n)) < 1e-9, q
+
+
 def clusters(n, d, per, spread, seed=1):
     r = np.random.default_rng(seed)
     centres = r.standard_normal((n // per, d))
