@@ -75,6 +75,17 @@ def test_equal_nodes_take_part_once(spark, monkeypatch):
         assert max(abs(got.get((q, k), 0.0) - want[k]) for k in range(n)) < 1e-9, q
 
 
+def test_texts_of_nodes_are_exchanged_and_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "settle", lambda df: written.append(df) or df.checkpoint())
+    chunks = spark.createDataFrame([(f"c{k}", 500 - k, f"text {k}") for k in range(500)], "chunk_id string, ord long, text string")
+    triples = spark.createDataFrame([("b", "in", "a"), ("c", "in", "a")], "subject string, relation string, object string")
+    found = graph.nodes(chunks, triples)
+    got = sorted((r.node_id, r.kind, r.text, r.chunk_id) for r in found.collect())
+    assert got == [*((k, "passage", f"text {499 - k}", f"c{499 - k}") for k in range(500)), *((500 + k, "phrase", t, None) for k, t in enumerate("abc"))]
+    assert len(written) == 1 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def clusters(n, d, per, spread, seed=1):
     r = np.random.default_rng(seed)
     centres = r.standard_normal((n // per, d))
