@@ -168,6 +168,19 @@ def test_blocks_are_made_and_read_without_an_exchange_of_postings(spark, tmp_pat
     assert key(rows) == key(search.Bm25Index.build(chunks).search(asked, 5)) and rows.count() == 10
 
 
+def test_searches_done_ahead_are_not_repeated(spark, monkeypatch):
+    chunks = spark.createDataFrame([(k, f"common w{k % 7} w{k}") for k in range(60)], "chunk_id long, text string")
+    index = search.Bm25Index.build(chunks)
+    asked = spark.createDataFrame([("a", "common w3 w3"), ("b", "w5 w50"), ("c", "w5 w50"), ("d", ""), ("e", None), ("f", "unknown")], "query_id string, query string")
+    more = asked.unionByName(spark.createDataFrame([("g", "w2 w2")], "query_id string, query string"))
+    key = lambda found: sorted((x.query_id, x["rank"], x.chunk_id, x.score, x.source) for x in found.collect())
+    want = {(n, k): key(index.search(q, k)) for n, q in enumerate((asked, more)) for k in (3, 5, 7)}
+    ahead = index.ahead(asked, 5)
+    assert all(key(ahead.search(q, k)) == want[n, k] for n, q in enumerate((asked, more)) for k in (3, 5, 7))
+    monkeypatch.setattr(search.Bm25Index, "search", None)
+    assert key(ahead.search(asked, 5)) == want[0, 5] and len(want[0, 5]) == 15
+
+
 def test_equal_vectors_take_part_once(spark, monkeypatch):
     """No bucket of copies is dealt out, no bucket has a Python call of its own; every pair of copies is told."""
     monkeypatch.setattr(near, "PART", 50)
