@@ -168,6 +168,22 @@ def test_blocks_are_made_and_read_without_an_exchange_of_postings(spark, tmp_pat
     assert key(rows) == key(search.Bm25Index.build(chunks).search(asked, 5)) and rows.count() == 10
 
 
+def test_tasks_that_join_texts_follow_from_their_bytes(spark, monkeypatch):
+    from siftwell.functions.vectors import hash_embedding
+    from siftwell.plans.retrieve import embed_chunks
+
+    monkeypatch.setattr(search, "TASK_BYTES", 1000)
+    chunks = spark.createDataFrame([(f"c{k}", f"d{k // 2}", f"{k:0200d}", k % 2) for k in range(100)], "chunk_id string, doc_id string, text string, position int")
+    found = embed_chunks(chunks)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ", 20), REPARTITION" in plan and plan.count("Exchange hashpartitioning(doc_id") == 2  # the texts once, and the chunks' vectors
+    rows = {r.chunk_id: r for r in found.collect()}
+    whole = spark.createDataFrame([(f"{2:0200d} {3:0200d}",)], "t string").select(hash_embedding(F.col("t")).alias("v")).head().v
+    want = 0.8 * np.array(rows["c3"].isolated) + 0.2 * np.array(whole)
+    got = np.array(rows["c3"].contextual)
+    assert len(rows) == 100 and abs(got @ want / np.linalg.norm(got) / np.linalg.norm(want) - 1) < 1e-9
+
+
 def test_searches_done_ahead_are_not_repeated(spark, monkeypatch):
     chunks = spark.createDataFrame([(k, f"common w{k % 7} w{k}") for k in range(60)], "chunk_id long, text string")
     index = search.Bm25Index.build(chunks)
