@@ -184,6 +184,22 @@ def test_tasks_that_join_texts_follow_from_their_bytes(spark, monkeypatch):
     assert len(rows) == 100 and abs(got @ want / np.linalg.norm(got) / np.linalg.norm(want) - 1) < 1e-9
 
 
+def test_a_model_reranks_without_an_exchange_of_all_texts(spark, monkeypatch):
+    from siftwell.plans import retrieve
+
+    chunks = spark.createDataFrame([(f"c{k}", f"text {k}") for k in range(50)], "chunk_id string, text string")
+    rows = spark.createDataFrame([("q", f"c{k}", 1.0, "bm25", k + 1) for k in range(4)], "query_id string, chunk_id string, score double, source string, rank int")
+    base = spark.createDataFrame([("q", "text 3")], "query_id string, query string")
+    asked = []
+    provided = retrieve.provided
+    monkeypatch.setattr(retrieve, "provided", lambda frame, *rest, **more: asked.append(frame) or provided(frame, *rest, **more))
+    rank = lambda given: [[float(t == q) for t in texts] for q, texts in given]
+    found, bad, _ = retrieve._reranked(graph.settle(rows), base, retrieve.Indexes(chunks), 2, retrieve.Steps(rank=rank), [])
+    plan = asked[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert any("strategy=broadcast" in line for line in plan.splitlines() if "Join Inner" in line and "chunk_id" in line), plan
+    assert [(x.chunk_id, x["rank"]) for x in found.orderBy("rank").collect()] == [("c3", 1), ("c0", 2)] and bad.count() == 0
+
+
 def test_searches_done_ahead_are_not_repeated(spark, monkeypatch):
     chunks = spark.createDataFrame([(k, f"common w{k % 7} w{k}") for k in range(60)], "chunk_id long, text string")
     index = search.Bm25Index.build(chunks)
