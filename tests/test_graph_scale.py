@@ -184,6 +184,25 @@ def test_tasks_that_join_texts_follow_from_their_bytes(spark, monkeypatch):
     assert len(rows) == 100 and abs(got @ want / np.linalg.norm(got) / np.linalg.norm(want) - 1) < 1e-9
 
 
+def test_a_search_exchanges_no_postings_when_tables_are_not_broadcast_by_size(spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_BYTES", 100)
+    chunks = spark.createDataFrame([(k, f"common w{k % 7} w{k}") for k in range(60)], "chunk_id long, text string")
+    asked = spark.createDataFrame([("a", "common w3 w3"), ("b", "w5 w50"), ("c", "")], "query_id string, query string")
+    key = lambda found: sorted((x.query_id, x["rank"], x.chunk_id, x.score) for x in found.collect())
+    want = key(search.Bm25Index.build(chunks).search(asked, 5))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.Bm25Index.build(chunks).search(asked, 5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+        exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line]
+        assert len(exchanges) == 1 and "chunk_id" not in exchanges[0]  # pairs are summed where their chunk is, only each task's best move
+        assert key(found) == want and len(want) == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_model_reranks_without_an_exchange_of_all_texts(spark, monkeypatch):
     from siftwell.plans import retrieve
 
